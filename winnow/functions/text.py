@@ -17,10 +17,9 @@ WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 
-# Unicode whitespace other than the plain space, then with it.
-_WS_RANGES = r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WS_NOT_SPACE = f"[{_WS_RANGES}]"
-WS = f"[ {_WS_RANGES}]"
+# Unicode whitespace: separators and the control characters that count as space.
+_WS_CHARS = r"\p{Z}\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85"
+WS = f"[{_WS_CHARS}]"
 
 # Texts that mean "no tags given".
 NO_TAG_TEXTS = ("", "nan", "none", "null")
@@ -49,10 +48,10 @@ class NormRules:
 def collapse_ws(col: Column) -> Column:
     """One space for every whitespace run, none at the ends.
 
-    The pattern skips single plain spaces, which is nearly all of the whitespace in
-    prose, so that the replacement only does work where the text changes.
+    The pattern passes over a space before a word, which is nearly all of the whitespace
+    in prose, so that the replacement only does work where the text changes.
     """
-    return F.trim(F.regexp_replace(col, f"{WS_NOT_SPACE}{WS}*| {WS}+", " "))
+    return F.trim(F.regexp_replace(col, f"(?! [^{_WS_CHARS}]){WS}+", " "))
 
 
 def is_word_char(char: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.once import with_once
 from winnow.params import Params
 
 APPROVED, FLAGGED, REJECTED = "APPROVED_FINAL", "FLAGGED_FINAL", "REJECTED_FINAL"
@@ -129,7 +130,7 @@ def final_outcome(blocks: tuple[str, ...], has_t0: bool, params: Params) -> Colu
 
 def decide(evaluated: DataFrame, blocks: tuple[str, ...], has_t0: bool, params: Params) -> DataFrame:
     """Adds `Final_Decision` and `Decision_Reason`."""
-    df = evaluated.withColumn("outcome", final_outcome(blocks, has_t0, params))
+    df = with_once(evaluated, {"outcome": final_outcome(blocks, has_t0, params)})
     return df.select(
         *evaluated.columns,
         F.col("outcome.decision").alias("Final_Decision"),

@@ -2,6 +2,9 @@
 
 Every block's terms are marked, whether or not the block was evaluated. Spans of all
 patterns are merged where they overlap or touch. Matches of length zero are not marked.
+
+Terms that a lookup key proves mark whole words, so one pass over a text's words serves
+all of them. Only texts that also match a longer pattern need spans.
 """
 
 from __future__ import annotations
@@ -9,62 +12,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.text import tokens
+from winnow.functions.once import with_once
+from winnow.functions.text import WORD, tokens
 from winnow.params import SECTIONS
 
 MARK = "***"
-HIGHLIGHT_ENTRY = "struct<scope:string,pattern:string>"
+HIGHLIGHT_ENTRY = "struct<scope:string,pattern:string,how:string,text:string>"
 _SPANS = "array<struct<begin:int,stop:int>>"
 
 
 def highlight_entries(compiled: DataFrame) -> DataFrame:
-    """(lookup_key, entry) of every pattern to mark."""
+    """(lookup_key, entry) of everything to mark.
+
+    An entry without pattern marks the words equal to, beginning or ending with `text`.
+    """
+    key = F.col("lookup_key")
+    how = F.regexp_extract(key, r"^\d+([<>])", 1)
+    text = F.regexp_replace(key, r"^\d+[<>]", "")
     return (
         compiled.select("scope", F.inline("highlight"))
-        .select("lookup_key", F.struct("scope", "pattern").alias("entry"))
+        .select(key, F.struct("scope", "pattern", how.alias("how"), text.alias("text")).alias("entry"))
         .distinct()
     )
 
 
-def original_words() -> dict[str, Column]:
-    return {s: tokens(F.lower(F.coalesce(F.col(s), F.lit("")))) for s in SECTIONS}
+def with_original_words(articles: DataFrame) -> DataFrame:
+    """Distinct words of the sections as written, lower-cased, as `words_<section>`."""
+    return articles.withColumns(
+        {f"words_{s}": tokens(F.lower(F.coalesce(F.col(s), F.lit("")))) for s in SECTIONS}
+    )
+
+
+def _word_pattern(entries: Column) -> Column:
+    """One pattern for all entries that mark whole words; null if there are none."""
+
+    def word(e: Column) -> Column:
+        more = F.lit(f"{WORD}*")
+        return F.when(e["how"] == "<", F.concat(e["text"], more)).when(
+            e["how"] == ">", F.concat(more, e["text"])
+        ).otherwise(e["text"])
 
+    proven = F.filter(entries, lambda e: e["pattern"].isNull())
+    any_of = F.array_join(F.array_distinct(F.transform(proven, word)), "|")
+    whole = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), any_of, F.lit(f")(?!{WORD})"))
+    return F.when(any_of != "", whole)
 
-def _spans(text: Column, pattern: Column) -> Column:
-    """Begin and end of every match, from the lengths of the matches and the gaps between."""
-    pair = F.array(
+
+def _spans(pieces: Column) -> Column:
+    """Begin and end of the pieces, from (gap before, piece)."""
+    return F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.length(p["gap"]) + F.length(p["piece"])).alias("at"),
+            F.concat(
+                acc["spans"],
+                F.array(
+                    F.struct(
+                        (acc["at"] + F.length(p["gap"])).alias("begin"),
+                        (acc["at"] + F.length(p["gap"]) + F.length(p["piece"])).alias("stop"),
+                    )
+                ),
+            ).alias("spans"),
+        ),
+        lambda acc: acc["spans"],
+    )
+
+
+def _pieces(text: Column, pattern: Column) -> Column:
+    """Matches of the pattern, each with the text before it, and a last gap with no piece.
+
+    Nothing but that gap if a match has no length.
+    """
+    both = F.array(
         F.struct(
             F.split(text, pattern, -1).alias("gaps"),
             F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
         )
     )
 
-    def walk(p: Column) -> Column:
-        steps = F.transform(
-            p["found"], lambda m, i: F.struct(F.length(F.get(p["gaps"], i)).alias("gap"), F.length(m).alias("len"))
+    def pairs(b: Column) -> Column:
+        aligned = (F.size(b["gaps"]) == F.size(b["found"]) + 1) & F.forall(
+            b["found"], lambda m: m != ""
         )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-        walked = F.aggregate(
-            steps,
-            start,
-            lambda acc, s: F.struct(
-                (acc["at"] + s["gap"] + s["len"]).alias("at"),
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + s["gap"]).alias("begin"),
-                            (acc["at"] + s["gap"] + s["len"]).alias("stop"),
-                        )
-                    ),
-                ).alias("spans"),
-            ),
-            lambda acc: acc["spans"],
+        whole = F.array(F.struct(text.alias("gap"), F.lit(None).cast("string").alias("piece")))
+        cut = F.transform(
+            b["gaps"], lambda g, i: F.struct(g.alias("gap"), F.get(b["found"], i).alias("piece"))
         )
-        aligned = (F.size(p["gaps"]) == F.size(p["found"]) + 1) & F.forall(p["found"], lambda m: m != "")
-        return F.when(aligned, walked).otherwise(F.array().cast(_SPANS))
+        return F.when(aligned, cut).otherwise(whole)
+
+    return F.flatten(F.transform(both, pairs))
 
-    return F.flatten(F.transform(pair, walk))
+
+def _found(pieces: Column) -> Column:
+    return F.filter(pieces, lambda p: p["piece"].isNotNull())
 
 
 def _merged(spans: Column) -> Column:
@@ -94,40 +135,74 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, closed)
 
 
-def _marked(text: Column, merged: Column) -> Column:
-    def piece(m: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["stop"])
+def _mark(piece: Column) -> Column:
+    return F.concat(F.lit(MARK), F.upper(piece), F.lit(MARK))
+
+
+def _rebuilt_from_spans(text: Column, merged: Column) -> Column:
+    """The text with its spans marked, put together from slices of its characters."""
+    both = F.array(F.struct(F.split(text, "").alias("chars"), merged.alias("spans")))
+
+    def build(b: Column) -> Column:
+        def cut(begin: Column, stop: Column) -> Column:
+            return F.array_join(F.slice(b["chars"], begin + 1, stop - begin), "")
+
+        def piece(m: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(b["spans"], i - 1)["stop"])
+            return F.concat(cut(before, m["begin"]), _mark(cut(m["begin"], m["stop"])))
+
+        last = F.element_at(b["spans"], -1)["stop"]
         return F.concat(
-            F.substring(text, before + 1, m["begin"] - before),
-            F.lit(MARK),
-            F.upper(F.substring(text, m["begin"] + 1, m["stop"] - m["begin"])),
-            F.lit(MARK),
+            F.array_join(F.transform(b["spans"], piece), ""), cut(last, F.size(b["chars"]))
         )
 
-    last = F.element_at(merged, -1)["stop"]
-    return F.concat(
-        F.array_join(F.transform(merged, piece), ""), F.substring(text, last + 1, F.length(text))
-    )
+    return F.get(F.transform(both, build), F.lit(0))
 
 
-def with_highlights(articles: DataFrame, candidates: dict[str, Column]) -> DataFrame:
-    """Adds `Title_Highlighted`, `Abstract_Highlighted` and `Tags_Highlighted`."""
+def marked_sections(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` plus `Title_Highlighted`, `Abstract_Highlighted` and `Tags_Highlighted`."""
     names = dict(zip(SECTIONS, ("Title_Highlighted", "Abstract_Highlighted", "Tags_Highlighted")))
 
+    def text_of(section: str) -> Column:
+        return F.coalesce(F.col(section), F.lit(""))
+
+    def entries(section: str) -> Column:
+        return F.filter(F.col(f"cand_{section}"), lambda e: e["scope"].isin("any", section))
+
     def spans(section: str) -> Column:
-        text = F.coalesce(F.col(section), F.lit(""))
-        mine = F.filter(candidates[f"cand_{section}"], lambda e: e["scope"].isin("any", section))
-        return _merged(F.flatten(F.transform(mine, lambda e: _spans(text, e["pattern"]))))
+        """Spans of the patterns that do more than mark whole words."""
+        text, found = text_of(section), F.col(f"cand_{section}")
+        patterns = F.array_distinct(F.filter(found, lambda e: e["pattern"].isNotNull())["pattern"])
+        return F.flatten(F.transform(patterns, lambda p: _spans(_found(_pieces(text, p)))))
+
+    def words(section: str) -> Column:
+        pattern = F.col(f"pattern_{section}")
+        return F.when(pattern.isNotNull(), _pieces(text_of(section), pattern))
 
     def marked(section: str) -> Column:
-        text, merged = F.coalesce(F.col(section), F.lit("")), F.col(f"spans_{section}")
-        return F.when(F.size(merged) == 0, text).otherwise(_marked(text, merged))
+        text, pieces, spans = text_of(section), F.col(f"words_{section}"), F.col(f"spans_{section}")
+        in_place = F.array_join(
+            F.transform(
+                pieces, lambda p: F.concat(p["gap"], F.coalesce(_mark(p["piece"]), F.lit("")))
+            ),
+            "",
+        )
+        word_spans = F.when(pieces.isNull(), F.array().cast(_SPANS)).otherwise(_spans(_found(pieces)))
+        return (
+            F.when(F.size(spans) > 0, _rebuilt_from_spans(text, _merged(F.concat(spans, word_spans))))
+            .when(pieces.isNull(), text)
+            .otherwise(in_place)
+        )
 
-    return (
-        articles.withColumns({f"spans_{s}": spans(s) for s in SECTIONS})
-        .withColumns({names[s]: marked(s) for s in SECTIONS})
-        .select(*articles.columns, *names.values())
+    step = with_once(candidates, {f"cand_{s}": entries(s) for s in SECTIONS})
+    step = step.withColumns(
+        {f"pattern_{s}": _word_pattern(F.col(f"cand_{s}")) for s in SECTIONS}
+    )
+    step = with_once(
+        step,
+        {f"spans_{s}": spans(s) for s in SECTIONS} | {f"words_{s}": words(s) for s in SECTIONS},
     )
+    return with_once(step, {names[s]: marked(s) for s in SECTIONS}).select(*columns, *names.values())
 
 
 # -- packing ------------------------------------------------------------------------------

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from winnow.functions.once import with_once
 from winnow.functions.text import NormRules, has_tags, normalize, tokens
 from winnow.params import KINDS, SECTIONS, T0
 
@@ -116,16 +117,29 @@ class KeyIndex:
             entry_type=entry_type,
         )
 
+    def _known_keys(self, words: Column) -> Column:
+        """The dictionary's keys among those of the words."""
+
+        def known(of_length: int, mark: str, part) -> Column:
+            head = f"{of_length}{mark}"
+            wanted = [k[len(head) :] for k in self.keys if k.startswith(head)]
+            found = F.filter(words, lambda w: part(w, F.lit(of_length)).isin(*wanted))
+            return F.array_distinct(
+                F.transform(found, lambda w: F.concat(F.lit(head), part(w, F.lit(of_length))))
+            )
+
+        plain = [k for k in self.keys if "<" not in k and ">" not in k]
+        parts = [F.filter(words, lambda w: w.isin(*plain))] if plain else []
+        parts += [known(n, "<", F.left) for n in self.begin_lengths]
+        parts += [known(n, ">", F.right) for n in self.end_lengths]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
     def lookup(self, words: Column) -> Column:
         """Entries whose key occurs among the words, and all entries without key."""
         unkeyed = F.from_json(F.lit(self.unkeyed_json), f"array<{self.entry_type}>")
         if not self.keys:
             return unkeyed
-        found = F.filter(
-            text_keys(words, self.begin_lengths, self.end_lengths), lambda k: k.isin(*self.keys)
-        )
-        if self.begin_lengths or self.end_lengths:
-            found = F.array_distinct(found)
+        found = self._known_keys(words)
         buckets = F.from_json(
             F.lit(self.buckets_json), f"array<map<string,array<{self.entry_type}>>>"
         )
@@ -140,15 +154,15 @@ class KeyIndex:
         return entries if self.unkeyed_json == "[]" else F.concat(entries, unkeyed)
 
 
-def candidates_narrow(words: dict[str, Column], index: KeyIndex) -> dict[str, Column]:
-    """Candidate entries per section, from the row itself."""
-    return {f"cand_{s}": index.lookup(w) for s, w in words.items()}
+def with_candidates(df: DataFrame, index: KeyIndex) -> DataFrame:
+    """Adds candidate entries per section, from the row's own words."""
+    return df.withColumns({f"cand_{s}": index.lookup(F.col(f"words_{s}")) for s in SECTIONS})
 
 
 def with_joined_candidates(
-    df: DataFrame, words: dict[str, Column], entries: DataFrame, entry_type: str, row_key: str
+    df: DataFrame, entries: DataFrame, entry_type: str, row_key: str
 ) -> DataFrame:
-    """Adds the candidate columns by joining text keys with the entries' keys.
+    """Adds candidate entries per section by joining text keys with the entries' keys.
 
     `row_key` must identify a row, also after a recomputation (a stored key, or the file
     and row position that `sources.with_row_key` gives). The join carries keys and
@@ -172,12 +186,12 @@ def with_joined_candidates(
 
 
     def section_keys(section: str) -> Column:
-        keys = F.array_distinct(text_keys(words[section], begins, ends))
+        keys = F.array_distinct(text_keys(F.col(f"words_{section}"), begins, ends))
         return F.transform(
             keys, lambda k: F.struct(F.lit(section).alias("section"), k.alias("lookup_key"))
         )
 
-    text_side = df.select(row_key, F.inline(F.concat(*map(section_keys, words)))).withColumn(
+    text_side = df.select(row_key, F.inline(F.concat(*map(section_keys, SECTIONS)))).withColumn(
         "salt", F.pmod(F.hash(row_key), F.lit(_SALTS))
     )
     term_side = entries.filter("lookup_key is not null").select(
@@ -196,7 +210,7 @@ def with_joined_candidates(
 
     return (
         df.join(found, row_key, "left")
-        .withColumns({f"cand_{s}": of_section(s) for s in words})
+        .withColumns({f"cand_{s}": of_section(s) for s in SECTIONS})
         .drop("found")
     )
 
@@ -206,8 +220,9 @@ def with_norm(articles: DataFrame, rules: NormRules | None) -> DataFrame:
     return articles.withColumns({f"norm_{s}": normalize(F.col(s), rules) for s in SECTIONS})
 
 
-def norm_words() -> dict[str, Column]:
-    return {s: tokens(F.col(f"norm_{s}")) for s in SECTIONS}
+def with_words(df: DataFrame, prefix: str = "norm_") -> DataFrame:
+    """Distinct words per section as `words_<section>`, from the columns with the prefix."""
+    return df.withColumns({f"words_{s}": tokens(F.col(f"{prefix}{s}")) for s in SECTIONS})
 
 
 def _verified(candidates: Column, norm: Column, section: str) -> Column:
@@ -222,41 +237,38 @@ def _verified(candidates: Column, norm: Column, section: str) -> Column:
     return F.filter(candidates, holds)
 
 
-def hits_from_candidates(candidates: dict[str, Column]) -> Column:
-    """Sorted hits of all sections; blank sections have none."""
+def sorted_hits() -> Column:
+    """Hits of all sections from `norm_*` and `cand_*`; blank sections have none."""
     none = F.array().cast(f"array<{HIT}>")
 
     def of_section(sec: int, section: str) -> Column:
         norm = F.col(f"norm_{section}")
-        found = _verified(candidates[f"cand_{section}"], norm, section)
+        found = _verified(F.col(f"cand_{section}"), norm, section)
         hits = F.transform(found, lambda e: e["hit"].withField("sec", F.lit(sec)))
         return F.when(norm == "", none).otherwise(hits)
 
     return F.array_sort(F.concat(*(of_section(i, s) for i, s in enumerate(SECTIONS))))
 
 
+def _matched(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    found = with_once(
+        candidates, {"has_tags": has_tags(F.col("manual_tags")), "hits": sorted_hits()}
+    )
+    return found.select(*columns, "has_tags", "hits")
+
+
 def match_narrow(articles: DataFrame, index: KeyIndex, rules: NormRules | None) -> DataFrame:
     """Adds `hits` and `has_tags`, each row by itself."""
-    return with_norm(articles, rules).select(
-        *articles.columns,
-        has_tags(F.col("manual_tags")).alias("has_tags"),
-        hits_from_candidates(candidates_narrow(norm_words(), index)).alias("hits"),
-    )
+    words = with_words(with_norm(articles, rules))
+    return _matched(with_candidates(words, index), articles.columns)
 
 
 def match_join(
     articles: DataFrame, entries: DataFrame, rules: NormRules | None, row_key: str
 ) -> DataFrame:
     """As `match_narrow`, for dictionaries of any size."""
-    df = with_joined_candidates(
-        with_norm(articles, rules), norm_words(), entries, MATCH_ENTRY, row_key
-    )
-    found = {f"cand_{s}": F.col(f"cand_{s}") for s in SECTIONS}
-    return df.select(
-        *articles.columns,
-        has_tags(F.col("manual_tags")).alias("has_tags"),
-        hits_from_candidates(found).alias("hits"),
-    )
+    words = with_words(with_norm(articles, rules))
+    return _matched(with_joined_candidates(words, entries, MATCH_ENTRY, row_key), articles.columns)
 
 
 def hit_rows(matched: DataFrame, blocks: tuple[str, ...], *keep: str) -> DataFrame:

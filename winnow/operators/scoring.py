@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.once import with_once
 from winnow.operators.matching import HIT
 from winnow.params import SECTIONS, Params
 
@@ -270,12 +271,9 @@ def fail_fast(evals: Column, t0_status: Column | None, params: Params) -> Column
 
 def evaluate(matched: DataFrame, blocks: tuple[str, ...], has_t0: bool, params: Params) -> DataFrame:
     """Adds `t0` (null without a pre-screen) and `evals`, one struct per block in order."""
-    df = matched
+    values = {"evals": block_evals(blocks, params)}
     if has_t0:
-        df = df.withColumn("t0", t0_eval())
-    df = df.withColumn("evals", block_evals(blocks, params))
-    return df.withColumn(
-        "evals", fail_fast(F.col("evals"), F.col("t0.status") if has_t0 else None, params)
-    )
-
-
+        values["t0"] = t0_eval()
+    df = with_once(matched, values)
+    t0_status = F.col("t0.status") if has_t0 else None
+    return with_once(df, {"evals": fail_fast(F.col("evals"), t0_status, params)})

@@ -493,7 +493,11 @@ def compile_terms(term_set: TermSet, rules: NormRules | None, params: Params) ->
         return F.struct(key.alias("lookup_key"), pattern.alias("pattern"))
 
     def literal_mark(text: Column) -> Column:
-        return mark(P.lookup_key(F.lower(text)), F.concat(F.lit("(?iu)"), P.literal_pattern(text)))
+        low = F.lower(text)
+        pattern = F.when(
+            ~P.key_is_proof(low), F.concat(F.lit("(?iu)"), P.literal_pattern(text))
+        )
+        return mark(P.lookup_key(low), pattern)
 
     written = literal_mark(c("term"))
     no_key = F.lit(None).cast("string")

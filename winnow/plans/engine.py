@@ -106,14 +106,13 @@ class TriageEngine:
 
     def highlight(self, articles: DataFrame) -> DataFrame:
         """Adds the sections with matched text marked."""
-        words = H.original_words()
+        words = H.with_original_words(articles)
         if self.highlight_index is not None:
-            return H.with_highlights(articles, M.candidates_narrow(words, self.highlight_index))
-        joined = M.with_joined_candidates(
-            articles, words, H.highlight_entries(self.compiled), H.HIGHLIGHT_ENTRY, self._key()
-        )
-        marked = H.with_highlights(joined, {f"cand_{s}": F.col(f"cand_{s}") for s in SECTIONS})
-        return marked.drop(*(f"cand_{s}" for s in SECTIONS))
+            found = M.with_candidates(words, self.highlight_index)
+        else:
+            entries = H.highlight_entries(self.compiled)
+            found = M.with_joined_candidates(words, entries, H.HIGHLIGHT_ENTRY, self._key())
+        return H.marked_sections(found, articles.columns)
 
     def run(self, articles: DataFrame, id_output: str = "ID", timestamp: bool = True) -> DataFrame:
         """The published result table."""
