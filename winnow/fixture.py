@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow.params import Params
 from winnow.plans.engine import TriageEngine
+from winnow.sources.tables import spread
 
 BLOCKS = ("FUNC", "FORM")
 
@@ -57,9 +58,9 @@ def engine(spark: SparkSession, rows: list[tuple] | None = None, **params) -> Tr
     return TriageEngine.build(raw_terms(spark, rows or TERMS), settings)
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Documents as articles: first line is the title, the rest the abstract."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = F.col("text")
     cut = F.instr(text, "\n")
     return docs.select(
@@ -69,4 +70,5 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, "")
         .otherwise(F.concat_ws(", ", "lang", "source"))
         .alias("manual_tags"),
+        *keep,
     )
