@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from typing import TypeVar
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
+
+def built_once(build: Callable[..., T]) -> Callable[..., T]:
+    """Keep the Columns a function builds, per arguments and JVM.
+
+    Putting a large expression together takes thousands of calls into the JVM, more than
+    it takes to run it on a small table; a Column can be used in any number of plans.
+    """
+    kept: dict[tuple, T] = {}
+
+    @wraps(build)
+    def cached(*args) -> T:
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return cached
+
 
 def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """As `withColumns`, for costly values that later steps refer to several times.

@@ -35,6 +35,9 @@ class NormRules:
     compound_variants: dict[str, str] = field(default_factory=dict)
     symbol_replacements: dict[str, str] = field(default_factory=dict)
 
+    def __hash__(self) -> int:
+        return hash(repr(self))
+
     @property
     def enabled(self) -> bool:
         return bool(self.abbreviations or self.compound_variants or self.symbol_replacements)

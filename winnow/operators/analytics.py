@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.once import built_once
 from winnow.operators.terms import TermSet
 from winnow.params import SECTIONS, T0
 
@@ -56,8 +57,6 @@ def totals(results: DataFrame) -> DataFrame:
 
 def with_share(counts: DataFrame, *group: str) -> DataFrame:
     """Adds `pct`, the share of the total; `counts` has one row per category."""
-    from pyspark.sql import Window
-
     total = F.sum("n").over(Window.partitionBy(*(group or (F.lit(0),))))
     return counts.withColumn("pct", F.col("n") / total * 100)
 
@@ -113,30 +112,57 @@ def level_distribution(results: DataFrame) -> DataFrame:
 
 
 def report(results: DataFrame) -> DataFrame:
-    """Decisions, block statuses and scores as one (part, name, value, n, pct) table."""
-    decisions = decision_distribution(results).select(
-        F.lit("decision").alias("part"), F.lit("").alias("block"),
-        F.col("Final_Decision").alias("name"), F.col("n").cast("double").alias("value"), "pct",
+    """Decisions, block statuses and scores as one (part, block, name, value, pct) table.
+
+    All parts come from one aggregate over one pass of the results.
+    """
+    none = F.lit(None).cast("double")
+
+    def cell(part: str, block: str, name: Column, score: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), F.lit(block).alias("block"), name.alias("name"), score.alias("score")
+        )
+
+    cells = [cell("decision", "", F.col("Final_Decision"), none)]
+    for b in status_blocks(results):
+        has_score = b != T0 and f"FinalScore_{b}" in results.columns
+        score = F.col(f"FinalScore_{b}").cast("double") if has_score else none
+        cells.append(cell("status", b, F.col(f"Status_{b}"), score))
+    groups = (
+        results.select(F.inline(F.array(*cells)))
+        .filter("name is not null")
+        .groupBy("part", "block", "name")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("score").alias("total"),
+            F.count("score").alias("n_scores"),
+            F.max("score").alias("highest"),
+        )
     )
-    statuses = status_distribution(results).select(
-        F.lit("status").alias("part"), "block", F.col("status").alias("name"),
-        F.col("n").cast("double").alias("value"), "pct",
+    whole = Window.partitionBy("part", "block")
+    summed = groups.select(
+        "part",
+        "block",
+        "name",
+        F.col("n").cast("double").alias("value"),
+        (F.col("n") / F.sum("n").over(whole) * 100).alias("pct"),
+        (F.sum("total").over(whole) / F.sum("n_scores").over(whole)).alias("avg_score"),
+        F.max("highest").over(whole).alias("max_score"),
+        F.row_number().over(whole.orderBy("name")).alias("position"),
     )
-    scores = (
-        block_performance(results)
-        .filter(F.col("block") != T0)
-        .select(
-            "block",
-            F.inline(
-                F.array(
-                    F.struct(F.lit("avg_score").alias("name"), F.col("avg_score").alias("value")),
-                    F.struct(F.lit("max_score").alias("name"), F.col("max_score").alias("value")),
-                )
-            ),
+
+    def row(part: Column, name: Column, value: Column, pct: Column) -> Column:
+        return F.struct(
+            part.alias("part"), name.alias("name"), value.alias("value"), pct.alias("pct")
         )
-        .select(F.lit("score").alias("part"), "block", "name", "value", F.lit(None).cast("double").alias("pct"))
-    )
-    return reduce(DataFrame.unionByName, (decisions, statuses, scores))
+
+    def score_row(column: str) -> Column:
+        first = (F.col("position") == 1) & F.col(column).isNotNull()
+        return F.when(first, row(F.lit("score"), F.lit(column), F.col(column), none))
+
+    own = row(F.col("part"), F.col("name"), F.col("value"), F.col("pct"))
+    rows = F.array_compact(F.array(own, score_row("avg_score"), score_row("max_score")))
+    return summed.select("block", F.inline(rows)).select("part", "block", "name", "value", "pct")
 
 
 # -- term coverage ------------------------------------------------------------------------
@@ -148,6 +174,16 @@ def term_coverage(decided: DataFrame, ignore_fail_fast: bool = False) -> DataFra
     Blocks that were not evaluated count no hits, unless `ignore_fail_fast`. An article
     first sums up its own hits per term, so articles are counted without a distinct.
     """
+    per_article = decided.select(F.inline(_article_coverage(ignore_fail_fast)))
+    return per_article.groupBy("term").agg(
+        *(F.sum(f"{s}_hits").alias(f"{s}_hits") for s in SECTIONS),
+        F.sum("hits").alias("hits"),
+        F.count("*").alias("articles"),
+    )
+
+
+@built_once
+def _article_coverage(ignore_fail_fast: bool) -> Column:
     if ignore_fail_fast:
         hits = F.filter("hits", lambda h: (h["block_ord"] >= 0) & (h["kind_ord"] == 0))
     else:
@@ -164,12 +200,7 @@ def term_coverage(decided: DataFrame, ignore_fail_fast: bool = False) -> DataFra
 
         return F.transform(F.array_distinct(hits["term"]), per_term)
 
-    per_article = decided.select(F.inline(F.flatten(F.transform(F.array(hits), counted))))
-    return per_article.groupBy("term").agg(
-        *(F.sum(f"{s}_hits").alias(f"{s}_hits") for s in SECTIONS),
-        F.sum("hits").alias("hits"),
-        F.count("*").alias("articles"),
-    )
+    return F.flatten(F.transform(F.array(hits), counted))
 
 
 def configured_terms(term_set: TermSet) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
+from winnow.functions.once import built_once, with_once
 from winnow.params import Params
 
 APPROVED, FLAGGED, REJECTED = "APPROVED_FINAL", "FLAGGED_FINAL", "REJECTED_FINAL"
@@ -88,6 +88,7 @@ def _special(
     ]
 
 
+@built_once
 def final_outcome(blocks: tuple[str, ...], has_t0: bool, params: Params) -> Column:
     """Struct (decision, reason)."""
     evals = F.col("evals")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
+from winnow.functions.once import built_once, with_once
 from winnow.functions.text import WORD, tokens
 from winnow.params import SECTIONS
 
@@ -159,50 +159,57 @@ def _rebuilt_from_spans(text: Column, merged: Column) -> Column:
     return F.get(F.transform(both, build), F.lit(0))
 
 
-def marked_sections(candidates: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` plus `Title_Highlighted`, `Abstract_Highlighted` and `Tags_Highlighted`."""
-    names = dict(zip(SECTIONS, ("Title_Highlighted", "Abstract_Highlighted", "Tags_Highlighted")))
+def _text_of(section: str) -> Column:
+    return F.coalesce(F.col(section), F.lit(""))
 
-    def text_of(section: str) -> Column:
-        return F.coalesce(F.col(section), F.lit(""))
 
-    def entries(section: str) -> Column:
-        return F.filter(F.col(f"cand_{section}"), lambda e: e["scope"].isin("any", section))
+def _in_scope(section: str) -> Column:
+    return F.filter(F.col(f"cand_{section}"), lambda e: e["scope"].isin("any", section))
 
-    def spans(section: str) -> Column:
-        """Spans of the patterns that do more than mark whole words."""
-        text, found = text_of(section), F.col(f"cand_{section}")
-        patterns = F.array_distinct(F.filter(found, lambda e: e["pattern"].isNotNull())["pattern"])
-        return F.flatten(F.transform(patterns, lambda p: _spans(_found(_pieces(text, p)))))
 
-    def words(section: str) -> Column:
-        pattern = F.col(f"pattern_{section}")
-        return F.when(pattern.isNotNull(), _pieces(text_of(section), pattern))
+def _pattern_spans(section: str) -> Column:
+    """Spans of the patterns that do more than mark whole words."""
+    text, found = _text_of(section), F.col(f"cand_{section}")
+    patterns = F.array_distinct(F.filter(found, lambda e: e["pattern"].isNotNull())["pattern"])
+    return F.flatten(F.transform(patterns, lambda p: _spans(_found(_pieces(text, p)))))
+
+
+def _word_pieces(section: str) -> Column:
+    pattern = F.col(f"pattern_{section}")
+    return F.when(pattern.isNotNull(), _pieces(_text_of(section), pattern))
 
-    def marked(section: str) -> Column:
-        text, pieces, spans = text_of(section), F.col(f"words_{section}"), F.col(f"spans_{section}")
-        in_place = F.array_join(
-            F.transform(
-                pieces, lambda p: F.concat(p["gap"], F.coalesce(_mark(p["piece"]), F.lit("")))
-            ),
-            "",
-        )
-        word_spans = F.when(pieces.isNull(), F.array().cast(_SPANS)).otherwise(_spans(_found(pieces)))
-        return (
-            F.when(F.size(spans) > 0, _rebuilt_from_spans(text, _merged(F.concat(spans, word_spans))))
-            .when(pieces.isNull(), text)
-            .otherwise(in_place)
-        )
 
-    step = with_once(candidates, {f"cand_{s}": entries(s) for s in SECTIONS})
-    step = step.withColumns(
-        {f"pattern_{s}": _word_pattern(F.col(f"cand_{s}")) for s in SECTIONS}
+def _marked(section: str) -> Column:
+    text, pieces, spans = _text_of(section), F.col(f"words_{section}"), F.col(f"spans_{section}")
+    in_place = F.array_join(
+        F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(_mark(p["piece"]), F.lit("")))), ""
     )
-    step = with_once(
-        step,
-        {f"spans_{s}": spans(s) for s in SECTIONS} | {f"words_{s}": words(s) for s in SECTIONS},
+    word_spans = F.when(pieces.isNull(), F.array().cast(_SPANS)).otherwise(_spans(_found(pieces)))
+    return (
+        F.when(F.size(spans) > 0, _rebuilt_from_spans(text, _merged(F.concat(spans, word_spans))))
+        .when(pieces.isNull(), text)
+        .otherwise(in_place)
     )
-    return with_once(step, {names[s]: marked(s) for s in SECTIONS}).select(*columns, *names.values())
+
+
+@built_once
+def _marking_steps() -> list[dict[str, Column]]:
+    """Candidates in scope, one pattern for whole words, where things match, marked text."""
+    names = ("Title_Highlighted", "Abstract_Highlighted", "Tags_Highlighted")
+    return [
+        {f"cand_{s}": _in_scope(s) for s in SECTIONS},
+        {f"pattern_{s}": _word_pattern(F.col(f"cand_{s}")) for s in SECTIONS},
+        {f"spans_{s}": _pattern_spans(s) for s in SECTIONS}
+        | {f"words_{s}": _word_pieces(s) for s in SECTIONS},
+        {name: _marked(s) for name, s in zip(names, SECTIONS)},
+    ]
+
+
+def marked_sections(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` plus `Title_Highlighted`, `Abstract_Highlighted` and `Tags_Highlighted`."""
+    scoped, patterns, places, marked = _marking_steps()
+    step = with_once(candidates, scoped).withColumns(patterns)
+    return with_once(with_once(step, places), marked).select(*columns, *marked)
 
 
 # -- packing ------------------------------------------------------------------------------

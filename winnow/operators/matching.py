@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
+from winnow.functions.once import built_once, with_once
 from winnow.functions.text import NormRules, has_tags, normalize, tokens
 from winnow.params import KINDS, SECTIONS, T0
 
@@ -156,7 +156,12 @@ class KeyIndex:
 
 def with_candidates(df: DataFrame, index: KeyIndex) -> DataFrame:
     """Adds candidate entries per section, from the row's own words."""
-    return df.withColumns({f"cand_{s}": index.lookup(F.col(f"words_{s}")) for s in SECTIONS})
+    return df.withColumns(_lookups(index))
+
+
+@built_once
+def _lookups(index: KeyIndex) -> dict[str, Column]:
+    return {f"cand_{s}": index.lookup(F.col(f"words_{s}")) for s in SECTIONS}
 
 
 def with_joined_candidates(
@@ -217,12 +222,22 @@ def with_joined_candidates(
 
 def with_norm(articles: DataFrame, rules: NormRules | None) -> DataFrame:
     """Normalised text per section as `norm_<section>`."""
-    return articles.withColumns({f"norm_{s}": normalize(F.col(s), rules) for s in SECTIONS})
+    return articles.withColumns(_norms(rules))
+
+
+@built_once
+def _norms(rules: NormRules | None) -> dict[str, Column]:
+    return {f"norm_{s}": normalize(F.col(s), rules) for s in SECTIONS}
 
 
 def with_words(df: DataFrame, prefix: str = "norm_") -> DataFrame:
     """Distinct words per section as `words_<section>`, from the columns with the prefix."""
-    return df.withColumns({f"words_{s}": tokens(F.col(f"{prefix}{s}")) for s in SECTIONS})
+    return df.withColumns(_words(prefix))
+
+
+@built_once
+def _words(prefix: str) -> dict[str, Column]:
+    return {f"words_{s}": tokens(F.col(f"{prefix}{s}")) for s in SECTIONS}
 
 
 def _verified(candidates: Column, norm: Column, section: str) -> Column:
@@ -237,6 +252,7 @@ def _verified(candidates: Column, norm: Column, section: str) -> Column:
     return F.filter(candidates, holds)
 
 
+@built_once
 def sorted_hits() -> Column:
     """Hits of all sections from `norm_*` and `cand_*`; blank sections have none."""
     none = F.array().cast(f"array<{HIT}>")

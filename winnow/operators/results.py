@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.once import built_once
 from winnow.operators.highlight import pack_exclusions, pack_hits
 from winnow.params import T0, VERSION, Params
 
@@ -38,8 +39,22 @@ def wide(
 ) -> DataFrame:
     """One row per article with seven columns per block, in the published column order."""
     check_id_output(id_output, blocks)
-    columns: list[Column] = [F.coalesce(F.col("id").cast("string"), F.lit(NO_ID)).alias(id_output)]
-    columns += [F.col(c) for c in HIGHLIGHTED if c in decided.columns]
+    marked = [c for c in HIGHLIGHTED if c in decided.columns]
+    columns = [F.coalesce(F.col("id").cast("string"), F.lit(NO_ID)).alias(id_output), *marked]
+    columns += _wide_columns(blocks)
+    columns += ["Final_Decision", "Decision_Reason", F.lit(VERSION).alias("triage_version")]
+    if timestamp:
+        columns.append(
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("run_timestamp")
+        )
+    if has_t0:
+        columns += _t0_columns()
+    return decided.select(*columns)
+
+
+@built_once
+def _wide_columns(blocks: tuple[str, ...]) -> list[Column]:
+    columns = []
     for i, b in enumerate(blocks):
         e = F.get("evals", F.lit(i))
         columns += [
@@ -51,21 +66,19 @@ def wide(
             pack_exclusions(e["anti"]).alias(f"AntiHighlights_{b}"),
             pack_exclusions(e["flag"]).alias(f"Flags_{b}"),
         ]
-    columns += [F.col("Final_Decision"), F.col("Decision_Reason"), F.lit(VERSION).alias("triage_version")]
-    if timestamp:
-        columns.append(
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("run_timestamp")
-        )
-    if has_t0:
-        t0 = F.col("t0")
-        columns += [
-            t0["status"].alias("Status_T0"),
-            t0["reason"].alias("Reason_T0"),
-            t0["scope"].alias("Scope_T0"),
-            pack_exclusions(t0["anti"]).alias("AntiHighlights_T0"),
-            pack_exclusions(t0["flag"]).alias("Flags_T0"),
-        ]
-    return decided.select(*columns)
+    return columns
+
+
+@built_once
+def _t0_columns() -> list[Column]:
+    t0 = F.col("t0")
+    return [
+        t0["status"].alias("Status_T0"),
+        t0["reason"].alias("Reason_T0"),
+        t0["scope"].alias("Scope_T0"),
+        pack_exclusions(t0["anti"]).alias("AntiHighlights_T0"),
+        pack_exclusions(t0["flag"]).alias("Flags_T0"),
+    ]
 
 
 def block_rows(decided: DataFrame, *keep: str, t0: bool = False) -> DataFrame:

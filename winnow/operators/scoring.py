@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.once import with_once
+from winnow.functions.once import built_once, with_once
 from winnow.operators.matching import HIT
 from winnow.params import SECTIONS, Params
 
@@ -123,6 +123,7 @@ def _status(e: Column, params: Params) -> Column:
     return result.otherwise(outcome("REJECTED", "Score ", score, " below thresholds", tag))
 
 
+@built_once
 def block_evals(blocks: tuple[str, ...], params: Params) -> Column:
     """Array with the evaluation of every block, each one by itself."""
     if not blocks:
@@ -207,6 +208,7 @@ def block_evals(blocks: tuple[str, ...], params: Params) -> Column:
     )
 
 
+@built_once
 def t0_eval() -> Column:
     """Outcome of the global pre-screen."""
     def hits_of(kind: int) -> Column:
@@ -251,9 +253,10 @@ def _skipped(e: Column, reason: str) -> Column:
     )
 
 
-def fail_fast(evals: Column, t0_status: Column | None, params: Params) -> Column:
-    """Replace blocks that are not reached: after a rejected block, or after T0 rejects."""
-    result = evals
+@built_once
+def fail_fast(has_t0: bool, params: Params) -> Column:
+    """`evals` without blocks that are not reached: after a rejected block, or after T0 rejects."""
+    evals = result = F.col("evals")
     if params.fail_fast:
         first = F.array_position(evals["status"], "REJECTED")  # from 1; 0 if there is none
         result = F.transform(
@@ -262,10 +265,10 @@ def fail_fast(evals: Column, t0_status: Column | None, params: Params) -> Column
                 (first > 0) & (i >= first), _skipped(e, "Previous block rejected")
             ).otherwise(e),
         )
-    if t0_status is None:
+    if not has_t0:
         return result
     return F.when(
-        t0_status == "REJECTED", F.transform(evals, lambda e: _skipped(e, "Global T0 exclusion"))
+        F.col("t0.status") == "REJECTED", F.transform(evals, lambda e: _skipped(e, "Global T0 exclusion"))
     ).otherwise(result)
 
 
@@ -275,5 +278,4 @@ def evaluate(matched: DataFrame, blocks: tuple[str, ...], has_t0: bool, params:
     if has_t0:
         values["t0"] = t0_eval()
     df = with_once(matched, values)
-    t0_status = F.col("t0.status") if has_t0 else None
-    return with_once(df, {"evals": fail_fast(F.col("evals"), t0_status, params)})
+    return with_once(df, {"evals": fail_fast(has_t0, params)})

@@ -116,7 +116,7 @@ BROAD = [
     ("FUNC", "pos", 26, "*e*", 5, "exact", W + "*e" + W + "*", "any", 26),
     ("FORM", "pos", 27, "qzqzqz", 5, "exact", word("qzqzqz"), "any", 27),
 ]
-UNIFORM = [*FIXTURE, ("VOID", "pos", 26, "qzqzqz", 1, "exact", word("qzqzqz"), "any", 26)]
+UNIFORM = [t for t in FIXTURE if t[0] != "T0"] + [("VOID", "pos", 26, "qzqzqz", 1, "exact", word("qzqzqz"), "any", 24)]
 
 
 def text(value: str) -> str:
@@ -409,16 +409,19 @@ RUNS = """, named AS (SELECT id AS doc, lang || '-' || source AS run_id FROM doc
 def two_runs(absent_a: str = "", absent_b: str = "", by_source: bool = True) -> str:
     """Runs `ra` (special) and `rb` (strict) in one statement."""
     special = decided("special")
-    strict_tail = decided("strict")[len(masked()):]
-    strict_tail = strict_tail.replace(" agg AS", " agg2 AS").replace("ruled AS", "ruled2 AS").replace("dec AS", "dec2 AS")
-    strict_tail = strict_tail.replace("FROM agg JOIN t0 USING (id)) agg", "FROM agg2 JOIN t0 USING (id)) agg").replace(
-        "FROM ruled)", "FROM ruled2)"
-    )
+    strict = decided("strict").removeprefix(masked())
+    for name in ("agg", "ruled", "dec"):
+        strict = strict.replace(f", {name} AS (", f", {name}_strict AS (").replace(
+            f"), {name} AS MATERIALIZED", f"), {name}_strict AS MATERIALIZED"
+        )
+    strict = strict.replace("FROM agg JOIN t0 USING (id)) agg", "FROM agg_strict agg JOIN t0 USING (id)) agg")
+    strict = strict.replace("), ruled AS", "), ruled_strict AS").replace("\n), ruled", "\n), ruled")
+    strict = strict.replace("FROM ruled)", "FROM ruled_strict)")
     key = "run_id" if by_source else "doc"
     return (
-        special + strict_tail + RUNS
+        special + strict + RUNS
         + f""", ra AS (SELECT {key} AS k, Final_Decision AS d FROM dec JOIN named ON named.doc = dec.id WHERE {key} <> '{absent_a}'),
-rb AS (SELECT {key} AS k, Final_Decision AS d FROM dec2 JOIN named ON named.doc = dec2.id WHERE {key} <> '{absent_b}'),
+rb AS (SELECT {key} AS k, Final_Decision AS d FROM dec_strict JOIN named ON named.doc = dec_strict.id WHERE {key} <> '{absent_b}'),
 pairs AS (SELECT coalesce(ra.k, rb.k) AS article_id, coalesce(ra.d, 'MISSING') AS old,
   coalesce(rb.d, 'MISSING') AS new FROM ra FULL OUTER JOIN rb ON ra.k = rb.k)"""
     )
@@ -612,10 +615,7 @@ UNION ALL SELECT 'manual_tags', CAST(coalesce(sum(manual_tags_hits), 0) AS BIGIN
         ),
         "block_discrimination": q(
             evals(UNIFORM, ("FUNC", "FORM", "VOID")),
-            # Articles that the pre-screen rejects have no evaluated block.
-            """SELECT ev.block, min(CASE WHEN t0.status = 'REJECTED' THEN 'NOT_EVALUATED' ELSE ev.status END) AS status
-FROM ev JOIN t0 ON t0.id = ev.id GROUP BY ev.block
-HAVING count(DISTINCT CASE WHEN t0.status = 'REJECTED' THEN 'NOT_EVALUATED' ELSE ev.status END) = 1""",
+            "SELECT block, min(status) AS status FROM ev GROUP BY block HAVING count(DISTINCT status) = 1",
         ),
         "suggestions": q(
             coverage() + ", " + dead("d"),

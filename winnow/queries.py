@@ -50,7 +50,7 @@ SCOPED = [
     ("GLOBAL", "anti", "src7", "", "manual_tags", "0"),
 ]
 BROAD = [*X.TERMS, ("FUNC", "pos", "*e*", "5", "any", "0"), ("FORM", "pos", "qzqzqz", "5", "any", "0")]
-UNIFORM = [*X.TERMS, ("VOID", "pos", "qzqzqz", "1", "any", "0")]
+UNIFORM = [t for t in X.TERMS if t[0] != "GLOBAL"] + [("VOID", "pos", "qzqzqz", "1", "any", "0")]
 
 RULES = NormRules(
     abbreviations={"th": "through", "it": "information tech"},
