@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import patterns as P
+from winnow.functions.once import built_once
 from winnow.functions.text import WS, NormRules, label_key, normalize
 from winnow.params import GLOBAL_BLOCK, KINDS, SCOPES, T0, Params
 
@@ -290,10 +291,9 @@ def broad_literals(terms: DataFrame) -> DataFrame:
 
 
 def block_counts(terms: DataFrame) -> DataFrame:
-    """Terms per block and kind, with the first row of the block."""
+    """Terms per block and kind."""
     return terms.groupBy("block").agg(
-        F.min("term_ord").alias("first_ord"),
-        *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS),
+        *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS)
     )
 
 
@@ -407,28 +407,43 @@ def route(terms: DataFrame, block_order: tuple[str, ...] | None = None) -> TermS
     Block names are matched without regard to case and outer whitespace. Blocks become
     output columns, so their number is bounded.
     """
-    rows = block_counts(terms).limit(MAX_BLOCKS + 1).collect()
+    inline = F.col("term_ord") < _TABLE_ORD
+    rows = (
+        terms.groupBy("block", inline.alias("inline"))
+        .agg(F.min("term_ord").alias("first_ord"))
+        .limit(MAX_BLOCKS + 1)
+        .collect()
+    )
     if len(rows) > MAX_BLOCKS:
         raise ValueError(f"More than {MAX_BLOCKS} blocks")
+    domain = [r for r in rows if r["block"] not in (GLOBAL_BLOCK, T0)]
+    written = {r["block"] for r in domain if r["inline"]}
     by_name: dict[str, str] = {}
-    for row in sorted(rows, key=lambda r: r["first_ord"]):
-        if row["block"] not in (GLOBAL_BLOCK, T0):
+    for row in sorted(domain, key=lambda r: r["first_ord"]):
+        if not row["inline"]:
             by_name[row["block"].strip().upper()] = row["block"]
-    wanted = block_order or tuple(sorted(by_name.values()))
-    found = [b for b in wanted if b != GLOBAL_BLOCK and b.strip().upper() in by_name]
-    target = {by_name[b.strip().upper()]: (b, i) for i, b in enumerate(found)}
-    target |= {GLOBAL_BLOCK: (T0, -1), T0: (T0, -1)}
+    wanted = block_order or tuple(sorted(written | set(by_name.values())))
+    found = [b for b in wanted if b != GLOBAL_BLOCK and (b in written or b.strip().upper() in by_name)]
+    # Inline blocks go by their exact name, those of a table by any spelling of it.
+    target = {f"true {b}": (b, i) for i, b in enumerate(found) if b in written}
+    target |= {
+        f"false {by_name[b.strip().upper()]}": (b, i)
+        for i, b in enumerate(found)
+        if b.strip().upper() in by_name
+    }
+    target |= {f"false {GLOBAL_BLOCK}": (T0, -1)}
     lookup = F.from_json(
         F.lit(json.dumps({k: {"name": n, "ord": i} for k, (n, i) in target.items()})),
         "map<string,struct<name:string,ord:int>>",
     )
+    key = F.concat(inline.cast("string"), F.lit(" "), F.col("block"))
     routed = (
-        terms.withColumn("target", F.try_element_at(lookup, F.col("block")))
+        terms.withColumn("target", F.try_element_at(lookup, key))
         .filter(F.col("target").isNotNull())
         .withColumns({"block": F.col("target.name"), "block_ord": F.col("target.ord")})
         .drop("target")
     )
-    return TermSet(routed, tuple(found), any(r["block"] in (GLOBAL_BLOCK, T0) for r in rows))
+    return TermSet(routed, tuple(found), any(r["block"] == GLOBAL_BLOCK for r in rows))
 
 
 def regex_terms(terms: DataFrame) -> list[str]:
@@ -473,37 +488,55 @@ def compile_terms(term_set: TermSet, rules: NormRules | None, params: Params) ->
     `ord` sorts a block's terms: exact ones in table order, then the proximity ones.
     """
     terms = term_set.terms
-    c = F.col
     vetted = vet_regexes(terms.sparkSession, regex_terms(terms))
     regex_map = F.from_json(F.lit(json.dumps(vetted)), "map<string,string>")
-    java = F.when(c("is_regex"), F.try_element_at(regex_map, c("term")))
+    regex = F.when(F.col("is_regex"), F.try_element_at(regex_map, F.col("term")))
+    normal = F.when(~F.col("is_regex"), normalize(F.col("term"), rules))
+    unchanged = F.col("is_regex") | (F.col("normal") == "")
     base = (
-        terms.withColumn("java_regex", java)
-        .filter(~c("is_regex") | c("java_regex").isNotNull())
-        .withColumn("normal", F.when(~c("is_regex"), normalize(c("term"), rules)))
-        .withColumn(
-            "match_term",
-            F.when(c("is_regex") | (c("normal") == ""), c("term")).otherwise(c("normal")),
-        )
+        terms.withColumn("java_regex", regex)
+        .filter(~F.col("is_regex") | F.col("java_regex").isNotNull())
+        .withColumn("normal", normal)
+        .withColumn("match_term", F.when(unchanged, F.col("term")).otherwise(F.col("normal")))
         .withColumn("probe", F.lower("match_term"))
     )
-    common = ("block_ord", "block", "kind", "level", "term", "match_term", "scope", "is_regex", "source_row")
+    exact = base.select(*_COMMON, *_exact_columns())
+    if not params.proximity:
+        return exact
+    pairs = F.posexplode(P.compound_pairs(F.col("match_term"))).alias("pair_pos", "pair")
+    near = (
+        base.filter(F.col("kind") == "pos")
+        .select("*", pairs)
+        .select(*_COMMON, *_near_columns(params.max_gap, params.token_unit))
+    )
+    return exact.unionByName(near)
 
-    def mark(key: Column, pattern: Column) -> Column:
-        return F.struct(key.alias("lookup_key"), pattern.alias("pattern"))
 
-    def literal_mark(text: Column) -> Column:
-        low = F.lower(text)
-        pattern = F.when(
-            ~P.key_is_proof(low), F.concat(F.lit("(?iu)"), P.literal_pattern(text))
-        )
-        return mark(P.lookup_key(low), pattern)
+_COMMON = (
+    "block_ord", "block", "kind", "level", "term", "match_term", "scope", "is_regex", "source_row",
+)
+
+
+def _mark(key: Column, pattern: Column) -> Column:
+    return F.struct(key.alias("lookup_key"), pattern.alias("pattern"))
+
+
+def _literal_mark(text: Column) -> Column:
+    """What to mark for a literal term; without pattern, the words its key stands for."""
+    low = F.lower(text)
+    # A lone `*` also matches between words, where there is nothing to mark.
+    written = F.when(low.rlike(r"^\*+$"), F.lit(P.WORD_RUN)).otherwise(P.literal_pattern(text))
+    return _mark(
+        P.lookup_key(low), F.when(~P.key_is_proof(low), F.concat(F.lit("(?iu)"), written))
+    )
+
 
-    written = literal_mark(c("term"))
-    no_key = F.lit(None).cast("string")
+@built_once
+def _exact_columns() -> list[Column]:
+    c = F.col
     no_parts = F.array().cast("array<string>")
-    exact = base.select(
-        *common,
+    literal = _literal_mark(c("term"))
+    return [
         F.shiftleft(c("term_ord"), 16).alias("ord"),
         F.lit("exact").alias("match_type"),
         no_parts.alias("components"),
@@ -512,30 +545,26 @@ def compile_terms(term_set: TermSet, rules: NormRules | None, params: Params) ->
         F.when(c("is_regex"), c("java_regex"))
         .when(~P.key_is_proof(c("probe")), P.literal_pattern(c("probe")))
         .alias("pattern"),
-        F.when(c("is_regex"), F.array(mark(no_key, c("java_regex"))))
-        .when(c("match_term") == c("term"), F.array(written))
-        .otherwise(F.array(written, literal_mark(c("match_term"))))
+        F.when(c("is_regex"), F.array(_mark(F.lit(None).cast("string"), c("java_regex"))))
+        .when(c("match_term") == c("term"), F.array(literal))
+        .otherwise(F.array(literal, _literal_mark(c("match_term"))))
         .alias("highlight"),
-    )
-    if not params.proximity:
-        return exact
+    ]
+
+
+@built_once
+def _near_columns(max_gap: int, token_unit: str) -> list[Column]:
     pair = F.col("pair")
     a, b = F.lower(F.get(pair, F.lit(0))), F.lower(F.get(pair, F.lit(1)))
-    near = (
-        base.filter(c("kind") == "pos")
-        .select("*", F.posexplode(P.compound_pairs(c("match_term"))).alias("pair_pos", "pair"))
-        .select(
-            *common,
-            (F.shiftleft(c("term_ord"), 16) + c("pair_pos") + F.lit(1 << 56)).alias("ord"),
-            F.lit("proximity").alias("match_type"),
-            pair.alias("components"),
-            P.proximity_key(a, b).alias("lookup_key"),
-            F.array(a, b).alias("guards"),
-            P.proximity_pattern(a, b, params.max_gap, params.token_unit).alias("pattern"),
-            F.array(written).alias("highlight"),
-        )
-    )
-    return exact.unionByName(near)
+    return [
+        (F.shiftleft(F.col("term_ord"), 16) + F.col("pair_pos") + F.lit(1 << 56)).alias("ord"),
+        F.lit("proximity").alias("match_type"),
+        pair.alias("components"),
+        P.proximity_key(a, b).alias("lookup_key"),
+        F.array(a, b).alias("guards"),
+        P.proximity_pattern(a, b, max_gap, token_unit).alias("pattern"),
+        F.array(_literal_mark(F.col("term"))).alias("highlight"),
+    ]
 
 
 def browse(term_set: TermSet, block: str | None = None, kind: str | None = None) -> DataFrame:

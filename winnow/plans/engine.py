@@ -43,14 +43,15 @@ class TriageEngine:
     ) -> TriageEngine:
         """Engine from a raw term table, plus terms written inline in a configuration."""
         params = params or Params()
-        terms = T.clean(raw_terms, params)
+        terms = _kept_local(T.clean(raw_terms, params))
         found = T.conflicts(terms).limit(20).collect()
         if found:
             listed = "; ".join(f"{r['block']}: '{r['term']}' is pos and {r['other_kind']}" for r in found)
             raise ValueError(f"Contradicting terms: {listed}")
         if inline is not None:
             terms = inline.unionByName(terms)
-        rules = rules_from_table(T.norm_rules(raw_terms))
+        has_rules = any(c.strip().lower() == "normalization_type" for c in raw_terms.columns)
+        rules = rules_from_table(T.norm_rules(raw_terms)) if has_rules else None
         return cls(params, T.route(terms, params.block_order), rules, row_key)
 
     @property
@@ -128,6 +129,12 @@ class TriageEngine:
         return M.hit_rows(self.match(articles), self.blocks, *keep)
 
 
+def _kept_local(terms: DataFrame) -> DataFrame:
+    """A small term table as a local relation, so that it is read and cleaned only once."""
+    rows = terms.limit(M.MAX_NARROW_TERMS + 1).toArrow()
+    return terms if rows.num_rows > M.MAX_NARROW_TERMS else terms.sparkSession.createDataFrame(rows)
+
+
 def require_articles(articles: DataFrame) -> None:
     """Refuse an empty corpus before anything is written."""
     if articles.isEmpty():

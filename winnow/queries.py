@@ -219,7 +219,7 @@ def terms_broad(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def terms_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return T.block_counts(T.clean(document_terms(spark, sf), TERM_PARAMS)).drop("first_ord")
+    return T.block_counts(T.clean(document_terms(spark, sf), TERM_PARAMS))
 
 
 def terms_block_lint(spark: SparkSession, sf: str) -> DataFrame:
