@@ -117,25 +117,33 @@ class KeyIndex:
             entry_type=entry_type,
         )
 
-    def _known_keys(self, words: Column) -> Column:
-        """The dictionary's keys among those of the words."""
-
-        def known(of_length: int, mark: str, part) -> Column:
-            head = f"{of_length}{mark}"
-            wanted = [k[len(head) :] for k in self.keys if k.startswith(head)]
-            found = F.filter(words, lambda w: part(w, F.lit(of_length)).isin(*wanted))
-            return F.array_distinct(
-                F.transform(found, lambda w: F.concat(F.lit(head), part(w, F.lit(of_length))))
+    def _known_keys(self, words: str) -> Column:
+        """The dictionary's keys among those of a column of words.
+
+        The tests are written as SQL: one text for a list of thousands of keys, which Spark
+        turns into a hash set.
+        """
+
+        def listed(keys: list[str]) -> str:
+            return ",".join(f"'{k}'" for k in keys)  # keys are made of word characters only
+
+        def known(length: int, mark: str, function: str) -> Column:
+            head = f"{length}{mark}"
+            wanted = [k.removeprefix(head) for k in self.keys if k.startswith(head)]
+            return F.expr(
+                f"array_distinct(transform("
+                f"filter({words}, w -> {function}(w, {length}) IN ({listed(wanted)})), "
+                f"w -> concat('{head}', {function}(w, {length}))))"
             )
 
         plain = [k for k in self.keys if "<" not in k and ">" not in k]
-        parts = [F.filter(words, lambda w: w.isin(*plain))] if plain else []
-        parts += [known(n, "<", F.left) for n in self.begin_lengths]
-        parts += [known(n, ">", F.right) for n in self.end_lengths]
+        parts = [F.expr(f"filter({words}, w -> w IN ({listed(plain)}))")] if plain else []
+        parts += [known(n, "<", "left") for n in self.begin_lengths]
+        parts += [known(n, ">", "right") for n in self.end_lengths]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    def lookup(self, words: Column) -> Column:
-        """Entries whose key occurs among the words, and all entries without key."""
+    def lookup(self, words: str) -> Column:
+        """Entries whose key occurs in a column of words, and all entries without key."""
         unkeyed = F.from_json(F.lit(self.unkeyed_json), f"array<{self.entry_type}>")
         if not self.keys:
             return unkeyed
@@ -161,7 +169,7 @@ def with_candidates(df: DataFrame, index: KeyIndex) -> DataFrame:
 
 @built_once
 def _lookups(index: KeyIndex) -> dict[str, Column]:
-    return {f"cand_{s}": index.lookup(F.col(f"words_{s}")) for s in SECTIONS}
+    return {f"cand_{s}": index.lookup(f"words_{s}") for s in SECTIONS}
 
 
 def with_joined_candidates(

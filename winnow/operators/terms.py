@@ -456,18 +456,24 @@ def regex_terms(terms: DataFrame) -> list[str]:
 def vet_regexes(spark: SparkSession, regexes: list[str]) -> dict[str, str | None]:
     """JVM form of every usable regex, None for the others.
 
-    A bad pattern would end the whole job, so each one is tried on a constant first.
+    A bad pattern would end the whole job, so all of them are tried on a constant first;
+    if that fails, by halves, until the bad ones are found.
     """
-    vetted: dict[str, str | None] = {}
-    for regex in regexes:
-        pattern = P.java_regex(regex) if P.python_regex_ok(regex) else None
-        if pattern is not None:
-            try:
-                spark.sql("SELECT 1").select(F.rlike(F.lit("x"), F.lit(pattern))).collect()
-            except Exception:  # noqa: BLE001 - the JVM reports a bad pattern in several ways
-                pattern = None
-        vetted[regex] = pattern
-    return vetted
+
+    def usable(patterns: list[str]) -> set[str]:
+        if not patterns:
+            return set()
+        try:
+            tests = [F.rlike(F.lit("x"), F.lit(p)).alias(f"t{i}") for i, p in enumerate(patterns)]
+            spark.sql("SELECT 1").select(F.array(*tests)).collect()
+            return set(patterns)
+        except Exception:  # noqa: BLE001 - the JVM reports a bad pattern in several ways
+            half = len(patterns) // 2
+            return usable(patterns[:half]) | usable(patterns[half:]) if half else set()
+
+    java = {r: P.java_regex(r) for r in regexes if P.python_regex_ok(r)}
+    good = usable(list(java.values()))
+    return {r: java[r] if java.get(r) in good else None for r in regexes}
 
 
 def regex_findings(terms: DataFrame) -> DataFrame:
