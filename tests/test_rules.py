@@ -429,11 +429,14 @@ def test_broad_terms_need_a_corpus(spark):
     e = TriageEngine.build(X.raw_terms(spark, TWO))
     few = articles(spark, *[(str(i), "oil wind", "", "") for i in range(9)])
     many = articles(spark, *[(str(i), "oil wind", "oil", "") for i in range(10)])
-    assert A.broad_terms(A.term_coverage(e.decide(few)), few).isEmpty()
-    found = A.broad_terms(A.term_coverage(e.decide(many)), many).orderBy("term").collect()
+    report = lambda df: A.coverage_report(e.decide(df), e.term_set, df)
+    assert A.broad_terms(report(few)).isEmpty()
+    assert {r["term"] for r in A.dead_terms(report(few)).collect()} == {"gas", "tar", "sun", "nolevel"}
+    found = A.broad_terms(report(many)).orderBy("term").collect()
     assert [(r["term"], r["articles"], r["hits"], r["pct"]) for r in found] == [
         ("oil", 10, 20, 100.0), ("wind", 10, 10, 100.0),
     ]
+    assert A.block_discrimination(report(many)).count() == 2
 
 
 # -- manifests ----------------------------------------------------------------------------

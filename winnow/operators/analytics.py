@@ -6,8 +6,6 @@ group totals are shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,16 +172,30 @@ def term_coverage(decided: DataFrame, ignore_fail_fast: bool = False) -> DataFra
     Blocks that were not evaluated count no hits, unless `ignore_fail_fast`. An article
     first sums up its own hits per term, so articles are counted without a distinct.
     """
-    per_article = decided.select(F.inline(_article_coverage(ignore_fail_fast)))
-    return per_article.groupBy("term").agg(
-        *(F.sum(f"{s}_hits").alias(f"{s}_hits") for s in SECTIONS),
-        F.sum("hits").alias("hits"),
-        F.count("*").alias("articles"),
+    per_article = decided.select(F.inline(_article_terms(ignore_fail_fast)))
+    return per_article.groupBy(F.col("name").alias("term")).agg(*_sums())
+
+
+def _sums() -> list[Column]:
+    columns = [f"{s}_hits" for s in SECTIONS] + ["hits", "articles"]
+    return [F.sum(c).alias(c) for c in columns]
+
+
+def _row(about: str, name: Column, status: Column, counts: list[Column], articles: int = 1) -> Column:
+    *by_section, total = counts
+    return F.struct(
+        F.lit(about).alias("about"),
+        name.alias("name"),
+        status.cast("string").alias("status"),
+        *(n.alias(f"{s}_hits") for n, s in zip(by_section, SECTIONS)),
+        total.alias("hits"),
+        F.lit(articles).alias("articles"),
     )
 
 
 @built_once
-def _article_coverage(ignore_fail_fast: bool) -> Column:
+def _article_terms(ignore_fail_fast: bool) -> Column:
+    """One row per positive term that the article holds."""
     if ignore_fail_fast:
         hits = F.filter("hits", lambda h: (h["block_ord"] >= 0) & (h["kind_ord"] == 0))
     else:
@@ -192,49 +204,75 @@ def _article_coverage(ignore_fail_fast: bool) -> Column:
     def counted(hits: Column) -> Column:
         def per_term(term: Column) -> Column:
             mine = F.filter(hits, lambda h: h["term"] == term)["sec"]
-            by_section = [
-                F.size(F.filter(mine, lambda s: s == i)).alias(f"{name}_hits")
-                for i, name in enumerate(SECTIONS)
-            ]
-            return F.struct(term.alias("term"), *by_section, F.size(mine).alias("hits"))
+            by_section = [F.size(F.filter(mine, lambda s: s == i)) for i in range(len(SECTIONS))]
+            return _row("term", term, F.lit(None), [*by_section, F.size(mine)])
 
         return F.transform(F.array_distinct(hits["term"]), per_term)
 
     return F.flatten(F.transform(F.array(hits), counted))
 
 
-def configured_terms(term_set: TermSet) -> DataFrame:
+def coverage_report(
+    decided: DataFrame, term_set: TermSet, articles: DataFrame, ignore_fail_fast: bool = False
+) -> DataFrame:
+    """Configured terms with their hits, and blocks with their statuses, from one pass.
+
+    Columns: about ('term' or 'block'), name, hits by section, hits, articles, n_statuses,
+    status, n_articles. Terms without hits come in as rows of zeros, and statuses are
+    counted per block, so that a single aggregate over the articles serves everything
+    below. The number of articles is read off the input, whose columns are not needed.
+    """
+    none = [F.lit(0)] * 4
+    statuses = F.transform("evals", lambda e: _row("block", e["block"], e["status"], none))
+    found = decided.select(F.inline(F.concat(_article_terms(ignore_fail_fast), statuses)))
+    configured = term_set.terms.filter((F.col("block") != T0) & (F.col("kind") == "pos")).select(
+        F.inline(F.array(_row("term", F.col("term"), F.lit(None), none, 0)))
+    )
+    counted = found.unionByName(configured).groupBy("about", "name", "status").agg(*_sums())
     return (
-        term_set.terms.filter((F.col("block") != T0) & (F.col("kind") == "pos"))
-        .select("term")
-        .distinct()
+        counted.groupBy("about", "name")
+        .agg(*_sums(), F.count("*").alias("n_statuses"), F.min("status").alias("status"))
+        .withColumn("n_articles", articles.agg(F.count("*")).scalar())
     )
 
 
-def dead_terms(term_set: TermSet, coverage: DataFrame) -> DataFrame:
+def _is_dead() -> Column:
+    return (F.col("about") == "term") & (F.col("articles") == 0)
+
+
+def _is_broad() -> Column:
+    return (
+        (F.col("about") == "term")
+        & (F.col("n_articles") >= BROAD_MIN_ARTICLES)
+        & (F.col("articles") > F.col("n_articles") * BROAD_SHARE)
+    )
+
+
+def _is_uniform() -> Column:
+    return (F.col("about") == "block") & (F.col("n_statuses") == 1)
+
+
+def _pct() -> Column:
+    return F.col("articles") / F.col("n_articles") * 100
+
+
+def dead_terms(report: DataFrame) -> DataFrame:
     """Positive terms without any hit."""
-    return configured_terms(term_set).join(coverage, "term", "left_anti")
+    return report.filter(_is_dead()).select(F.col("name").alias("term"))
 
 
-def broad_terms(coverage: DataFrame, articles: DataFrame) -> DataFrame:
+def broad_terms(report: DataFrame) -> DataFrame:
     """Terms found in more than 80 % of the articles; none in a very small corpus."""
-    n = articles.agg(F.count("*")).scalar()
-    return (
-        coverage.withColumn("n_articles", n)
-        .filter(
-            (F.col("n_articles") >= BROAD_MIN_ARTICLES)
-            & (F.col("articles") > F.col("n_articles") * BROAD_SHARE)
-        )
-        .select(
-            "term",
-            "articles",
-            "hits",
-            (F.col("articles") / F.col("n_articles") * 100).alias("pct"),
-            "n_articles",
-        )
+    return report.filter(_is_broad()).select(
+        F.col("name").alias("term"), "articles", "hits", _pct().alias("pct")
     )
 
 
+def block_discrimination(report: DataFrame) -> DataFrame:
+    """Blocks that give every article the same status."""
+    return report.filter(_is_uniform()).select(F.col("name").alias("block"), "status")
+
+
 def section_distribution(coverage: DataFrame) -> DataFrame:
     sums = coverage.agg(
         *(F.coalesce(F.sum(f"{s}_hits"), F.lit(0)).alias(s) for s in SECTIONS)
@@ -246,50 +284,38 @@ def section_distribution(coverage: DataFrame) -> DataFrame:
     )
 
 
-def block_discrimination(decided: DataFrame) -> DataFrame:
-    """Blocks that give every article the same status."""
-    return (
-        decided.select(F.inline(F.transform("evals", lambda e: F.struct(e["block"].alias("block"), e["status"].alias("status")))))
-        .groupBy("block")
-        .agg(F.min("status").alias("status"), F.max("status").alias("other"))
-        .filter("status = other")
-        .select("block", "status")
-    )
+def suggestions(report: DataFrame) -> DataFrame:
+    """Advice in words."""
 
+    def advice(condition: Column, about: str, text: str, *values: str | Column) -> Column:
+        return F.when(
+            condition,
+            F.struct(F.lit(about).alias("about"), F.format_string(text, *values).alias("suggestion")),
+        )
 
-def suggestions(dead: DataFrame, broad: DataFrame, uniform: DataFrame) -> DataFrame:
-    """Advice in words."""
-    parts = [
-        dead.select(
-            F.lit("dead").alias("about"),
-            F.format_string("Term '%s' had 0 matches - check spelling or remove", "term").alias("suggestion"),
+    texts = [
+        advice(_is_dead(), "dead", "Term '%s' had 0 matches - check spelling or remove", "name"),
+        advice(
+            _is_broad(), "broad", "Term '%s' matched %d/%d articles (%.0f%%) - may add noise",
+            "name", "articles", "n_articles", F.bround(_pct(), 0),
         ),
-        broad.select(
-            F.lit("broad").alias("about"),
-            F.format_string(
-                "Term '%s' matched %d/%d articles (%.0f%%) - may add noise",
-                "term", "articles", "n_articles", F.bround("pct", 0),
-            ).alias("suggestion"),
-        ),
-        uniform.select(
-            F.lit("block").alias("about"),
-            F.format_string(
-                "Block '%s' has no discrimination - all articles are %s", "block", "status"
-            ).alias("suggestion"),
+        advice(
+            _is_uniform(), "block", "Block '%s' has no discrimination - all articles are %s", "name", "status"
         ),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return report.select(F.inline(F.array_compact(F.array(*texts))))
 
 
-def coverage_export(dead: DataFrame, broad: DataFrame) -> DataFrame:
+def coverage_export(report: DataFrame) -> DataFrame:
     """Dead and broad terms in one table."""
-    return dead.select(
-        "term", F.lit("dead").alias("status"), F.lit(0).cast("bigint").alias("hits"), F.lit(0.0).alias("pct")
-    ).unionByName(
-        broad.select(
-            "term", F.lit("broad").alias("status"), "articles", F.col("hits").alias("section_hits"), "pct"
-        ),
-        allowMissingColumns=True,
+    dead = _is_dead()
+    return report.filter(dead | _is_broad()).select(
+        F.col("name").alias("term"),
+        F.when(dead, "dead").otherwise("broad").alias("status"),
+        F.when(dead, F.lit(0).cast("bigint")).alias("hits"),
+        F.when(dead, F.lit(0.0)).otherwise(_pct()).alias("pct"),
+        F.when(~dead, F.col("articles")).alias("articles"),
+        F.when(~dead, F.col("hits")).alias("section_hits"),
     )
 
 

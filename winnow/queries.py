@@ -308,13 +308,17 @@ def _coverage(spark: SparkSession, sf: str, name: str = "broad", **options) -> D
     return A.term_coverage(_decided(name)(spark, sf), **options)
 
 
+def _report(spark: SparkSession, sf: str, name: str = "broad", **params) -> DataFrame:
+    docs, e = articles(spark, sf), engine(spark, name, **params)
+    return A.coverage_report(e.decide(docs), e.term_set, docs)
+
+
 def dead_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return A.dead_terms(engine(spark, "broad").term_set, _coverage(spark, sf))
+    return A.dead_terms(_report(spark, sf))
 
 
 def broad_terms(spark: SparkSession, sf: str) -> DataFrame:
-    found = A.broad_terms(_coverage(spark, sf), articles(spark, sf))
-    return found.select("term", "articles", "hits", _round("pct"))
+    return A.broad_terms(_report(spark, sf)).select("term", "articles", "hits", _round("pct"))
 
 
 def section_distribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,22 +326,15 @@ def section_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_discrimination(spark: SparkSession, sf: str) -> DataFrame:
-    return A.block_discrimination(_decided("uniform", fail_fast=False, policy="strict")(spark, sf))
+    return A.block_discrimination(_report(spark, sf, "uniform", fail_fast=False))
 
 
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    coverage = _coverage(spark, sf)
-    return A.suggestions(
-        A.dead_terms(engine(spark, "broad").term_set, coverage),
-        A.broad_terms(coverage, articles(spark, sf)),
-        A.block_discrimination(_decided("broad")(spark, sf)),
-    )
+    return A.suggestions(_report(spark, sf))
 
 
 def coverage_export(spark: SparkSession, sf: str) -> DataFrame:
-    coverage = _coverage(spark, sf)
-    dead = A.dead_terms(engine(spark, "broad").term_set, coverage)
-    rows = A.coverage_export(dead, A.broad_terms(coverage, articles(spark, sf)))
+    rows = A.coverage_export(_report(spark, sf))
     return rows.select("term", "status", "hits", _round("pct"), "articles", "section_hits")
 
 
