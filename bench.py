@@ -29,8 +29,8 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = [
-    "triage", "term_hits", "wildcard_hits", "proximity_hits", "block_status", "t0_prescreen",
-    "decision_special", "decision_strict", "decision_k_of_n", "report", "term_coverage",
+    "triage", "term_hits", "wildcard_hits", "proximity_hits", "block_status",
+    "decision_special", "decision_k_of_n", "report", "term_coverage",
     "coverage_export", "run_diff", "results", "highlight", "normalize_text", "terms_dedup",
     "terms_duplicates", "column_profile",
 ]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import patterns as P
 from winnow.functions.once import built_once
-from winnow.functions.text import WS, NormRules, label_key, normalize
+from winnow.functions.text import WS, NormRules, normalize
 from winnow.params import GLOBAL_BLOCK, KINDS, SCOPES, T0, Params
 
 MAX_BLOCKS = 1_000
@@ -589,6 +589,6 @@ def browse(term_set: TermSet, block: str | None = None, kind: str | None = None)
 
 __all__ = [
     "TermSet", "block_counts", "block_findings", "broad_literals", "browse", "clean",
-    "compile_terms", "conflicts", "duplicates", "inline_terms", "label_key", "lint",
+    "compile_terms", "conflicts", "duplicates", "inline_terms", "lint",
     "norm_rules", "regex_findings", "route", "row_findings", "rule_conflicts", "vet_regexes",
 ]

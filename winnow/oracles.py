@@ -466,6 +466,34 @@ def results_sql() -> str:
     )
 
 
+def highlight_sql() -> str:
+    """Marked sections: phrases are first tied into one piece, then pieces are tested whole."""
+    tie = r"\x{E000}"
+    tied = "t"
+    for phrase in (["this", "and", "that"], ["mit", "license"]):
+        pattern = "(?i)" + B + " ".join(f"({w})" for w in phrase) + E
+        groups = [f"\\{i + 2}" for i in range(len(phrase))]
+        target = "\\1" + "\ue000".join(groups) + f"\\{len(phrase) + 2}"
+        for _ in range(2):  # neighbouring phrases share a boundary character
+            tied = f"regexp_replace({tied}, {text(pattern)}, {text(target)}, 'g')"
+    piece = rf"[\p{{L}}\p{{N}}_{tie}]+|[^\p{{L}}\p{{N}}_{tie}]+"
+    words = "|".join(
+        [f"this{tie}and{tie}that", f"mit{tie}license", f"th{W}*", f"ción{W}*"]
+        + "that with from pour dans sich para than thth this ther tion avec elle eine mente étion en ándo heit keit".split()
+    )
+    marked = (
+        f"array_to_string(list_transform(regexp_extract_all({tied}, {text(piece)}), lambda p: "
+        f"CASE WHEN regexp_full_match(lower(p), {text(words)}) "
+        f"THEN '***' || upper(replace(p, chr(57344), ' ')) || '***' ELSE replace(p, chr(57344), ' ') END), '')"
+    )
+    return q(
+        ARTICLES + f", marked AS (SELECT id, section, {marked} AS m FROM raw_sections)",
+        """SELECT id, max(m) FILTER (section = 'title') AS Title_Highlighted,
+  max(m) FILTER (section = 'abstract') AS Abstract_Highlighted,
+  max(m) FILTER (section = 'manual_tags') AS Tags_Highlighted FROM marked GROUP BY id""",
+    )
+
+
 PROFILE = """SELECT f AS field, c AS "column", count(*) AS n_rows, count(*) FILTER (trim(v) = '') AS n_blank,
   false AS missing
 FROM (
@@ -648,6 +676,7 @@ FROM dec JOIN t0 ON t0.id = dec.id JOIN mv a ON a.id = dec.id AND a.block = 'FUN
 JOIN mv b ON b.id = dec.id AND b.block = 'FORM'
 WHERE Final_Decision = 'REJECTED_FINAL' ORDER BY CAST(dec.id AS INTEGER) LIMIT 50 OFFSET 50""",
         ),
+        "highlight": highlight_sql(),
         "manifest_check": MANIFEST_ERRORS,
         "manifest_migration": """SELECT doc_id,
   CASE WHEN doc_id % 4 = 3 THEN 'Unknown source version: 3.0' END AS error,
