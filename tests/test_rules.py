@@ -353,6 +353,15 @@ def test_packing(spark):
     ]
 
 
+def test_coverage_reads_packed_terms(spark):
+    rows = [("A", "pos", 'pipe 5" | x', "1", "any", "0"), ("A", "pos", "a\\\\b", "2", "any", "0")]
+    e = TriageEngine.build(X.raw_terms(spark, rows))
+    df = articles(spark, ("1", 'a pipe 5" | x', "a\\\\b", "x"), ("2", "a\\\\b", "", "x"))
+    stored = A.coverage_of_results(e.run(df)).orderBy("term").collect()
+    assert stored == A.term_coverage(e.decide(df)).orderBy("term").collect()
+    assert {r["term"]: (r["hits"], r["articles"]) for r in stored} == {'pipe 5" | x': (1, 1), "a\\\\b": (2, 2)}
+
+
 def test_result_columns(spark):
     e = TriageEngine.build(X.raw_terms(spark, TWO))
     df = e.run(articles(spark, (None, "oil", None, None)), id_output="Ref")

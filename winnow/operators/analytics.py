@@ -200,6 +200,11 @@ def _article_terms(ignore_fail_fast: bool) -> Column:
         hits = F.filter("hits", lambda h: (h["block_ord"] >= 0) & (h["kind_ord"] == 0))
     else:
         hits = F.flatten(F.transform("evals", lambda e: e["pos"]))
+    return _summed_per_term(hits)
+
+
+def _summed_per_term(hits: Column) -> Column:
+    """Rows per distinct term of an article's hits, which have a `term` and a `sec`."""
 
     def counted(hits: Column) -> Column:
         def per_term(term: Column) -> Column:
@@ -212,6 +217,29 @@ def _article_terms(ignore_fail_fast: bool) -> Column:
     return F.flatten(F.transform(F.array(hits), counted))
 
 
+def coverage_of_results(results: DataFrame) -> DataFrame:
+    """As `term_coverage`, from the packed hits of a result table, stored or fresh."""
+    literal = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    item = rf"term=({literal})\s+sec=(\w+)"
+
+    def unpacked(packed: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce(packed, F.lit("")), F.lit(item), F.lit(0))
+
+        def hit(text: Column) -> Column:
+            quoted = F.concat(F.lit('{"t":'), F.regexp_extract(text, item, 1), F.lit("}"))
+            names = F.array(*map(F.lit, SECTIONS))
+            return F.struct(
+                F.get_json_object(quoted, "$.t").alias("term"),
+                (F.array_position(names, F.regexp_extract(text, item, 2)) - 1).alias("sec"),
+            )
+
+        return F.transform(found, hit)
+
+    columns = [f"Highlights_{b}" for b in status_blocks(results) if f"Highlights_{b}" in results.columns]
+    rows = results.select(F.inline(_summed_per_term(F.concat(*map(unpacked, columns)))))
+    return rows.groupBy(F.col("name").alias("term")).agg(*_sums())
+
+
 def coverage_report(
     decided: DataFrame, term_set: TermSet, articles: DataFrame, ignore_fail_fast: bool = False
 ) -> DataFrame:

@@ -633,6 +633,7 @@ UNION ALL SELECT 'score', block, 'max_score', max_score, NULL FROM p WHERE block
         ),
         "term_coverage": q(coverage(), cov_columns),
         "term_coverage_all_blocks": q(coverage(False), cov_columns),
+        "coverage_of_results": q(coverage(), cov_columns),
         "dead_terms": q(coverage() + ", " + dead("d"), "SELECT term FROM d"),
         "broad_terms": q(coverage(), "SELECT term, articles, hits, round(pct, 2) AS pct FROM broad"),
         "section_distribution": q(

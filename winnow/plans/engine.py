@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from winnow.functions.text import NormRules, rules_from_table
 from winnow.operators import highlight as H

@@ -476,6 +476,7 @@ def queries() -> dict[str, Query]:
         "report": report,
         "term_coverage": _coverage,
         "term_coverage_all_blocks": lambda spark, sf: _coverage(spark, sf, ignore_fail_fast=True),
+        "coverage_of_results": lambda spark, sf: A.coverage_of_results(_results("broad")(spark, sf)),
         "dead_terms": dead_terms,
         "broad_terms": broad_terms,
         "section_distribution": section_distribution,
