@@ -130,6 +130,20 @@ def test_highlight_merges_touching_spans(spark):
     assert e.highlight(df).first()["Title_Highlighted"] == "***C+++X*** y"
 
 
+def test_highlights_in_long_texts(spark):
+    """Spans at, before and over the edges of the chunks a long text is cut into."""
+    rows = [("A", "pos", "oil and gas", "1", "any", "0"), ("A", "pos", "é*", "1", "any", "0")]
+    e = TriageEngine.build(X.raw_terms(spark, rows))
+    texts = ["x" * k + " oil and gas" + " éa 😀 y" * 400 + " oil and gas" for k in range(500, 515)]
+    texts += ["oil and gas", "y" * 511 + " oil and gas", "oil and gas " + "z" * 1012]
+    df = spark.createDataFrame(
+        [(str(i), "", t, "") for i, t in enumerate(texts)],
+        "id string, title string, abstract string, manual_tags string",
+    )
+    for row in e.highlight(df).collect():
+        assert row["Abstract_Highlighted"] == checker.highlighted(row["abstract"], "abstract", rows)
+
+
 def test_zero_length_matches_are_not_marked(spark):
     e = TriageEngine.build(X.raw_terms(spark, [("A", "pos", "z*|oil", "1", "any", "1")]))
     df = spark.createDataFrame([("1", "some oil", "", "")], "id string, title string, abstract string, manual_tags string")

@@ -139,13 +139,27 @@ def _mark(piece: Column) -> Column:
     return F.concat(F.lit(MARK), F.upper(piece), F.lit(MARK))
 
 
+_CHUNK = 512
+
+
 def _rebuilt_from_spans(text: Column, merged: Column) -> Column:
-    """The text with its spans marked, put together from slices of its characters."""
-    both = F.array(F.struct(F.split(text, "").alias("chars"), merged.alias("spans")))
+    """The text with its spans marked.
+
+    Finding a position in a string means counting characters from its start, so a long
+    text is first cut into chunks of equal length, and every slice comes from the chunks
+    it touches.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    both = F.array(F.struct(chunks.alias("chunks"), merged.alias("spans")))
+
+    def chunk_of(at: Column) -> Column:
+        return (at / _CHUNK).cast("int")
 
     def build(b: Column) -> Column:
         def cut(begin: Column, stop: Column) -> Column:
-            return F.array_join(F.slice(b["chars"], begin + 1, stop - begin), "")
+            n = chunk_of(stop - 1) - chunk_of(begin) + 1
+            touched = F.array_join(F.slice(b["chunks"], chunk_of(begin) + 1, n), "")
+            return F.substring(touched, begin % _CHUNK + 1, stop - begin)
 
         def piece(m: Column, i: Column) -> Column:
             before = F.when(i == 0, F.lit(0)).otherwise(F.get(b["spans"], i - 1)["stop"])
@@ -153,7 +167,7 @@ def _rebuilt_from_spans(text: Column, merged: Column) -> Column:
 
         last = F.element_at(b["spans"], -1)["stop"]
         return F.concat(
-            F.array_join(F.transform(b["spans"], piece), ""), cut(last, F.size(b["chars"]))
+            F.array_join(F.transform(b["spans"], piece), ""), cut(last, F.length(text))
         )
 
     return F.get(F.transform(both, build), F.lit(0))
