@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate
+from winnow.llm import decontaminate, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,14 @@ def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"), ids=False)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op7_decontaminate": op7_decontaminate,
+        "op8_pack": op8_pack,
     }
 
 
