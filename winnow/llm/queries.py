@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, packing
+from winnow.llm import decontaminate, exact, packing
+
+OP6 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +22,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.report(spark, f"{sf}/documents.parquet")
+
+
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.drop("spans", "items")
@@ -26,10 +37,13 @@ def op8_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_exact_dedup": op6_exact_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pack": op8_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_exact_dedup": OP6,
+    }
