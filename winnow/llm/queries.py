@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, exact, packing
+from winnow.llm import decontaminate, exact, packing, sharding
 
 OP6 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.report(table(spark, sf, "documents"), 8)
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.report(spark, f"{sf}/documents.parquet")
 
@@ -37,6 +41,7 @@ def op8_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_shards": op3_shards,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pack": op8_pack,
