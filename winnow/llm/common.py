@@ -28,7 +28,7 @@ def settle(df: DataFrame) -> DataFrame:
     """The same rows from a written table: computed once, with no lineage to recompute."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,3 +63,17 @@ def chunks(
                 first, size = i + 1, 0
         if first < len(texts):
             yield batch.slice(first), texts[first:]
+
+
+def settle_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """The same rows from a table that is stored in `parts` buckets of a key: joins on the key
+    need not shuffle it. Only the files are kept, in the scratch folder; the name goes at once."""
+    spark = df.sparkSession
+    name = f"winnow_{uuid.uuid4().hex}"
+    spread = df.repartition(parts, key)
+    writer = spread.write.bucketBy(parts, key).option("path", scratch(spark)).option("compression", "zstd")
+    writer.saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # noqa: B018  resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return stored

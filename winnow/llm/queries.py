@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, exact, packing, sharding
+from winnow.llm import decontaminate, exact, packing, repeats, sharding
 
 OP6 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -39,12 +39,17 @@ def op8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), ids=False)
 
 
+def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.report(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_shards": op3_shards,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pack": op8_pack,
+        "op10_repeats": op10_repeats,
     }
 
 
