@@ -31,43 +31,64 @@ from winnow.llm.common import chunks, col_name, settle
 CAPACITY = 4096
 END_TOKEN = 1
 #: Words that a worker remembers with their ids.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 # White space for str.split but not for the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+# Letters that keep to themselves in composition and, one by one, in lower case; a mark behind them.
+_PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u024f]+)([.,;:!?]?)")
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins text across white space.
 
-    The words of a text repeat, so each is encoded once and remembered. Words of letters only are
-    one token group each; they are encoded many at a time and told apart by the tokens that end
-    a word. All others are encoded one by one.
+    The words of a text repeat, so each is encoded once and remembered. A word of Latin letters is
+    one token group and a mark behind it another, so these are put together from the ids of the
+    lower-case word, got from the tokenizer's model many at a time, and of the mark. All other
+    words go through the whole tokenizer one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # The model's letters for bytes beyond ASCII.
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {
+            c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c)))
+            for c in range(0xC0, 0x250)
+        }
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.marks = {c: self._encode([c])[0].tobytes() for c in ".,;:!?"} | {"": b""}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4") for x in found]
 
     def _learn(self, new: list[str]) -> None:
-        letters = [w for w in new if w.isalpha() and w.lower().isalpha()]
-        rest = [w for w in new if not (w.isalpha() and w.lower().isalpha())]
-        if letters:
-            ids = self._encode([" ".join(letters)])[0]
+        plain: dict[str, list[tuple[str, str]]] = {}
+        rest = []
+        for w in new:
+            m = _PLAIN_WORD.fullmatch(w)
+            if m and m[1].isalpha() and (low := m[1].lower()).isalpha():
+                plain.setdefault(low, []).append((w, m[2]))
+            else:
+                rest.append(w)
+        if plain:
+            joined = " ".join(x if x.isascii() else x.translate(self.letters) for x in plain)
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(letters):
+            if len(stops) == len(plain):
                 raw, stops = ids.tobytes(), (stops * 4).tolist()
-                self.known.update(zip(letters, (raw[a:b] for a, b in zip([0, *stops], stops)), strict=True))
+                for words, a, b in zip(plain.values(), [0, *stops], stops):
+                    for w, mark in words:
+                        self.known[w] = raw[a:b] + self.marks[mark]
             else:
-                rest += letters
+                rest += [w for words in plain.values() for w, _ in words]
         self.known.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
