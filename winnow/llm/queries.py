@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, exact, packing, repeats, sharding
+from winnow.llm import decontaminate, exact, near, packing, repeats, sharding
 
 OP6 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -39,6 +39,10 @@ def op8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), ids=False)
 
 
+def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near.report(table(spark, sf, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.report(table(spark, sf, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pack": op8_pack,
+        "op9_near_dedup": op9_near_dedup,
         "op10_repeats": op10_repeats,
     }
 
