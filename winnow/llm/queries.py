@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, exact, near, packing, repeats, sharding
+from winnow.llm import decontaminate, exact, kneser_ney, near, packing, repeats, sharding
 
 OP6 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -26,6 +26,10 @@ def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.report(table(spark, sf, "documents"), 8)
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return kneser_ney.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.report(spark, f"{sf}/documents.parquet")
 
@@ -50,6 +54,7 @@ def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_shards": op3_shards,
+        "op4_quality": op4_quality,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pack": op8_pack,
