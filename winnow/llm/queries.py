@@ -5,8 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from winnow.llm import decontaminate, exact, kneser_ney, near, packing, repeats, sharding
+from pyspark.sql import functions as F
+
+from winnow.llm import chat, decontaminate, exact, kneser_ney, licenses, near, packing, repeats, sharding
+
+OP1 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker,
+         coalesce(text, '') AS said, coalesce(turn // 256, 4611686018427387904) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), met AS (
+  SELECT t.*, s.perspective,
+         CASE WHEN lower(t.speaker) = 'system' THEN 'system' WHEN t.speaker = s.perspective THEN 'assistant'
+              ELSE 'user name=' || translate(replace(t.speaker, '<|', '<|\'), chr(13) || chr(10), '  ') END AS who
+  FROM turns t
+  JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE lower(speaker) <> 'system') s USING (conv_id)
+), segments AS (
+  SELECT *, '<|im_start|>' || who || chr(10) AS head,
+         '<|im_start|>' || who || chr(10) || replace(said, '<|', '<|\') || '<|im_end|>' || chr(10) AS segment
+  FROM met
+), placed AS (
+  SELECT *, sum(length(segment)) OVER w - length(segment) AS pos, row_number() OVER w AS k
+  FROM segments
+  WINDOW w AS (PARTITION BY conv_id, perspective, p ORDER BY turn NULLS LAST, speaker, said ROWS UNBOUNDED PRECEDING)
+), parts AS (
+  SELECT conv_id, perspective, p, count(*) AS n_turns, string_agg(segment, '' ORDER BY k) AS text,
+         coalesce(string_agg(CASE WHEN who = 'assistant'
+                  THEN (pos + length(head))::BIGINT || '-' || (pos + length(segment) - 1)::BIGINT END, ',' ORDER BY k), '') AS mask
+  FROM placed GROUP BY conv_id, perspective, p
+)
+SELECT conv_id, perspective, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY p) - 1 AS part,
+       n_turns, text, mask
+FROM parts
+"""
 
 OP6 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -22,6 +53,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation from every speaker's side; the mask as text, such as `25-60,91-140`."""
+    rows = chat.perspectives(table(spark, sf, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return rows.withColumn("mask", F.array_join(spans, ","))
+
+
 def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.report(table(spark, sf, "documents"), 8)
 
@@ -30,6 +68,10 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return kneser_ney.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.notices(table(spark, sf, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.report(spark, f"{sf}/documents.parquet")
 
@@ -53,8 +95,10 @@ def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat": op1_chat,
         "op3_shards": op3_shards,
         "op4_quality": op4_quality,
+        "op5_licenses": op5_licenses,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_pack": op8_pack,
@@ -65,5 +109,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": OP1,
         "op6_exact_dedup": OP6,
     }
