@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, decontaminate, exact, kneser_ney, licenses, near, packing, repeats, sharding
+from winnow.llm import chat, decontaminate, exact, html, kneser_ney, licenses, near, packing, repeats, sharding
 
 OP1 = r"""
 WITH turns AS (
@@ -60,6 +60,10 @@ def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("mask", F.array_join(spans, ","))
 
 
+def op2_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html.report(table(spark, sf, "pages"))
+
+
 def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.report(table(spark, sf, "documents"), 8)
 
@@ -96,6 +100,7 @@ def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat": op1_chat,
+        "op2_main_text": op2_main_text,
         "op3_shards": op3_shards,
         "op4_quality": op4_quality,
         "op5_licenses": op5_licenses,
