@@ -12,10 +12,11 @@ Jaccard similarity of the shingle sets is 0.8 or more; classes are what links co
 
 No bucket is ever paired out when it is large. Its most popular text, the one with the most
 bucket mates over all its bands, is compared with all others; near copies of one source meet that
-source. Buckets whose texts are not all in one class yet are opened again with 4, 8, 16, ... texts
-of each compared with the texts of other classes, and no pair twice, until all of them have been
-compared. So no candidate link between classes is lost, and large classes cost one comparison
-per text.
+source. Buckets whose texts are not all in one class yet are opened again: 16, 256, ... texts of
+each meet those of other classes, until all have met. No pair is compared twice, and a pair is only
+made if the shingles that each of the two shares with any other text of an open bucket would be
+enough for the similarity. Both tests are exact, so no candidate link between classes is lost, while
+large classes cost one comparison per text.
 
 Defined results: texts without words (null, empty, signs only) are a class each; repeated rows are
 copies; a class is named by its smallest doc_id, nulls last.
@@ -40,8 +41,8 @@ BANDS, ROWS = 20, 4
 #: Links: 10 * shared shingles >= 8 * shingles of either.
 SIMILARITY = (8, 10)
 #: Pairs whose signatures agree in less than this share are not verified; at a similarity of 0.8
-#: that is five standard deviations down.
-LEAST_AGREEMENT = 0.55
+#: that is seven standard deviations down.
+LEAST_AGREEMENT = 0.45
 BUCKET_BYTES = 64_000_000
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -175,6 +176,38 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(joined(close, "shingles").mapInArrow(_similar(to_arrow_schema(schema)), schema))
 
 
+def _exploded(schema: pa.Schema) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            sets = [np.frombuffer(s.as_py(), dtype=np.int32) for s in get("shingles")]
+            rids = np.repeat(get("rid").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(np.concatenate(sets))], schema=schema)
+
+    return run
+
+
+def _common(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """rid, size (its shingles) and common (those that another member has, too)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T._parse_datatype_string("rid long, shingle int")
+    own = texts.select("rid", "shingles").join(members.select("rid").distinct().hint("shuffle_hash"), "rid", "left_semi")
+    rows = settle(own.mapInArrow(_exploded(to_arrow_schema(schema)), schema))
+    shared = settle(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle", F.lit(1).alias("here")))
+    marked = rows.join(shared, "shingle", "left")
+    return settle(marked.groupBy("rid").agg(F.count("*").alias("size"), F.count("here").alias("common")))
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold texts of several classes, with their class so far."""
+    named = members.join(found, members["rid"] == found["node"], "left")
+    named = settle(named.withColumn("component", F.coalesce("component", members["rid"])).drop("node"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = settle(mixed.filter("x <> y").select("band"))
+    return settle(named.join(mixed, "band", "left_semi"))
+
+
 def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     """node and component of all texts that have links."""
     keys = F.transform(
@@ -184,38 +217,44 @@ def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     buckets = settle(banded.groupBy("band").agg(F.count("*").alias("mates")).filter("mates > 1"))
     members = settle(banded.join(buckets, "band"))
     popular = settle(members.groupBy("rid").agg(F.sum("mates").alias("popularity")))
-    members = settle(members.join(popular, "rid"))
-    first = members.groupBy("band").agg(F.max(F.struct("popularity", "rid")).alias("first"))
+    first = members.join(popular, "rid").groupBy("band").agg(F.max(F.struct("popularity", "rid")).alias("first"))
     first = settle(first.select("band", F.col("first.rid").alias("a")))
     pairs = members.join(first, "band").filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
     tried = settle(pairs)
     links = _links(tried, texts)
     found = settle(components(links))
-    turn = 4
+    rest = _open(members, found).drop("component")
+    if rest.isEmpty():
+        return found
+    members = settle(rest.join(_common(texts, rest), "rid"))
+    # The shingles that two texts share are common ones of both; with no more than that they
+    # cannot be similar.
+    least, of = SIMILARITY
+    both = F.least("common", "common_a")
+    may_be = of * both >= least * (F.col("size") + F.col("size_a") - both)
+    turn = 16
     while True:
-        named = members.join(found, members["rid"] == found["node"], "left").select(
-            "band", "rid", "mates", F.coalesce("component", "rid").alias("component")
-        )
-        named = settle(named)
-        open_ = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        open_ = settle(open_.filter("x <> y").select("band"))
-        named = settle(named.join(open_, "band", "left_semi"))
+        named = _open(members, found)
+        largest = named.agg(F.max("mates")).first()[0] or 0
         share = F.greatest(F.ceil(F.col("mates") / turn), F.lit(1))
         chosen = named.filter(F.pmod(F.xxhash64("rid", F.lit(turn)), share) == 0)
-        chosen = settle(chosen.select("band", F.col("rid").alias("a"), F.col("component").alias("own")))
-        pairs = named.join(chosen, "band").filter("component <> own AND a <> rid")
-        pairs = pairs.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
+        chosen = settle(
+            chosen.select(
+                "band", F.col("rid").alias("a"), F.col("component").alias("own"),
+                F.col("size").alias("size_a"), F.col("common").alias("common_a"),
+            )
+        )
+        met = named.join(chosen, "band").filter((F.col("component") != F.col("own")) & may_be)
+        pairs = met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
         seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = settle(pairs.join(seen, ["a", "b"], "left_anti"))
-        largest = named.agg(F.max("mates")).first()[0] or 0
         if not pairs.isEmpty():
-            new = _links(pairs, texts)
             tried = tried.union(pairs)
-            links = links.union(new)
+            links = links.union(_links(pairs, texts))
             found = settle(components(links))
         if turn >= largest:
             return found
-        turn *= 2
+        turn *= 16
 
 
 def _stored(own: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
