@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from winnow.llm.common import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node is a centre or a leaf of one centre: u is the leaf, v the centre."""
+    leaf = F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"))
+    centre = F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"))
+    ends = edges.select(F.explode(F.array(leaf, centre)).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.leaf").alias("leaf"), F.min("e.leaf").alias("centre"))
+    return nodes.filter("leaf > 1 OR leaf = 1 AND centre = 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,9 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     edges = settle(edges.distinct())
-    before = None
-    while before != (now := _state(edges)):
-        before = now
+    while not _are_stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # Large star: larger neighbours of a node move to its smallest neighbour.
