@@ -26,7 +26,7 @@ def test_separators(spark, tmp_path):
 def test_quoted_line_breaks_and_rows(spark, tmp_path):
     path = tmp_path / "terms.csv"
     path.write_text('block;kind;term\nA;pos;"two\nlines"\nA;pos;"say ""hi"""\nB;;x\n')
-    rows = tables.read_terms(spark, str(path)).collect()
+    rows = sorted(tables.read_terms(spark, str(path)).collect(), key=lambda r: r["source_row"])
     assert [(r["source_row"], r["term"]) for r in rows] == [(0, "two\nlines"), (1, 'say "hi"'), (2, "x")]
     assert rows[2]["kind"] == ""
 
@@ -94,7 +94,7 @@ def test_csv_export(spark, tmp_path):
     df = spark.createDataFrame([("1", 1.5, None, 'a;"b"')], "ID string, s double, n double, t string")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "out"), {})
     text = next((tmp_path / "out").glob("part-*")).read_text()
-    assert text == 'ID;s;n;t\n1;1,50;;"a;""b"""\n'
+    assert text == '\ufeffID;s;n;t\n1;1,50;;"a;""b"""\n'
 
 
 def test_results_round_trip(spark, tmp_path, sf_dir):
@@ -120,11 +120,45 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     assert got.count() == 200 and got.select(batch.columns).exceptAll(batch).isEmpty()
 
 
-def test_spread_only_small_inputs(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert tables.spread(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(20)
-    assert tables.spread(many) is many
+def test_term_files_of_a_folder_are_numbered_in_order(spark, tmp_path):
+    head = "block;kind;term;level\n"
+    (tmp_path / "b.csv").write_text(head + "A;pos;y0;1\nA;pos;y1;1\n")
+    (tmp_path / "a.csv").write_text(head + "".join(f"A;pos;x{i};1\n" for i in range(3000)))
+    rows = {r["term"]: r["source_row"] for r in tables.read_terms(spark, str(tmp_path)).collect()}
+    assert rows == {f"x{i}": i for i in range(3000)} | {"y0": 3000, "y1": 3001}
+    plain = spark.createDataFrame([("A", "pos", f"t{i}") for i in range(50)], "block string, kind string, term string")
+    plain.repartition(4).write.parquet(str(tmp_path / "p.parquet"))
+    numbered = tables.read_terms(spark, str(tmp_path / "p.parquet")).collect()
+    assert sorted(r["source_row"] for r in numbered) == list(range(50))
+
+
+def test_csv_begins_with_the_configured_mark(spark, tmp_path):
+    df = spark.createDataFrame([("1", "é")], "ID string, t string").coalesce(1)
+    for encoding, mark in (("utf-8-sig", b"\xef\xbb\xbf"), ("utf-8", b"")):
+        sinks.write_csv(df, str(tmp_path / encoding), {"encoding": encoding})
+        written = next((tmp_path / encoding).glob("part-*")).read_bytes()
+        assert written == mark + "ID;t\n1;é\n".encode()
+        assert tables.read_results(spark, str(tmp_path / encoding)).columns == ["ID", "t"]
+
+
+def test_malformed_records_have_a_place(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,title,abstract\n1,a,b\n2,c\n3,d,e,f\n4,"g\nh",i\n')
+    rows = tables.read_table(spark, str(tmp_path / "x.csv"), places=True).collect()
+    assert [(r.id, r.title, r.input_position, r.input_error is None) for r in sorted(rows, key=lambda r: r.input_position)] == [
+        ("1", "a", 0, True), ("2", "c", 1, True), ("3", "d", 2, False), ("4", "g\nh", 3, True),
+    ]
+    (tmp_path / "x.json").write_text('{"id": 1, "title": "a"}\n{bad\n{"id": 2, "title": "b"}\n')
+    rows = tables.read_table(spark, str(tmp_path / "x.json"), places=True).collect()
+    assert sorted((r.input_position, r.title, r.input_error is None) for r in rows if r.title) == [(0, "a", True), (2, "b", True)]
+    assert [r.input_position for r in rows if r.input_error] == [1]
+
+
+def test_given_encoding_is_taken(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes("id,title,abstract\n1,ação,x\n".encode("cp1252"))
+    assert tables.read_table(spark, str(tmp_path / "x.csv")).first()["title"] == "ação"
+    assert tables.read_table(spark, str(tmp_path / "x.csv"), encoding="utf-8").first()["title"] != "ação"
+    split = tables.read_table(spark, str(tmp_path / "x.csv"), encoding="cp1252", multi_line=False)
+    assert split.first()["title"] == "ação"
 
 
 def test_sampling_plan_keeps_tops_only(spark, sf_dir):
@@ -132,6 +166,7 @@ def test_sampling_plan_keeps_tops_only(spark, sf_dir):
 
     plan = sample_articles(X.articles(spark, sf_dir), 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+    assert sample_articles(X.articles(spark, sf_dir), 100, partitions=5).rdd.getNumPartitions() == 5
 
 
 def test_decided_partitions(spark, sf_dir):

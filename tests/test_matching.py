@@ -97,18 +97,43 @@ def test_join_plan_broadcasts_nothing_unbounded(engine, articles):
     assert "CartesianProduct" not in matched._jdf.queryExecution().toString()
 
 
-def test_large_dictionary_needs_a_row_key(spark, articles, monkeypatch):
-    monkeypatch.setattr(M, "MAX_NARROW_TERMS", 5)
-    raw = X.raw_terms(spark, TERMS[:6] + TERMS[11:12])
-    big = TriageEngine.build(raw, Params(block_order=("A", "B")))
-    assert big.match_index is None
-    with pytest.raises(ValueError, match="row_key"):
-        big.match(articles)
-    keyed = TriageEngine.build(raw, Params(block_order=("A", "B")), row_key="row_key")
-    small = keyed.run(articles, timestamp=False).collect()
-    monkeypatch.undo()
-    whole = TriageEngine.build(raw, Params(block_order=("A", "B"))).run(articles, timestamp=False).collect()
-    assert sorted(map(str, small)) == sorted(map(str, whole))
+def test_the_caller_chooses_how_to_match(spark, articles):
+    raw = X.raw_terms(spark, TERMS)
+    params = Params(block_order=("A", "B"))
+    for options in ({"matching": "join"}, {"matching": "any", "row_key": "row_key"}):
+        with pytest.raises(ValueError):
+            TriageEngine.build(raw, params, **options)
+    joined = TriageEngine.build(raw, params, matching="join", row_key="row_key")
+    by_join = joined.run(articles, timestamp=False).collect()
+    by_row = TriageEngine.build(raw, params).run(articles, timestamp=False).collect()
+    assert sorted(map(str, by_join)) == sorted(map(str, by_row))
+
+
+def test_join_shuffles_no_normalised_text(spark, articles, engine):
+    matched = M.match_join(articles, M.match_entries(engine.compiled), engine.rules, "row_key")
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("norm_" in line for line in joins)
+
+
+def test_all_contradictions_are_counted(spark):
+    rows = [("A", k, f"t{i}", "1", "any", "0") for i in range(25) for k in ("pos", "anti")]
+    with pytest.raises(ValueError, match="25"):
+        TriageEngine.build(X.raw_terms(spark, rows))
+
+
+def test_phrases_around_one_word_have_keys_of_their_own(spark):
+    rows = [("A", "pos", f"x{i} sharedword", "1", "any", "0") for i in range(50)]
+    e = TriageEngine.build(X.raw_terms(spark, rows))
+    assert len(e.match_index.keys) == 50 and "sharedword" not in e.match_index.keys
+    keyed = M.with_rarest_key(M.match_entries(e.compiled)).collect()
+    assert sorted(r.lookup_key for r in keyed) == sorted(e.match_index.keys)
+
+
+def test_terms_of_some_kinds(engine, articles):
+    found = as_sets(engine.of_kinds("anti", "flag").hits(articles, "row_key"))
+    whole = engine.hits(articles, "row_key").filter("kind <> 'pos'")
+    assert found == as_sets(whole)
 
 
 def test_narrow_plan_has_no_shuffle(engine, articles):
@@ -150,6 +175,37 @@ def test_zero_length_matches_are_not_marked(spark):
     assert e.highlight(df).first()["Title_Highlighted"] == "some oil"
 
 
+@pytest.mark.parametrize(
+    ("regex", "text", "marked"),
+    [
+        ("oil(s*)|z*", "oils and zz oil", "***OILS*** and ***ZZ*** ***OIL***"),
+        ("(?=o)", "oil", "oil"),
+        ("o?", "oo x o", "***OO*** x ***O***"),
+        ("colou{,1}r", "Color colour", "***COLOR*** ***COLOUR***"),
+        ("[[]x", "a [x]", "a ***[X***]"),
+        ("a(?#c)b", "ab", "***AB***"),
+        (r"(?a:caf\w)", "cafe café", "***CAFE*** café"),
+    ],
+)
+def test_regexes_that_match_nothing_or_are_written_differently(spark, regex, text, marked):
+    e = TriageEngine.build(X.raw_terms(spark, [("A", "pos", regex, "1", "any", "1")]))
+    df = spark.createDataFrame([("1", text, "", "")], "id string, title string, abstract string, manual_tags string")
+    assert e.highlight(df).first()["Title_Highlighted"] == marked
+    assert e.hits(df, "id").count() == 1
+
+
+def test_spans_of_many_matches(spark):
+    """More matches than one block of the running sums holds, with overlaps over its borders."""
+    rows = [("A", "pos", r"b (a b )+", "1", "any", "1"), ("A", "pos", "a b", "1", "any", "0"), ("A", "pos", r"\bq\b.*", "1", "any", "1")]
+    e = TriageEngine.build(X.raw_terms(spark, rows))
+    texts = ["a b x " * k for k in (1, 127, 128, 129, 400)] + ["q " + "a b x " * 300, "a b a b a b x " * 200]
+    df = spark.createDataFrame(
+        [(str(i), "", t, "") for i, t in enumerate(texts)], "id string, title string, abstract string, manual_tags string"
+    )
+    for row in e.highlight(df).collect():
+        assert row["Abstract_Highlighted"] == checker.highlighted(row["abstract"], "abstract", rows)
+
+
 def test_proximity_pattern_equals_the_plain_form(spark):
     """The pattern that cannot run away accepts exactly what the plain one does."""
     rnd = random.Random(3)
@@ -201,14 +257,25 @@ def test_compound_pairs(spark):
 
 def test_lookup_keys(spark):
     cases = {
-        "oil": "oil", "C++": "C", "big data*": "big", "optim*": "5<optim", "*tion": "4>tion", "*il*": None,
-        "g*s": "1<g", "ab*cde": "3>cde", "++": None, "de facto*": "de", "x* y*": "1<x",
+        "oil": ["oil"], "C++": ["C"], "big data*": ["big"], "optim*": ["5<optim"], "*tion": ["4>tion"], "*il*": [],
+        "g*s": ["1<g"], "ab*cde": ["3>cde"], "++": [], "de facto*": ["de"], "x* y*": ["1<x"],
+        "oil and gas and oil": ["oil", "and", "gas"],
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    got = {r.t: r.k for r in df.select("t", P.lookup_key(F.col("t")).alias("k")).collect()}
+    got = {r.t: r.k for r in df.select("t", P.lookup_keys(F.col("t")).alias("k")).collect()}
     assert got == cases
 
 
+def test_required_text_is_in_every_match():
+    import re
+
+    cases = {"th(is|at)": "th", "qu[ae]+": "qu", "a|b": "", "x?yz*w": "y", r"[0-9]{4}-[0-9]{2}": "-", "Oil(?=s)": "o"}
+    for regex, text in cases.items():
+        assert P.required_text(regex) in ("", text) or text in P.required_text(regex)
+    for regex, sample in {"Straße": "STRAßE", "kilo": "KILO", r"a\.b": "x A.B"}.items():
+        assert re.search(regex, sample, re.IGNORECASE) and P.required_text(regex) in sample.lower()
+
+
 def test_regex_dialect():
     assert P.java_regex(r"(?P<n>a)(?P=n)\Z") == r"(?iuU)(?<n>a)\k<n>\z"
 

@@ -53,7 +53,7 @@ def test_presets():
     assert Params.preset("simple", ["A"]).block_order == ("A",)
     assert Params.preset("standard").approval == {1: 10.0, 2: 12.0, 3: 18.0, 4: 22.0, 5: None}
     assert Params.custom({1: 3}, {1: 2}, {1: 1}).flagging == {1: 1.0}
-    with pytest.raises(ValueError, match="Unknown preset"):
+    with pytest.raises(ValueError, match="no preset"):
         Params.preset("none")
     with pytest.raises(ValueError):
         Params.custom({}, {}, {})
@@ -67,7 +67,7 @@ def test_load_and_check_config(spark, tmp_path):
     loaded = load_config(spark, str(path))
     issues = check_config(loaded, {"A": 0, "B": None})
     assert [s for s, _ in issues] == ["warning", "error", "error", "warning"]
-    assert check_config({}, {})[0] == ("error", "Missing 'global' section")
+    assert check_config({}, {})[0] == ("error", "The configuration has no 'global' settings")
 
 
 # -- text ---------------------------------------------------------------------------------
@@ -393,7 +393,10 @@ def test_sample(spark):
 def test_page_and_detail(spark):
     rows = [(str(i), "FLAGGED_FINAL" if i % 2 else "REJECTED_FINAL", "x" * 600, 1.0) for i in range(120)]
     df = spark.createDataFrame(rows, "ID string, Final_Decision string, Decision_Reason string, FinalScore_A double")
-    page = R.page(df, [F.col("ID").cast("int")], 2, "FLAGGED_FINAL").collect()
+    key = F.col("ID").cast("int")
+    first = R.page(df, key, None, "FLAGGED_FINAL").collect()
+    assert len(first) == 50 and first[-1]["ID"] == "99" and len(R.page(df, key, size=7).collect()) == 7
+    page = R.page(df, key, 99, "FLAGGED_FINAL").collect()
     assert len(page) == 10 and page[0]["ID"] == "101" and list(page[0].asDict()) == ["ID", "Final_Decision", "FinalScore_A"]
     detail = {r["name"]: r["value"] for r in R.detail(df, "ID", "3").collect()}
     assert detail["ID"] == "3" and len(detail["Decision_Reason"]) == 500 and detail["Decision_Reason"].endswith("...")

@@ -14,7 +14,7 @@ T = TypeVar("T")
 
 
 def built_once(build: Callable[..., T]) -> Callable[..., T]:
-    """Keep the Columns a function builds, per arguments and JVM.
+    """Keep the Columns a function builds, per arguments, while the application runs.
 
     Putting a large expression together takes thousands of calls into the JVM, more than
     it takes to run it on a small table; a Column can be used in any number of plans.
@@ -23,7 +23,10 @@ def built_once(build: Callable[..., T]) -> Callable[..., T]:
 
     @wraps(build)
     def cached(*args) -> T:
-        key = (id(SparkContext._gateway), *args)
+        app = SparkContext._active_spark_context.applicationId
+        if kept and next(iter(kept))[0] != app:
+            kept.clear()  # Columns of a session that has ended
+        key = (app, *args)
         if key not in kept:
             kept[key] = build(*args)
         return kept[key]

@@ -24,8 +24,6 @@ WS = f"[{_WS_CHARS}]"
 # Texts that mean "no tags given".
 NO_TAG_TEXTS = ("", "nan", "none", "null")
 
-MAX_RULES = 2_000
-
 
 @dataclass(frozen=True)
 class NormRules:
@@ -38,6 +36,14 @@ class NormRules:
     def __hash__(self) -> int:
         return hash(repr(self))
 
+    @classmethod
+    def from_dict(cls, rules: dict) -> NormRules | None:
+        """Rules written in a configuration, if they are switched on there."""
+        if not rules.get("enabled", False):
+            return None
+        kinds = ("abbreviations", "compound_variants", "symbol_replacements")
+        return cls(**{k: {a.lower(): b.lower() for a, b in rules.get(k, {}).items()} for k in kinds})
+
     @property
     def enabled(self) -> bool:
         return bool(self.abbreviations or self.compound_variants or self.symbol_replacements)
@@ -48,6 +54,11 @@ class NormRules:
         return sorted(rules.items(), key=lambda kv: (-len(kv[0]), kv[0]))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def collapse_ws(col: Column) -> Column:
     """One space for every whitespace run, none at the ends.
 
@@ -122,12 +133,12 @@ def label_key(label: str) -> str:
 
 
 def rules_from_table(rules: DataFrame) -> NormRules:
-    """Rule columns `type, key, target` (see `operators.terms.norm_rules`) as `NormRules`."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"More than {MAX_RULES} normalisation rules")
+    """Rule columns `type, key, target` (see `operators.terms.norm_rules`) as `NormRules`.
+
+    Each rule becomes a step of the plan, so all of them are read by the driver.
+    """
     by_type: dict[str, dict[str, str]] = {}
-    for row in rows:
+    for row in rules.collect():
         by_type.setdefault(row["type"], {})[row["key"]] = row["target"]
     return NormRules(
         abbreviations=by_type.get("abbreviation", {}),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.once import built_once
+from winnow.functions.text import named
 from winnow.operators.terms import TermSet
 from winnow.params import SECTIONS, T0
 
@@ -36,8 +37,8 @@ def _long(results: DataFrame) -> DataFrame:
         has_score = block != T0 and score in results.columns
         return F.struct(
             F.lit(block).alias("block"),
-            F.col(f"Status_{block}").alias("status"),
-            (F.col(score).cast("double") if has_score else none).alias("score"),
+            named(f"Status_{block}").alias("status"),
+            (named(score).cast("double") if has_score else none).alias("score"),
         )
 
     return results.select(F.inline(F.array(*map(cell, status_blocks(results)))))
@@ -46,7 +47,7 @@ def _long(results: DataFrame) -> DataFrame:
 def totals(results: DataFrame) -> DataFrame:
     """n_total, n_valid (some block has a status), n_error, error_rate."""
     blocks = status_blocks(results)
-    valid = F.coalesce(*(F.col(f"Status_{b}") for b in blocks)).isNotNull() if blocks else F.lit(False)
+    valid = F.coalesce(*(named(f"Status_{b}") for b in blocks)).isNotNull() if blocks else F.lit(False)
     counted = results.agg(F.count("*").alias("n_total"), F.count_if(valid).alias("n_valid"))
     n_error = F.col("n_total") - F.col("n_valid")
     rate = F.when(F.col("n_total") > 0, n_error / F.col("n_total")).otherwise(F.lit(0.0))
@@ -102,7 +103,7 @@ def level_distribution(results: DataFrame) -> DataFrame:
     """Articles per block and best level."""
     blocks = [b for b in status_blocks(results) if f"BestLevel_{b}" in results.columns]
     cells = [
-        F.struct(F.lit(b).alias("block"), F.col(f"BestLevel_{b}").cast("int").alias("best_level"))
+        F.struct(F.lit(b).alias("block"), named(f"BestLevel_{b}").cast("int").alias("best_level"))
         for b in blocks
     ]
     rows = results.select(F.inline(F.array(*cells)))
@@ -124,8 +125,8 @@ def report(results: DataFrame) -> DataFrame:
     cells = [cell("decision", "", F.col("Final_Decision"), none)]
     for b in status_blocks(results):
         has_score = b != T0 and f"FinalScore_{b}" in results.columns
-        score = F.col(f"FinalScore_{b}").cast("double") if has_score else none
-        cells.append(cell("status", b, F.col(f"Status_{b}"), score))
+        score = named(f"FinalScore_{b}").cast("double") if has_score else none
+        cells.append(cell("status", b, named(f"Status_{b}"), score))
     groups = (
         results.select(F.inline(F.array(*cells)))
         .filter("name is not null")
@@ -169,8 +170,8 @@ def report(results: DataFrame) -> DataFrame:
 def term_coverage(decided: DataFrame, ignore_fail_fast: bool = False) -> DataFrame:
     """Hits per positive term: by section, in total, and articles with at least one.
 
-    Blocks that were not evaluated count no hits, unless `ignore_fail_fast`. An article
-    first sums up its own hits per term, so articles are counted without a distinct.
+    Blocks that were not evaluated count no hits, unless `ignore_fail_fast`. One hit per
+    article and term stands for the article, so articles are counted without a distinct.
     """
     per_article = decided.select(F.inline(_article_terms(ignore_fail_fast)))
     return per_article.groupBy(F.col("name").alias("term")).agg(*_sums())
@@ -181,7 +182,9 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in columns]
 
 
-def _row(about: str, name: Column, status: Column, counts: list[Column], articles: int = 1) -> Column:
+def _row(
+    about: str, name: Column, status: Column, counts: list[Column], articles: int | Column = 1
+) -> Column:
     *by_section, total = counts
     return F.struct(
         F.lit(about).alias("about"),
@@ -189,32 +192,37 @@ def _row(about: str, name: Column, status: Column, counts: list[Column], article
         status.cast("string").alias("status"),
         *(n.alias(f"{s}_hits") for n, s in zip(by_section, SECTIONS)),
         total.alias("hits"),
-        F.lit(articles).alias("articles"),
+        (articles if isinstance(articles, Column) else F.lit(articles)).alias("articles"),
     )
 
 
 @built_once
 def _article_terms(ignore_fail_fast: bool) -> Column:
-    """One row per positive term that the article holds."""
+    """One row per hit of a positive term in the article."""
     if ignore_fail_fast:
         hits = F.filter("hits", lambda h: (h["block_ord"] >= 0) & (h["kind_ord"] == 0))
     else:
         hits = F.flatten(F.transform("evals", lambda e: e["pos"]))
-    return _summed_per_term(hits)
+    return _counted_hits(hits)
 
 
-def _summed_per_term(hits: Column) -> Column:
-    """Rows per distinct term of an article's hits, which have a `term` and a `sec`."""
+def _counted_hits(hits: Column) -> Column:
+    """A row per hit, from hits with a `term` and a `sec`; the first one of a term counts the article.
 
-    def counted(hits: Column) -> Column:
-        def per_term(term: Column) -> Column:
-            mine = F.filter(hits, lambda h: h["term"] == term)["sec"]
-            by_section = [F.size(F.filter(mine, lambda s: s == i)) for i in range(len(SECTIONS))]
-            return _row("term", term, F.lit(None), [*by_section, F.size(mine)])
+    Hits of a term are neighbours once they are sorted, so one look back tells the first.
+    """
+
+    def rows(sorted_: Column) -> Column:
+        def row(h: Column, i: Column) -> Column:
+            by_section = [(h["sec"] == k).cast("int") for k in range(len(SECTIONS))]
+            first = ~F.get(sorted_, i - 1)["term"].eqNullSafe(h["term"])
+            return _row("term", h["term"], F.lit(None), [*by_section, F.lit(1)], first.cast("int"))
 
-        return F.transform(F.array_distinct(hits["term"]), per_term)
+        return F.transform(sorted_, row)
 
-    return F.flatten(F.transform(F.array(hits), counted))
+    pairs = F.transform(hits, lambda h: F.struct(h["term"].alias("term"), h["sec"].alias("sec")))
+    # Through a one-element array, so that the sorting is written and done once.
+    return F.flatten(F.transform(F.array(F.array_sort(pairs)), rows))
 
 
 def coverage_of_results(results: DataFrame) -> DataFrame:
@@ -222,7 +230,7 @@ def coverage_of_results(results: DataFrame) -> DataFrame:
     literal = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
     item = rf"term=({literal})\s+sec=(\w+)"
 
-    def unpacked(packed: str) -> Column:
+    def unpacked(packed: Column) -> Column:
         found = F.regexp_extract_all(F.coalesce(packed, F.lit("")), F.lit(item), F.lit(0))
 
         def hit(text: Column) -> Column:
@@ -235,8 +243,8 @@ def coverage_of_results(results: DataFrame) -> DataFrame:
 
         return F.transform(found, hit)
 
-    columns = [f"Highlights_{b}" for b in status_blocks(results) if f"Highlights_{b}" in results.columns]
-    rows = results.select(F.inline(_summed_per_term(F.concat(*map(unpacked, columns)))))
+    columns = [named(f"Highlights_{b}") for b in status_blocks(results) if f"Highlights_{b}" in results.columns]
+    rows = results.select(F.inline(_counted_hits(F.concat(*map(unpacked, columns)))))
     return rows.groupBy(F.col("name").alias("term")).agg(*_sums())
 
 
@@ -363,31 +371,38 @@ def shared_id(a: DataFrame, b: DataFrame) -> str:
 
 
 def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Articles whose decision differs, as (article_id, old, new, n).
+    """Articles whose decision differs, as (article_id, old, new, n)."""
+    key = shared_id(a, b)
+    sides = [
+        df.select(F.lit(side).alias("side"), named(key).cast("string").alias("article_id"), "Final_Decision")
+        for side, df in (("a", a), ("b", b))
+    ]
+    return diff_of_sides(sides[0].unionByName(sides[1]))
+
+
+def diff_of_sides(rows: DataFrame) -> DataFrame:
+    """As `run_diff`, from (side, article_id, Final_Decision) with the sides 'a' and 'b' in one table.
 
     An id may occur many times on both sides, and every occurrence counts with every
-    other. Sides are counted per id and decision first; `n` is the number of pairs, which
-    are never built.
+    other. Rows are counted per id and decision before they are shuffled, and an id has
+    only a few decisions; `n` is the number of pairs, which are never built.
     """
-    key = shared_id(a, b)
-
-    def counted(df: DataFrame, decision: str, n: str) -> DataFrame:
-        named = df.select(
-            F.coalesce(F.col(key).cast("string"), F.lit(MISSING)).alias("article_id"),
-            F.coalesce("Final_Decision", F.lit(MISSING)).alias(decision),
+    counts = rows.groupBy(
+        F.coalesce("article_id", F.lit(MISSING)).alias("article_id"),
+        F.coalesce("Final_Decision", F.lit(MISSING)).alias("decision"),
+    ).agg(F.count_if(F.col("side") == "a").alias("n_old"), F.count_if(F.col("side") == "b").alias("n_new"))
+    kept = counts.groupBy("article_id").agg(F.collect_list(F.struct("decision", "n_old", "n_new")).alias("all"))
+    none = F.array(F.struct(F.lit(MISSING).alias("decision"), F.lit(1).cast("bigint").alias("n")))
+
+    def side(n: str) -> Column:
+        own = F.transform(
+            F.filter("all", lambda x: x[n] > 0), lambda x: F.struct(x["decision"].alias("decision"), x[n].alias("n"))
         )
-        return named.groupBy("article_id", decision).agg(F.count("*").alias(n))
+        return F.when(F.size(own) > 0, own).otherwise(none)
 
-    joined = counted(a, "old", "n_old").join(counted(b, "new", "n_new"), "article_id", "full_outer")
-    return (
-        joined.select(
-            "article_id",
-            F.coalesce("old", F.lit(MISSING)).alias("old"),
-            F.coalesce("new", F.lit(MISSING)).alias("new"),
-            (F.coalesce("n_old", F.lit(1)) * F.coalesce("n_new", F.lit(1))).alias("n"),
-        )
-        .filter("old <> new")
-    )
+    old = kept.select("article_id", side("n_new").alias("new_side"), F.inline(side("n_old")).alias("old", "n_old"))
+    pairs = old.select("article_id", "old", "n_old", F.inline("new_side").alias("new", "n_new"))
+    return pairs.filter("old <> new").select("article_id", "old", "new", (F.col("n_old") * F.col("n_new")).alias("n"))
 
 
 def diff_transitions(diff: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ all of them. Only texts that also match a longer pattern need spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +24,16 @@ _SPANS = "array<struct<begin:int,stop:int>>"
 
 
 def highlight_entries(compiled: DataFrame) -> DataFrame:
-    """(lookup_key, entry) of everything to mark.
+    """(keys, entry) of everything to mark.
 
     An entry without pattern marks the words equal to, beginning or ending with `text`.
     """
-    key = F.col("lookup_key")
+    key = F.when(F.col("pattern").isNull(), F.get("keys", F.lit(0))).otherwise("")
     how = F.regexp_extract(key, r"^\d+([<>])", 1)
     text = F.regexp_replace(key, r"^\d+[<>]", "")
     return (
         compiled.select("scope", F.inline("highlight"))
-        .select(key, F.struct("scope", "pattern", how.alias("how"), text.alias("text")).alias("entry"))
+        .select("keys", F.struct("scope", "pattern", how.alias("how"), text.alias("text")).alias("entry"))
         .distinct()
     )
 
@@ -58,50 +60,87 @@ def _word_pattern(entries: Column) -> Column:
     return F.when(any_of != "", whole)
 
 
+# Two code points that are never characters stand around a match while a text is cut up.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_BLOCK = 128
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value, what `combine` makes of 0 and all values before it; one more at the end.
+
+    An array that grows value by value is copied each time, so values are taken in blocks:
+    only arrays of a block's length grow.
+    """
+
+    def spread(b: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1)), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda k: F.slice(b, k, _BLOCK))
+        totals = F.transform(blocks, lambda v: F.aggregate(v, F.lit(0), combine))
+
+        def prefixes(v: Column, first: Column) -> Column:
+            start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("all"))
+            return F.aggregate(
+                v,
+                start,
+                lambda acc, x: F.struct(
+                    combine(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")
+                ),
+                lambda acc: acc["all"],
+            )
+
+        firsts = F.array(F.struct(prefixes(totals, F.lit(0)).alias("firsts"), totals.alias("totals")))
+        whole = F.aggregate(totals, F.lit(0), combine)
+        inner = F.flatten(
+            F.transform(
+                firsts, lambda f: F.flatten(F.transform(blocks, lambda v, i: prefixes(v, F.get(f["firsts"], i))))
+            )
+        )
+        return F.concat(inner, F.array(whole))
+
+    return F.flatten(F.transform(F.array(values), spread))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def _spans(pieces: Column) -> Column:
     """Begin and end of the pieces, from (gap before, piece)."""
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["piece"])).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(p["gap"])).alias("begin"),
-                        (acc["at"] + F.length(p["gap"]) + F.length(p["piece"])).alias("stop"),
-                    )
+
+    def placed(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["piece"]))
+        both = F.array(F.struct(p.alias("pieces"), _before(lengths, _add).alias("at")))
+
+        def span(b: Column) -> Column:
+            return F.transform(
+                b["pieces"],
+                lambda x, i: F.struct(
+                    (F.get(b["at"], i) + F.length(x["gap"])).alias("begin"),
+                    F.get(b["at"], i + 1).alias("stop"),
                 ),
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+            )
 
+        return F.flatten(F.transform(both, span))
 
-def _pieces(text: Column, pattern: Column) -> Column:
-    """Matches of the pattern, each with the text before it, and a last gap with no piece.
+    return F.flatten(F.transform(F.array(pieces), placed))
 
-    Nothing but that gap if a match has no length.
-    """
-    both = F.array(
-        F.struct(
-            F.split(text, pattern, -1).alias("gaps"),
-            F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
-        )
-    )
 
-    def pairs(b: Column) -> Column:
-        aligned = (F.size(b["gaps"]) == F.size(b["found"]) + 1) & F.forall(
-            b["found"], lambda m: m != ""
-        )
-        whole = F.array(F.struct(text.alias("gap"), F.lit(None).cast("string").alias("piece")))
-        cut = F.transform(
-            b["gaps"], lambda g, i: F.struct(g.alias("gap"), F.get(b["found"], i).alias("piece"))
+def _pieces(text: Column, pattern: Column) -> Column:
+    """Matches of some length, each with the text before it, and a last gap with no piece."""
+    marked = F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$0{_CLOSE}"))
+    parts = F.split(F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit("")), f"[{_OPEN}{_CLOSE}]", -1)
+
+    def pairs(p: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)),
+            lambda i: F.struct(F.get(p, i).alias("gap"), F.get(p, i + 1).alias("piece")),
         )
-        return F.when(aligned, cut).otherwise(whole)
 
-    return F.flatten(F.transform(both, pairs))
+    return F.flatten(F.transform(F.array(parts), pairs))
 
 
 def _found(pieces: Column) -> Column:
@@ -109,30 +148,31 @@ def _found(pieces: Column) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted spans, joined where one begins before or where the last one ends."""
-    start = F.struct(
-        F.array().cast(_SPANS).alias("done"),
-        F.lit(-1).alias("begin"),
-        F.lit(-1).alias("stop"),
-    )
+    """Sorted spans, joined where one begins before or where an earlier one ends."""
+
+    def joined(sorted_: Column) -> Column:
+        ends = _before(F.transform(sorted_, lambda x: x["stop"]), _larger)
+        both = F.array(F.struct(sorted_.alias("spans"), ends.alias("ends")))
+
+        def firsts(b: Column) -> Column:
+            """Spans that begin behind all before them, each with the furthest end so far."""
+            reached = F.transform(
+                b["spans"], lambda x, i: F.struct(x["begin"].alias("begin"), F.get(b["ends"], i).alias("end"), i.alias("i"))
+            )
+            kept = F.filter(reached, lambda x: (x["i"] == 0) | (x["begin"] > x["end"]))
+            return F.transform(
+                F.array(F.struct(kept.alias("kept"), F.element_at(b["ends"], -1).alias("last"))),
+                lambda k: F.transform(
+                    k["kept"],
+                    lambda x, i: F.struct(
+                        x["begin"].alias("begin"), F.coalesce(F.get(k["kept"], i + 1)["end"], k["last"]).alias("stop")
+                    ),
+                ),
+            )
 
-    def closed(acc: Column) -> Column:
-        return F.when(
-            acc["begin"] >= 0,
-            F.concat(
-                acc["done"], F.array(F.struct(acc["begin"].alias("begin"), acc["stop"].alias("stop")))
-            ),
-        ).otherwise(acc["done"])
-
-    def step(acc: Column, s: Column) -> Column:
-        joins = (acc["begin"] >= 0) & (s["begin"] <= acc["stop"])
-        return F.struct(
-            F.when(joins, acc["done"]).otherwise(closed(acc)).alias("done"),
-            F.when(joins, acc["begin"]).otherwise(s["begin"]).alias("begin"),
-            F.when(joins, F.greatest(acc["stop"], s["stop"])).otherwise(s["stop"]).alias("stop"),
-        )
+        return F.flatten(F.flatten(F.transform(both, firsts)))
 
-    return F.aggregate(F.array_sort(spans), start, step, closed)
+    return F.flatten(F.transform(F.array(F.array_sort(spans)), joined))
 
 
 def _mark(piece: Column) -> Column:

@@ -5,17 +5,25 @@ beginnings and endings, of the lengths the dictionary asks for) are its keys, an
 has one key that any matching text must hold. What the key alone does not prove is
 checked with the term's pattern, on the few candidates only.
 
-Up to `MAX_NARROW_TERMS` terms the dictionary travels inside the plan as a literal and
-every article is matched within its own row: no shuffle, no row identity, nothing to
-skew, and it works on streams. Larger dictionaries stay a table and are joined by key.
-Both ways yield the same candidate columns; everything after that is shared.
+There are two ways, and the caller chooses. By row, the dictionary travels inside the
+plan as a literal and every article is matched within its own row: no shuffle, no row
+identity, nothing to skew, and it works on streams; the driver holds the dictionary. By
+join, the dictionary stays a table and meets the texts' words by key. Both ways yield the
+same candidate columns; everything after that is shared.
+
+Of a term's words, the one that the fewest terms share is its key, so that a word in very
+many phrases is asked for by few of them. Terms without a key (regexes, `*il*`) are tried
+on every text, each as a constant of the plan behind a test for a text it requires.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,8 +32,6 @@ from winnow.functions.once import built_once, with_once
 from winnow.functions.text import NormRules, has_tags, normalize, tokens
 from winnow.params import KINDS, SECTIONS, T0
 
-MAX_NARROW_TERMS = 20_000
-
 # Field order is sort order: sorting hits puts them in block, kind, term, section order.
 HIT = (
     "struct<block_ord:int,kind_ord:int,ord:bigint,sec:int,level:int,term:string,"
@@ -34,11 +40,10 @@ HIT = (
 MATCH_ENTRY = f"struct<scope:string,guards:array<string>,pattern:string,hit:{HIT}>"
 
 _KEYS_PER_BUCKET = 4
-_SALTS = 16
 
 
 def match_entries(compiled: DataFrame) -> DataFrame:
-    """(lookup_key, entry) of every term that takes part in matching.
+    """(keys, entry) of every term that takes part in matching.
 
     Positives of the pre-screen only matter for highlighting.
     """
@@ -55,10 +60,57 @@ def match_entries(compiled: DataFrame) -> DataFrame:
         "components",
     )
     return compiled.filter(~((F.col("block") == T0) & (F.col("kind") == "pos"))).select(
-        "lookup_key", F.struct("scope", "guards", "pattern", hit.alias("hit")).alias("entry")
+        "keys", F.struct("scope", "guards", "pattern", hit.alias("hit")).alias("entry")
+    )
+
+
+def _key_rank(key: str, shared: int) -> tuple:
+    return shared, -len(key), key
+
+
+def with_rarest_key(entries: DataFrame) -> DataFrame:
+    """(lookup_key, entry): the key that the fewest entries share, then the longest."""
+    shared = entries.select(F.explode("keys").alias("lookup_key")).groupBy("lookup_key").agg(F.count("*").alias("n"))
+    rank = F.struct("n", -F.length("lookup_key"), "lookup_key")
+    return (
+        entries.select("entry", F.explode("keys").alias("lookup_key"))
+        .join(shared, "lookup_key")
+        .groupBy("entry")
+        .agg(F.min_by("lookup_key", rank).alias("lookup_key"))
     )
 
 
+@dataclass(frozen=True)
+class Scan:
+    """Entries without key, each a constant test of a text."""
+
+    entries_json: str
+    tests: tuple[tuple[tuple[str, ...], str | None], ...]
+    entry_type: str
+
+    @classmethod
+    def of(cls, entries: list[dict], entry_type: str) -> Scan:
+        """What a test proves need not be verified again; marking needs the pattern."""
+        tests = tuple((tuple(e.get("guards") or ()), e.get("pattern")) for e in entries)
+        if "hit" in entry_type:
+            entries = [e | {"guards": [], "pattern": None} for e in entries]
+        return cls(json.dumps(entries), tests, entry_type)
+
+    def lookup(self, text: Column) -> Column:
+        """Entries that the text passes the test of."""
+
+        def holds(guards: tuple[str, ...], pattern: str | None) -> Column:
+            parts = [F.contains(text, F.lit(g)) for g in guards]
+            parts += [F.rlike(text, F.lit(pattern))] if pattern is not None else []
+            return reduce(Column.__and__, parts, F.lit(True))
+
+        known = F.from_json(F.lit(self.entries_json), f"array<{self.entry_type}>")
+        passed = [F.when(holds(*t), F.lit(i)) for i, t in enumerate(self.tests)]
+        if not passed:
+            return F.array().cast(f"array<{self.entry_type}>")
+        return F.transform(F.array_compact(F.array(*passed)), lambda i: F.get(known, i))
+
+
 def text_keys(words: Column, begin_lengths: tuple[int, ...], end_lengths: tuple[int, ...]) -> Column:
     """The words plus their beginnings and endings of the given lengths."""
 
@@ -80,28 +132,23 @@ class KeyIndex:
     begin_lengths: tuple[int, ...]
     end_lengths: tuple[int, ...]
     buckets_json: str
-    unkeyed_json: str
+    scan: Scan
     n_buckets: int
     entry_type: str
 
     @classmethod
-    def build(cls, entries: DataFrame, entry_type: str) -> KeyIndex | None:
-        """None if there are more entries than a plan should carry."""
-        rows: list[Row] = (
-            entries.select("lookup_key", F.to_json("entry").alias("entry"))
-            .limit(MAX_NARROW_TERMS + 1)
-            .collect()
-        )
-        if len(rows) > MAX_NARROW_TERMS:
-            return None
+    def build(cls, entries: DataFrame, entry_type: str) -> KeyIndex:
+        rows: list[Row] = entries.select("keys", F.to_json("entry").alias("entry")).collect()
+        shared = Counter(k for row in rows for k in row["keys"])
         by_key: dict[str, list] = {}
         unkeyed = []
         for row in rows:
             entry = json.loads(row["entry"])
-            if row["lookup_key"] is None:
+            if not row["keys"]:
                 unkeyed.append(entry)
             else:
-                by_key.setdefault(row["lookup_key"], []).append(entry)
+                key = min(row["keys"], key=lambda k: _key_rank(k, shared[k]))
+                by_key.setdefault(key, []).append(entry)
         # Reading a map is a scan over its keys, so keys are spread over many small maps.
         n_buckets = max(1, len(by_key) // _KEYS_PER_BUCKET)
         buckets: list[dict] = [{} for _ in range(n_buckets)]
@@ -112,7 +159,7 @@ class KeyIndex:
             begin_lengths=tuple(sorted({int(k.split("<")[0]) for k in by_key if "<" in k})),
             end_lengths=tuple(sorted({int(k.split(">")[0]) for k in by_key if ">" in k})),
             buckets_json=json.dumps(buckets),
-            unkeyed_json=json.dumps(unkeyed),
+            scan=Scan.of(unkeyed, entry_type),
             n_buckets=n_buckets,
             entry_type=entry_type,
         )
@@ -142,11 +189,11 @@ class KeyIndex:
         parts += [known(n, ">", "right") for n in self.end_lengths]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    def lookup(self, words: str) -> Column:
-        """Entries whose key occurs in a column of words, and all entries without key."""
-        unkeyed = F.from_json(F.lit(self.unkeyed_json), f"array<{self.entry_type}>")
+    def lookup(self, words: str, text: Column) -> Column:
+        """Entries whose key occurs in a column of words, or whose test the text passes."""
+        scanned = self.scan.lookup(text)
         if not self.keys:
-            return unkeyed
+            return scanned
         found = self._known_keys(words)
         buckets = F.from_json(
             F.lit(self.buckets_json), f"array<map<string,array<{self.entry_type}>>>"
@@ -159,59 +206,61 @@ class KeyIndex:
                 ),
             )
         )
-        return entries if self.unkeyed_json == "[]" else F.concat(entries, unkeyed)
+        return F.concat(entries, scanned) if self.scan.tests else entries
 
 
-def with_candidates(df: DataFrame, index: KeyIndex) -> DataFrame:
-    """Adds candidate entries per section, from the row's own words."""
-    return df.withColumns(_lookups(index))
+def _text(prefix: str, section: str) -> Column:
+    return F.coalesce(F.col(f"{prefix}{section}"), F.lit(""))
+
+
+def with_candidates(df: DataFrame, index: KeyIndex, prefix: str = "norm_") -> DataFrame:
+    """Adds candidate entries per section, from the row's own words and texts."""
+    return df.withColumns(_lookups(index, prefix))
 
 
 @built_once
-def _lookups(index: KeyIndex) -> dict[str, Column]:
-    return {f"cand_{s}": index.lookup(f"words_{s}") for s in SECTIONS}
+def _lookups(index: KeyIndex, prefix: str) -> dict[str, Column]:
+    return {f"cand_{s}": index.lookup(f"words_{s}", _text(prefix, s)) for s in SECTIONS}
 
 
 def with_joined_candidates(
-    df: DataFrame, entries: DataFrame, entry_type: str, row_key: str
+    df: DataFrame,
+    entries: DataFrame,
+    entry_type: str,
+    row_key: str,
+    rebuild: Callable[[DataFrame], DataFrame],
+    prefix: str = "norm_",
 ) -> DataFrame:
     """Adds candidate entries per section by joining text keys with the entries' keys.
 
-    `row_key` must identify a row, also after a recomputation (a stored key, or the file
-    and row position that `sources.with_row_key` gives). The join carries keys and
-    entries, no text. The side of the terms is repeated per salt, so that a word found in
-    every article spreads over many tasks.
+    `rebuild` adds the texts under `prefix` and their words to the articles `df`. `row_key`
+    must identify a row, also after a recomputation (a stored key, or the file and row
+    position that `sources.with_row_key` gives). Words that no entry asks for are dropped
+    before they are shuffled; what is shuffled is row key, section and word. Texts move
+    once, as they came, when candidates return to their article. A word in very many
+    articles is a skewed join key, which Spark splits at run time.
     """
+    keyed = with_rarest_key(entries.filter(F.size("keys") > 0))
 
     def lengths(mark: str) -> tuple[int, ...]:
         part = F.split_part("lookup_key", F.lit(mark), F.lit(1)).cast("int")
-        rows = entries.filter(F.col("lookup_key").contains(mark)).select(part).distinct().collect()
+        rows = keyed.filter(F.col("lookup_key").contains(mark)).select(part).distinct().collect()
         return tuple(sorted(r[0] for r in rows))
 
-    unkeyed_rows = entries.filter("lookup_key is null").select(F.to_json("entry").alias("entry"))
-    unkeyed = unkeyed_rows.limit(MAX_NARROW_TERMS + 1).collect()
-    if len(unkeyed) > MAX_NARROW_TERMS:
-        raise ValueError(f"More than {MAX_NARROW_TERMS} terms that need a scan of every text")
-    scanned = F.from_json(
-        F.lit("[" + ",".join(r["entry"] for r in unkeyed) + "]"), f"array<{entry_type}>"
-    )
+    unkeyed = entries.filter(F.size("keys") == 0).select(F.to_json("entry").alias("entry")).collect()
+    scan = Scan.of([json.loads(r["entry"]) for r in unkeyed], entry_type)
     begins, ends = lengths("<"), lengths(">")
 
-
     def section_keys(section: str) -> Column:
         keys = F.array_distinct(text_keys(F.col(f"words_{section}"), begins, ends))
         return F.transform(
             keys, lambda k: F.struct(F.lit(section).alias("section"), k.alias("lookup_key"))
         )
 
-    text_side = df.select(row_key, F.inline(F.concat(*map(section_keys, SECTIONS)))).withColumn(
-        "salt", F.pmod(F.hash(row_key), F.lit(_SALTS))
-    )
-    term_side = entries.filter("lookup_key is not null").select(
-        "lookup_key", "entry", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    )
+    asked = rebuild(df).select(row_key, F.inline(F.concat(*map(section_keys, SECTIONS))))
+    asked = asked.join(keyed.select("lookup_key").distinct(), "lookup_key", "left_semi")
     found = (
-        text_side.join(term_side, ["lookup_key", "salt"])
+        asked.join(keyed, "lookup_key")
         .groupBy(row_key)
         .agg(F.collect_list(F.struct("section", "entry")).alias("found"))
     )
@@ -219,13 +268,11 @@ def with_joined_candidates(
     def of_section(section: str) -> Column:
         mine = F.filter("found", lambda c: c["section"] == section)
         none = F.array().cast(f"array<{entry_type}>")
+        scanned = scan.lookup(_text(prefix, section))
         return F.concat(F.coalesce(F.transform(mine, lambda c: c["entry"]), none), scanned)
 
-    return (
-        df.join(found, row_key, "left")
-        .withColumns({f"cand_{s}": of_section(s) for s in SECTIONS})
-        .drop("found")
-    )
+    joined = rebuild(df.join(found, row_key, "left"))
+    return joined.withColumns({f"cand_{s}": of_section(s) for s in SECTIONS}).drop("found")
 
 
 def with_norm(articles: DataFrame, rules: NormRules | None) -> DataFrame:
@@ -290,9 +337,11 @@ def match_narrow(articles: DataFrame, index: KeyIndex, rules: NormRules | None)
 def match_join(
     articles: DataFrame, entries: DataFrame, rules: NormRules | None, row_key: str
 ) -> DataFrame:
-    """As `match_narrow`, for dictionaries of any size."""
-    words = with_words(with_norm(articles, rules))
-    return _matched(with_joined_candidates(words, entries, MATCH_ENTRY, row_key), articles.columns)
+    """As `match_narrow`, for a dictionary that stays a table."""
+    found = with_joined_candidates(
+        articles, entries, MATCH_ENTRY, row_key, lambda df: with_words(with_norm(df, rules))
+    )
+    return _matched(found, articles.columns)
 
 
 def hit_rows(matched: DataFrame, blocks: tuple[str, ...], *keep: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.once import built_once
+from winnow.functions.text import named
 from winnow.operators.highlight import pack_exclusions, pack_hits
 from winnow.params import T0, VERSION, Params
 
@@ -14,12 +15,9 @@ HIGHLIGHTED = ("Title_Highlighted", "Abstract_Highlighted", "Tags_Highlighted")
 BLOCK_PREFIXES = ("RawScore_", "FinalScore_", "BestLevel_", "Status_", "Highlights_", "AntiHighlights_", "Flags_")
 DECISION_COLUMNS = ("Final_Decision", "Decision_Reason", "triage_version", "run_timestamp")
 T0_COLUMNS = ("Status_T0", "Reason_T0", "Scope_T0", "AntiHighlights_T0", "Flags_T0")
-PAGE_SIZE = 50
 DETAIL_FIRST = (
     "ID", "key", "Key", "Final_Decision", "Decision_Reason", "Title_Highlighted", "Abstract_Highlighted",
 )
-DETAIL_COLUMNS = 20
-DETAIL_LENGTH = 500
 NO_ID = "NO_ID"
 
 
@@ -100,15 +98,18 @@ def block_rows(decided: DataFrame, *keep: str, t0: bool = False) -> DataFrame:
     return rows.unionByName(pre, allowMissingColumns=True)
 
 
-def sample_articles(articles: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def sample_articles(articles: DataFrame, n: int, seed: int = 42, partitions: int = 0) -> DataFrame:
     """Exactly `n` articles, the same ones for the same seed; all of them if there are fewer.
 
     Articles are ranked by a hash, so every task keeps only its own first `n`. The hash
-    covers the whole row: articles with the same id are ranked on their own.
+    covers the whole row: articles with the same id are ranked on their own. The sample is
+    spread over `partitions` (as many as there are cores, if 0) for what comes after.
     """
     if n < 1:
         raise ValueError("The sample size must be at least 1")
-    return articles.orderBy(F.xxhash64(F.lit(seed), *articles.columns), *articles.columns).limit(n)
+    columns = [named(c) for c in articles.columns]
+    drawn = articles.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)
+    return drawn.repartition(partitions or articles.sparkSession.sparkContext.defaultParallelism)
 
 
 def decided_as(results: DataFrame, decision: str | None) -> DataFrame:
@@ -126,28 +127,44 @@ def overview_columns(columns: list[str]) -> list[str]:
 
 
 def page(
-    results: DataFrame, order_by: list[str | Column], number: int = 1, decision: str | None = None
+    results: DataFrame,
+    order_by: Column,
+    after: object = None,
+    decision: str | None = None,
+    size: int = 50,
 ) -> DataFrame:
-    """Page `number` (from 1) of the overview, in the given order."""
-    rows = decided_as(results, decision).select(*overview_columns(results.columns))
-    return rows.orderBy(*order_by).offset((max(1, number) - 1) * PAGE_SIZE).limit(PAGE_SIZE)
+    """The first `size` rows of the overview whose order key lies behind `after`.
 
+    `after` is the last key of the page before (None for the first page), so any page costs
+    the same. Rows with equal keys may be parted by a page's end: order by a key that is
+    unique, such as a struct of several columns.
+    """
+    rows = decided_as(results, decision)
+    if after is not None:
+        rows = rows.filter(order_by > (after if isinstance(after, Column) else F.lit(after)))
+    return rows.select(*map(named, overview_columns(results.columns))).orderBy(order_by).limit(size)
+
+
+def detail(
+    results: DataFrame, id_column: str, article_id: str, columns: int = 20, length: int = 500
+) -> DataFrame:
+    """An article's most telling columns as (position, name, value).
 
-def detail(results: DataFrame, id_column: str, article_id: str) -> DataFrame:
-    """An article's most telling columns as (position, name, value), long values cut."""
+    At most `columns` of them, and values of more than `length` characters are cut.
+    """
     names = [c for c in DETAIL_FIRST if c in results.columns]
     names += [c for c in results.columns if c.startswith(("Status_", "FinalScore_")) and c not in names]
 
     def shown(name: str) -> Column:
-        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        cut = F.concat(F.left(text, F.lit(DETAIL_LENGTH - 3)), F.lit("..."))
-        return F.when(F.length(text) > DETAIL_LENGTH, cut).otherwise(text)
+        text = F.coalesce(named(name).cast("string"), F.lit(""))
+        cut = F.concat(F.left(text, F.lit(length - 3)), F.lit("..."))
+        return F.when(F.length(text) > length, cut).otherwise(text)
 
     items = [
         F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), shown(n).alias("value"))
-        for i, n in enumerate(names[:DETAIL_COLUMNS])
+        for i, n in enumerate(names[:columns])
     ]
-    return results.filter(F.col(id_column) == article_id).select(F.inline(F.array(*items)))
+    return results.filter(named(id_column) == article_id).select(F.inline(F.array(*items)))
 
 
 # -- rows that could not be processed -----------------------------------------------------
@@ -159,7 +176,12 @@ def split_errors(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 def error_results(
-    failed: DataFrame, position: str, params: Params, id_output: str = "ID", error: str = "error"
+    failed: DataFrame,
+    position: str,
+    params: Params,
+    id_output: str = "ID",
+    error: str = "error",
+    timestamp: bool = True,
 ) -> DataFrame:
     """Result rows for failed input: flagged for a person to look at, or the run fails.
 
@@ -168,12 +190,13 @@ def error_results(
     reason = F.concat(F.lit("Processing error: "), F.col(error))
     if params.error_policy == "fail":
         reason = F.raise_error(reason).cast("string")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("run_timestamp")
     return failed.select(
         F.concat(F.lit("ERR_"), F.col(position).cast("string")).alias(id_output),
         F.lit("FLAGGED_FINAL").alias("Final_Decision"),
         reason.alias("Decision_Reason"),
         F.lit(VERSION).alias("triage_version"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("run_timestamp"),
+        *([now] if timestamp else []),
     )
 
 

@@ -22,9 +22,6 @@ from winnow.functions.once import built_once
 from winnow.functions.text import WS, NormRules, normalize
 from winnow.params import GLOBAL_BLOCK, KINDS, SCOPES, T0, Params
 
-MAX_BLOCKS = 1_000
-MAX_REGEX_TERMS = 10_000
-
 # Fixed values.
 NORM_TYPES = ("abbreviation", "compound_variant", "symbol_replacement")
 REGEX_TRUE = ("1", "true", "yes")
@@ -137,14 +134,18 @@ def clean(raw: DataFrame, params: Params | None = None) -> DataFrame:
 
 
 def inline_terms(spark: SparkSession, cfg: dict) -> DataFrame:
-    """Terms written inside a configuration document, in the same form as `clean`."""
+    """Terms written inside a configuration document, in the same form as `clean`.
+
+    Blocks are the entries with positives; the entry `T0` is the pre-screen.
+    """
     rows = []
     for block, body in cfg.items():
-        if not isinstance(body, dict) or "positives" not in body or block == GLOBAL_BLOCK:
+        is_block = isinstance(body, dict) and (block == T0 or "positives" in body)
+        if not is_block or block == GLOBAL_BLOCK:
             continue
         anti = body.get("anti") or {}
         groups = (
-            ("pos", body["positives"]),
+            ("pos", body.get("positives") or []),
             ("anti", anti.get("exclude", [])),
             ("flag", anti.get("flag", [])),
         )
@@ -230,22 +231,22 @@ def row_findings(raw: DataFrame, params: Params | None = None) -> DataFrame:
     )
 
 
-def duplicates(raw: DataFrame, params: Params | None = None) -> DataFrame:
+def duplicates(raw: DataFrame, params: Params | None = None, salts: int = _SALTS) -> DataFrame:
     """Rows dropped because an earlier row states the same rule.
 
-    The join is salted: the rows of a rule that fills much of the table spread over many
+    The join is salted: the rows of a rule that fills much of the table spread over `salts`
     tasks, while the single kept row is repeated once per salt.
     """
     checked = _checked(raw, params.configured_levels if params else ())
     kept = _first_rows(checked).select(
         *_KEY,
         F.col("kept.source_row").alias("first_row"),
-        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
     rows = (
         checked.filter("usable")
         .withColumn("term_key", F.lower("term"))
-        .withColumn("salt", F.pmod(F.hash("source_row"), F.lit(_SALTS)))
+        .withColumn("salt", F.pmod(F.hash("source_row"), F.lit(salts)))
         .select(*_KEY, "salt", "source_row", "term")
     )
     return rows.join(kept, [*_KEY, "salt"]).filter("source_row <> first_row").select(
@@ -405,17 +406,15 @@ def route(terms: DataFrame, block_order: tuple[str, ...] | None = None) -> TermS
     """Give every term its canonical block; drop terms of blocks outside the order.
 
     Block names are matched without regard to case and outer whitespace. Blocks become
-    output columns, so their number is bounded.
+    output columns, so the driver knows all of them. The pre-screen's terms are those of
+    the table's global block, or else those written inline.
     """
     inline = F.col("term_ord") < _TABLE_ORD
     rows = (
         terms.groupBy("block", inline.alias("inline"))
         .agg(F.min("term_ord").alias("first_ord"))
-        .limit(MAX_BLOCKS + 1)
         .collect()
     )
-    if len(rows) > MAX_BLOCKS:
-        raise ValueError(f"More than {MAX_BLOCKS} blocks")
     domain = [r for r in rows if r["block"] not in (GLOBAL_BLOCK, T0)]
     written = {r["block"] for r in domain if r["inline"]}
     by_name: dict[str, str] = {}
@@ -431,7 +430,9 @@ def route(terms: DataFrame, block_order: tuple[str, ...] | None = None) -> TermS
         for i, b in enumerate(found)
         if b.strip().upper() in by_name
     }
-    target |= {f"false {GLOBAL_BLOCK}": (T0, -1)}
+    in_table = any(r["block"] == GLOBAL_BLOCK for r in rows)
+    written_inline = any(r["block"] == T0 and r["inline"] for r in rows)
+    target |= {f"false {GLOBAL_BLOCK}" if in_table else f"true {T0}": (T0, -1)}
     lookup = F.from_json(
         F.lit(json.dumps({k: {"name": n, "ord": i} for k, (n, i) in target.items()})),
         "map<string,struct<name:string,ord:int>>",
@@ -443,14 +444,12 @@ def route(terms: DataFrame, block_order: tuple[str, ...] | None = None) -> TermS
         .withColumns({"block": F.col("target.name"), "block_ord": F.col("target.ord")})
         .drop("target")
     )
-    return TermSet(routed, tuple(found), any(r["block"] == GLOBAL_BLOCK for r in rows))
+    return TermSet(routed, tuple(found), in_table or written_inline)
 
 
 def regex_terms(terms: DataFrame) -> list[str]:
-    rows = terms.filter("is_regex").select("term").distinct().limit(MAX_REGEX_TERMS + 1).collect()
-    if len(rows) > MAX_REGEX_TERMS:
-        raise ValueError(f"More than {MAX_REGEX_TERMS} regex terms")
-    return [r["term"] for r in rows]
+    """Distinct regexes, on the driver: each of them becomes a test in the plan."""
+    return [r["term"] for r in terms.filter("is_regex").select("term").distinct().collect()]
 
 
 def vet_regexes(spark: SparkSession, regexes: list[str]) -> dict[str, str | None]:
@@ -497,11 +496,14 @@ def compile_terms(term_set: TermSet, rules: NormRules | None, params: Params) ->
     vetted = vet_regexes(terms.sparkSession, regex_terms(terms))
     regex_map = F.from_json(F.lit(json.dumps(vetted)), "map<string,string>")
     regex = F.when(F.col("is_regex"), F.try_element_at(regex_map, F.col("term")))
+    required = {r: [t] if (t := P.required_text(r)) else [] for r, java in vetted.items() if java}
+    required_map = F.from_json(F.lit(json.dumps(required)), "map<string,array<string>>")
     normal = F.when(~F.col("is_regex"), normalize(F.col("term"), rules))
     unchanged = F.col("is_regex") | (F.col("normal") == "")
     base = (
         terms.withColumn("java_regex", regex)
         .filter(~F.col("is_regex") | F.col("java_regex").isNotNull())
+        .withColumn("regex_guards", F.try_element_at(required_map, F.col("term")))
         .withColumn("normal", normal)
         .withColumn("match_term", F.when(unchanged, F.col("term")).otherwise(F.col("normal")))
         .withColumn("probe", F.lower("match_term"))
@@ -523,8 +525,8 @@ _COMMON = (
 )
 
 
-def _mark(key: Column, pattern: Column) -> Column:
-    return F.struct(key.alias("lookup_key"), pattern.alias("pattern"))
+def _mark(keys: Column, pattern: Column) -> Column:
+    return F.struct(keys.alias("keys"), pattern.alias("pattern"))
 
 
 def _literal_mark(text: Column) -> Column:
@@ -533,7 +535,7 @@ def _literal_mark(text: Column) -> Column:
     # A lone `*` also matches between words, where there is nothing to mark.
     written = F.when(low.rlike(r"^\*+$"), F.lit(P.WORD_RUN)).otherwise(P.literal_pattern(text))
     return _mark(
-        P.lookup_key(low), F.when(~P.key_is_proof(low), F.concat(F.lit("(?iu)"), written))
+        P.lookup_keys(low), F.when(~P.key_is_proof(low), F.concat(F.lit("(?iu)"), written))
     )
 
 
@@ -546,12 +548,12 @@ def _exact_columns() -> list[Column]:
         F.shiftleft(c("term_ord"), 16).alias("ord"),
         F.lit("exact").alias("match_type"),
         no_parts.alias("components"),
-        F.when(~c("is_regex"), P.lookup_key(c("probe"))).alias("lookup_key"),
-        F.when(c("is_regex"), no_parts).otherwise(P.guards(c("probe"))).alias("guards"),
+        F.when(c("is_regex"), no_parts).otherwise(P.lookup_keys(c("probe"))).alias("keys"),
+        F.when(c("is_regex"), c("regex_guards")).otherwise(P.guards(c("probe"))).alias("guards"),
         F.when(c("is_regex"), c("java_regex"))
         .when(~P.key_is_proof(c("probe")), P.literal_pattern(c("probe")))
         .alias("pattern"),
-        F.when(c("is_regex"), F.array(_mark(F.lit(None).cast("string"), c("java_regex"))))
+        F.when(c("is_regex"), F.array(_mark(no_parts, c("java_regex"))))
         .when(c("match_term") == c("term"), F.array(literal))
         .otherwise(F.array(literal, _literal_mark(c("match_term"))))
         .alias("highlight"),
@@ -566,7 +568,7 @@ def _near_columns(max_gap: int, token_unit: str) -> list[Column]:
         (F.shiftleft(F.col("term_ord"), 16) + F.col("pair_pos") + F.lit(1 << 56)).alias("ord"),
         F.lit("proximity").alias("match_type"),
         pair.alias("components"),
-        P.proximity_key(a, b).alias("lookup_key"),
+        P.proximity_keys(a, b).alias("keys"),
         F.array(a, b).alias("guards"),
         P.proximity_pattern(a, b, max_gap, token_unit).alias("pattern"),
         F.array(_literal_mark(F.col("term"))).alias("highlight"),

@@ -116,6 +116,22 @@ BROAD = [
     ("FUNC", "pos", 26, "*e*", 5, "exact", W + "*e" + W + "*", "any", 26),
     ("FORM", "pos", 27, "qzqzqz", 5, "exact", word("qzqzqz"), "any", 27),
 ]
+NORMALIZED = [
+    ("FUNC", "pos", 0, "through", 1, "exact", word("through"), "any", 0),
+    ("FUNC", "pos", 1, "it", 2, "exact", word("informatics"), "any", 1),
+    ("FORM", "pos", 2, "thorough", 3, "exact", word("thorough"), "any", 2),
+    ("FORM", "flag", 3, "informatics", None, "exact", word("informatics"), "any", 3),
+]
+INLINE = [
+    ("FUNC", "pos", 0, "that", 2, "exact", word("that"), "any", 0),
+    ("FUNC", "pos", 1, "th*", 5, "exact", B + "th" + W + "*", "any", 0),
+    ("FUNC", "pos", 2, "pour", 2, "exact", word("pour"), "any", 0),
+    ("FUNC", "flag", 3, "than", None, "exact", word("than"), "any", 0),
+    ("FORM", "pos", 4, "this", 3, "exact", word("this"), "any", 0),
+    ("FORM", "pos", 5, "en", 5, "exact", word("en"), "abstract", 0),
+    ("T0", "anti", 6, "thth", None, "exact", word("thth"), "any", 0),
+    ("T0", "flag", 7, "avec", None, "exact", word("avec"), "any", 0),
+]
 UNIFORM = [t for t in FIXTURE if t[0] != "T0"] + [("VOID", "pos", 26, "qzqzqz", 1, "exact", word("qzqzqz"), "any", 24)]
 
 
@@ -322,21 +338,25 @@ def dead(alias: str) -> str:
 
 # A raw term table from the documents, and its cleaning.
 RAW_TERMS = r"""
+words AS (
+  SELECT doc_id, lang, source, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos
+  FROM (SELECT *, regexp_extract_all(text, '[^ \n]+') AS w FROM documents)
+), counted AS (SELECT *, doc_id + pos AS i FROM words),
 raw AS (
-  SELECT CAST(doc_id AS INTEGER) AS source_row,
-    trim(CASE WHEN doc_id % 41 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'GLOBAL' ELSE upper(lang) END) AS block,
-    CASE WHEN doc_id % 43 = 0 THEN 'bogus'
-      ELSE ['pos', 'pos', 'pos', 'anti', 'flag', 'pos'][doc_id % 6 + 1] END AS kind,
-    trim(regexp_replace(CASE WHEN doc_id % 37 = 0 THEN '' WHEN doc_id % 29 = 0 THEN 'e'
-      ELSE regexp_extract(text, '^[^ \n]*') END, '^[\p{Z}\t\n\x0b\f\r\x1c-\x1f\x{85}]+|[\p{Z}\t\n\x0b\f\r\x1c-\x1f\x{85}]+$', '', 'g')) AS term,
-    trim(['1', '2.0', '', '1.5', 'x', '3', '9', '4', ' 5 '][doc_id % 9 + 1]) AS level_text,
-    CAST([1, 2, NULL, NULL, NULL, 3, 9, 4, 5][doc_id % 9 + 1] AS INTEGER) AS level_number,
-    ['any', 'title', 'abstract', 'body', 'any'][doc_id % 5 + 1] AS scope_text,
-    ['0', 'no', '', '0', 'maybe', '0', '0'][doc_id % 7 + 1] AS regex_text,
-    CASE WHEN doc_id % 13 = 0 THEN 'abbreviation' WHEN doc_id % 17 = 0 THEN 'compound_variant'
-      WHEN doc_id % 19 = 0 THEN 'other' ELSE '' END AS norm_type,
-    CASE WHEN doc_id % 13 = 0 THEN source WHEN doc_id % 17 = 0 THEN lang ELSE '' END AS norm_target
-  FROM documents
+  SELECT CAST(doc_id * 100000 + pos AS INTEGER) AS source_row,
+    trim(CASE WHEN i % 41 = 0 THEN '' WHEN i % 11 = 0 THEN 'GLOBAL' ELSE upper(lang) END) AS block,
+    CASE WHEN i % 43 = 0 THEN 'bogus'
+      ELSE ['pos', 'pos', 'pos', 'anti', 'flag', 'pos'][i % 6 + 1] END AS kind,
+    trim(regexp_replace(CASE WHEN i % 37 = 0 THEN '' WHEN i % 29 = 0 THEN 'e' ELSE word END,
+      '^[\p{Z}\t\n\x0b\f\r\x1c-\x1f\x{85}]+|[\p{Z}\t\n\x0b\f\r\x1c-\x1f\x{85}]+$', '', 'g')) AS term,
+    trim(['1', '2.0', '', '1.5', 'x', '3', '9', '4', ' 5 '][i % 9 + 1]) AS level_text,
+    CAST([1, 2, NULL, NULL, NULL, 3, 9, 4, 5][i % 9 + 1] AS INTEGER) AS level_number,
+    ['any', 'title', 'abstract', 'body', 'any'][i % 5 + 1] AS scope_text,
+    ['0', 'no', '', '0', 'maybe', '0', '0'][i % 7 + 1] AS regex_text,
+    CASE WHEN i % 13 = 0 THEN 'abbreviation' WHEN i % 17 = 0 THEN 'compound_variant'
+      WHEN i % 19 = 0 THEN 'other' ELSE '' END AS norm_type,
+    CASE WHEN i % 13 = 0 THEN source WHEN i % 17 = 0 THEN lang ELSE '' END AS norm_target
+  FROM counted
 ), usable AS (
   SELECT *, CASE WHEN kind = 'pos' AND level_number BETWEEN 1 AND 5 THEN level_number END AS level,
     CASE WHEN kind <> 'pos' THEN level_text
@@ -403,25 +423,27 @@ MANIFEST_ERRORS = """
 DISTRIBUTION = """SELECT Final_Decision, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct
 FROM dec GROUP BY 1"""
 
-RUNS = """, named AS (SELECT id AS doc, lang || '-' || source AS run_id FROM docs)"""
+RUNS = """, named AS (
+  SELECT id AS doc, lang || '-' || source AS run_id,
+    CASE WHEN doc_id % 5 = 0 THEN 'other-' || source ELSE lang || '-' || source END AS other_id FROM docs)"""
 
 
-def two_runs(absent_a: str = "", absent_b: str = "", by_source: bool = True) -> str:
-    """Runs `ra` (special) and `rb` (strict) in one statement."""
+def two_runs(by_source: bool = True, second: str = "strict") -> str:
+    """Runs `ra` (special) and `rb` in one statement."""
     special = decided("special")
-    strict = decided("strict").removeprefix(masked())
+    other = decided(second).removeprefix(masked())
     for name in ("agg", "ruled", "dec"):
-        strict = strict.replace(f", {name} AS (", f", {name}_strict AS (").replace(
-            f"), {name} AS MATERIALIZED", f"), {name}_strict AS MATERIALIZED"
+        other = other.replace(f", {name} AS (", f", {name}_other AS (").replace(
+            f"), {name} AS MATERIALIZED", f"), {name}_other AS MATERIALIZED"
         )
-    strict = strict.replace("FROM agg JOIN t0 USING (id)) agg", "FROM agg_strict agg JOIN t0 USING (id)) agg")
-    strict = strict.replace("), ruled AS", "), ruled_strict AS").replace("\n), ruled", "\n), ruled")
-    strict = strict.replace("FROM ruled)", "FROM ruled_strict)")
-    key = "run_id" if by_source else "doc"
+    other = other.replace("FROM agg JOIN t0 USING (id)) agg", "FROM agg_other agg JOIN t0 USING (id)) agg")
+    other = other.replace("), ruled AS", "), ruled_other AS").replace("\n), ruled", "\n), ruled")
+    other = other.replace("FROM ruled)", "FROM ruled_other)")
+    key_a, key_b = ("run_id", "other_id") if by_source else ("doc", "doc")
     return (
-        special + strict + RUNS
-        + f""", ra AS (SELECT {key} AS k, Final_Decision AS d FROM dec JOIN named ON named.doc = dec.id WHERE {key} <> '{absent_a}'),
-rb AS (SELECT {key} AS k, Final_Decision AS d FROM dec_strict JOIN named ON named.doc = dec_strict.id WHERE {key} <> '{absent_b}'),
+        special + other + RUNS
+        + f""", ra AS (SELECT {key_a} AS k, Final_Decision AS d FROM dec JOIN named ON named.doc = dec.id),
+rb AS (SELECT {key_b} AS k, Final_Decision AS d FROM dec_other JOIN named ON named.doc = dec_other.id),
 pairs AS (SELECT coalesce(ra.k, rb.k) AS article_id, coalesce(ra.d, 'MISSING') AS old,
   coalesce(rb.d, 'MISSING') AS new FROM ra FULL OUTER JOIN rb ON ra.k = rb.k)"""
     )
@@ -494,6 +516,21 @@ def highlight_sql() -> str:
     )
 
 
+def highlight_regex_sql() -> str:
+    """Pieces that the regex matches, neighbours together, and all other characters one by one."""
+    found = "(?:th(?:e*)|z+)+"
+    marked = (
+        f"array_to_string(list_transform(regexp_extract_all(t, {text('(?is)' + found + '|.')}), lambda p: "
+        f"CASE WHEN regexp_full_match(p, {text('(?i)' + found)}) THEN '***' || upper(p) || '***' ELSE p END), '')"
+    )
+    return q(
+        ARTICLES + f", marked AS (SELECT id, section, {marked} AS m FROM raw_sections)",
+        """SELECT id, max(m) FILTER (section = 'title') AS Title_Highlighted,
+  max(m) FILTER (section = 'abstract') AS Abstract_Highlighted,
+  max(m) FILTER (section = 'manual_tags') AS Tags_Highlighted FROM marked GROUP BY id""",
+    )
+
+
 PROFILE = """SELECT f AS field, c AS "column", count(*) AS n_rows, count(*) FILTER (trim(v) = '') AS n_blank,
   false AS missing
 FROM (
@@ -527,11 +564,11 @@ def oracle_sql() -> dict[str, str]:
         "normalize_text": q(ARTICLES, f"SELECT id, section, {_norm_rules_sql()} AS norm FROM raw_sections"),
         "compound_pairs": q(
             SECTIONS,
-            r"""SELECT id, CAST(i - 1 AS INTEGER) AS pos, parts[i] AS a, parts[i + 1] AS b FROM (
-  SELECT id, parts, unnest(range(1, len(parts))) AS i FROM (
-    SELECT id, list_filter(list_transform(
+            r"""SELECT id, section, CAST(i - 1 AS INTEGER) AS pos, parts[i] AS a, parts[i + 1] AS b FROM (
+  SELECT id, section, parts, unnest(range(1, len(parts))) AS i FROM (
+    SELECT id, section, list_filter(list_transform(
       regexp_split_to_array(t, '\s+(?:and|or)\s+|\s*&\s*|\s*/\s*'), lambda x: trim(x)), lambda x: x <> '') AS parts
-    FROM sections WHERE section = 'title'))""",
+    FROM sections))""",
         ),
         "terms_dedup": q(
             RAW_TERMS, "SELECT source_row, block, kind, term, level, scope, is_regex FROM clean"
@@ -609,7 +646,7 @@ GROUP BY block HAVING count(*) FILTER (kind = 'pos') = 0""",
         "decision_strict": q(decided("strict"), decision),
         "decision_strict_all_blocks": q(decided("strict", False), decision),
         "decision_k_of_n": q(decided("k_of_n"), decision),
-        "decision_distribution": q(decided(), DISTRIBUTION),
+        "decision_distribution": q(decided("k_of_n"), DISTRIBUTION),
         "status_distribution": q(masked() + LONG, shares),
         "block_performance": q(masked() + perf, "SELECT block, n_valid, avg_score, max_score FROM p"),
         "score_distribution": q(
@@ -618,10 +655,33 @@ GROUP BY block HAVING count(*) FILTER (kind = 'pos') = 0""",
             "max(score) AS max, count(score) AS n_valid FROM long WHERE score IS NOT NULL GROUP BY block",
         ),
         "level_distribution": q(masked(), "SELECT block, best_level, count(*) AS n FROM mv GROUP BY ALL"),
-        "run_totals": q(
-            ARTICLES,
-            "SELECT count(*) AS n_total, count(*) AS n_valid, CAST(0 AS BIGINT) AS n_error, "
-            "CAST(0 AS DOUBLE) AS error_rate FROM docs",
+        "run_totals": "SELECT count(*) AS n_total, count(*) FILTER (doc_id % 50 <> 7) AS n_valid, "
+        "count(*) FILTER (doc_id % 50 = 7) AS n_error, "
+        "round(count(*) FILTER (doc_id % 50 = 7) / count(*), 6) AS error_rate FROM documents",
+        "error_rows": q(
+            decided(),
+            """SELECT dec.id AS ID, Final_Decision, Decision_Reason FROM dec WHERE CAST(dec.id AS INTEGER) % 50 <> 7
+UNION ALL SELECT 'ERR_' || (doc_id + 1), 'FLAGGED_FINAL', 'Processing error: bad record'
+FROM documents WHERE doc_id % 50 = 7""",
+        ),
+        "term_hits_joined": q(
+            hits(FIXTURE), "SELECT id, block, kind, term, level, section, match_type, source_row FROM hits"
+        ),
+        "normalized_hits": q(
+            hits(NORMALIZED).replace(
+                SECTIONS,
+                ARTICLES + f", sections AS MATERIALIZED (SELECT id, section, so, {_norm_rules_sql()} AS t FROM raw_sections)",
+            ),
+            "SELECT id, block, kind, term, section FROM hits",
+        ),
+        "inline_terms": q(decided(terms=INLINE), decision),
+        "report_dotted_block": q(
+            decided() + perf + ", s AS (" + shares + ")",
+            f"""SELECT 'decision' AS part, '' AS block, Final_Decision AS name, CAST(n AS DOUBLE) AS value, pct
+FROM ({DISTRIBUTION})
+UNION ALL SELECT 'status', replace(block, 'FUNC', 'A.1'), status, n, pct FROM s
+UNION ALL SELECT 'score', replace(block, 'FUNC', 'A.1'), 'avg_score', avg_score, NULL FROM p WHERE block <> 'T0'
+UNION ALL SELECT 'score', replace(block, 'FUNC', 'A.1'), 'max_score', max_score, NULL FROM p WHERE block <> 'T0'""",
         ),
         "report": q(
             decided() + perf + ", s AS (" + shares + ")",
@@ -659,15 +719,18 @@ UNION ALL SELECT 'block', {advice_block} FROM mv GROUP BY block HAVING count(DIS
 UNION ALL SELECT term, 'broad', NULL, round(pct, 2), articles, hits FROM broad""",
         ),
         "run_diff": q(
-            two_runs("en-src1", "fr-src0"),
+            two_runs(),
             "SELECT article_id, old, new, count(*) AS n FROM pairs WHERE old <> new GROUP BY ALL",
         ),
         "diff_transitions": q(
             two_runs(by_source=False),
             "SELECT old, new, count(*) AS n FROM pairs WHERE old <> new GROUP BY ALL",
         ),
-        "diff_totals": "SELECT count(*) FILTER (lang || '-' || source <> 'en-src1') AS total_a, "
-        "count(*) FILTER (lang || '-' || source <> 'fr-src0') AS total_b FROM documents",
+        "run_diff_stored": q(
+            two_runs(False, "k_of_n"),
+            "SELECT article_id, old, new, count(*) AS n FROM pairs WHERE old <> new GROUP BY ALL",
+        ),
+        "diff_totals": "SELECT count(*) AS total_a, count(*) AS total_b FROM documents",
         "results": results_sql(),
         "results_page": q(
             decided(),
@@ -684,6 +747,16 @@ WHERE Final_Decision = 'REJECTED_FINAL' ORDER BY CAST(dec.id AS INTEGER) LIMIT 5
   CASE WHEN doc_id % 4 <> 3 THEN 0 END AS n_errors,
   CASE WHEN doc_id % 4 <> 3 THEN source END AS input_file,
   CASE WHEN doc_id % 4 <> 3 THEN 'run_' || doc_id END AS execution_id,
-  CASE WHEN doc_id % 4 <> 3 THEN 'rsl-triage-protocol-v2.1' END AS schema_id
+  CASE WHEN doc_id % 4 <> 3 THEN 'rsl-triage-protocol-v2.1' END AS schema_id,
+  CASE WHEN doc_id % 4 <> 3 THEN '[draft] {' || source END AS note,
+  CASE WHEN doc_id % 4 <> 3 THEN n_chars END AS size,
+  CASE WHEN doc_id % 4 <> 3 THEN doc_id % 2 = 0 END AS final
 FROM documents""",
+        "highlight_regex": highlight_regex_sql(),
+        "sample_preview": "SELECT least(50, count(*)) AS n_rows, least(50, count(*)) AS n_as_in_run, "
+        "least(50, count(*)) AS n_again FROM documents",
+        "input_fingerprint": "SELECT count(*) AS n_rows, true AS order_free, true AS tells_nulls FROM documents",
+        "run_manifest": "SELECT '2.1' AS protocol_version, '1.0.0' AS triage_version, 'documents' AS input_file, "
+        "16 AS hash_length, 'special' AS decision_policy, 'FUNC,FORM' AS blocks, count(*) AS total_articles, "
+        "count(*) / 2.0 AS articles_per_second FROM documents",
     }

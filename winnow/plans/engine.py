@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from winnow.functions.text import NormRules, rules_from_table
 from winnow.operators import highlight as H
@@ -23,14 +24,16 @@ ARTICLE_COLUMNS = ("id", *SECTIONS)
 class TriageEngine:
     """Compiled dictionary and parameters; build it once, run it on any number of tables.
 
-    `row_key` names an article column that identifies the row. It is only needed for
-    dictionaries too large to travel in the plan.
+    `matching` says how articles meet terms: by "row", with the dictionary in the plan and
+    on the driver, or by "join", with the dictionary as a table of any size. For a join,
+    `row_key` names an article column that identifies the row.
     """
 
     params: Params
     term_set: T.TermSet
     rules: NormRules | None = None
     row_key: str | None = None
+    matching: str = "row"
 
     @classmethod
     def build(
@@ -39,19 +42,35 @@ class TriageEngine:
         params: Params | None = None,
         inline: DataFrame | None = None,
         row_key: str | None = None,
+        matching: str = "row",
+        rules: NormRules | None = None,
     ) -> TriageEngine:
-        """Engine from a raw term table, plus terms written inline in a configuration."""
+        """Engine from a raw term table, plus terms and rules written in a configuration.
+
+        Normalisation rules of the term table go before `rules`.
+        """
+        if matching not in ("row", "join"):
+            raise ValueError(f"Articles are matched by 'row' or by 'join', not by '{matching}'")
+        if matching == "join" and row_key is None:
+            raise ValueError("Matching by join needs a row_key that identifies an article")
         params = params or Params()
-        terms = _kept_local(T.clean(raw_terms, params))
-        found = T.conflicts(terms).limit(20).collect()
-        if found:
-            listed = "; ".join(f"{r['block']}: '{r['term']}' is pos and {r['other_kind']}" for r in found)
-            raise ValueError(f"Contradicting terms: {listed}")
+        terms = T.clean(raw_terms, params)
+        if matching == "row":
+            # Read and cleaned only once; the plan will hold these terms anyway.
+            terms = terms.sparkSession.createDataFrame(terms.toArrow())
+        contradicting = T.conflicts(terms).count()
+        if contradicting:
+            raise ValueError(
+                f"Contradicting terms: {contradicting} are positive and something else in the same block; "
+                "operators.terms.conflicts lists them"
+            )
         if inline is not None:
             terms = inline.unionByName(terms)
         has_rules = any(c.strip().lower() == "normalization_type" for c in raw_terms.columns)
-        rules = rules_from_table(T.norm_rules(raw_terms)) if has_rules else None
-        return cls(params, T.route(terms, params.block_order), rules, row_key)
+        if has_rules:
+            of_table = rules_from_table(T.norm_rules(raw_terms))
+            rules = of_table if of_table.enabled or rules is None else rules
+        return cls(params, T.route(terms, params.block_order), rules, row_key, matching)
 
     @property
     def blocks(self) -> tuple[str, ...]:
@@ -64,7 +83,7 @@ class TriageEngine:
     def with_params(self, **changes) -> TriageEngine:
         """The same dictionary under other scoring or decision parameters."""
         params = self.params.with_(**changes)
-        other = TriageEngine(params, self.term_set, self.rules, self.row_key)
+        other = TriageEngine(params, self.term_set, self.rules, self.row_key, self.matching)
         if not {"max_gap", "token_unit", "proximity"} & set(changes):
             for name in ("compiled", "match_index", "highlight_index"):
                 if name in self.__dict__:
@@ -76,25 +95,24 @@ class TriageEngine:
         return T.compile_terms(self.term_set, self.rules, self.params)
 
     @cached_property
-    def match_index(self) -> M.KeyIndex | None:
+    def match_index(self) -> M.KeyIndex:
         return M.KeyIndex.build(M.match_entries(self.compiled), M.MATCH_ENTRY)
 
     @cached_property
-    def highlight_index(self) -> M.KeyIndex | None:
+    def highlight_index(self) -> M.KeyIndex:
         return M.KeyIndex.build(H.highlight_entries(self.compiled), H.HIGHLIGHT_ENTRY)
 
-    def _key(self) -> str:
-        if self.row_key is None:
-            raise ValueError(
-                f"More than {M.MAX_NARROW_TERMS} terms: name a row_key that identifies an article"
-            )
-        return self.row_key
+    def of_kinds(self, *kinds: str) -> TriageEngine:
+        """The same engine with the terms of some kinds only."""
+        terms = self.term_set.terms.filter(F.col("kind").isin(*kinds))
+        term_set = T.TermSet(terms, self.term_set.blocks, self.term_set.has_t0)
+        return TriageEngine(self.params, term_set, self.rules, self.row_key, self.matching)
 
     def match(self, articles: DataFrame) -> DataFrame:
         """Adds `hits` and `has_tags`."""
-        if self.match_index is not None:
+        if self.matching == "row":
             return M.match_narrow(articles, self.match_index, self.rules)
-        return M.match_join(articles, M.match_entries(self.compiled), self.rules, self._key())
+        return M.match_join(articles, M.match_entries(self.compiled), self.rules, self.row_key)
 
     def evaluate(self, articles: DataFrame) -> DataFrame:
         """Adds block evaluations (`evals`) and the pre-screen's outcome (`t0`)."""
@@ -106,12 +124,14 @@ class TriageEngine:
 
     def highlight(self, articles: DataFrame) -> DataFrame:
         """Adds the sections with matched text marked."""
-        words = H.with_original_words(articles)
-        if self.highlight_index is not None:
-            found = M.with_candidates(words, self.highlight_index)
+        if self.matching == "row":
+            words = H.with_original_words(articles)
+            found = M.with_candidates(words, self.highlight_index, "")
         else:
             entries = H.highlight_entries(self.compiled)
-            found = M.with_joined_candidates(words, entries, H.HIGHLIGHT_ENTRY, self._key())
+            found = M.with_joined_candidates(
+                articles, entries, H.HIGHLIGHT_ENTRY, self.row_key, H.with_original_words, ""
+            )
         return H.marked_sections(found, articles.columns)
 
     def run(self, articles: DataFrame, id_output: str = "ID", timestamp: bool = True) -> DataFrame:
@@ -128,12 +148,6 @@ class TriageEngine:
         return M.hit_rows(self.match(articles), self.blocks, *keep)
 
 
-def _kept_local(terms: DataFrame) -> DataFrame:
-    """A small term table as a local relation, so that it is read and cleaned only once."""
-    rows = terms.limit(M.MAX_NARROW_TERMS + 1).toArrow()
-    return terms if rows.num_rows > M.MAX_NARROW_TERMS else terms.sparkSession.createDataFrame(rows)
-
-
 def require_articles(articles: DataFrame) -> None:
     """Refuse an empty corpus before anything is written."""
     if articles.isEmpty():

@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.functions.text import named
 from winnow.params import VERSION, Params
 
 # Manifest format.
@@ -21,7 +22,7 @@ ROOT_KEYS = (
     "protocol_version", "schema_id", "execution_id", "generated_at", "triage_version", "inputs",
     "configuration", "processing", "artifacts", "reproducibility",
 )
-METHODOLOGY = {"scoring": "weighted section scores with level-based thresholds", "normalization": "rule-based"}
+METHODOLOGY = {"scoring": "levels and section weights, thresholds by level", "normalization": "rules"}
 
 MANIFEST = """
     protocol_version string, schema_id string, execution_id string, generated_at string,
@@ -50,7 +51,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
     A sum over row hashes keeps what an exclusive-or would lose: equal rows in pairs.
     """
-    row = F.xxhash64(*df.columns)
+    # As JSON with its nulls: a hash of columns passes over nulls, wherever they stand.
+    row = F.xxhash64(F.to_json(F.struct(*map(named, df.columns)), {"ignoreNullFields": "false"}))
     summed = F.sum(row.cast("decimal(38,0)")).cast("string")
     return df.agg(
         F.count("*").alias("n_rows"),
@@ -58,12 +60,6 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 prefix per file, for files small enough to be one value (term tables)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
-
-
 def manifest(
     spark: SparkSession,
     params: Params,
@@ -146,7 +142,7 @@ def migrate_manifests(documents: DataFrame, column: str = "document") -> DataFra
     Keys that are already there are kept as they are, known or not.
     """
     doc = F.col(column)
-    parsed = F.from_json(doc, "map<string,string>")
+    parsed = F.from_json(doc, "map<string,variant>")
     known = _root(doc, "protocol_version").isin(*MIGRATABLE)
     objects = {k: "{}" for k in ("inputs", "configuration", "processing", "artifacts", "reproducibility")}
     scalars = {
@@ -172,7 +168,7 @@ def migrate_manifests(documents: DataFrame, column: str = "document") -> DataFra
         *(F.when(absent(k), member(k, quoted(v))) for k, v in scalars.items()),
         F.when(absent("methodology"), member("methodology", F.lit(json.dumps(METHODOLOGY)))),
     ]
-    # What is there already, as written: objects stay JSON, texts are quoted again.
+    # What is there already keeps its value and type.
     kept = F.transform(
         F.filter(
             F.map_entries(parsed), lambda e: ~e["key"].isin("protocol_version", "schema_id")
@@ -180,9 +176,7 @@ def migrate_manifests(documents: DataFrame, column: str = "document") -> DataFra
         lambda e: F.concat(
             quoted(e["key"]),
             F.lit(":"),
-            F.when(e["value"].isNull(), F.lit("null"))
-            .when(e["value"].rlike(r"^\s*[\{\[]"), e["value"])
-            .otherwise(quoted(e["value"])),
+            F.coalesce(F.to_json(e["value"]), F.lit("null")),
         ),
     )
     body = F.concat(

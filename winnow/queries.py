@@ -13,9 +13,11 @@ from winnow.functions.text import NormRules, normalize
 from winnow.operators import analytics as A
 from winnow.operators import results as R
 from winnow.operators import terms as T
+from winnow.operators.decision import decide
 from winnow.params import SECTIONS, Params
 from winnow.plans import manifest as MF
 from winnow.plans.engine import TriageEngine
+from winnow.plans.run import results_with_errors
 from winnow.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +52,23 @@ SCOPED = [
     ("GLOBAL", "anti", "src7", "", "manual_tags", "0"),
 ]
 BROAD = [*X.TERMS, ("FUNC", "pos", "*e*", "5", "any", "0"), ("FORM", "pos", "qzqzqz", "5", "any", "0")]
+ANY_LENGTH = [("FUNC", "pos", "th(e*)|z*", "1", "any", "1")]
+NORMALIZED = [
+    ("FUNC", "pos", "through", "1", "any", "0"),
+    ("FUNC", "pos", "it", "2", "any", "0"),
+    ("FORM", "pos", "thorough", "3", "any", "0"),
+    ("FORM", "flag", "informatics", "", "any", "0"),
+]
+# A whole configuration without a term table, its pre-screen included.
+INLINE = {
+    "FUNC": {
+        "positives": [{"term": "that", "level": 2}, {"term": "th*", "level": "5"}, {"term": "pour", "level": 2}],
+        "anti": {"flag": [{"term": "than"}]},
+    },
+    "FORM": {"positives": [{"term": "this", "level": 3}, {"term": "en", "level": 5, "scope": "abstract"}]},
+    "T0": {"anti": {"exclude": [{"term": "thth"}], "flag": [{"term": "avec"}]}},
+    "IDLE": {"positives": [{"term": "not asked for", "level": 1}]},
+}
 UNIFORM = [t for t in X.TERMS if t[0] != "GLOBAL"] + [("VOID", "pos", "qzqzqz", "1", "any", "0")]
 
 RULES = NormRules(
@@ -71,6 +90,9 @@ def engine(spark: SparkSession, name: str = "fixture", **params) -> TriageEngine
         "scoped": (SCOPED, X.BLOCKS),
         "broad": (BROAD, X.BLOCKS),
         "uniform": (UNIFORM, (*X.BLOCKS, "VOID")),
+        "any_length": (ANY_LENGTH, X.BLOCKS),
+        "normalized": (NORMALIZED, X.BLOCKS),
+        "dotted": ([(t[0].replace("FUNC", "A.1"), *t[1:]) for t in X.TERMS], ("A.1", "FORM")),
     }[name]
     key = (spark.sparkContext.applicationId, name)
     if key not in _engines:
@@ -105,6 +127,22 @@ def _results(name: str = "fixture", **params) -> Query:
     return query
 
 
+def _evaluated_twice(spark: SparkSession, sf: str, id_a: Column, id_b: Column) -> DataFrame:
+    """Every article with its decision under two policies, from one evaluation, as two rows."""
+    e = engine(spark)
+    evaluated = e.evaluate(X.articles(spark, sf, "doc_id", "lang", "source"))
+
+    def under(df: DataFrame, policy: str) -> DataFrame:
+        found = decide(df, e.blocks, e.has_t0, e.params.with_(policy=policy))
+        return found.withColumnRenamed("Final_Decision", policy).drop("Decision_Reason")
+
+    sides = [
+        F.struct(F.lit(side).alias("side"), key.alias("article_id"), F.col(policy).alias("Final_Decision"))
+        for side, key, policy in (("a", id_a, "special"), ("b", id_b, "strict"))
+    ]
+    return under(under(evaluated, "special"), "strict").select(F.inline(F.array(*sides)))
+
+
 def _round(col: str, digits: int = 2) -> Column:
     return F.round(F.col(col), digits).alias(col)
 
@@ -153,33 +191,38 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compound_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every title as if it were a term: its neighbouring parts."""
+    """Every section as if it were a term: its neighbouring parts."""
     pair = F.col("pair")
-    rows = articles(spark, sf).select(
-        "id", F.posexplode(P.compound_pairs(normalize(F.col("title")))).alias("pos", "pair")
+    cells = [F.struct(F.lit(s).alias("section"), normalize(F.col(s)).alias("norm")) for s in SECTIONS]
+    rows = articles(spark, sf).select("id", F.inline(F.array(*cells)))
+    rows = rows.select("id", "section", F.posexplode(P.compound_pairs(F.col("norm"))).alias("pos", "pair"))
+    return rows.select(
+        "id", "section", "pos", F.get(pair, F.lit(0)).alias("a"), F.get(pair, F.lit(1)).alias("b")
     )
-    return rows.select("id", "pos", F.get(pair, F.lit(0)).alias("a"), F.get(pair, F.lit(1)).alias("b"))
 
 
 # -- term tables made from the documents --------------------------------------------------
 
 
 def document_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """A raw term table: one row per document, with all the faults a table can have."""
+    """A raw term table: one row per word of the documents, with all the faults a table can have."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    i = F.col("doc_id")
-    first = F.regexp_extract("text", r"^[^ \n]*", 0)
+    words = docs.select(
+        "doc_id", "lang", "source",
+        F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("pos", "word"),
+    )
+    i = F.col("doc_id") + F.col("pos")
 
     def pick(n: int, *values: str) -> Column:
         return F.get(F.array(*map(F.lit, values)), (i % n).cast("int"))
 
-    return docs.select(
-        i.cast("int").alias("source_row"),
+    return words.select(
+        (F.col("doc_id") * 100_000 + F.col("pos")).alias("source_row"),
         F.when(i % 41 == 0, "").when(i % 11 == 0, "GLOBAL").otherwise(F.upper("lang")).alias(" Block"),
         F.when(i % 43 == 0, "bogus")
         .otherwise(pick(6, "pos", "POS ", "pos", "anti", "flag", "pos"))
         .alias("Kind"),
-        F.when(i % 37 == 0, "").when(i % 29 == 0, "e").otherwise(first).alias("TERM"),
+        F.when(i % 37 == 0, "").when(i % 29 == 0, "e").otherwise(F.col("word")).alias("TERM"),
         pick(9, "1", "2.0", "", "1.5", "x", "3", "9", "4", " 5 ").alias("level"),
         pick(5, "any", "title", "Abstract", "body", "any").alias("section_scope"),
         pick(7, "0", "no", "", "0", "maybe", "0", "0").alias("is_regex"),
@@ -296,10 +339,6 @@ def level_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return A.level_distribution(_results()(spark, sf))
 
 
-def run_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return A.totals(_results()(spark, sf))
-
-
 def report(spark: SparkSession, sf: str) -> DataFrame:
     return A.report(_results()(spark, sf)).select("part", "block", "name", _round("value"), _round("pct"))
 
@@ -338,54 +377,136 @@ def coverage_export(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("term", "status", "hits", _round("pct"), "articles", "section_hits")
 
 
-def _two_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs per language and source, so that ids repeat and some are in one run only."""
-    docs = X.articles(spark, sf, "lang", "source")
-
-    def run(policy: str, absent: str) -> DataFrame:
-        decided = engine(spark, policy=policy).decide(docs)
-        named = decided.select(F.concat_ws("-", "lang", "source").alias("ID"), "Final_Decision")
-        return named.filter(F.col("ID") != absent)
-
-    return run("special", "en-src1"), run("strict", "fr-src0")
+def _group_ids() -> tuple[Column, Column]:
+    """Ids that repeat, and some that are in one run only, while every row stays."""
+    group = F.concat_ws("-", "lang", "source")
+    return group, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("other-"), "source")).otherwise(group)
 
 
 def run_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return A.run_diff(*_two_runs(spark, sf))
+    return A.diff_of_sides(_evaluated_twice(spark, sf, *_group_ids()))
 
 
 def diff_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (_decided(policy=p)(spark, sf).select("id", "Final_Decision") for p in ("special", "strict"))
-    return A.diff_transitions(A.run_diff(a, b))
+    both = _evaluated_twice(spark, sf, F.col("id"), F.col("id"))
+    return A.diff_transitions(A.diff_of_sides(both))
+
+
+def run_diff_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Two result tables, as from two runs."""
+    other = dict(policy="k_of_n", min_approved_blocks=1, max_flagged_blocks=1)
+    a, b = (_decided(**params)(spark, sf).select("id", "Final_Decision") for params in ({}, other))
+    return A.run_diff(a, b)
 
 
 def diff_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return A.diff_totals(*_two_runs(spark, sf))
+    both = _evaluated_twice(spark, sf, *_group_ids())
+    return A.diff_totals(*(both.filter(F.col("side") == side) for side in ("a", "b")))
 
 
 # -- result tables ------------------------------------------------------------------------
 
 
 def results_page(spark: SparkSession, sf: str) -> DataFrame:
-    return R.page(_results()(spark, sf), [F.col("ID").cast("int")], 2, "REJECTED_FINAL")
+    """The second page: it begins behind the last key of the first one."""
+    rows, key = _results()(spark, sf), F.col("ID").cast("int")
+    first = R.page(rows, key, None, "REJECTED_FINAL")
+    return R.page(rows, key, first.agg(F.max(key)).scalar(), "REJECTED_FINAL")
 
 
 def highlight(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark).highlight(articles(spark, sf)).select("id", *R.HIGHLIGHTED)
 
 
+def highlight_regex(spark: SparkSession, sf: str) -> DataFrame:
+    """A regex that also matches nothing: what it does match is marked."""
+    return engine(spark, "any_length").highlight(articles(spark, sf)).select("id", *R.HIGHLIGHTED)
+
+
+def term_hits_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary as a table, joined with the texts' words."""
+    params = Params(block_order=X.BLOCKS)
+    e = TriageEngine.build(X.raw_terms(spark, X.TERMS), params, matching="join", row_key="id")
+    return e.hits(articles(spark, sf), "id").select(
+        "id", "block", "kind", "term", "level", "section", "match_type", "source_row"
+    )
+
+
+def normalized_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms and texts under the same normalisation rules."""
+    e = engine(spark, "normalized")
+    ruled = TriageEngine(e.params, e.term_set, RULES)
+    return ruled.hits(articles(spark, sf), "id").select("id", "block", "kind", "term", "section")
+
+
+def inline_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions of a configuration that brings its own blocks and pre-screen."""
+    none = spark.createDataFrame([], X.RAW_SCHEMA)
+    e = TriageEngine.build(none, Params(block_order=X.BLOCKS), T.inline_terms(spark, INLINE))
+    return e.decide(articles(spark, sf)).select("id", "Final_Decision", "Decision_Reason")
+
+
+def _with_errors(spark: SparkSession, sf: str) -> DataFrame:
+    position, error = S.PLACES
+    docs = X.articles(spark, sf, "doc_id").withColumns(
+        {position: F.col("doc_id"), error: F.when(F.col("doc_id") % 50 == 7, F.lit("bad record"))}
+    )
+    return results_with_errors(engine(spark), docs.drop("doc_id"), timestamp=False)
+
+
+def error_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth record cannot be read; it is in the results all the same."""
+    return _with_errors(spark, sf).select("ID", "Final_Decision", "Decision_Reason")
+
+
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    counted = A.totals(_with_errors(spark, sf))
+    return counted.select("n_total", "n_valid", "n_error", _round("error_rate", 6))
+
+
 def sample_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return engine(spark).preview(articles(spark, sf), 50, 42)
+    """What can be said of a sample: its size, that its rows are articles, that it can be drawn again."""
+    docs, e = articles(spark, sf), engine(spark)
+    drawn = e.preview(docs, 50, 42).select("ID", "Final_Decision")
+    again = R.sample_articles(docs.repartition(3), 50, 42).select(F.col("id").alias("again"))
+    decided = e.decide(docs).select(F.col("id").alias("known"), F.col("Final_Decision").alias("d"))
+    same = (F.col("ID") == F.col("known")) & (F.col("Final_Decision") == F.col("d"))
+    joined = drawn.join(decided, same, "left").join(again, F.col("ID") == F.col("again"), "left")
+    return joined.agg(
+        F.count("*").alias("n_rows"), F.count("known").alias("n_as_in_run"), F.count("again").alias("n_again")
+    )
 
 
 def input_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return MF.table_fingerprint(spark.read.parquet(f"{sf}/documents.parquet"))
+    """Rows, and whether the fingerprint stays the same in another order and differs for other rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = MF.table_fingerprint(docs)
+    other = MF.table_fingerprint(docs.repartition(7, "source")).select(F.col("hash").alias("moved"))
+    less = docs.withColumn("lang", F.when(F.col("doc_id") > 0, F.col("lang")))
+    less = MF.table_fingerprint(less).select(F.col("hash").alias("changed"))
+    one = lambda df: df.withColumn("k", F.lit(1))
+    joined = one(found).join(one(other), "k").join(one(less), "k")
+    return joined.select(
+        "n_rows", (F.col("hash") == F.col("moved")).alias("order_free"), (F.col("hash") != F.col("changed")).alias("tells_nulls")
+    )
 
 
 def run_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    found = input_fingerprint(spark, sf).first()
-    inputs = {"input_file": f"{sf}/documents.parquet", "input_hash": found["hash"]}
-    return MF.manifest(spark, Params(), X.BLOCKS, found["n_rows"], 1.0, inputs)
+    """The manifest of a run over the documents, without what depends on time and place."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = MF.table_fingerprint(docs).first()
+    inputs = {"input_file": "documents", "input_hash": found["hash"]}
+    m = MF.manifest(spark, Params(), X.BLOCKS, found["n_rows"], 2.0, inputs)
+    return m.select(
+        "protocol_version",
+        "triage_version",
+        "inputs.input_file",
+        F.length("inputs.input_hash").alias("hash_length"),
+        "configuration.decision_policy",
+        F.array_join("configuration.domain_blocks.id", ",").alias("blocks"),
+        "processing.total_articles",
+        "processing.articles_per_second",
+    )
 
 
 def manifest_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -402,6 +523,9 @@ def manifest_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("source").alias("input_file")).alias("inputs"),
         F.when(i % 7 > 0, F.struct(F.lit("strict").alias("decision_policy"))).alias("configuration"),
         F.struct(F.col("n_chars").alias("total_articles")).alias("processing"),
+        F.concat(F.lit("[draft] {"), "source").alias("note"),
+        F.col("n_chars").alias("size"),
+        (i % 2 == 0).alias("final"),
     )
     return docs.select(i.alias("doc_id"), F.to_json(body).alias("document"))
 
@@ -414,13 +538,18 @@ def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
 def manifest_migration(spark: SparkSession, sf: str) -> DataFrame:
     migrated = MF.migrate_manifests(manifest_documents(spark, sf))
     checked = MF.validate_manifests(migrated, "migrated")
-    return checked.select(
+    # Read with their types: a number that became a text would be null here.
+    kept = F.from_json("migrated", "note string, size bigint, final boolean", {"mode": "FAILFAST"})
+    return checked.withColumn("kept", kept).select(
         "doc_id",
         "error",
         F.when(F.col("migrated").isNotNull(), F.size("errors")).alias("n_errors"),
         F.get_json_object("migrated", "$.inputs.input_file").alias("input_file"),
         F.get_json_object("migrated", "$.execution_id").alias("execution_id"),
         F.get_json_object("migrated", "$.schema_id").alias("schema_id"),
+        F.col("kept.note").alias("note"),
+        F.col("kept.size").alias("size"),
+        F.col("kept.final").alias("final"),
     )
 
 
@@ -455,7 +584,14 @@ def queries() -> dict[str, Query]:
         ).withColumn("components", F.array_join("components", "+")),
         "regex_hits": _hits("regexes", "block", "kind", "term", "section"),
         "scoped_hits": _hits("scoped", "block", "kind", "term", "section"),
-        "anti_hits": _hits("fixture", "block", "kind", "term", "section", where="kind <> 'pos'"),
+        "anti_hits": lambda spark, sf: engine(spark)
+        .of_kinds("anti", "flag")
+        .hits(articles(spark, sf), "id")
+        .select("id", "block", "kind", "term", "section"),
+        "term_hits_joined": term_hits_joined,
+        "normalized_hits": normalized_hits,
+        "inline_terms": inline_terms,
+        "error_rows": error_rows,
         "section_scores": section_scores,
         "block_scores": block_scores,
         "noise_filter": _block_status(**noise),
@@ -467,13 +603,18 @@ def queries() -> dict[str, Query]:
         "decision_strict": _decision(policy="strict"),
         "decision_strict_all_blocks": _decision(policy="strict", fail_fast=False),
         "decision_k_of_n": _decision(policy="k_of_n", min_approved_blocks=1, max_flagged_blocks=1),
-        "decision_distribution": triage,
+        "decision_distribution": lambda spark, sf: A.decision_distribution(
+            _decided(policy="k_of_n", min_approved_blocks=1, max_flagged_blocks=1)(spark, sf)
+        ).select("Final_Decision", "n", _round("pct")),
         "status_distribution": status_distribution,
         "block_performance": block_performance,
         "score_distribution": score_distribution,
         "level_distribution": level_distribution,
         "run_totals": run_totals,
         "report": report,
+        "report_dotted_block": lambda spark, sf: A.report(_results("dotted")(spark, sf)).select(
+            "part", "block", "name", _round("value"), _round("pct")
+        ),
         "term_coverage": _coverage,
         "term_coverage_all_blocks": lambda spark, sf: _coverage(spark, sf, ignore_fail_fast=True),
         "coverage_of_results": lambda spark, sf: A.coverage_of_results(_results("broad")(spark, sf)),
@@ -484,11 +625,13 @@ def queries() -> dict[str, Query]:
         "suggestions": suggestions,
         "coverage_export": coverage_export,
         "run_diff": run_diff,
+        "run_diff_stored": run_diff_stored,
         "diff_transitions": diff_transitions,
         "diff_totals": diff_totals,
         "results": _results(),
         "results_page": results_page,
         "highlight": highlight,
+        "highlight_regex": highlight_regex,
         "sample_preview": sample_preview,
         "input_fingerprint": input_fingerprint,
         "run_manifest": run_manifest,

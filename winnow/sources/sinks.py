@@ -7,6 +7,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.text import named
+
+_BOM = "\ufeff"
+
 
 def export_options(cfg: dict[str, Any] | None = None) -> dict[str, Any]:
     """Output settings of a configuration, with defaults."""
@@ -25,7 +29,7 @@ def _as_text(df: DataFrame, options: dict[str, Any]) -> DataFrame:
     """Numbers with decimals as text in the configured form."""
 
     def cell(name: str, kind: str) -> Column:
-        col = F.col(f"`{name}`")
+        col = named(name)
         if kind not in ("double", "float"):
             return col
         text = F.format_string(options["csv_float_format"], col)
@@ -37,10 +41,12 @@ def _as_text(df: DataFrame, options: dict[str, Any]) -> DataFrame:
 def write_csv(df: DataFrame, path: str, cfg: dict[str, Any] | None = None, mode: str = "error") -> None:
     """A folder of CSV files, as the tasks wrote them."""
     options = export_options(cfg)
-    encoding = options["encoding"]
-    _as_text(df, options).write.mode(mode).csv(
-        path, sep=options["csv_sep"], header=True, quote='"', escape='"',
-        encoding="UTF-8" if encoding.lower() == "utf-8-sig" else encoding,
+    encoding, rows = options["encoding"], _as_text(df, options)
+    if encoding.lower() == "utf-8-sig":
+        # Each file begins with its header, so the mark goes before the first name.
+        encoding, rows = "UTF-8", rows.toDF(_BOM + df.columns[0], *df.columns[1:])
+    rows.write.mode(mode).csv(
+        path, sep=options["csv_sep"], header=True, quote='"', escape='"', encoding=encoding
     )
 
 

@@ -13,8 +13,8 @@ from winnow.plans.engine import TriageEngine
 
 
 def triage_stream(engine: TriageEngine, articles: DataFrame, id_output: str = "ID") -> DataFrame:
-    if engine.match_index is None or engine.highlight_index is None:
-        raise ValueError("The dictionary is too large to travel in the plan of a stream")
+    if engine.matching != "row":
+        raise ValueError("A stream is matched by row: build the engine with matching='row'")
     return engine.run(articles, id_output)
 
 
