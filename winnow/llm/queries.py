@@ -46,6 +46,32 @@ FROM documents
 WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS name, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT name, least(len(w), 13) AS k, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS win
+  FROM (SELECT name, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+        FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)
+), h AS (SELECT doc_id, s, k, name FROM dw JOIN iw USING (k, win)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM h) GROUP BY doc_id),
+n AS (
+  SELECT doc_id, count(*) AS items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, name FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(n.items, 0) AS n_items,
+       sha256(coalesce(n.names, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -116,4 +142,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": OP1,
         "op6_exact_dedup": OP6,
+        "op7_decontaminate": OP7,
     }
