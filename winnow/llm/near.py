@@ -12,11 +12,9 @@ Jaccard similarity of the shingle sets is 0.8 or more; classes are what links co
 
 No bucket is ever paired out when it is large. Its most popular text, the one with the most
 bucket mates over all its bands, is compared with all others; near copies of one source meet that
-source. Buckets whose texts are not all in one class yet are opened again: 16, 256, ... texts of
-each meet those of other classes, until all have met. No pair is compared twice, and a pair is only
-made if the shingles that each of the two shares with any other text of an open bucket would be
-enough for the similarity. Both tests are exact, so no candidate link between classes is lost, while
-large classes cost one comparison per text.
+source. In buckets whose texts are not all in one class then, those of different classes are
+compared with each other inside a join, out of which only links come. So no candidate link between
+classes is lost, large classes cost one comparison per text, and pairs are never stored.
 
 Defined results: texts without words (null, empty, signs only) are a class each; repeated rows are
 copies; a class is named by its smallest doc_id, nulls last.
@@ -28,7 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +50,7 @@ SIGNED = T.StructType(
         T.StructField("words_a", T.LongType()),
         T.StructField("words_b", T.LongType()),
         T.StructField("signature", T.ArrayType(T.IntegerType())),
-        T.StructField("shingles", T.BinaryType()),
+        T.StructField("shingles", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -115,8 +113,8 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
                 sums = np.r_[U64(0), np.cumsum(spread, dtype=U64)]
                 names.append(mix(sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64))
             ends = np.searchsorted(text, np.arange(n + 1))
-            low = shingle.astype(np.uint32)
-            sets = [np.unique(low[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            low = shingle.astype(np.uint32).view(np.int32)
+            sets = [np.unique(low[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             empty = w.first[1:] == w.first[:-1]
             made = {
                 "words_a": pa.array(names[0], mask=empty),
@@ -124,7 +122,7 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
                 "signature": pa.ListArray.from_arrays(
                     pa.array(np.arange(n + 1) * registers, type=pa.int32()), pa.array(found.reshape(-1))
                 ),
-                "shingles": pa.array(sets, type=pa.binary()),
+                "shingles": pa.array(sets, type=pa.list_(pa.int32())),
             }
             yield pa.RecordBatch.from_arrays(
                 [
@@ -137,31 +135,22 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
     return run
 
 
-def _similar(schema: pa.Schema) -> Callable:
+def _similar(x: str, y: str) -> Column:
+    """Whether two sets of shingles, given by their columns, are similar."""
     least, of = SIMILARITY
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            kept = []
-            for i, (x, y) in enumerate(zip(get("shingles_a"), get("shingles_b"), strict=True)):
-                x, y = (np.frombuffer(s.as_py(), dtype=np.uint32) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if of * both >= least * (len(x) + len(y) - both):
-                    kept.append(i)
-            rows = pa.array(kept, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([get(f.name).take(rows) for f in schema], schema=schema)
-
-    return run
+    small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    both = F.size(F.array_intersect(x, y))
+    # Sizes alone rule many pairs out before shingles are compared.
+    return (of * small >= least * large) & (of * both >= least * (F.size(x) + F.size(y) - both))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar. Many pairs may have the same a; b differs more.
 
     `texts` is stored in buckets of rid. Texts that are an `a` are stored apart: the join with them
-    has an exchange on both sides, which lets Spark split an `a` with many pairs.
+    has an exchange on both sides, which lets Spark split an `a` with many pairs. Signatures go
+    first, as they are shorter.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
         firsts = texts.join(pairs.select(F.col("a").alias("rid")).distinct(), "rid", "left_semi")
@@ -171,41 +160,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     agree = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda x: x))
     close = joined(pairs, "signature").filter(agree >= LEAST_AGREEMENT * F.size("signature_a")).select("a", "b")
-    close = settle(close)
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return settle(joined(close, "shingles").mapInArrow(_similar(to_arrow_schema(schema)), schema))
-
-
-def _exploded(schema: pa.Schema) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            sets = [np.frombuffer(s.as_py(), dtype=np.int32) for s in get("shingles")]
-            rids = np.repeat(get("rid").to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(np.concatenate(sets))], schema=schema)
-
-    return run
-
-
-def _common(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """rid, size (its shingles) and common (those that another member has, too)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T._parse_datatype_string("rid long, shingle int")
-    own = texts.select("rid", "shingles").join(members.select("rid").distinct().hint("shuffle_hash"), "rid", "left_semi")
-    rows = settle(own.mapInArrow(_exploded(to_arrow_schema(schema)), schema))
-    shared = settle(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle", F.lit(1).alias("here")))
-    marked = rows.join(shared, "shingle", "left")
-    return settle(marked.groupBy("rid").agg(F.count("*").alias("size"), F.count("here").alias("common")))
-
-
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets that hold texts of several classes, with their class so far."""
-    named = members.join(found, members["rid"] == found["node"], "left")
-    named = settle(named.withColumn("component", F.coalesce("component", members["rid"])).drop("node"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = settle(mixed.filter("x <> y").select("band"))
-    return settle(named.join(mixed, "band", "left_semi"))
+    return settle(joined(settle(close), "shingles").filter(_similar("shingles_a", "shingles_b")).select("a", "b"))
 
 
 def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -220,41 +175,21 @@ def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     first = members.join(popular, "rid").groupBy("band").agg(F.max(F.struct("popularity", "rid")).alias("first"))
     first = settle(first.select("band", F.col("first.rid").alias("a")))
     pairs = members.join(first, "band").filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-    tried = settle(pairs)
-    links = _links(tried, texts)
+    links = _links(settle(pairs), texts)
     found = settle(components(links))
-    rest = _open(members, found).drop("component")
+    # Buckets that hold texts of several classes: these have met the first text, but not each other.
+    named = members.filter("mates > 2").join(found, members["rid"] == found["node"], "left")
+    named = settle(named.select("band", "rid", F.coalesce("component", "rid").alias("class")))
+    mixed = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"))
+    rest = settle(named.join(settle(mixed.filter("x <> y").select("band")), "band", "left_semi"))
     if rest.isEmpty():
         return found
-    members = settle(rest.join(_common(texts, rest), "rid"))
-    # The shingles that two texts share are common ones of both; with no more than that they
-    # cannot be similar.
-    least, of = SIMILARITY
-    both = F.least("common", "common_a")
-    may_be = of * both >= least * (F.col("size") + F.col("size_a") - both)
-    turn = 16
-    while True:
-        named = _open(members, found)
-        largest = named.agg(F.max("mates")).first()[0] or 0
-        share = F.greatest(F.ceil(F.col("mates") / turn), F.lit(1))
-        chosen = named.filter(F.pmod(F.xxhash64("rid", F.lit(turn)), share) == 0)
-        chosen = settle(
-            chosen.select(
-                "band", F.col("rid").alias("a"), F.col("component").alias("own"),
-                F.col("size").alias("size_a"), F.col("common").alias("common_a"),
-            )
-        )
-        met = named.join(chosen, "band").filter((F.col("component") != F.col("own")) & may_be)
-        pairs = met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
-        seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = settle(pairs.join(seen, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tried = tried.union(pairs)
-            links = links.union(_links(pairs, texts))
-            found = settle(components(links))
-        if turn >= largest:
-            return found
-        turn *= 16
+    rest = settle(rest.join(texts.select("rid", "shingles"), "rid"))
+    other = rest.select("band", *(F.col(c).alias(f"{c}_b") for c in ("rid", "class", "shingles")))
+    apart = (F.col("rid") < F.col("rid_b")) & (F.col("class") != F.col("class_b"))
+    more = rest.join(other, (rest["band"] == other["band"]) & apart & _similar("shingles", "shingles_b"))
+    more = settle(more.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct())
+    return found if more.isEmpty() else settle(components(links.union(more)))
 
 
 def _stored(own: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
