@@ -1,7 +1,7 @@
 """Timings of the headline queries; prints one JSON line.
 
 Every query runs to a sink that takes all columns. One untimed run comes first, then the
-median of three. `articles_per_sec` adds throughput by dictionary size.
+median of two. `articles_per_sec` adds throughput by dictionary size.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from winnow.plans.engine import TriageEngine  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = [
     "triage", "term_hits", "wildcard_hits", "proximity_hits", "block_status",
     "decision_special", "decision_k_of_n", "report", "term_coverage",
