@@ -45,7 +45,7 @@ from winnow.llm.words import U64, mix
 ORDER = 5
 #: Labelled ids up to this number are sent to all tasks; more are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Rows of the table of n-grams that a task holds at a time: some 100 MB.
+#: Rows of the table of n-grams that the driver and a task hold at a time: some 60 MB.
 SHARD_ROWS = 4_000_000
 BEGIN, END = "\x02", "\x03"
 #: Of so many trusted documents one sets thresholds.
@@ -244,17 +244,29 @@ def _scored(lookup, text: str, lang: str, sums: str, size: str, order: int, sche
     return run
 
 
+def _hashed(order: int, schema: pa.Schema) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(batch.schema.get_field_index("gram")).to_pylist()
+            hashes = np.zeros(len(grams), dtype=U64)
+            for lang, members in _by_language(batch, "lang").items():
+                text = "".join([grams[i] for i in members])
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                hashes[members] = gram_hashes(codes, lang, order)[::order]
+            logp = batch.column(batch.schema.get_field_index("logp"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), logp.cast(pa.float32())], schema=schema)
+
+    return run
+
+
 def _shard(table: DataFrame, order: int) -> Lookup:
-    hashes, values = [], []
-    by: dict[str, list] = defaultdict(list)
-    for r in table.toLocalIterator():
-        by[r[0]].append((r[1], r[2]))
-    for lang, rows in by.items():
-        codes = np.frombuffer("".join(g for g, _ in rows).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        hashes.append(gram_hashes(codes, lang, order)[::order])
-        values.append(np.array([p for _, p in rows]))
-    empty = np.zeros(0, U64), np.zeros(0)
-    return Lookup(np.concatenate(hashes), np.concatenate(values)) if hashes else Lookup(*empty)
+    """A part of the table, hashed by the tasks: twelve bytes a row come to the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T._parse_datatype_string("hash long, logp float")
+    rows = table.mapInArrow(_hashed(order, to_arrow_schema(schema)), schema).toArrow()
+    hashes, values = (rows.column(n).to_numpy() for n in ("hash", "logp"))
+    return Lookup(hashes.view(U64), values)
 
 
 def with_folds(docs: DataFrame, labels: DataFrame, doc_id: str, name: str) -> DataFrame:
