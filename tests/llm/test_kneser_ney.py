@@ -124,6 +124,29 @@ def test_held_out_labels(spark):
     assert sum(bad) <= 0.25 * len(bad)
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_bad_documents_held_out(spark, half):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    train, held = labels.filter(f"doc_id % 2 = {half}"), labels.filter(f"doc_id % 2 <> {half}")
+    rows = K.report(spark.read.parquet(f"{sf}/documents.parquet"), train).join(held, "doc_id").collect()
+    clean = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert sum(clean) >= 0.98 * len(clean)
+    assert sum(bad) <= 0.1 * len(bad)
+
+
+def test_outliers_do_not_set_the_limit(spark):
+    rows = [(i, "en", K.THRESHOLD, -100.0 - i % 7, 100) for i in range(40)]
+    rows += [(i, "en", K.THRESHOLD, -500.0, 100) for i in (50, 51)] + [(60, "en", 0, -250.0, 100)]
+    rows += [(i, "fr", K.THRESHOLD, -100.0, 100) for i in range(70, 80)] + [(80, "fr", 0, -102.0, 100)]
+    names = ("fold", "sum_logp", "n_tokens")
+    found = spark.createDataFrame(rows, "doc_id long, lang string, fold int, sum_logp double, n_tokens long")
+    judged, out = K._judged(found, "lang", names)
+    kept = judged.filter(K._stays(out, "n_tokens"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), *range(70, 81)]
+
+
 def test_rows_that_stay(spark):
     docs = [(i, "good text here " * 20, "en") for i in range(30)] + [(90, "%$#@" * 40, "en"), (91, None, "en"), (92, "", "en"),
             (93, "good text here " * 20, "xx")]

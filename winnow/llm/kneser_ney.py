@@ -20,8 +20,10 @@ and its end.
 
 Decision. The deviation of a document is how far its log perplexity lies above the median of its
 language's threshold documents, times sqrt(n / (n + 100)) for n characters, as the mean of a short
-text varies more. It stays if that is no more than the 0.999 quantile of the threshold documents
-of its language.
+text varies more. It stays if that is no more than ten times the median absolute deviation of the
+threshold documents of its language, and in any case if it is no more than 0.05: a few documents
+with wrong labels do not move a median, at any number of documents, and a language whose trusted
+documents are mostly copies has no limit of zero.
 
 Defined results: null and empty texts have no perplexity and go; a null language is a language
 without a name; a language without such documents has no threshold, and its documents stay.
@@ -51,8 +53,9 @@ BEGIN, END = "\x02", "\x03"
 #: Of so many trusted documents one sets thresholds.
 FOLDS = 4
 COUNTED, THRESHOLD = 1, 2
-#: The share of threshold documents whose deviation is allowed.
-QUANTILE = 0.999
+#: The deviation that is allowed, in median absolute deviations of the threshold documents, and the
+#: deviation that always is.
+SPREADS, ALLOWED = 10, 0.05
 #: A text of this many characters has its deviation counted at 1 / sqrt(2).
 STEADY = 100
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -313,7 +316,7 @@ def scored(
 
 
 def _judged(
-    found: DataFrame, lang: str, names: tuple[str, str, str], quantile: float = QUANTILE, steady: int = STEADY
+    found: DataFrame, lang: str, names: tuple[str, str, str], spreads: float = SPREADS, steady: int = STEADY
 ) -> tuple[DataFrame, str]:
     """The scored documents with a column `range_` or the like: deviation, and limit of the language."""
     fold, sums, size = (col_name(n) for n in names)
@@ -321,19 +324,19 @@ def _judged(
     key = F.coalesce(F.col(col_name(lang)).cast("string"), F.lit(""))
     score = F.when(F.expr(f"{size} > 0"), F.expr(f"-{sums} / {size}"))
 
-    def per_language(value, share: float) -> DataFrame:
+    def medians(value) -> DataFrame:
         own = found_so_far.filter(f"{fold} = {THRESHOLD}").groupBy(key.alias("lang_"))
-        own = settle(own.agg(F.percentile_approx(value, share, 100_000).alias("value_")))
+        own = settle(own.agg(F.percentile_approx(value, 0.5, 100_000).alias("value_")))
         return F.broadcast(own) if own.count() <= 10_000 else own
 
     found_so_far = found
-    middle = per_language(score, 0.5).select(F.col("lang_"), F.col("value_").alias("middle_"))
+    middle = medians(score).select(F.col("lang_"), F.col("value_").alias("middle_"))
     away = (score - F.col("middle_")) * F.sqrt(F.expr(f"{size} / ({size} + {steady})"))
     found_so_far = found.join(middle, key == F.col("lang_"), "left").withColumn(out, away)
     found_so_far = found_so_far.select(*map(col_name, found.columns), out)
-    limit = per_language(F.col(out), quantile)
-    judged = found_so_far.join(limit, key == F.col("lang_"), "left")
-    return judged.withColumn(out, F.struct(F.col(out).alias("deviation"), F.col("value_").alias("limit"))), out
+    judged = found_so_far.join(medians(F.abs(F.col(out))), key == F.col("lang_"), "left")
+    limit = F.when(F.col("value_").isNotNull(), F.greatest(F.lit(ALLOWED), F.lit(spreads) * F.col("value_")))
+    return judged.withColumn(out, F.struct(F.col(out).alias("deviation"), limit.alias("limit"))), out
 
 
 def _stays(out: str, size: str) -> str:
