@@ -65,6 +65,28 @@ def test_blocks(page, blocks):
     assert [b for _, b in H.tree(page).blocks] == blocks
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<head><title>x</title><body><p>a", ["a"]),
+        ("<html><head><meta charset=utf-8><title>x</title><p>a</p><p>b", ["a", "b"]),
+        ("<head><title>x</title>a</head><p>b", ["a", "b"]),
+        ("<head><script>'<head>'</script><style>p{}</style></head><body>a", ["a"]),
+        ("<head><template><p>no</p></template><noscript><p>no</p></noscript></head>a", ["a"]),
+        ("<div><button>no</div><p>a", ["a"]),
+        ("<form><select><option>no</form>a", ["a"]),
+        ("<div><svg><text>no</div>a", ["a"]),
+        ("<svg><path><p>a", ["a"]),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>a", ["a"]),
+        ("<div><object><div>no</div>no</object>a<p>b</div>", ["a", "b"]),
+        ("<div><p>a<object><p>no</p>no</object>b</p></div>c", ["ab", "c"]),
+        ("<button>no<button>no</button>a", ["a"]),
+    ],
+)
+def test_hidden_elements_that_are_not_closed(page, blocks):
+    assert [b for _, b in H.tree(page).blocks] == blocks
+
+
 SENTENCES = "Some words of a sentence that goes on for a while, as they do. And another one, which is short. "
 
 

@@ -11,7 +11,8 @@ level of depth at a time. A block of text is main text if its element is part of
 probability of a half or more.
 
 Pages are read in their own row, nothing is shuffled. Text keeps its order; only scripts, styles,
-other code and controls, comments and head elements are never text.
+other code and controls, comments and head elements are never text. A head also ends where a tag
+or text comes that cannot be in one, a control or drawing where a block around it ends.
 
 Defined results: null and empty pages, and pages without an article, have an empty text; unclosed
 and misnested tags follow what browsers do in the common cases; text outside of all elements is not part of an article.
@@ -43,6 +44,12 @@ _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 NEVER = {"head", "template", "svg", "math", "canvas", "button", "select", "datalist", "object", "video", "audio", "map"}
+#: Start tags that a head holds; any other, or text, ends it, as `</head>` may be left out.
+IN_HEAD = {"base", "link", "meta", "title", "script", "style", "noscript", "template", "noframes", "head", "html"}
+#: Within these a block's start tag is no part of them but ends them, except in these parts.
+FOREIGN, FOREIGN_PARTS = {"svg", "math"}, {"foreignobject", "desc", "annotation-xml"}
+#: Start tags that end an open element of the same tag.
+ALONE = {"button", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BREAKS = {"br", "hr"}
 BLOCKS = {
@@ -122,6 +129,7 @@ def tree(page: str) -> Tree:
     stack: list[tuple[str, int]] = [("html", 0)]  # tag, block element
     links = 0
     hidden: list[str] = []
+    below: Counter[str] = Counter()  # blocks open within what is hidden
     parts: list[str] = []
 
     def flush() -> None:
@@ -143,10 +151,34 @@ def tree(page: str) -> Tree:
         links -= sum(tag == "a" for tag, _ in stack[k:])
         del stack[k:]
 
+    def stays_hidden(end: str, tag: str, attributes: str) -> bool:
+        """Whether a tag belongs to the open hidden elements; else they are at their end."""
+        if hidden == ["head"] and (tag in {"body", "html", "br"} if end else tag not in IN_HEAD):
+            return False
+        if end and tag in hidden:
+            del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+        elif end and tag in BLOCKS:
+            if not below[tag] and any(x == tag for x, _ in stack[1:]):
+                return False
+            below[tag] -= below[tag] > 0
+        elif end or attributes.endswith("/"):
+            return True
+        elif tag in BLOCKS:
+            if hidden[-1] in FOREIGN:
+                return False
+            below[tag] += 1
+        elif tag in NEVER and not (tag in ALONE and tag in hidden) and tag != "head":
+            hidden.append(tag)
+        elif tag in FOREIGN_PARTS and hidden[-1] in FOREIGN:
+            hidden.append(tag)
+        return True
+
     at = 0
     while True:
         m = _TOKEN.search(page, at)
         said = page[at : m.start()] if m else page[at:]
+        if hidden == ["head"] and said.strip():
+            hidden.clear()
         if said and not hidden:
             parts.append(said)
             if links:
@@ -157,12 +189,15 @@ def tree(page: str) -> Tree:
         end, tag, attributes = m[1], (m[2] or "").lower(), m[3]
         if not tag:
             continue
-        if hidden:
-            if tag == hidden[-1] and end:
-                hidden.pop()
-            elif tag == hidden[-1] and not attributes.endswith("/"):
-                hidden.append(tag)
+        if hidden and tag in RAW and not end:
+            stop = re.compile(rf"</{tag}[\s>/]", re.I).search(page, at)
+            if stop or hidden == ["head"]:
+                at = stop.start() if stop else len(page)
             continue
+        if hidden:
+            if stays_hidden(end, tag, attributes):
+                continue
+            hidden.clear()
         if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -180,8 +215,9 @@ def tree(page: str) -> Tree:
                 parts.append("\n")
             continue
         if tag in NEVER:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") or tag == "head":
                 hidden.append(tag)
+                below.clear()
             continue
         if tag not in BLOCKS:
             if not attributes.endswith("/"):
