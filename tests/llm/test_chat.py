@@ -87,6 +87,12 @@ def test_native(spark):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
 
 
+def test_turns_stay_out_of_the_numbering_of_parts(spark):
+    plan = C.perspectives(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().optimizedPlan()
+    windows = [x for x in plan.toString().splitlines() if re.search(r"\bWindow \[", x)]
+    assert windows and not any("perspective" in x for x in windows)
+
+
 def test_conversations_of_the_tables(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     assert run(df) == plain([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()])

@@ -92,8 +92,11 @@ def perspectives(chats: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     speakers = named.filter("NOT is_system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
     # Parts of a conversation first, so that its speakers meet one row per part.
     parts = named.groupBy("conv_id", "part").agg(F.collect_list(F.struct("turn", "speaker", "text", "is_system")).alias("turns"))
-    met = parts.join(speakers, "conv_id")
-    rows = met.select("conv_id", "part", "perspective", "turns")
+    # Parts are numbered by their names alone; the turns stay out of that sort.
+    order = Window.partitionBy("conv_id").orderBy("part")
+    numbers = named.select("conv_id", "part").distinct().withColumn("number", (F.row_number().over(order) - 1).cast("long"))
+    met = parts.join(numbers, ["conv_id", "part"]).join(speakers, "conv_id")
+    rows = met.select("conv_id", F.col("number").alias("part"), "perspective", "turns")
     listed = F.array_sort(F.transform("turns", lambda t: _turn(t, F.col("perspective"))))
     whole = rows.select("conv_id", "part", "perspective", listed.alias("turns"))
     lone = turns.filter("conv_id IS NULL AND NOT is_system").withColumn("perspective", F.col("speaker"))
@@ -103,7 +106,5 @@ def perspectives(chats: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         "perspective",
         F.array(_turn(F.struct("turn", "speaker", "text", "is_system"), F.col("perspective"))).alias("turns"),
     )
-    order = Window.partitionBy("conv_id", "perspective").orderBy("part")
-    numbered = whole.withColumn("part", (F.row_number().over(order) - 1).cast("long"))
-    both = numbered.unionByName(lone)
+    both = whole.unionByName(lone)
     return both.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), *_rendered(F.col("turns")))
