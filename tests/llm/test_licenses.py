@@ -76,6 +76,29 @@ def test_planted_notices(spark):
         )
 
 
+def test_licenses_that_differ_in_a_word(spark):
+    cases = {
+        "Released under the BSD License": ["BSD notice"],
+        "Released under the terms of the X License": [],
+        "Released under the terms of the MIT License": ["MIT notice"],
+        "Released under MIT License": ["MIT notice"],
+        "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0 notice"],
+        "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0 notice"],
+        "Licensed under CC BY 4.0": ["CC-BY-4.0 notice"],
+        "Licensed under CC BY-NC 2.0": [],
+        "Licensed under the Apache License 2.0": ["Apache-2.0 notice"],
+        "Licensed under the Apache License, Version 1.1": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0 notice"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0 notice"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0 notice"],
+        "This work is licensed under the GNU General Public License, version 1.": [],
+        "This work is licensed under the GNU General Public License 3.": ["GPL-3.0 notice"],
+        **{t: [n] for n, t in L.TEMPLATES.items()},
+    }
+    found = rows(spark, list(enumerate(cases)))
+    assert {t: [r[1] for r in found if r[0] == i] for i, t in enumerate(cases)} == cases
+
+
 def test_random_texts_against_unfiltered_search(spark):
     rng = random.Random(8)
     vocabulary = "a b c d e f g h".split()

@@ -3,7 +3,9 @@
 Words that come once in both the template and a stretch of text are anchors. The longest run of
 anchors in the same order on both sides is kept, and the gaps between them are aligned the same
 way, after equal words at the ends of a gap have been paired. Coverage is the share of the
-template's words that found a partner; `least` of it makes a notice.
+template's words that found a partner; `least` of it makes a notice. Licenses differ in a word or a
+number, so the words that name a license and its version (`DECIDING`) must be aligned, too, each
+group with nothing between its words but "license" or "version".
 
 A text is looked at in windows of twice the template's length, half a template apart, so every
 occurrence lies in one and other occurrences in the same text do not take its anchors away; behind
@@ -36,6 +38,14 @@ LEAST = 0.8
 # Public license notices, without the lines that name the holder.
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
 NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met: Redistributions of source code must retain the
+above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary
+form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution."""
+_GNU = """This program is free software; you can redistribute it and/or modify it under the terms of the
+{} as published by the Free Software Foundation; either version {} of the License,
+or (at your option) any later version."""
 TEMPLATES = {
     "MIT": f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software
 and associated documentation files (the "Software"), to deal in the Software without restriction,
@@ -49,22 +59,63 @@ OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without
 fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
 copies.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are
-permitted provided that the following conditions are met: Redistributions of source code must retain the
-above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary
-form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
-the documentation and/or other materials provided with the distribution.""",
+    "BSD-2-Clause": _BSD,
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
 except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0""",
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the
 GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
 or (at your option) any later version.""",
+    "BSD-3-Clause": f"""{_BSD} Neither the name of the copyright holder nor the names of its contributors may be
+used to endorse or promote products derived from this software without specific prior written permission.""",
+    "GPL-2.0": _GNU.format("GNU General Public License", "2"),
+    "LGPL-2.1": _GNU.format("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": _GNU.format("GNU Lesser General Public License", "3"),
+    "AGPL-3.0": _GNU.format("GNU Affero General Public License", "3"),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
+of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "CC0-1.0": """To the extent possible under law, the author has waived all copyright and related or
+neighboring rights to this work.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to
+copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-}
+    "BSD notice": "Released under the BSD License.",
+    "ISC notice": "Released under the ISC License.",
+    "MPL-2.0 notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC0-1.0 notice": "Licensed under CC0 1.0.",
+    **{
+        f"CC-{kind}-{version} notice": f"Licensed under CC {kind} {version}."
+        for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") for version in ("4.0", "3.0")
+        if (kind, version) != ("BY-NC", "4.0")
+    },
+}
+#: Groups of words of a template that must be aligned.
+DECIDING = {
+    "Apache-2.0": ("apache", "2 0"),
+    "BSD-3-Clause": ("neither the name",),
+    "MPL-2.0": ("mozilla public", "2 0"),
+    "CC0-1.0": ("waived all copyright",),
+    "Unlicense": ("unencumbered", "public domain"),
+    "MIT notice": ("mit",), "BSD notice": ("bsd",), "ISC notice": ("isc",),
+    "Apache-2.0 notice": ("apache", "2 0"),
+    "MPL-2.0 notice": ("mozilla public", "2 0"),
+    "CC0-1.0 notice": ("cc0 1 0",),
+    **{f"{n}{end}": (f"gnu{kind} general public", v if end else f"version {v}") for n, kind, v in (
+        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", " lesser", "2 1"), ("LGPL-3.0", " lesser", "3"),
+        ("AGPL-3.0", " affero", "3"),
+    ) for end in ("", " notice")},
+    **{n: (" ".join(plain_words(TEMPLATES[n])[2:]),) for n in TEMPLATES if n.startswith("CC-")},
+}
+#: Words that may stand between deciding ones.
+FILLERS = ("license", "version", "v")
 
 
 def increasing(values: Sequence[int]) -> list[int]:
@@ -125,7 +176,7 @@ class Templates:
     """Templates as numbers of their words."""
 
     def __init__(self, texts: dict[str, str], least: float = LEAST):
-        self.names = list(texts)
+        self.names, self.texts = list(texts), texts
         found = words([texts[n].encode() for n in self.names])
         if not len(found.hash) or (np.diff(found.first) == 0).any():
             raise ValueError("a template has no words")
@@ -138,6 +189,28 @@ class Templates:
         self.enough = np.array([int(np.ceil(least * len(own) - 1e-9)) for own in self.words])
         self.needed = np.array([len(set(own)) - (len(own) - e) for own, e in zip(self.words, self.enough, strict=True)])
 
+        fillers = words([" ".join(FILLERS).encode()]).hash
+        self.fillers = set(self.numbered(fillers).tolist()) - {-1}
+        self.deciding = [self.groups(k) for k in range(len(self.names))]
+
+    def groups(self, k: int) -> list[range]:
+        """Places of the deciding words in a template of this module."""
+        name, out = self.names[k], []
+        for group in DECIDING.get(name, ()) if self.texts[name] == TEMPLATES.get(name) else ():
+            own, n = group.split(), plain_words(self.texts[name])
+            at = next(i for i in range(len(n)) if n[i : i + len(own)] == own)
+            out.append(range(at, at + len(own)))
+        return out
+
+    def decided(self, k: int, pairs: list[tuple[int, int]], window: list[int]) -> bool:
+        """Whether the deciding words are aligned, and together."""
+        place = dict(pairs)
+        for group in self.deciding[k]:
+            at = [place.get(i) for i in group]
+            if None in at or any(window[j] not in self.fillers for j in set(range(at[0], at[-1])).difference(at)):
+                return False
+        return True
+
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
@@ -163,7 +236,7 @@ class Templates:
             if len(vocabulary.intersection(window)) < self.needed[k]:
                 continue
             pairs = _together(patience(own, window))
-            if len(pairs) >= self.enough[k]:
+            if len(pairs) >= self.enough[k] and self.decided(k, pairs, window):
                 end = start + pairs[-1][1] + 1
                 out.append(Find(len(pairs), k, start + pairs[0][1], end))
                 if end not in seen and end < len(numbers):
@@ -252,5 +325,6 @@ def plain_notices(text: str | None, templates: dict[str, str], least: float = LE
     ids = {w: i for i, w in enumerate(dict.fromkeys(x for n in t.names for x in plain_words(templates[n])))}
     t.words = [[ids[w] for w in plain_words(templates[n])] for n in t.names]
     t.needed = np.zeros_like(t.needed)
+    t.fillers = {ids[w] for w in FILLERS if w in ids}
     found = t.notices([ids.get(w, -1) for w in own], range(len(t.names))) if own else []
     return [(t.names[f.template], f.aligned / len(t.words[f.template])) for f in found]
