@@ -95,6 +95,16 @@ def test_large_group_around_one_source(spark):
     assert run(spark, docs) == expected(docs)
 
 
+def test_pairs_with_repeated_lines(spark):
+    docs = []
+    for i in range(60):  # 126 shared shingles, 14 others on either side, of which 10 come fifty times
+        base = " ".join(f"b{i}w{k}" for k in range(130))
+        for side in "xy":
+            docs.append((len(docs), base + " " + " ".join(f"{side}{i}w{k}" for k in range(10)) + (" " + " ".join(f"{side}{i}w{k}" for k in range(10))) * 49))
+    assert len(plain_classes(docs)) == 60
+    assert run(spark, docs) == expected(docs)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None), (2, None)]) == [(1, 1, 1), (2, 2, 1)]

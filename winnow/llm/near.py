@@ -1,10 +1,11 @@
 """Near-duplicates: ProbMinHash signatures, banding, verification, classes.
 
-A document's elements are its five-word shingles (all its words, if it has fewer), weighted by
-1 + ln(count). In ProbMinHash every element is a Poisson process with its weight as rate; each
+A document's elements are its five-word shingles (all its words, if it has fewer), each with weight
+1 however often it comes, as links are decided by sets. In ProbMinHash every element is a Poisson process with its weight as rate; each
 arrival falls on a random register, and a register keeps the element that came first. An element
 whose next arrival is later than all registers' first ones is done. Two documents agree in a
-register with their probability Jaccard similarity as probability.
+register with their probability Jaccard similarity as probability: for equal weights, the shared
+shingles' share of the larger set, which is no less than the Jaccard similarity.
 
 Documents with the same words are one text (`copies`); signatures of distinct texts are cut into
 20 bands of 4 registers. Texts that share a band are candidates. A pair becomes a link when the
@@ -38,9 +39,6 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 #: Links: 10 * shared shingles >= 8 * shingles of either.
 SIMILARITY = (8, 10)
-#: Pairs whose signatures agree in less than this share are not verified; at a similarity of 0.8
-#: that is seven standard deviations down.
-LEAST_AGREEMENT = 0.45
 BUCKET_BYTES = 64_000_000
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -102,9 +100,8 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
             order = np.lexsort((shingle, text))
             text, shingle = text[order], shingle[order]
             new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])][: len(text)])
-            counts = np.diff(np.r_[new, len(text)])
             text, shingle = text[new], shingle[new]
-            found = signatures(text, shingle, 1 + np.log(counts), n, registers).view(np.int32)
+            found = signatures(text, shingle, np.ones(len(text)), n, registers).view(np.int32)
             # Two hashes of all words in order name the text.
             place = np.arange(len(w.hash)) - w.first[:-1][w.text_of()]
             names = []
@@ -148,19 +145,13 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar. Many pairs may have the same a; b differs more.
 
     `texts` is stored in buckets of rid. Texts that are an `a` are stored apart: the join with them
-    has an exchange on both sides, which lets Spark split an `a` with many pairs. Signatures go
-    first, as they are shorter.
+    has an exchange on both sides, which lets Spark split an `a` with many pairs.
     """
-
-    def joined(pairs: DataFrame, column: str) -> DataFrame:
-        firsts = texts.join(pairs.select(F.col("a").alias("rid")).distinct(), "rid", "left_semi")
-        firsts = settle(firsts.select(F.col("rid").alias("a"), F.col(column).alias(f"{column}_a")))
-        seconds = texts.select(F.col("rid").alias("b"), F.col(column).alias(f"{column}_b"))
-        return pairs.join(seconds, "b").join(firsts, "a")
-
-    agree = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda x: x))
-    close = joined(pairs, "signature").filter(agree >= LEAST_AGREEMENT * F.size("signature_a")).select("a", "b")
-    return settle(joined(settle(close), "shingles").filter(_similar("shingles_a", "shingles_b")).select("a", "b"))
+    firsts = texts.join(pairs.select(F.col("a").alias("rid")).distinct(), "rid", "left_semi")
+    firsts = settle(firsts.select(F.col("rid").alias("a"), F.col("shingles").alias("shingles_a")))
+    seconds = texts.select(F.col("rid").alias("b"), F.col("shingles").alias("shingles_b"))
+    met = pairs.join(seconds, "b").join(firsts, "a")
+    return settle(met.filter(_similar("shingles_a", "shingles_b")).select("a", "b"))
 
 
 def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
