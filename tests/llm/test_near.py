@@ -95,6 +95,41 @@ def test_large_group_around_one_source(spark):
     assert run(spark, docs) == expected(docs)
 
 
+REST, TEXTS = "band long, rid long, class long", "rid long, shingles array<int>"
+
+
+def test_an_outsider_does_not_pair_a_class_out(spark):
+    base = list(range(100))
+    sets = {i: [*base[:97], 1000 + i, 2000 + i, 3000 + i] for i in range(300)}
+    sets[300] = [*base[:60], *range(5000, 5040)]  # in the bucket, but 0.4 like them
+    sets[301] = [*base[:96], *range(6000, 6004)]  # 0.9 like them
+    rest = spark.createDataFrame([(7, i, 1 if i < 300 else i) for i in sets], REST)
+    pairs = {tuple(r) for r in N._across(rest, spark.createDataFrame(list(sets.items()), TEXTS)).collect()}
+    assert {(i, 301) for i in range(300)} <= pairs
+    assert len(pairs) <= 2 * len(sets)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_no_similar_pair_of_two_classes_is_pruned(spark, seed):
+    rng = random.Random(seed)
+    bases = [rng.sample(range(300), n) for n in (1, 5, 12, 40, 80)]
+    sets = {}
+    for i in range(150):
+        own = set(rng.choice(bases))
+        for _ in range(rng.randint(0, max(1, len(own) // 5))):
+            own.discard(rng.choice(sorted(own))) if rng.random() < 0.5 and len(own) > 1 else own.add(rng.randint(0, 400))
+        sets[i] = sorted(own)
+    of = {i: rng.randint(0, 20) for i in sets}
+    rest = {(b, i, of[i]) for i in sets for b in rng.sample(range(4), 2)}
+    wanted = set()
+    for (b, i, x), (c, j, y) in itertools.product(rest, rest):
+        both = len(set(sets[i]) & set(sets[j]))
+        if b == c and i < j and x != y and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            wanted.add((i, j))
+    found = N._across(spark.createDataFrame(sorted(rest), REST), spark.createDataFrame(list(sets.items()), TEXTS))
+    assert wanted and wanted <= {tuple(r) for r in found.collect()}
+
+
 def test_pairs_with_repeated_lines(spark):
     docs = []
     for i in range(60):  # 126 shared shingles, 14 others on either side, of which 10 come fifty times

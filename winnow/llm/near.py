@@ -13,9 +13,9 @@ Jaccard similarity of the shingle sets is 0.8 or more; classes are what links co
 
 No bucket is ever paired out when it is large. Its most popular text, the one with the most
 bucket mates over all its bands, is compared with all others; near copies of one source meet that
-source. In buckets whose texts are not all in one class then, those of different classes are
-compared with each other inside a join, out of which only links come. So no candidate link between
-classes is lost, large classes cost one comparison per text, and pairs are never stored.
+source. In buckets whose texts are not all in one class then, those of different classes that share
+one of their rarest shingles are compared with each other. This prune is exact, so no candidate link
+between classes is lost, and large classes cost one comparison per text and outsider.
 
 Defined results: texts without words (null, empty, signs only) are a class each; repeated rows are
 copies; a class is named by its smallest doc_id, nulls last.
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,43 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(met.filter(_similar("shingles_a", "shingles_b")).select("a", "b"))
 
 
+def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes in a band that may be similar. rest: band, rid, class.
+
+    Similar sets share one of their rarest shingles: of n shingles, in one order for all texts, the
+    first n - ceil(0.8 n) + 1 (the prefix). Texts meet by band and such a shingle, and only where it
+    is in several classes; there, those outside of the class with the most texts meet all. So the
+    texts of one class never meet through each other, and at most twice the pairs of different
+    classes that share a key are looked at.
+    """
+    least, of = SIMILARITY
+    own = settle(rest.select("rid", "class").distinct())
+    sets = own.join(texts.select("rid", "shingles"), "rid")
+    rows = settle(sets.select("rid", "class", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
+    often = settle(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")))
+    often = often.selectExpr("shingle", "n", "x <> y AS several")
+    order = Window.partitionBy("rid").orderBy("n", "shingle")
+    placed = rows.join(often, "shingle").withColumn("place", F.row_number().over(order) - 1)
+    prefix = placed.filter(f"several AND place < size - ({least} * size + {of - 1}) div {of} + 1")
+    prefix = settle(prefix.select("rid", "class", "size", "shingle", "place"))
+    met = settle(prefix.join(rest.select("band", "rid"), "rid"))
+    key = ["band", "shingle"]
+    held = met.groupBy(*key, "class").agg(F.count("*").alias("n"))
+    held = held.groupBy(key).agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
+    met = settle(met.join(settle(held.filter("classes > 1").select(*key, F.col("top.class").alias("most"))), key))
+    few = met.filter("class <> most")
+    other = met.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("rid", "class", "size", "place")))
+    # What both have from their first shared shingle on must do.
+    both = "least(size - place, size_b - place_b)"
+    enough = F.expr(
+        "class <> class_b AND (class_b = most OR rid < rid_b)"
+        f" AND {of} * least(size, size_b) >= {least} * greatest(size, size_b)"
+        f" AND {of} * ({both}) >= {least} * (size + size_b - ({both}))"
+    )
+    pairs = few.join(other, key).filter(enough)
+    return settle(pairs.select(F.least("rid", "rid_b").alias("a"), F.greatest("rid", "rid_b").alias("b")).distinct())
+
+
 def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     """node and component of all texts that have links."""
     keys = F.transform(
@@ -175,11 +212,7 @@ def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     rest = settle(named.join(settle(mixed.filter("x <> y").select("band")), "band", "left_semi"))
     if rest.isEmpty():
         return found
-    rest = settle(rest.join(texts.select("rid", "shingles"), "rid"))
-    other = rest.select("band", *(F.col(c).alias(f"{c}_b") for c in ("rid", "class", "shingles")))
-    apart = (F.col("rid") < F.col("rid_b")) & (F.col("class") != F.col("class_b"))
-    more = rest.join(other, (rest["band"] == other["band"]) & apart & _similar("shingles", "shingles_b"))
-    more = settle(more.select(F.col("rid").alias("a"), F.col("rid_b").alias("b")).distinct())
+    more = _links(_across(rest, texts), texts)
     return found if more.isEmpty() else settle(components(links.union(more)))
 
 
