@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, decontaminate, exact, html, kneser_ney, licenses, near, packing, repeats, sharding
+from winnow.llm import chat, decontaminate, divergence, exact, html, kneser_ney, licenses, near, packing, repeats, sharding
 
 OP1 = r"""
 WITH turns AS (
@@ -72,6 +72,41 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(n.items,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang)
+  LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c)::HUGEINT + 5)) // (any_value(t.n) + 5 * any_value(v.v)) AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM n GROUP BY lang) t USING (lang)
+  GROUP BY lang, term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM f
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -123,6 +158,10 @@ def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.report(table(spark, sf, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat": op1_chat,
@@ -135,6 +174,7 @@ def queries() -> dict[str, Query]:
         "op8_pack": op8_pack,
         "op9_near_dedup": op9_near_dedup,
         "op10_repeats": op10_repeats,
+        "op12_divergence": op12_divergence,
     }
 
 
@@ -143,4 +183,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat": OP1,
         "op6_exact_dedup": OP6,
         "op7_decontaminate": OP7,
+        "op12_divergence": OP12,
     }
