@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, decontaminate, divergence, exact, html, kneser_ney, licenses, near, packing, repeats, sharding
+from winnow.llm import (
+    chat,
+    decontaminate,
+    divergence,
+    exact,
+    html,
+    kneser_ney,
+    licenses,
+    near,
+    packing,
+    periodic,
+    repeats,
+    sharding,
+    toxicity,
+)
 
 OP1 = r"""
 WITH turns AS (
@@ -158,10 +172,18 @@ def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.report(table(spark, sf, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
 
 
+def op13_periodic(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.report(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat": op1_chat,
@@ -174,7 +196,9 @@ def queries() -> dict[str, Query]:
         "op8_pack": op8_pack,
         "op9_near_dedup": op9_near_dedup,
         "op10_repeats": op10_repeats,
+        "op11_toxicity": op11_toxicity,
         "op12_divergence": op12_divergence,
+        "op13_periodic": op13_periodic,
     }
 
 
