@@ -65,13 +65,13 @@ def chunks(
             yield batch.slice(first), texts[first:]
 
 
-def settle_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+def settle_by(df: DataFrame, key: str, parts: int, spread: bool = True) -> DataFrame:
     """The same rows from a table that is stored in `parts` buckets of a key: joins on the key
-    need not shuffle it. Only the files are kept, in the scratch folder; the name goes at once."""
+    need not shuffle it. Only the files are kept, in the scratch folder; the name goes at once.
+    Rows that are dealt out by the key already need not be spread again."""
     spark = df.sparkSession
     name = f"winnow_{uuid.uuid4().hex}"
-    spread = df.repartition(parts, key)
-    writer = spread.write.bucketBy(parts, key).option("path", scratch(spark)).option("compression", "zstd")
+    writer = (df.repartition(parts, key) if spread else df).write.bucketBy(parts, key).option("path", scratch(spark)).option("compression", "zstd")
     writer.saveAsTable(name)
     stored = spark.table(name)
     stored.schema  # noqa: B018  resolved while the name is there

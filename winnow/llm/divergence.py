@@ -4,16 +4,18 @@ A chunk is a stretch between ASCII white space; a term is a run of
 `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]` after A-Z became a-z, so terms never cross chunks.
 
 1. Tasks count each document's chunks and add up, per (lang, source, chunk), occurrences and
-   documents. Spark adds these sums; a frequent chunk or a hot source is a few rows by then.
-2. Every globally distinct chunk is cut into terms once; the terms are joined back to the sums.
+   documents. Spark adds these sums; a frequent chunk or a hot source is a few rows by then. They
+   are stored in buckets of the chunk.
+2. Every globally distinct chunk is cut into terms once; the terms are joined back to the sums, all
+   within the buckets.
 3. A term's documents are at least those of its most frequent chunk and at most the sum over its
    chunks. Only where the minimum lies between the two are documents looked at again: a fixed
    bitmap of chunk checksums (4 MB, no false negatives) picks out the chunks concerned, which are
    joined exactly and counted by distinct rows.
 4. p = 1 + floor(10^9 (count + 5) / (N + 5 V)) in 38-digit decimals. Pairs of sources are compared
-   per bucket of terms, as a dense matrix of terms by sources of at most CELLS values; the sums of
-   the buckets are added by Spark. Every pair of sources is a row of the result, so the work per
-   bucket is that of the result.
+   per bucket of terms, as a dense matrix of terms by sources of some CELLS values; the sums of
+   the buckets are added by Spark. Every pair of sources is a row of the result, so a bucket holds
+   the more terms the more sources there are, up to MOST_CELLS values.
 
 Defined results: null text, lang and source are ''; repeated rows are documents each, whatever
 their ids; a text of any length is one document and counts all its chunks; bytes that are no UTF-8
@@ -34,17 +36,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import settle, text_bytes
+from winnow.llm.common import settle, settle_by, text_bytes
 
 MIN_DOCUMENTS = 30
 TOP_TERMS = 50
 PRIOR = 5
 SCALE = 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Values of one matrix of terms by sources in a task.
-CELLS = 1 << 20
-#: Distinct chunks and bytes of text that a task sums up before it sends the sums on.
-FLUSH_CHUNKS, FLUSH_BYTES = 200_000, 64_000_000
+#: Values of one matrix of terms by sources in a task: few, and many where there are many pairs.
+CELLS, MOST_CELLS = 1 << 16, 1 << 22
+#: Sums that a task holds before it sends them on, and bytes of text behind them.
+FLUSH_CHUNKS, FLUSH_BYTES = 400_000, 128_000_000
+#: Bytes of text for each bucket of chunks, when the session's partitions are too few.
+BUCKET_BYTES = 64_000_000
 #: Bits of the bitmap, and of one piece of it.
 BITS, PIECE = 1 << 25, 1 << 15
 
@@ -61,6 +65,10 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).view(pa.string())
 
 
+def _repeated(value: bytes, n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(value, pa.binary()), n).view(pa.string())
+
+
 def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents per (lang, source, chunk) of some text at a time."""
     found: dict[tuple[bytes, bytes], dict[bytes, int]] = {}
@@ -70,13 +78,14 @@ def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), counts in found.items():
             packed = list(counts.values())
             n = len(packed)
+            numbers = np.array(packed, np.int64)
             yield pa.record_batch(
                 [
-                    _strings([lang] * n),
-                    _strings([source] * n),
+                    _repeated(lang, n),
+                    _repeated(source, n),
                     _strings(list(counts)),
-                    pa.array([x & _OCCURRENCES for x in packed], pa.int64()),
-                    pa.array([x >> 40 for x in packed], pa.int64()),
+                    pa.array(numbers & _OCCURRENCES),
+                    pa.array(numbers >> 40),
                 ],
                 names=["lang", "source", "chunk", "occurrences", "documents"],
             )
@@ -97,22 +106,27 @@ def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sent()
 
 
-def chunk_sums(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, its occurrences and the documents it is in."""
-    parts = _texts(docs).mapInArrow(
+def chunk_sums(docs: DataFrame) -> tuple[DataFrame, int]:
+    """lang, source, chunk, its occurrences and the documents it is in; and the buckets it is in."""
+    texts = _texts(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))
+    parts = texts.mapInArrow(
         _sums, "lang string, source string, chunk string, occurrences long, documents long"
     )
-    return parts.groupBy("lang", "source", "chunk").agg(
-        F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents")
-    )
+    # The tasks have summed up already: by chunk at once, so that nothing moves again.
+    sums = parts.repartition(buckets, "chunk").groupBy("lang", "source", "chunk")
+    sums = sums.agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+    return settle_by(sums, "chunk", buckets, spread=False), buckets
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
+def chunk_terms(sums: DataFrame, buckets: int) -> DataFrame:
     """chunk, term and how often it is in the chunk; every distinct chunk is cut once."""
     lowered = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     terms = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
-    cut = chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
-    return cut.groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    cut = sums.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
+    cut = cut.groupBy("chunk", "term").agg(F.count("*").alias("times"))
+    return settle_by(cut, "chunk", buckets, spread=False)
 
 
 def _having(bits: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,11 +162,11 @@ def _bitmap(chunks: DataFrame) -> bytes:
 def kept_terms(docs: DataFrame, sums: DataFrame, terms: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     """lang and term, for terms in at least `least` documents of the language."""
     per_lang = sums.groupBy("lang", "chunk").agg(F.sum("documents").alias("documents"))
-    bounds = per_lang.join(terms, "chunk").groupBy("lang", "term")
-    bounds = bounds.agg(F.max("documents").alias("low"), F.sum("documents").alias("high"))
+    cut = per_lang.join(terms.hint("shuffle_hash"), "chunk")
+    bounds = cut.groupBy("lang", "term").agg(F.max("documents").alias("low"), F.sum("documents").alias("high"))
     bounds = settle(bounds.filter(F.col("high") >= least))
-    unsure = bounds.filter(F.col("low") < least).select("lang", "term")
-    unsure = settle(per_lang.select("lang", "chunk").join(terms.join(unsure, "term"), ["lang", "chunk"]).drop("times"))
+    unsure = settle(bounds.filter(F.col("low") < least).select("lang", "term"))
+    unsure = settle(cut.select("lang", "chunk", "term").join(unsure, ["lang", "term"]))
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(unsure))
     rows = _texts(docs).withColumn("row", F.monotonically_increasing_id())
     seen = rows.mapInArrow(_having(bits), "lang string, row long, chunk string").join(unsure, ["lang", "chunk"])
@@ -196,12 +210,12 @@ def _distances(rows: pa.Table) -> pa.Table:
 def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part, item, value, rank: distances to the language's other sources (`pair`)
     and the terms that a source has more often than its language (`term`)."""
-    sums = settle(chunk_sums(docs))
-    terms = settle(chunk_terms(sums))
+    sums, buckets = chunk_sums(docs)
+    terms = chunk_terms(sums, buckets)
     kept = kept_terms(docs, sums, terms, least)
-    cells = sums.join(terms, "chunk").groupBy("lang", "source", "term")
-    cells = cells.agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
-    cells = settle(cells.join(kept, ["lang", "term"]))
+    cells = sums.join(terms.hint("shuffle_hash"), "chunk").join(kept, ["lang", "term"])
+    cells = cells.groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
+    cells = settle(cells)
 
     per_source = cells.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     per_lang = kept.groupBy("lang").agg(F.count("*").alias("v"))
@@ -219,7 +233,8 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) ->
     more = more.select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     more = more.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= top)
 
-    sizes = langs.select("lang", F.expr(f"int(1 + (v * sources) div {CELLS})").alias("buckets"))
+    cells_each = f"least({MOST_CELLS}, greatest({CELLS}, 8 * sources * sources))"
+    sizes = langs.select("lang", F.expr(f"int(1 + (v * sources) div {cells_each})").alias("buckets"))
     bucket = F.expr("int(pmod(xxhash64(term), buckets))").alias("bucket")
     sparse = own.join(sizes, "lang").select("lang", bucket, "source", "term", "p")
     unseen = F.when(F.col("v") > 0, _p("0", "n", "greatest(v, 1)")).otherwise(F.lit(0)).alias("p")
