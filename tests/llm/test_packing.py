@@ -37,6 +37,20 @@ def test_ids_are_those_of_the_tokenizer(parts):
     assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == expected
 
 
+@pytest.mark.parametrize(
+    "word", ["Straẞe", "\u212a\u212a", "\u212bngstrom,", "Ⱥx", "İx", "x÷y", "foo.,!", "a\u0301", "é&&&", "Ǆ", "don't'", "x'S"]
+)
+def test_odd_words_one_by_one(word):
+    expected = Tokenizer.from_file(str(PATH)).encode(word, add_special_tokens=False).ids
+    assert np.frombuffer(P.WordTokenizer(str(PATH)).encode([word])[0], "<u4").tolist() == expected
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62') AS string) AS text")
+    row = P.tokenized(df).first()
+    assert list(row.ids) == [*Tokenizer.from_file(str(PATH)).encode("a\ufffdb", add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_fullest_combination(seed):
     rng = random.Random(seed)

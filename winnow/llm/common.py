@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a task holds at a time. One longer text is a chunk of its own.
@@ -54,15 +56,15 @@ def chunks(
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of Arrow batches with about `limit` bytes of text, and these texts."""
     for batch in batches:
-        texts = text_bytes(batch.column(batch.schema.get_field_index(column)))
-        first = size = 0
-        for i, text in enumerate(texts):
-            size += len(text) + 1
-            if size >= limit:
-                yield batch.slice(first, i + 1 - first), texts[first : i + 1]
-                first, size = i + 1, 0
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        place = batch.schema.get_field_index(column)
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64) + np.arange(1, len(sizes) + 1)
+        first = before = 0
+        while first < batch.num_rows:
+            last = min(int(np.searchsorted(upto, before + limit)) + 1, batch.num_rows)
+            part = batch.slice(first, last - first)
+            yield part, text_bytes(part.column(place))
+            first, before = last, int(upto[last - 1])
 
 
 def settle_by(df: DataFrame, key: str, parts: int, spread: bool = True) -> DataFrame:

@@ -9,8 +9,10 @@ numbers however many pieces there are. A combination is used as often as the cou
 the next is sought. The plan says which ranks among the pieces of a length go where; the pieces
 get their ranks on the cluster and look their place up.
 
-Defined results: null and empty texts have only the end token; repeated rows are packed each; a
-table without rows gives no pieces.
+Defined results: null and empty texts have only the end token; bytes that are no UTF-8 are read as
+U+FFFD; repeated rows are packed each; ties between combinations go to the longer lengths; texts of
+any length are cut, none is left out; a table without rows gives no pieces. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,16 +36,19 @@ END_TOKEN = 1
 CACHE_WORDS = 600_000
 # White space for str.split but not for the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-# Letters that keep to themselves in composition and, one by one, in lower case; a mark behind them.
-_PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u024f]+)([.,;:!?]?)")
+# Small letters that keep to themselves in composition; and signs that become one of them in lower case.
+_SMALL = "".join(c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.lower() == c)
+_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x250, 0x10000)) if c.lower() in set(_SMALL)) + "]")
+# A line of such letters and of ASCII signs behind them, in two groups; of any other line, nothing.
+_PLAIN_LINE = re.compile(rf"^(?:([{_SMALL}]+)([!-/:-@\[-`{{-~]*)|.*)$", re.MULTILINE)
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins text across white space.
 
     The words of a text repeat, so each is encoded once and remembered. A word of Latin letters is
-    one token group and a mark behind it another, so these are put together from the ids of the
-    lower-case word, got from the tokenizer's model many at a time, and of the mark. All other
+    one token group and the signs behind it another, so these are put together from the ids of the
+    lower-case word, got from the tokenizer's model many at a time, and of the signs. All other
     words go through the whole tokenizer one by one.
     """
 
@@ -53,43 +58,50 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        # The model's letters for bytes beyond ASCII.
+        # The model's letters for bytes beyond ASCII: C3 and C4 to C9 lead, 80 to BF follow.
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {
-            c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c)))
-            for c in range(0xC0, 0x250)
-        }
+        self.letters = np.arange(256, dtype="<u4")
+        for lead in range(0xC3, 0xCA):
+            for follow in range(0x80, 0xC0):
+                letters = "".join(x for x, _ in shown.pre_tokenize_str(bytes([lead, follow]).decode()))
+                self.letters[[lead, follow]] = [ord(x) for x in letters]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.marks = {c: self._encode([c])[0].tobytes() for c in ".,;:!?"} | {"": b""}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4") for x in found]
 
     def _learn(self, new: list[str]) -> None:
-        plain: dict[str, list[tuple[str, str]]] = {}
-        rest = []
-        for w in new:
-            m = _PLAIN_WORD.fullmatch(w)
-            if m and m[1].isalpha() and (low := m[1].lower()).isalpha():
-                plain.setdefault(low, []).append((w, m[2]))
-            else:
-                rest.append(w)
-        if plain:
-            joined = " ".join(x if x.isascii() else x.translate(self.letters) for x in plain)
+        rest = [w for w in new if _ODD.search(w)] if _ODD.search("".join(new)) else []
+        if rest:
+            new = list(set(new).difference(rest))
+        found = _PLAIN_LINE.findall("\n".join(new).lower()) if new else []
+        cores = dict.fromkeys([c for c, _ in found])
+        cores.pop("", None)
+        if cores:
+            joined = " ".join(cores)
+            if not joined.isascii():
+                joined = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(plain):
-                raw, stops = ids.tobytes(), (stops * 4).tolist()
-                for words, a, b in zip(plain.values(), [0, *stops], stops):
-                    for w, mark in words:
-                        self.known[w] = raw[a:b] + self.marks[mark]
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) != len(cores):
+                found = [("", "")] * len(new)  # words that the model does not end as expected
+            else:
+                raw = ids.tobytes()
+                cores = {c: raw[a:b] for c, a, b in zip(cores, [0, *stops], stops)}
+        other = list({signs for _, signs in found} - self.signs.keys())
+        self.signs.update(zip(other, (x.tobytes() for x in self._encode(other)), strict=True))
+        known, signs_of = self.known, self.signs
+        for word, (core, signs) in zip(new, found, strict=True):
+            if core:
+                known[word] = cores[core] + signs_of[signs]
             else:
-                rest += [w for words in plain.values() for w, _ in words]
-        self.known.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
+                rest.append(word)
+        known.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -121,7 +133,7 @@ def _pieces(path: str, capacity: int, schema: pa.Schema) -> Callable:
         for batch, texts in chunks(batches, "text"):
             rows: list[int] = []
             made: dict[str, list] = {"piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for row, ids in enumerate(tokenizer.encode([t.decode() for t in texts])):
+            for row, ids in enumerate(tokenizer.encode([t.decode("utf-8", "replace") for t in texts])):
                 ids += end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
