@@ -40,6 +40,8 @@ BANDS, ROWS = 20, 4
 #: Links: 10 * shared shingles >= 8 * shingles of either.
 SIMILARITY = (8, 10)
 BUCKET_BYTES = 64_000_000
+#: Text bytes that a task signs at a time: a dozen arrays hold eight bytes for each shingle.
+CHUNK_BYTES = 1_000_000
 _STEP = U64(0x9E3779B97F4A7C15)
 
 SIGNED = T.StructType(
@@ -74,7 +76,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
     live = np.arange(len(element))
     arrival = 0
     while len(live):
-        draw = mix(element[live] + U64(arrival) * _STEP)
+        draw = mix(element[live] + U64(arrival * int(_STEP) % (1 << 64)))
         at[live] += -np.log(((draw >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight[live]
         slot = text[live] * registers + (mix(draw ^ _STEP) % U64(registers)).astype(np.int64)
         now = at[live]
@@ -93,7 +95,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
 
 def _signed(registers: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             w = words(texts)
             n = len(texts)
             text, shingle = shingles(w.hash, w.first)
@@ -101,6 +103,7 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
             text, shingle = text[order], shingle[order]
             new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])][: len(text)])
             text, shingle = text[new], shingle[new]
+            del order, new
             found = signatures(text, shingle, np.ones(len(text)), n, registers).view(np.int32)
             # Two hashes of all words in order name the text.
             place = np.arange(len(w.hash)) - w.first[:-1][w.text_of()]
@@ -109,9 +112,9 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
                 spread = mix(w.hash ^ mix((place * 2 + salt).astype(U64) * _STEP))
                 sums = np.r_[U64(0), np.cumsum(spread, dtype=U64)]
                 names.append(mix(sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64))
-            ends = np.searchsorted(text, np.arange(n + 1))
-            low = shingle.astype(np.uint32).view(np.int32)
-            sets = [np.unique(low[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            low = np.unique(text.astype(U64) << U64(32) | shingle & U64(0xFFFFFFFF))
+            ends = np.searchsorted(low >> U64(32), np.arange(n + 1, dtype=U64)).astype(np.int32)
+            low = low.astype(np.uint32).view(np.int32)
             empty = w.first[1:] == w.first[:-1]
             made = {
                 "words_a": pa.array(names[0], mask=empty),
@@ -119,7 +122,7 @@ def _signed(registers: int, schema: pa.Schema) -> Callable:
                 "signature": pa.ListArray.from_arrays(
                     pa.array(np.arange(n + 1) * registers, type=pa.int32()), pa.array(found.reshape(-1))
                 ),
-                "shingles": pa.array(sets, type=pa.list_(pa.int32())),
+                "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(low)),
             }
             yield pa.RecordBatch.from_arrays(
                 [

@@ -17,6 +17,8 @@ LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
 IS_WORD = (
     ((_BYTES >= 48) & (_BYTES <= 57)) | _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 )
+#: Bytes whose running sums are held at a time. One longer word is a block of its own.
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -78,7 +80,13 @@ def words(texts: list[bytes]) -> Words:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
     first = np.searchsorted(start, begin)
-    hashes = stretch_hash(running(buffer, _VALUE_LOWER), start, end) if len(start) else np.zeros(0, U64)
+    hashes = np.zeros(len(start), U64)
+    a = 0
+    while a < len(start):  # some bytes at a time: running sums take eight bytes for each
+        b = max(int(np.searchsorted(end, start[a] + BLOCK_BYTES, "right")), a + 1)
+        sums = running(buffer[start[a] : end[b - 1]], _VALUE_LOWER)
+        hashes[a:b] = stretch_hash(sums, start[a:b] - start[a], end[a:b] - start[a])
+        a = b
     return Words(buffer, start, end, first, hashes)
 
 
