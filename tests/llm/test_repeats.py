@@ -86,3 +86,19 @@ def test_documents_of_the_tables(spark, sf_dir):
     rows = R.report(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
     found = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows), key=repr)
     assert found == plain(docs, 400)
+
+
+def test_long_text_full_of_repeats_and_clashing_columns(spark):
+    rng = random.Random(4)
+    unit = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    docs = [(1, unit * 400 + "end"), (2, "x" * 100_000), (3, unit[:399])]
+    df = spark.createDataFrame([(*d, 1, "s", 2) for d in docs], "doc_id long, text string, rid int, spans string, bucket long")
+    rows = sorted((r.doc_id, r.n_removed, r.n_kept, r.n_spans) for r in R.report(df).collect())
+    assert rows == [(1, 200_000, 3, 1), (2, 100_000, 0, 1), (3, 0, 399, 0)]
+
+
+def test_second_hash_tells_stretches_apart_on_its_own():
+    buffer = np.frombuffer(b"abcdefgh" * 10, np.uint8)
+    start, end = np.array([0, 8, 1]), np.array([40, 48, 41])
+    one, two = (R.stretch_hash(R.running(buffer, *v), start, end) for v in ((), (R._OTHER_VALUE,)))
+    assert one[0] == one[1] != one[2] and two[0] == two[1] != two[2] and not set(one) & set(two)

@@ -19,8 +19,14 @@ Spark counts the members of a bucket before it shuffles, so a passage that a thi
 share costs one row per task. The table of texts is stored in buckets of its row number; each
 round joins a few numbers per document to it, and texts are not shuffled again.
 
-Bucket identifiers are 64-bit hashes of content. Defined results: null and empty texts have no
-bytes; repeated rows repeat each other; texts shorter than `width` keep all bytes.
+Bucket identifiers are 64-bit hashes of content. What is taken for equal must agree in a second
+64-bit hash over the whole stretch, made with other numbers for the bytes: two of 10^12 stretches
+differ and agree in both with a probability under 10^-14.
+
+Defined results: null and empty texts have no bytes; repeated rows repeat each other; texts shorter
+than `width` keep all bytes; a string that repeats in its own text goes at all its places, so there
+are no ties to break; texts of any length are searched whole (one is held by one task); an empty
+table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,9 +50,10 @@ STEPS = (64, 8, 1)
 BUCKET_BYTES = 64_000_000
 
 # bucket: that of the stretch that all strings of the row have in common; whole: that of the stretch
-# that they cover together; rid, at, low, high: row number of the text, suffix, strings.
-MEMBERS = "bucket long, whole long, rid long, at long, low long, high long"
+# that they cover together; proof: another hash of the latter; rid, at, low, high: row number of the text, suffix, strings.
+MEMBERS = "bucket long, whole long, proof long, rid long, at long, low long, high long"
 _STEP = U64(0xD6E8FEB86659FD93)
+_OTHER_VALUE = mix(np.arange(1000, 1256, dtype=U64) * U64(0xA0761D6478BD642F))
 
 
 def _batch(schema: pa.Schema, columns: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -98,7 +105,8 @@ def _suffixes(width: int, gram: int, schema: pa.Schema) -> Callable:
                 continue
             sizes = np.array([len(texts[i]) for i in kept])
             begin = np.cumsum(np.r_[0, sizes + 1])[:-1]
-            grams = gram_ids(np.frombuffer(b"\0".join([texts[i] for i in kept]), dtype=np.uint8), gram)
+            buffer = np.frombuffer(b"\0".join([texts[i] for i in kept]), dtype=np.uint8)
+            grams = gram_ids(buffer, gram)
             chosen = representatives(grams, width, gram)
             n_starts = sizes - width + 1
             first = np.cumsum(np.r_[0, n_starts[:-1]])
@@ -112,8 +120,9 @@ def _suffixes(width: int, gram: int, schema: pa.Schema) -> Callable:
             low, high = at - high_start, at - low_start
             salt = mix((low * 4096 + high).astype(U64))
             whole = mix(stretch_ids(grams, low_start, high_start + width, gram) ^ salt)
+            proof = mix(stretch_hash(running(buffer, _OTHER_VALUE), low_start, high_start + width) ^ salt)
             yield _batch(
-                schema, [[grams[at]], [whole], [rids[np.array(kept)[text]]], [at - begin[text]], [low], [high]]
+                schema, [[grams[at]], [whole], [proof], [rids[np.array(kept)[text]]], [at - begin[text]], [low], [high]]
             )
 
     return run
@@ -128,13 +137,15 @@ def _refined(step: int, width: int, gram: int, schema: pa.Schema) -> Callable:
         which = np.repeat(np.arange(len(at)), n)
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + (low // step)[which]
         at, low, high = at[which], np.maximum(low[which], k * step), np.minimum(high[which], k * step + step - 1)
-        grams = gram_ids(np.frombuffer(text, dtype=np.uint8), gram)
+        buffer = np.frombuffer(text, dtype=np.uint8)
+        grams = gram_ids(buffer, gram)
         # A split piece may lack strings at its ends; pieces with the same strings compare.
         salt = mix((low * 4096 + high).astype(U64))
         whole = mix(stretch_ids(grams, at - high, at - low + width, gram) ^ salt)
+        proof = mix(stretch_hash(running(buffer, _OTHER_VALUE), at - high, at - low + width) ^ salt)
         last = np.minimum(k * step + step - 1, width - gram)
         common = stretch_ids(grams, at - k * step, at - last + width, gram)
-        return [mix(common ^ mix((k + 1).astype(U64) * _STEP)), whole, at, low, high]
+        return [mix(common ^ mix((k + 1).astype(U64) * _STEP)), whole, proof, at, low, high]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +156,7 @@ def _refined(step: int, width: int, gram: int, schema: pa.Schema) -> Callable:
             size = 0
             for i, text in enumerate(texts):
                 made = of(text, members[i].as_py())
-                made.insert(2, np.full(len(made[0]), rids[i], dtype=np.int64))
+                made.insert(3, np.full(len(made[0]), rids[i], dtype=np.int64))
                 for c, values in zip(columns, made, strict=True):
                     c.append(values)
                 size += len(made[0])
@@ -158,11 +169,11 @@ def _refined(step: int, width: int, gram: int, schema: pa.Schema) -> Callable:
     return run
 
 
-def _shared(members: DataFrame) -> DataFrame:
+def _shared(members: DataFrame, *by: str) -> DataFrame:
     """Members that are not alone in their bucket. The buckets are a stored table, so that the join
     can split those with many members."""
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return settle(members.join(settle(buckets), "bucket", "left_semi"))
+    buckets = members.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
+    return settle(members.join(settle(buckets), list(by), "left_semi"))
 
 
 def repeated_starts(texts: DataFrame, width: int, gram: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
@@ -175,10 +186,10 @@ def repeated_starts(texts: DataFrame, width: int, gram: int, steps: tuple[int, .
     members = settle(texts.mapInArrow(_suffixes(width, gram, arrow), schema))
     rounds = []
     for step in steps:
-        shared = _shared(members)
-        alike = shared.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "low")).alias("one"))
-        alike = settle(alike.filter("n > 1").select("whole", "one"))
-        marked = settle(shared.join(alike, "whole", "left"))
+        shared = _shared(members, "bucket")
+        alike = shared.groupBy("whole", "proof").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "low")).alias("one"))
+        alike = settle(alike.filter("n > 1").select("whole", "proof", "one"))
+        marked = settle(shared.join(alike, ["whole", "proof"], "left"))
         rounds.append(marked.filter("one IS NOT NULL"))
         # Of members alike one goes on, as those that are left may share some of its strings.
         open_ = marked.filter("one IS NULL OR (rid = one.rid AND at = one.at AND low = one.low)")
@@ -186,7 +197,7 @@ def repeated_starts(texts: DataFrame, width: int, gram: int, steps: tuple[int, .
         refine = _refined(step, width, gram, arrow)
         joined = texts.join(listed.hint("shuffle_hash"), "rid")
         members = settle(joined.mapInArrow(refine, schema))
-    rounds.append(_shared(members))  # single strings: alike if they share a bucket
+    rounds.append(_shared(members, "bucket", "proof"))  # single strings: alike if they share both
     columns = [F.col("rid"), F.expr("at - high").alias("first"), F.expr("at - low").alias("last")]
     found = rounds[0].select(columns)
     for r in rounds[1:]:
@@ -254,12 +265,13 @@ def without_repeats(
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: bytes, removed bytes, runs of removed bytes, digest of the rest."""
+    """One row per document: bytes, removed bytes, bytes left, runs of removed bytes, digest of the rest."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return without_repeats(docs, **options).select(
         "doc_id",
         "n_bytes",
         removed.alias("n_removed"),
+        (F.col("n_bytes") - removed).alias("n_kept"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
