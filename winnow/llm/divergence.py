@@ -3,15 +3,15 @@
 A chunk is a stretch between ASCII white space; a term is a run of
 `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]` after A-Z became a-z, so terms never cross chunks.
 
-1. Tasks count each document's chunks and add up, per (lang, source, chunk), occurrences and
-   documents. Spark adds these sums; a frequent chunk or a hot source is a few rows by then. They
-   are stored in buckets of the chunk.
-2. Every globally distinct chunk is cut into terms once; the terms are joined back to the sums, all
-   within the buckets.
-3. A term's documents are at least those of its most frequent chunk and at most the sum over its
-   chunks. Only where the minimum lies between the two are documents looked at again: a fixed
-   bitmap of chunk checksums (4 MB, no false negatives) picks out the chunks concerned, which are
-   joined exactly and counted by distinct rows.
+1. Tasks count the documents of each language that hold a chunk; Spark adds these counts, a frequent
+   chunk is a few rows by then, and stores them in buckets of the chunk.
+2. Every globally distinct chunk is cut into terms once; the terms are joined back within the
+   buckets. A term's documents are at least those of its most frequent chunk and at most the sum
+   over its chunks, which rules nearly all terms in or out.
+3. The documents are read again for the chunks of the terms that may stay: a fixed bitmap of chunk
+   checksums (4 MB, no false negatives) picks them out. Their occurrences are summed per source in
+   the tasks; where the bounds of step 2 leave a term open, its documents are counted by rows, too.
+   Both meet the chunks' terms in exact joins.
 4. p = 1 + floor(10^9 (count + 5) / (N + 5 V)) in 38-digit decimals. Pairs of sources are compared
    per bucket of terms, as a dense matrix of terms by sources of some CELLS values; the sums of
    the buckets are added by Spark. Every pair of sources is a row of the result, so a bucket holds
@@ -52,9 +52,6 @@ BUCKET_BYTES = 64_000_000
 #: Bits of the bitmap, and of one piece of it.
 BITS, PIECE = 1 << 25, 1 << 15
 
-_OCCURRENCES = (1 << 40) - 1
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     """lang, source, text, nulls as ''."""
     as_text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
@@ -69,82 +66,100 @@ def _repeated(value: bytes, n: int) -> pa.Array:
     return pa.repeat(pa.scalar(value, pa.binary()), n).view(pa.string())
 
 
-def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents per (lang, source, chunk) of some text at a time."""
-    found: dict[tuple[bytes, bytes], dict[bytes, int]] = {}
-    entries = size = 0
+def _holders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per (lang, chunk) of some text at a time."""
+    found: dict[bytes, dict[bytes, int]] = {}
+    size = held = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in found.items():
-            packed = list(counts.values())
-            n = len(packed)
-            numbers = np.array(packed, np.int64)
-            yield pa.record_batch(
-                [
-                    _repeated(lang, n),
-                    _repeated(source, n),
-                    _strings(list(counts)),
-                    pa.array(numbers & _OCCURRENCES),
-                    pa.array(numbers >> 40),
-                ],
-                names=["lang", "source", "chunk", "occurrences", "documents"],
-            )
+        for lang, counts in found.items():
+            n = len(counts)
+            columns = [_repeated(lang, n), _strings(list(counts)), pa.array(list(counts.values()), pa.int64())]
+            yield pa.record_batch(columns, names=["lang", "chunk", "documents"])
         found.clear()
 
     for batch in batches:
-        columns = [text_bytes(batch.column(i)) for i in range(3)]
-        for lang, source, text in zip(*columns, strict=True):
-            counts = found.setdefault((lang, source), {})
-            entries -= len(counts)
-            for chunk, k in Counter(text.split()).items():
-                counts[chunk] = counts.get(chunk, 0) + k + (1 << 40)
-            entries += len(counts)
+        for lang, text in zip(*(text_bytes(batch.column(i)) for i in (0, 1)), strict=True):
+            counts = found.setdefault(lang, {})
+            held -= len(counts)
+            for chunk in set(text.split()):
+                counts[chunk] = counts.get(chunk, 0) + 1
+            held += len(counts)
             size += len(text)
-            if entries > FLUSH_CHUNKS or size > FLUSH_BYTES:
+            if held > FLUSH_CHUNKS or size > FLUSH_BYTES:
                 yield from sent()
-                entries = size = 0
+                size = held = 0
     yield from sent()
 
 
-def chunk_sums(docs: DataFrame) -> tuple[DataFrame, int]:
-    """lang, source, chunk, its occurrences and the documents it is in; and the buckets it is in."""
-    texts = _texts(docs)
+def chunk_documents(docs: DataFrame) -> tuple[DataFrame, int]:
+    """lang, chunk and the documents it is in, in buckets of the chunk; and how many buckets."""
+    texts = _texts(docs).select("lang", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))
-    parts = texts.mapInArrow(
-        _sums, "lang string, source string, chunk string, occurrences long, documents long"
-    )
+    parts = texts.mapInArrow(_holders, "lang string, chunk string, documents long")
     # The tasks have summed up already: by chunk at once, so that nothing moves again.
-    sums = parts.repartition(buckets, "chunk").groupBy("lang", "source", "chunk")
-    sums = sums.agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+    sums = parts.repartition(buckets, "chunk").groupBy("lang", "chunk").agg(F.sum("documents").alias("documents"))
     return settle_by(sums, "chunk", buckets, spread=False), buckets
 
 
-def chunk_terms(sums: DataFrame, buckets: int) -> DataFrame:
+def chunk_terms(chunks: DataFrame, buckets: int) -> DataFrame:
     """chunk, term and how often it is in the chunk; every distinct chunk is cut once."""
     lowered = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     terms = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
-    cut = sums.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
+    cut = chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
     cut = cut.groupBy("chunk", "term").agg(F.count("*").alias("times"))
     return settle_by(cut, "chunk", buckets, spread=False)
 
 
-def _having(bits: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The distinct chunks of each row whose checksum's bit is set."""
+def _counted(
+    wanted: Broadcast, open_: Broadcast
+) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Occurrences per (lang, source, chunk) of wanted chunks, summed for some text at a time; and
+    (lang, chunk, row) for open ones. Both by their checksum's bit."""
+
+    def bits(of: Broadcast) -> bytes:
+        return np.unpackbits(np.frombuffer(of.value, np.uint8), bitorder="little").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_set = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool).tobytes()
+        is_wanted, is_open = bits(wanted), bits(open_)
+        found: dict[tuple[bytes, bytes], dict[bytes, int]] = {}
+        size = held = 0
+
+        def sent(lang: list, source: list, chunk: list, n: list, row: list) -> pa.RecordBatch:
+            columns = [*map(_strings, (lang, source, chunk)), pa.array(n, pa.int64()), pa.array(row, pa.int64())]
+            return pa.record_batch(columns, names=["lang", "source", "chunk", "n", "row"])
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), counts in found.items():
+                k = len(counts)
+                yield sent([lang] * k, [source] * k, list(counts), list(counts.values()), [None] * k)
+            found.clear()
+
         for batch in batches:
-            langs, rows, chunks = [], [], []
-            texts = text_bytes(batch.column(2))
-            for lang, row, text in zip(text_bytes(batch.column(0)), batch.column(3).to_pylist(), texts, strict=True):
-                some = [c for c in set(text.split()) if is_set[zlib.crc32(c) % BITS]]
-                chunks += some
-                langs += [lang] * len(some)
-                rows += [row] * len(some)
-            yield pa.record_batch(
-                [_strings(langs), pa.array(rows, pa.int64()), _strings(chunks)], names=["lang", "row", "chunk"]
-            )
+            columns = [text_bytes(batch.column(i)) for i in range(3)]
+            langs, chunks, rows = [], [], []
+            for lang, source, text, row in zip(*columns, batch.column(3).to_pylist(), strict=True):
+                counts = found.setdefault((lang, source), {})
+                held -= len(counts)
+                for chunk, k in Counter(text.split()).items():
+                    bit = zlib.crc32(chunk) % BITS
+                    if is_wanted[bit]:
+                        counts[chunk] = counts.get(chunk, 0) + k
+                        if is_open[bit]:
+                            langs.append(lang)
+                            chunks.append(chunk)
+                            rows.append(row)
+                held += len(counts)
+                size += len(text)
+                if len(rows) > FLUSH_CHUNKS:
+                    yield sent(langs, [None] * len(rows), chunks, [1] * len(rows), rows)
+                    langs, chunks, rows = [], [], []
+                if held > FLUSH_CHUNKS or size > FLUSH_BYTES:
+                    yield from summed()
+                    size = held = 0
+            yield sent(langs, [None] * len(rows), chunks, [1] * len(rows), rows)
+        yield from summed()
 
     return run
 
@@ -159,20 +174,26 @@ def _bitmap(chunks: DataFrame) -> bytes:
     return bytes(whole)
 
 
-def kept_terms(docs: DataFrame, sums: DataFrame, terms: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
-    """lang and term, for terms in at least `least` documents of the language."""
-    per_lang = sums.groupBy("lang", "chunk").agg(F.sum("documents").alias("documents"))
-    cut = per_lang.join(terms.hint("shuffle_hash"), "chunk")
+def kept_cells(docs: DataFrame, least: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    """lang and term, for terms in at least `least` documents of the language; and lang, source,
+    term, count for where these occur."""
+    chunks, buckets = chunk_documents(docs)
+    cut = chunks.join(chunk_terms(chunks, buckets).hint("shuffle_hash"), "chunk")
     bounds = cut.groupBy("lang", "term").agg(F.max("documents").alias("low"), F.sum("documents").alias("high"))
-    bounds = settle(bounds.filter(F.col("high") >= least))
-    unsure = settle(bounds.filter(F.col("low") < least).select("lang", "term"))
-    unsure = settle(cut.select("lang", "chunk", "term").join(unsure, ["lang", "term"]))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(unsure))
+    bounds = settle(bounds.filter(F.col("high") >= least).select("lang", "term", "low"))
+    wanted = settle(cut.drop("documents").join(bounds, ["lang", "term"]))
+    open_ = wanted.filter(F.col("low") < least).select("lang", "chunk", "term")
+    send = docs.sparkSession.sparkContext.broadcast
     rows = _texts(docs).withColumn("row", F.monotonically_increasing_id())
-    seen = rows.mapInArrow(_having(bits), "lang string, row long, chunk string").join(unsure, ["lang", "chunk"])
-    seen = seen.groupBy("lang", "term").agg(F.count_distinct("row").alias("n")).filter(F.col("n") >= least)
-    sure = bounds.filter(F.col("low") >= least)
-    return settle(sure.select("lang", "term").unionByName(seen.select("lang", "term")))
+    counted = _counted(send(_bitmap(wanted)), send(_bitmap(open_)))
+    found = settle(rows.mapInArrow(counted, "lang string, source string, chunk string, n long, row long"))
+    seen = found.filter("row IS NOT NULL").select("lang", "chunk", "row").join(open_, ["lang", "chunk"])
+    seen = seen.groupBy("lang", "term").agg(F.count_distinct("row").alias("documents"))
+    sure = bounds.filter(F.col("low") >= least).select("lang", "term")
+    kept = settle(sure.unionByName(seen.filter(F.col("documents") >= least).select("lang", "term")))
+    stays = settle(wanted.drop("low").join(kept, ["lang", "term"]))
+    cells = found.filter("row IS NULL").drop("row").join(stays, ["lang", "chunk"]).groupBy("lang", "source", "term")
+    return kept, settle(cells.agg(F.sum(F.col("n") * F.col("times")).alias("count")))
 
 
 def _p(count: Column | str, n: Column | str, v: Column | str) -> Column:
@@ -210,13 +231,7 @@ def _distances(rows: pa.Table) -> pa.Table:
 def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part, item, value, rank: distances to the language's other sources (`pair`)
     and the terms that a source has more often than its language (`term`)."""
-    sums, buckets = chunk_sums(docs)
-    terms = chunk_terms(sums, buckets)
-    kept = kept_terms(docs, sums, terms, least)
-    cells = sums.join(terms.hint("shuffle_hash"), "chunk").join(kept, ["lang", "term"])
-    cells = cells.groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
-    cells = settle(cells)
-
+    kept, cells = kept_cells(docs, least)
     per_source = cells.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     per_lang = kept.groupBy("lang").agg(F.count("*").alias("v"))
     groups = _texts(docs).select("lang", "source").distinct().join(per_source, ["lang", "source"], "left")
