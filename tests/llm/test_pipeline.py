@@ -1,5 +1,7 @@
 """Stages of the pipeline against plain evaluations of what each must keep, on its own input."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,31 @@ def test_pack(spark, sf_dir, tables):
     assert ends.filter("n <> m OR n > 4096").count() == 0
     whole = entry.queries()["pipeline"](spark, sf_dir)
     assert whole.groupBy("doc_id", "piece", "length").count().join(tables[5], ["doc_id", "piece", "length"]).count() == tables[5].count()
+
+
+def test_scratch_goes_when_the_next_stage_begins(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    first = C.exact_copies(spark, docs, sf_dir)
+    made = C._made[spark.sparkContext.applicationId, "exact_copies"]
+    assert made
+    C.near_copies(spark, first, sf_dir).count()  # not stored: what it reads stays
+    assert first.count() > 0
+    first.write.parquet(f"{tmp_path}/first")
+    kept = C.near_copies(spark, spark.read.parquet(f"{tmp_path}/first"), sf_dir)
+    assert not any(os.path.exists(x) for x in made) and kept.count() > 0
+
+
+def test_nulls_empty_tables_and_clashing_columns(spark, sf_dir, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid long, band string, file string"
+    words = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, None, None, None, None, None, None, None), (2, "", "en", "s", 0, 1, "b", "f"), (3, words, "en", "s", 9, 1, "b", "f")]
+    rows += [(4, words, "en", None, 9, 2, None, "f"), (None, words + " more", "en", "s", 9, 1, "b", "f")]
+    for n, own in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(own, schema)
+        for name, stage in C.STAGES:
+            docs.write.parquet(f"{tmp_path}/{n}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+            names = docs.columns
+            docs = stage(spark, docs, sf_dir)
+            assert name == "pack" or docs.columns == names
+        assert (docs.count() > 0) == bool(own)

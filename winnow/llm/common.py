@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 4_000_000
 
 
+#: Where the names of new scratch folders are noted, if anybody asks.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name that driver and executors share, under spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,7 +29,29 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="winnow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    return path
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The scratch folders that are named while this lasts."""
+    names: list[str] = []
+    before = _noted.set(names)
+    try:
+        yield names
+    finally:
+        _noted.reset(before)
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete scratch folders, through Hadoop's file system: they may be anywhere."""
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
