@@ -10,6 +10,7 @@ from winnow import fixture as X
 from winnow.functions import patterns as P
 from winnow.operators import highlight as H
 from winnow.operators import matching as M
+from winnow.operators import terms as T
 from winnow.params import SECTIONS, Params
 from winnow.plans.engine import TriageEngine
 
@@ -225,7 +226,7 @@ def test_proximity_pattern_equals_the_plain_form(spark):
 def test_proximity_over_long_rows_of_dots_ends(spark):
     text = "this " + "." * 20_000 + " x " + "-" * 20_000 + " y z"
     df = spark.createDataFrame([(text,)], "t string")
-    pattern = P.proximity_pattern(F.lit("this"), F.lit("that"), 2, r"\S+")
+    pattern = P.proximity_pattern(F.lit("this"), F.lit("that"), 2)
     assert df.select(F.rlike("t", pattern)).first()[0] is False
 
 
@@ -233,7 +234,26 @@ def test_custom_token_unit(spark):
     df = spark.createDataFrame([("a 1 b",), ("a x b",)], "t string")
     rows = df.select(F.rlike("t", P.proximity_pattern(F.lit("a"), F.lit("b"), 1, r"\d"))).collect()
     assert [r[0] for r in rows] == [True, False]
-    assert P.safe_token_unit("([") == r"\S+"
+
+
+@pytest.mark.parametrize(
+    ("unit", "good", "between"),
+    [
+        (r"(?P<w>\S+)", True, "xyz"),
+        (r"\w{,4}", True, "élan"),
+        (r"(?:[[]|x)", True, "["),
+        ("([", False, "anything"),
+        ("(?(1)a|b)", False, "anything"),
+        (r"(?P<w>x)(?P=w)", False, "anything"),
+    ],
+)
+def test_token_units_are_vetted(spark, unit, good, between):
+    assert T.vet_token_unit(spark, unit)[1] is good
+    params = Params(block_order=("A",), token_unit=unit, max_gap=1)
+    raw = X.raw_terms(spark, [("A", "pos", "oil and gas", "1", "any", "0")])
+    docs = spark.createDataFrame([("1", f"oil {between} gas", "", "")], "id string, title string, abstract string, manual_tags string")
+    assert TriageEngine.build(raw, params).hits(docs, "id").filter("match_type = 'proximity'").count() == 1
+    assert ("token_unit" in [r.code for r in T.lint(raw, params).collect()]) is not good
 
 
 def test_proximity_can_be_turned_off(spark, articles):

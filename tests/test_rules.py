@@ -482,3 +482,23 @@ def test_hashes(spark):
     assert one == two and one["n_rows"] == 3
     assert one["hash"] != MF.table_fingerprint(df.distinct()).first()["hash"]
     assert MF.config_audit(Params())["_metadata"]["config_hash"] == MF.config_hash(Params())
+
+
+def test_row_numbers_beyond_32_bits(spark):
+    rows = [(3_000_000_000 + i, "A", "pos", t, "1") for i, t in enumerate(["oil and gas or coal", "oil", "OIL", ""])]
+    raw = spark.createDataFrame(rows, "source_row long, block string, kind string, term string, level string")
+    assert [r.source_row for r in T.clean(raw).orderBy("source_row").collect()] == [3_000_000_000, 3_000_000_001]
+    assert [(r.source_row, r.first_row) for r in T.duplicates(raw).collect()] == [(3_000_000_002, 3_000_000_001)]
+    assert 3_000_000_003 in [r.source_row for r in T.lint(raw).collect()]
+    docs = spark.createDataFrame([("1", "oil and gas or coal", "", "")], "id string, title string, abstract string, manual_tags string")
+    hits = TriageEngine.build(raw, Params(block_order=("A",))).hits(docs, "id").collect()
+    assert [(r.source_row, r.match_type) for r in hits] == [
+        (3_000_000_000, "exact"), (3_000_000_001, "exact"), (3_000_000_000, "proximity"), (3_000_000_000, "proximity"),
+    ]
+
+
+def test_duplicates_of_a_rule_that_fills_the_table(spark):
+    rows = [(i, "A", "pos", "oil" if i % 3 else f"t{i}", "1") for i in range(3000)] + [(9000, "A", "pos", "t0", "1")]
+    raw = spark.createDataFrame(rows, "source_row long, block string, kind string, term string, level string")
+    found = sorted((r.source_row, r.first_row) for r in T.duplicates(raw).collect())
+    assert found == [*((i, 1) for i in range(2, 3000) if i % 3), (9000, 0)]

@@ -34,8 +34,8 @@ from winnow.params import KINDS, SECTIONS, T0
 
 # Field order is sort order: sorting hits puts them in block, kind, term, section order.
 HIT = (
-    "struct<block_ord:int,kind_ord:int,ord:bigint,sec:int,level:int,term:string,"
-    "source_row:int,match_type:string,components:array<string>>"
+    "struct<block_ord:int,kind_ord:int,near:int,ord:bigint,pair_pos:int,sec:int,level:int,term:string,"
+    "source_row:bigint,match_type:string,components:array<string>>"
 )
 MATCH_ENTRY = f"struct<scope:string,guards:array<string>,pattern:string,hit:{HIT}>"
 
@@ -51,7 +51,9 @@ def match_entries(compiled: DataFrame) -> DataFrame:
     hit = F.struct(
         "block_ord",
         kind_ord.alias("kind_ord"),
+        (F.col("match_type") == "proximity").cast("int").alias("near"),
         "ord",
+        "pair_pos",
         F.lit(None).cast("int").alias("sec"),
         "level",
         "term",

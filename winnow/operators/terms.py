@@ -35,14 +35,13 @@ OPTIONAL_COLUMNS = {
 }
 
 CLEAN_SCHEMA = (
-    "source_row int, term_ord bigint, block string, kind string, term string, "
+    "source_row bigint, term_ord bigint, block string, kind string, term string, "
     "level int, scope string, is_regex boolean"
 )
-LINT_SCHEMA = "source_row int, severity string, code string, message string"
+LINT_SCHEMA = "source_row bigint, severity string, code string, message string"
 
 # Table terms come after the terms written inline in a configuration.
 _TABLE_ORD = 1 << 31
-_SALTS = 16
 
 
 def strip(col: Column) -> Column:
@@ -122,7 +121,7 @@ def clean(raw: DataFrame, params: Params | None = None) -> DataFrame:
     """Usable, distinct terms of a raw table."""
     levels = params.configured_levels if params else ()
     return _first_rows(_checked(raw, levels)).select(
-        F.col("kept.source_row").cast("int").alias("source_row"),
+        F.col("kept.source_row").cast("bigint").alias("source_row"),
         (F.col("kept.source_row").cast("bigint") + F.lit(_TABLE_ORD)).alias("term_ord"),
         "block",
         "kind",
@@ -227,30 +226,24 @@ def row_findings(raw: DataFrame, params: Params | None = None) -> DataFrame:
         ),
     ]
     return df.select(
-        c("source_row").cast("int").alias("source_row"), F.inline(F.array_compact(F.array(*checks)))
+        c("source_row").cast("bigint").alias("source_row"), F.inline(F.array_compact(F.array(*checks)))
     )
 
 
-def duplicates(raw: DataFrame, params: Params | None = None, salts: int = _SALTS) -> DataFrame:
+def duplicates(raw: DataFrame, params: Params | None = None) -> DataFrame:
     """Rows dropped because an earlier row states the same rule.
 
-    The join is salted: the rows of a rule that fills much of the table spread over `salts`
-    tasks, while the single kept row is repeated once per salt.
+    Rules that stand once, nearly all of a usual table, are left out by an aggregate before
+    anything is joined. The rows of a rule that fills much of the table are one skewed key of
+    the join, whose other side has a single row for it: adaptive execution splits such a key
+    into as many tasks as its size asks for.
     """
-    checked = _checked(raw, params.configured_levels if params else ())
-    kept = _first_rows(checked).select(
-        *_KEY,
-        F.col("kept.source_row").alias("first_row"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    rows = (
-        checked.filter("usable")
-        .withColumn("term_key", F.lower("term"))
-        .withColumn("salt", F.pmod(F.hash("source_row"), F.lit(salts)))
-        .select(*_KEY, "salt", "source_row", "term")
-    )
-    return rows.join(kept, [*_KEY, "salt"]).filter("source_row <> first_row").select(
-        F.col("source_row").cast("int").alias("source_row"), "first_row", "block", "kind", "term"
+    checked = _checked(raw, params.configured_levels if params else ()).filter("usable")
+    rows = checked.withColumn("term_key", F.lower("term")).select(*_KEY, "source_row", "term")
+    stated = rows.groupBy(*_KEY).agg(F.min("source_row").alias("first_row"), F.count("*").alias("n"))
+    again = stated.filter("n > 1").drop("n")
+    return rows.join(again, list(_KEY)).filter("source_row <> first_row").select(
+        F.col("source_row").cast("bigint").alias("source_row"), "first_row", "block", "kind", "term"
     )
 
 
@@ -314,7 +307,7 @@ def block_findings(terms: DataFrame, params: Params | None = None) -> DataFrame:
     return (
         block_counts(terms.filter(c("block") != GLOBAL_BLOCK))
         .select(
-            F.lit(None).cast("int").alias("source_row"),
+            F.lit(None).cast("bigint").alias("source_row"),
             F.inline(F.array_compact(F.array(*checks))),
         )
     )
@@ -346,6 +339,8 @@ def lint(raw: DataFrame, params: Params | None = None) -> DataFrame:
         ),
         regex_findings(terms),
     ]
+    if params:
+        parts.append(unit_findings(raw.sparkSession, params))
     return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
 
 
@@ -380,7 +375,7 @@ def rule_conflicts(raw: DataFrame) -> DataFrame:
         _rule_rows(raw)
         .groupBy("type", "key")
         .agg(
-            F.max("source_row").cast("int").alias("source_row"),
+            F.max("source_row").cast("bigint").alias("source_row"),
             F.max_by("target", "source_row").alias("target"),
             F.min("target").alias("low"),
             F.max("target").alias("high"),
@@ -452,29 +447,46 @@ def regex_terms(terms: DataFrame) -> list[str]:
     return [r["term"] for r in terms.filter("is_regex").select("term").distinct().collect()]
 
 
-def vet_regexes(spark: SparkSession, regexes: list[str]) -> dict[str, str | None]:
-    """JVM form of every usable regex, None for the others.
+def _usable(spark: SparkSession, patterns: list[str]) -> set[str]:
+    """Those of some JVM patterns that compile.
 
     A bad pattern would end the whole job, so all of them are tried on a constant first;
     if that fails, by halves, until the bad ones are found.
     """
+    if not patterns:
+        return set()
+    try:
+        tests = [F.rlike(F.lit("x"), F.lit(p)).alias(f"t{i}") for i, p in enumerate(patterns)]
+        spark.sql("SELECT 1").select(F.array(*tests)).collect()
+        return set(patterns)
+    except Exception:  # noqa: BLE001 - the JVM reports a bad pattern in several ways
+        half = len(patterns) // 2
+        return _usable(spark, patterns[:half]) | _usable(spark, patterns[half:]) if half else set()
 
-    def usable(patterns: list[str]) -> set[str]:
-        if not patterns:
-            return set()
-        try:
-            tests = [F.rlike(F.lit("x"), F.lit(p)).alias(f"t{i}") for i, p in enumerate(patterns)]
-            spark.sql("SELECT 1").select(F.array(*tests)).collect()
-            return set(patterns)
-        except Exception:  # noqa: BLE001 - the JVM reports a bad pattern in several ways
-            half = len(patterns) // 2
-            return usable(patterns[:half]) | usable(patterns[half:]) if half else set()
 
+def vet_regexes(spark: SparkSession, regexes: list[str]) -> dict[str, str | None]:
+    """JVM form of every usable regex, None for the others."""
     java = {r: P.java_regex(r) for r in regexes if P.python_regex_ok(r)}
-    good = usable(list(java.values()))
+    good = _usable(spark, list(java.values()))
     return {r: java[r] if java.get(r) in good else None for r in regexes}
 
 
+def vet_token_unit(spark: SparkSession, unit: str) -> tuple[str | None, bool]:
+    """JVM form of a token unit (None: the default one), and whether it is usable at all."""
+    if unit == P.DEFAULT_TOKEN_UNIT:
+        return None, True
+    java = P.jvm_unit(unit)
+    good = java is not None and bool(_usable(spark, [P.unit_gap(java)]))
+    return (java if good else None), good
+
+
+def unit_findings(spark: SparkSession, params: Params) -> DataFrame:
+    """A token unit that cannot run; proximity takes the default one in its place."""
+    good = vet_token_unit(spark, params.token_unit)[1]
+    message = f"token unit {params.token_unit!r} is no usable regex: {P.DEFAULT_TOKEN_UNIT!r} is used"
+    return spark.createDataFrame([] if good else [(None, "warning", "token_unit", message)], LINT_SCHEMA)
+
+
 def regex_findings(terms: DataFrame) -> DataFrame:
     """Regex terms that cannot run; they take no part in matching."""
     vetted = vet_regexes(terms.sparkSession, regex_terms(terms))
@@ -490,7 +502,8 @@ def regex_findings(terms: DataFrame) -> DataFrame:
 def compile_terms(term_set: TermSet, rules: NormRules | None, params: Params) -> DataFrame:
     """Terms with regex text, lookup key and guards; compound positives add proximity rows.
 
-    `ord` sorts a block's terms: exact ones in table order, then the proximity ones.
+    `near`, `ord` and `pair_pos` sort a block's terms: exact ones in table order, then the
+    proximity ones in table order, each term's pairs as they stand in it.
     """
     terms = term_set.terms
     vetted = vet_regexes(terms.sparkSession, regex_terms(terms))
@@ -515,7 +528,7 @@ def compile_terms(term_set: TermSet, rules: NormRules | None, params: Params) ->
     near = (
         base.filter(F.col("kind") == "pos")
         .select("*", pairs)
-        .select(*_COMMON, *_near_columns(params.max_gap, params.token_unit))
+        .select(*_COMMON, *_near_columns(params.max_gap, vet_token_unit(terms.sparkSession, params.token_unit)[0]))
     )
     return exact.unionByName(near)
 
@@ -545,7 +558,8 @@ def _exact_columns() -> list[Column]:
     no_parts = F.array().cast("array<string>")
     literal = _literal_mark(c("term"))
     return [
-        F.shiftleft(c("term_ord"), 16).alias("ord"),
+        c("term_ord").alias("ord"),
+        F.lit(-1).alias("pair_pos"),
         F.lit("exact").alias("match_type"),
         no_parts.alias("components"),
         F.when(c("is_regex"), no_parts).otherwise(P.lookup_keys(c("probe"))).alias("keys"),
@@ -561,11 +575,12 @@ def _exact_columns() -> list[Column]:
 
 
 @built_once
-def _near_columns(max_gap: int, token_unit: str) -> list[Column]:
+def _near_columns(max_gap: int, token_unit: str | None) -> list[Column]:
     pair = F.col("pair")
     a, b = F.lower(F.get(pair, F.lit(0))), F.lower(F.get(pair, F.lit(1)))
     return [
-        (F.shiftleft(F.col("term_ord"), 16) + F.col("pair_pos") + F.lit(1 << 56)).alias("ord"),
+        F.col("term_ord").alias("ord"),
+        F.col("pair_pos"),
         F.lit("proximity").alias("match_type"),
         pair.alias("components"),
         P.proximity_keys(a, b).alias("keys"),
@@ -592,5 +607,6 @@ def browse(term_set: TermSet, block: str | None = None, kind: str | None = None)
 __all__ = [
     "TermSet", "block_counts", "block_findings", "broad_literals", "browse", "clean",
     "compile_terms", "conflicts", "duplicates", "inline_terms", "lint",
-    "norm_rules", "regex_findings", "route", "row_findings", "rule_conflicts", "vet_regexes",
+    "norm_rules", "regex_findings", "route", "row_findings", "rule_conflicts", "unit_findings", "vet_regexes",
+    "vet_token_unit",
 ]

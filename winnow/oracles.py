@@ -82,8 +82,8 @@ WILDCARDS = [
 ]
 
 
-def near(a: str, b: str) -> str:
-    gap = r"([\s\-/.,]+\S+){0,2}[\s\-/.,]+"
+def near(a: str, b: str, unit: str = r"\S+") -> str:
+    gap = rf"([\s\-/.,]+{unit}){{0,2}}[\s\-/.,]+"
     return f"{B}{a}{gap}{b}{E}|{B}{b}{gap}{a}{E}"
 
 
@@ -147,7 +147,7 @@ def hits(terms: list[tuple]) -> str:
         parts.append(
             f"SELECT id, section, so, {text(block)} AS block, {text(kind)} AS kind, {order} AS ord, "
             f"{text(term)} AS term, CAST({'NULL' if level is None else level} AS INTEGER) AS level, "
-            f"{text(how)} AS match_type, {row} AS source_row, {text(comps[0] if comps else '')} AS components "
+            f"{text(how)} AS match_type, CAST({row} AS BIGINT) AS source_row, {text(comps[0] if comps else '')} AS components "
             f"FROM sections WHERE t <> '' AND regexp_matches(t, {text(pattern)}){scoped}"
         )
     return SECTIONS + ", hits AS MATERIALIZED (\n" + "\nUNION ALL ".join(parts) + ")"
@@ -622,6 +622,18 @@ GROUP BY block HAVING count(*) FILTER (kind = 'pos') = 0""",
         "proximity_hits": q(
             hits(PROXIMITY), "SELECT id, term, section, match_type, components FROM hits"
         ),
+        "proximity_units": q(
+            hits(
+                [
+                    (block, kind, order, term, level, "proximity", near(*parts.split("+"), unit), scope, row, parts + name)
+                    for block, kind, order, term, level, how, _, scope, row, parts in PROXIMITY
+                    if how == "proximity"
+                    for name, unit in ((" (?P<w>\\S+)", r"\S+"), (r" \w{,4}", rf"{W}{{0,4}}"), (" \\", r"\S+"))
+                ]
+            ),
+            "SELECT id, term, section, split_part(components, ' ', 1) AS components, "
+            "split_part(components, ' ', 2) AS unit FROM hits",
+        ),
         "regex_hits": q(hits(REGEXES), "SELECT id, block, kind, term, section FROM hits"),
         "scoped_hits": q(hits(SCOPED), "SELECT id, block, kind, term, section FROM hits"),
         "anti_hits": q(

@@ -20,7 +20,7 @@ from winnow.sources import sinks, tables
 
 NO_TERMS = (
     "block string, kind string, term string, level string, section_scope string, is_regex string, "
-    "normalization_type string, normalization_target string, source_row int"
+    "normalization_type string, normalization_target string, source_row bigint"
 )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ PROXIMITY = [
     ("FORM", "pos", "sich & eine or auf", "1", "any", "0"),
     ("FORM", "pos", "para or una", "2", "abstract", "0"),
 ]
+UNITS = (r"(?P<w>\S+)", r"\w{,4}", "\\")
 REGEXES = [
     ("FUNC", "pos", "th(is|at)", "3", "any", "1"),
     ("FUNC", "pos", r"^(the|la|der)\s", "2", "any", "1"),
@@ -439,6 +441,17 @@ def normalized_hits(spark: SparkSession, sf: str) -> DataFrame:
     return ruled.hits(articles(spark, sf), "id").select("id", "block", "kind", "term", "section")
 
 
+def proximity_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of a user: with a named group, with an open bound, and one that is no regex."""
+
+    def under(unit: str) -> DataFrame:
+        found = engine(spark, "proximity", token_unit=unit).hits(articles(spark, sf), "id")
+        found = found.filter("match_type = 'proximity'").withColumn("components", F.array_join("components", "+"))
+        return found.select("id", "term", "section", "components", F.lit(unit).alias("unit"))
+
+    return reduce(DataFrame.unionByName, map(under, UNITS))
+
+
 def inline_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions of a configuration that brings its own blocks and pre-screen."""
     none = spark.createDataFrame([], X.RAW_SCHEMA)
@@ -582,6 +595,7 @@ def queries() -> dict[str, Query]:
         "proximity_hits": lambda spark, sf: _hits("proximity", "term", "section", "match_type", "components")(
             spark, sf
         ).withColumn("components", F.array_join("components", "+")),
+        "proximity_units": proximity_units,
         "regex_hits": _hits("regexes", "block", "kind", "term", "section"),
         "scoped_hits": _hits("scoped", "block", "kind", "term", "section"),
         "anti_hits": lambda spark, sf: engine(spark)
