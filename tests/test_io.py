@@ -1,9 +1,12 @@
 """Sources, sinks and streams."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from winnow import fixture as X
 from winnow.operators import analytics as A
+from winnow.operators import results
+from winnow.operators.results import split_errors
 from winnow.sources import sinks, tables
 from winnow.streaming.stream import triage_stream, write_stream
 
@@ -141,16 +144,55 @@ def test_csv_begins_with_the_configured_mark(spark, tmp_path):
         assert tables.read_results(spark, str(tmp_path / encoding)).columns == ["ID", "t"]
 
 
+def places(df):
+    return tables.numbered(df, df, tables.PLACES[0], "number").collect()
+
+
 def test_malformed_records_have_a_place(spark, tmp_path):
     (tmp_path / "x.csv").write_text('id,title,abstract\n1,a,b\n2,c\n3,d,e,f\n4,"g\nh",i\n')
-    rows = tables.read_table(spark, str(tmp_path / "x.csv"), places=True).collect()
-    assert [(r.id, r.title, r.input_position, r.input_error is None) for r in sorted(rows, key=lambda r: r.input_position)] == [
+    rows = places(tables.read_table(spark, str(tmp_path / "x.csv"), places=True))
+    assert [(r.id, r.title, r.number, r.input_error is None) for r in sorted(rows, key=lambda r: r.number)] == [
         ("1", "a", 0, True), ("2", "c", 1, True), ("3", "d", 2, False), ("4", "g\nh", 3, True),
     ]
     (tmp_path / "x.json").write_text('{"id": 1, "title": "a"}\n{bad\n{"id": 2, "title": "b"}\n')
-    rows = tables.read_table(spark, str(tmp_path / "x.json"), places=True).collect()
-    assert sorted((r.input_position, r.title, r.input_error is None) for r in rows if r.title) == [(0, "a", True), (2, "b", True)]
-    assert [r.input_position for r in rows if r.input_error] == [1]
+    rows = places(tables.read_table(spark, str(tmp_path / "x.json"), places=True))
+    assert sorted((r.number, r.title, r.input_error is None) for r in rows if r.title) == [(0, "a", True), (2, "b", True)]
+    assert [r.number for r in rows if r.input_error] == [1]
+
+
+def test_numbers_of_some_rows_over_many_splits(spark, tmp_path):
+    for name in ("b", "a"):
+        lines = "".join(f"{name}{i},t{i},x\n" for i in range(4000))
+        (tmp_path / f"{name}.csv").write_text("id,title,abstract\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8000)
+    try:
+        df = tables.read_table(spark, str(tmp_path), places=True, multi_line=False)
+        some = tables.numbered(df.filter("id IN ('a7', 'a3999', 'b0', 'b3000')"), df, tables.PLACES[0], "n")
+        assert sorted((r.id, r.n) for r in some.collect()) == [("a3999", 3999), ("a7", 7), ("b0", 4000), ("b3000", 7000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_good_rows_are_decided_without_a_join(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("key,title,abstract\n1,oil,b\n2,c,d,e\n")
+    table = tables.read_table(spark, str(tmp_path / "x.csv"), places=True)
+    engine = X.engine(spark, X.TERMS)
+    good, _ = split_errors(tables.as_articles(table, None, *tables.PLACES), tables.PLACES[1], tables.PLACES[0])
+    plan = engine.run(good)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_encodings_of_a_folder(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("id,title,abstract\n1,café,x\n".encode())
+    (tmp_path / "c.csv").write_bytes("id,title,abstract,more\n2,ação,y,z\n".encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes("id,title,abstract\n3,élan \x81,\n".encode("latin-1"))
+    assert sorted(tables.file_encodings(spark, str(tmp_path)).values()) == ["ISO-8859-1", "UTF-8", "windows-1252"]
+    df = tables.read_table(spark, str(tmp_path))
+    assert {(r.id, r.title, r.abstract, r.more) for r in df.collect()} == {
+        ("1", "café", "x", ""), ("2", "ação", "y", "z"), ("3", "élan \x81", "", ""),
+    }
+    rows = places(tables.read_table(spark, str(tmp_path), places=True))
+    assert sorted((r.number, r.id) for r in rows) == [(0, "1"), (1, "2"), (2, "3")]
 
 
 def test_given_encoding_is_taken(spark, tmp_path):
@@ -161,12 +203,25 @@ def test_given_encoding_is_taken(spark, tmp_path):
     assert split.first()["title"] == "ação"
 
 
-def test_sampling_plan_keeps_tops_only(spark, sf_dir):
-    from winnow.operators.results import sample_articles
-
-    plan = sample_articles(X.articles(spark, sf_dir), 5)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
-    assert sample_articles(X.articles(spark, sf_dir), 100, partitions=5).rdd.getNumPartitions() == 5
+def test_sample_is_exact_and_sorts_nothing(spark, sf_dir, monkeypatch):
+    docs = X.articles(spark, sf_dir)
+    plan = results.sample_articles(docs, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    assert results.sample_articles(docs, 100, partitions=5).rdd.getNumPartitions() == 5
+    by_hash = docs.orderBy(F.xxhash64(F.lit(42), *docs.columns)).collect()
+    for near in (100_000, 1):
+        monkeypatch.setattr(results, "NEAR_LIMIT", near)
+        for n in (1, 7, 50, len(by_hash), len(by_hash) + 1):
+            drawn = results.sample_articles(docs, n).collect()
+            assert sorted(r.id for r in drawn) == sorted(r.id for r in by_hash[:n])
+
+
+def test_sample_of_a_table_of_copies(spark):
+    columns = "id string, title string, abstract string, manual_tags string"
+    docs = spark.createDataFrame([("1", "a", "b", "")] * 700 + [(str(i), "c", "", "") for i in range(300)], columns)
+    for n in (1, 300, 650, 1000):
+        assert results.sample_articles(docs, n).count() == n
+    assert results.sample_articles(docs.limit(0), 3).count() == 0
 
 
 def test_decided_partitions(spark, sf_dir):

@@ -89,12 +89,12 @@ def test_narrow_equals_plain_evaluation(engine, articles):
 
 
 def test_join_equals_plain_evaluation(engine, articles):
-    matched = M.match_join(articles, M.match_entries(engine.compiled), engine.rules, "row_key")
+    matched = M.match_join(articles, M.KeyTable.build(M.match_entries(engine.compiled), M.MATCH_ENTRY), engine.rules, "row_key")
     assert as_sets(M.hit_rows(matched, engine.blocks, "row_key")) == expected_hits()
 
 
 def test_join_plan_broadcasts_nothing_unbounded(engine, articles):
-    matched = M.match_join(articles, M.match_entries(engine.compiled), engine.rules, "row_key")
+    matched = M.match_join(articles, M.KeyTable.build(M.match_entries(engine.compiled), M.MATCH_ENTRY), engine.rules, "row_key")
     assert "CartesianProduct" not in matched._jdf.queryExecution().toString()
 
 
@@ -110,13 +110,42 @@ def test_the_caller_chooses_how_to_match(spark, articles):
     assert sorted(map(str, by_join)) == sorted(map(str, by_row))
 
 
-def test_join_shuffles_no_normalised_text(spark, articles, engine):
-    matched = M.match_join(articles, M.match_entries(engine.compiled), engine.rules, "row_key")
+def test_join_shuffles_no_normalised_text(engine, articles):
+    table = M.KeyTable.build(M.match_entries(engine.compiled), M.MATCH_ENTRY)
+    matched = M.match_join(articles, table, engine.rules, "row_key")
     plan = matched._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("norm_" in line for line in joins)
 
 
+def test_stored_articles_are_not_shuffled(spark, articles):
+    raw = X.raw_terms(spark, TERMS)
+    params = Params(block_order=("A", "B"))
+    joined = TriageEngine.build(raw, params, matching="join", row_key="row_key")
+    stored = joined.store(articles, buckets=4)
+    found = joined.run(stored, timestamp=False)
+    by_row = TriageEngine.build(raw, params).run(articles, timestamp=False)
+    assert sorted(map(str, found.collect())) == sorted(map(str, by_row.collect()))
+    # What is exchanged on the way to the candidates: keys, sections and words, no text.
+    plan = joined.match(stored)._jdf.queryExecution().executedPlan()
+    exchanged = []
+
+    def walk(p):
+        if "Exchange" in p.nodeName():
+            exchanged.append(p.output().mkString(","))
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan.initialPlan() if "Adaptive" in plan.nodeName() else plan)
+    assert exchanged and not any("title" in x or "abstract" in x for x in exchanged)
+
+
+def test_a_filter_too_small_for_its_keys_loses_nothing(spark, engine, articles, monkeypatch):
+    monkeypatch.setattr(M, "KEY_BITS", 1 << 15)
+    monkeypatch.setattr(M, "_bit", lambda key: F.pmod(F.xxhash64(key), F.lit(3)))
+    test_join_equals_plain_evaluation(engine, articles)
+
+
 def test_all_contradictions_are_counted(spark):
     rows = [("A", k, f"t{i}", "1", "any", "0") for i in range(25) for k in ("pos", "anti")]
     with pytest.raises(ValueError, match="25"):

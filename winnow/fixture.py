@@ -59,7 +59,10 @@ def engine(spark: SparkSession, rows: list[tuple] | None = None, **params) -> Tr
 
 def articles(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Documents as articles: first line is the title, the rest the abstract."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return as_articles(spark.read.parquet(f"{sf_dir}/documents.parquet"), *keep)
+
+
+def as_articles(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.col("text")
     cut = F.instr(text, "\n")
     return docs.select(

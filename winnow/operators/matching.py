@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from winnow.functions.once import built_once, with_once
 from winnow.functions.text import NormRules, has_tags, normalize, tokens
 from winnow.params import KINDS, SECTIONS, T0
+from winnow.sources.staging import stored
 
 # Field order is sort order: sorting hits puts them in block, kind, term, section order.
 HIT = (
@@ -40,6 +41,7 @@ HIT = (
 MATCH_ENTRY = f"struct<scope:string,guards:array<string>,pattern:string,hit:{HIT}>"
 
 _KEYS_PER_BUCKET = 4
+NORM_COLUMNS = tuple(f"norm_{s}" for s in SECTIONS)
 
 
 def match_entries(compiled: DataFrame) -> DataFrame:
@@ -225,10 +227,70 @@ def _lookups(index: KeyIndex, prefix: str) -> dict[str, Column]:
     return {f"cand_{s}": index.lookup(f"words_{s}", _text(prefix, s)) for s in SECTIONS}
 
 
+#: Bits of the filter for dictionary keys, and of one piece of it.
+KEY_BITS, _PIECE = 1 << 21, 1 << 15
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+
+
+def key_filter(keyed: DataFrame) -> str:
+    """One bit per hash of a lookup key, as JSON text of 64-bit numbers.
+
+    KEY_BITS bits whatever the dictionary: from some hundred thousand keys on, more words pass
+    that no term asks for, and meet no key in the join.
+    """
+    bit = _bit(F.col("lookup_key"))
+    pieces = keyed.select((bit / _PIECE).cast("int").alias("piece"), (bit % _PIECE).alias("bit"))
+    words = [0] * (KEY_BITS // 64)
+    for row in pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        first = row["piece"] * _PIECE // 64
+        for i in range(_PIECE // 64):
+            words[first + i] = int.from_bytes(row["bits"][8 * i : 8 * i + 8], "little", signed=True)
+    return json.dumps(words)
+
+
+def _may_be_key(bits_json: str) -> Callable[[Column], Column]:
+    bits = F.from_json(F.lit(bits_json), "array<bigint>")
+
+    def test(key: Column) -> Column:
+        bit = _bit(key)
+        return F.getbit(F.get(bits, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+
+    return test
+
+
+@dataclass(frozen=True)
+class KeyTable:
+    """A dictionary of any size: a stored table of (lookup_key, entry), and what the plan knows of it."""
+
+    keyed: DataFrame
+    begin_lengths: tuple[int, ...]
+    end_lengths: tuple[int, ...]
+    bits_json: str
+    scan: Scan
+    entry_type: str
+
+    @classmethod
+    def build(cls, entries: DataFrame, entry_type: str) -> KeyTable:
+        """Cleaned and compiled once: the table is written to the folder for scratch tables."""
+        whole = stored(entries)
+        keyed = stored(with_rarest_key(whole.filter(F.size("keys") > 0)))
+
+        def lengths(mark: str) -> tuple[int, ...]:
+            part = F.split_part("lookup_key", F.lit(mark), F.lit(1)).cast("int")
+            rows = keyed.filter(F.col("lookup_key").contains(mark)).select(part).distinct().collect()
+            return tuple(sorted(r[0] for r in rows))
+
+        unkeyed = whole.filter(F.size("keys") == 0).select(F.to_json("entry").alias("entry")).collect()
+        scan = Scan.of([json.loads(r["entry"]) for r in unkeyed], entry_type)
+        return cls(keyed, lengths("<"), lengths(">"), key_filter(keyed), scan, entry_type)
+
+
 def with_joined_candidates(
     df: DataFrame,
-    entries: DataFrame,
-    entry_type: str,
+    table: KeyTable,
     row_key: str,
     rebuild: Callable[[DataFrame], DataFrame],
     prefix: str = "norm_",
@@ -238,39 +300,37 @@ def with_joined_candidates(
     `rebuild` adds the texts under `prefix` and their words to the articles `df`. `row_key`
     must identify a row, also after a recomputation (a stored key, or the file and row
     position that `sources.with_row_key` gives). Words that no entry asks for are dropped
-    before they are shuffled; what is shuffled is row key, section and word. Texts move
-    once, as they came, when candidates return to their article. A word in very many
-    articles is a skewed join key, which Spark splits at run time.
+    within their article, by a filter of fixed size, before anything is exploded. What is
+    shuffled is row key, section and word, once by word if the dictionary is too large to be
+    broadcast and once by row. Articles stored in buckets of their row key (`TriageEngine.store`)
+    stay where they are; others move once, as they came. A word in very many articles is a
+    skewed join key, which Spark splits at run time.
     """
-    keyed = with_rarest_key(entries.filter(F.size("keys") > 0))
-
-    def lengths(mark: str) -> tuple[int, ...]:
-        part = F.split_part("lookup_key", F.lit(mark), F.lit(1)).cast("int")
-        rows = keyed.filter(F.col("lookup_key").contains(mark)).select(part).distinct().collect()
-        return tuple(sorted(r[0] for r in rows))
-
-    unkeyed = entries.filter(F.size("keys") == 0).select(F.to_json("entry").alias("entry")).collect()
-    scan = Scan.of([json.loads(r["entry"]) for r in unkeyed], entry_type)
-    begins, ends = lengths("<"), lengths(">")
+    keyed = table.keyed
+    wanted = _may_be_key(table.bits_json)
 
     def section_keys(section: str) -> Column:
-        keys = F.array_distinct(text_keys(F.col(f"words_{section}"), begins, ends))
+        keys = text_keys(F.col(f"words_{section}"), table.begin_lengths, table.end_lengths)
         return F.transform(
-            keys, lambda k: F.struct(F.lit(section).alias("section"), k.alias("lookup_key"))
+            F.array_distinct(F.filter(keys, wanted)),
+            lambda k: F.struct(F.lit(section).alias("section"), k.alias("lookup_key")),
         )
 
     asked = rebuild(df).select(row_key, F.inline(F.concat(*map(section_keys, SECTIONS))))
     asked = asked.join(keyed.select("lookup_key").distinct(), "lookup_key", "left_semi")
+    # Grouped as words, so that entries need not move with them, and met with entries after that.
+    by_row = asked.groupBy(row_key).agg(F.collect_list(F.struct("section", "lookup_key")).alias("asked"))
     found = (
-        asked.join(keyed, "lookup_key")
+        by_row.select(row_key, F.inline("asked"))
+        .join(keyed, "lookup_key")
         .groupBy(row_key)
         .agg(F.collect_list(F.struct("section", "entry")).alias("found"))
     )
 
     def of_section(section: str) -> Column:
         mine = F.filter("found", lambda c: c["section"] == section)
-        none = F.array().cast(f"array<{entry_type}>")
-        scanned = scan.lookup(_text(prefix, section))
+        none = F.array().cast(f"array<{table.entry_type}>")
+        scanned = table.scan.lookup(_text(prefix, section))
         return F.concat(F.coalesce(F.transform(mine, lambda c: c["entry"]), none), scanned)
 
     joined = rebuild(df.join(found, row_key, "left"))
@@ -278,7 +338,9 @@ def with_joined_candidates(
 
 
 def with_norm(articles: DataFrame, rules: NormRules | None) -> DataFrame:
-    """Normalised text per section as `norm_<section>`."""
+    """Normalised text per section as `norm_<section>`; stored articles have it already."""
+    if set(NORM_COLUMNS) <= set(articles.columns):
+        return articles
     return articles.withColumns(_norms(rules))
 
 
@@ -337,13 +399,11 @@ def match_narrow(articles: DataFrame, index: KeyIndex, rules: NormRules | None)
 
 
 def match_join(
-    articles: DataFrame, entries: DataFrame, rules: NormRules | None, row_key: str
+    articles: DataFrame, table: KeyTable, rules: NormRules | None, row_key: str
 ) -> DataFrame:
     """As `match_narrow`, for a dictionary that stays a table."""
-    found = with_joined_candidates(
-        articles, entries, MATCH_ENTRY, row_key, lambda df: with_words(with_norm(df, rules))
-    )
-    return _matched(found, articles.columns)
+    found = with_joined_candidates(articles, table, row_key, lambda df: with_words(with_norm(df, rules)))
+    return _matched(found, [c for c in articles.columns if c not in NORM_COLUMNS])
 
 
 def hit_rows(matched: DataFrame, blocks: tuple[str, ...], *keep: str) -> DataFrame:

@@ -98,17 +98,53 @@ def block_rows(decided: DataFrame, *keep: str, t0: bool = False) -> DataFrame:
     return rows.unionByName(pre, allowMissingColumns=True)
 
 
+#: The driver sorts no more than this many hashes of the articles around the limit of a sample.
+NEAR_LIMIT = 100_000
+
+
+def _nth_hash(hashes: DataFrame, n: int) -> tuple[int, int] | None:
+    """The n-th smallest value of a column `hash` (64 bits) and how many are smaller; None if
+    there are fewer values. Counts per range of values narrow it down, 16 bits at a time."""
+    below, low, high = 0, -(1 << 63), (1 << 63) - 1
+    while True:
+        rows = hashes.filter(F.col("hash").between(low, high))
+        shift = max((high - low).bit_length() - 16, 0)
+        ranges = rows.groupBy(F.shiftright("hash", shift).alias("range")).count().orderBy("range").collect()
+        here = None
+        for r in ranges:  # 65,537 at most
+            if below + r["count"] >= n:
+                here = r
+                break
+            below += r["count"]
+        if here is None:
+            return None
+        low, high = max(low, here["range"] << shift), min(high, (here["range"] + 1 << shift) - 1)
+        if low == high:
+            return low, below
+        if here["count"] <= NEAR_LIMIT:
+            near = hashes.filter(F.col("hash").between(low, high)).collect()
+            values = sorted(r["hash"] for r in near)
+            value = values[n - below - 1]
+            return value, below + values.index(value)
+
+
 def sample_articles(articles: DataFrame, n: int, seed: int = 42, partitions: int = 0) -> DataFrame:
     """Exactly `n` articles, the same ones for the same seed; all of them if there are fewer.
 
-    Articles are ranked by a hash, so every task keeps only its own first `n`. The hash
-    covers the whole row: articles with the same id are ranked on their own. The sample is
-    spread over `partitions` (as many as there are cores, if 0) for what comes after.
+    These are the articles with the smallest hashes. The hash covers the whole row: articles
+    with the same id are ranked on their own. The n-th smallest hash is found first, by counts;
+    then every task keeps its articles below it, however many these are. Of equal articles at
+    the limit, any as many as are missing do. The sample is spread over `partitions` (as many
+    as there are cores, if 0) for what comes after.
     """
     if n < 1:
         raise ValueError("The sample size must be at least 1")
-    columns = [named(c) for c in articles.columns]
-    drawn = articles.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)
+    value = F.xxhash64(F.lit(seed), *(named(c) for c in articles.columns))
+    limit = _nth_hash(articles.select(value.alias("hash")), n)
+    if limit is None:
+        drawn = articles
+    else:
+        drawn = articles.filter(value < limit[0]).union(articles.filter(value == limit[0]).limit(n - limit[1]))
     return drawn.repartition(partitions or articles.sparkSession.sparkContext.defaultParallelism)
 
 
@@ -170,9 +206,13 @@ def detail(
 # -- rows that could not be processed -----------------------------------------------------
 
 
-def split_errors(rows: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
-    """Rows to process and rows whose `error` column names a problem (a malformed record)."""
-    return rows.filter(F.col(error).isNull()).drop(error), rows.filter(F.col(error).isNotNull())
+def split_errors(rows: DataFrame, error: str = "error", *only_failed: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to process and rows whose `error` column names a problem (a malformed record).
+
+    Columns `only_failed` stay with the failed rows alone.
+    """
+    good = rows.filter(F.col(error).isNull()).drop(error, *only_failed)
+    return good, rows.filter(F.col(error).isNotNull())
 
 
 def error_results(

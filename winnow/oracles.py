@@ -679,6 +679,7 @@ FROM documents WHERE doc_id % 50 = 7""",
         "term_hits_joined": q(
             hits(FIXTURE), "SELECT id, block, kind, term, level, section, match_type, source_row FROM hits"
         ),
+        "stream_decisions": q(decided(), "SELECT Final_Decision, count(*) AS n FROM dec GROUP BY Final_Decision"),
         "normalized_hits": q(
             hits(NORMALIZED).replace(
                 SECTIONS,

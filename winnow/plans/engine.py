@@ -16,6 +16,7 @@ from winnow.operators import terms as T
 from winnow.operators.decision import decide
 from winnow.operators.scoring import evaluate
 from winnow.params import SECTIONS, Params
+from winnow.sources.staging import stored_by
 
 ARTICLE_COLUMNS = ("id", *SECTIONS)
 
@@ -85,7 +86,7 @@ class TriageEngine:
         params = self.params.with_(**changes)
         other = TriageEngine(params, self.term_set, self.rules, self.row_key, self.matching)
         if not {"max_gap", "token_unit", "proximity"} & set(changes):
-            for name in ("compiled", "match_index", "highlight_index"):
+            for name in ("compiled", "match_index", "highlight_index", "match_table", "highlight_table"):
                 if name in self.__dict__:
                     other.__dict__[name] = self.__dict__[name]
         return other
@@ -102,17 +103,33 @@ class TriageEngine:
     def highlight_index(self) -> M.KeyIndex:
         return M.KeyIndex.build(H.highlight_entries(self.compiled), H.HIGHLIGHT_ENTRY)
 
+    @cached_property
+    def match_table(self) -> M.KeyTable:
+        return M.KeyTable.build(M.match_entries(self.compiled), M.MATCH_ENTRY)
+
+    @cached_property
+    def highlight_table(self) -> M.KeyTable:
+        return M.KeyTable.build(H.highlight_entries(self.compiled), H.HIGHLIGHT_ENTRY)
+
     def of_kinds(self, *kinds: str) -> TriageEngine:
         """The same engine with the terms of some kinds only."""
         terms = self.term_set.terms.filter(F.col("kind").isin(*kinds))
         term_set = T.TermSet(terms, self.term_set.blocks, self.term_set.has_t0)
         return TriageEngine(self.params, term_set, self.rules, self.row_key, self.matching)
 
+    def store(self, articles: DataFrame, path: str | None = None, buckets: int = 0) -> DataFrame:
+        """Articles with their normalised text, in buckets of the row key: matching by join then
+        normalises and shuffles no text. `buckets` is as many as there are shuffle partitions, if 0."""
+        if self.row_key is None:
+            raise ValueError("Articles are stored by a row_key")
+        buckets = buckets or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return stored_by(M.with_norm(articles, self.rules), self.row_key, buckets, path)
+
     def match(self, articles: DataFrame) -> DataFrame:
         """Adds `hits` and `has_tags`."""
         if self.matching == "row":
             return M.match_narrow(articles, self.match_index, self.rules)
-        return M.match_join(articles, M.match_entries(self.compiled), self.rules, self.row_key)
+        return M.match_join(articles, self.match_table, self.rules, self.row_key)
 
     def evaluate(self, articles: DataFrame) -> DataFrame:
         """Adds block evaluations (`evals`) and the pre-screen's outcome (`t0`)."""
@@ -128,11 +145,10 @@ class TriageEngine:
             words = H.with_original_words(articles)
             found = M.with_candidates(words, self.highlight_index, "")
         else:
-            entries = H.highlight_entries(self.compiled)
             found = M.with_joined_candidates(
-                articles, entries, H.HIGHLIGHT_ENTRY, self.row_key, H.with_original_words, ""
+                articles, self.highlight_table, self.row_key, H.with_original_words, ""
             )
-        return H.marked_sections(found, articles.columns)
+        return H.marked_sections(found, [c for c in articles.columns if c not in M.NORM_COLUMNS])
 
     def run(self, articles: DataFrame, id_output: str = "ID", timestamp: bool = True) -> DataFrame:
         """The published result table."""

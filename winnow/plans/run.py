@@ -80,12 +80,16 @@ def inspect(setup: Setup) -> tuple[list[tuple[str, str]], DataFrame, DataFrame]:
 def results_with_errors(
     engine: TriageEngine, articles: DataFrame, id_output: str = "ID", timestamp: bool = True
 ) -> DataFrame:
-    """The result table of articles with their places (`tables.PLACES`): failed rows are flagged."""
-    position, error = tables.PLACES
-    good, failed = R.split_errors(articles, error)
-    failed = failed.withColumn(position, F.col(position) + 1)
-    errors = R.error_results(failed, position, engine.params, id_output, error, timestamp)
-    return R.with_errors(engine.run(good.drop(position), id_output, timestamp), errors)
+    """The result table of articles with their places (`tables.PLACES`): failed rows are flagged.
+
+    A failed row is named by its number in the input. Only failed rows are joined with what their
+    number follows from; articles are decided without a join.
+    """
+    place, error = tables.PLACES
+    good, failed = R.split_errors(articles, error, place)
+    failed = tables.numbered(failed, articles, place, "number_").withColumn("number_", F.col("number_") + 1)
+    errors = R.error_results(failed, "number_", engine.params, id_output, error, timestamp)
+    return R.with_errors(engine.run(good, id_output, timestamp), errors)
 
 
 def run_triage(

@@ -20,6 +20,8 @@ from winnow.plans import manifest as MF
 from winnow.plans.engine import TriageEngine
 from winnow.plans.run import results_with_errors
 from winnow.sources import tables as S
+from winnow.sources.staging import scratch
+from winnow.streaming.stream import count_decisions, triage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -429,7 +431,7 @@ def term_hits_joined(spark: SparkSession, sf: str) -> DataFrame:
     """The dictionary as a table, joined with the texts' words."""
     params = Params(block_order=X.BLOCKS)
     e = TriageEngine.build(X.raw_terms(spark, X.TERMS), params, matching="join", row_key="id")
-    return e.hits(articles(spark, sf), "id").select(
+    return e.hits(e.store(articles(spark, sf)), "id").select(
         "id", "block", "kind", "term", "level", "section", "match_type", "source_row"
     )
 
@@ -460,13 +462,24 @@ def inline_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_errors(spark: SparkSession, sf: str) -> DataFrame:
-    position, error = S.PLACES
+    """Documents of one file: a place is a document's number there."""
+    place, error = S.PLACES
+    where = F.struct(F.lit("documents").alias("file"), F.lit(0).alias("split"), F.col("doc_id").alias("read"))
     docs = X.articles(spark, sf, "doc_id").withColumns(
-        {position: F.col("doc_id"), error: F.when(F.col("doc_id") % 50 == 7, F.lit("bad record"))}
+        {place: where, error: F.when(F.col("doc_id") % 50 == 7, F.lit("bad record"))}
     )
     return results_with_errors(engine(spark), docs.drop("doc_id"), timestamp=False)
 
 
+def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a stream of files: decisions counted in state until all files are read."""
+    docs = S.stream_parquet(spark, f"{sf}/documents.parquet")
+    results = triage_stream(engine(spark), X.as_articles(docs))
+    at = scratch(spark)
+    count_decisions(results, f"{at}/counts", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/counts")
+
+
 def error_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every fiftieth record cannot be read; it is in the results all the same."""
     return _with_errors(spark, sf).select("ID", "Final_Decision", "Decision_Reason")
@@ -603,6 +616,7 @@ def queries() -> dict[str, Query]:
         .hits(articles(spark, sf), "id")
         .select("id", "block", "kind", "term", "section"),
         "term_hits_joined": term_hits_joined,
+        "stream_decisions": stream_decisions,
         "normalized_hits": normalized_hits,
         "inline_terms": inline_terms,
         "error_rows": error_rows,

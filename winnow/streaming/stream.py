@@ -1,7 +1,8 @@
 """Triage of articles as they arrive.
 
 An article is decided from its own row, so the batch plan runs on a stream unchanged:
-no state, no watermark, and any output mode that appends.
+no state, no watermark, and any output mode that appends. Counts of decisions are state: one
+number per decision, kept as long as the stream's checkpoint.
 """
 
 from __future__ import annotations
@@ -28,3 +29,19 @@ def write_stream(results: DataFrame, path: str, checkpoint: str, **trigger) -> S
         .trigger(**(trigger or {"availableNow": True}))
         .start(path)
     )
+
+
+def count_decisions(results: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep `path` (Parquet) at the number of results per final decision so far."""
+
+    def replace(counts: DataFrame, _: int) -> None:
+        counts.coalesce(1).write.mode("overwrite").parquet(path)  # a row per decision
+
+    counts = results.groupBy("Final_Decision").count().withColumnRenamed("count", "n")
+    return (
+        counts.writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(replace)
+        .start()
+    )
