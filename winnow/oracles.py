@@ -132,6 +132,9 @@ INLINE = [
     ("T0", "anti", 6, "thth", None, "exact", word("thth"), "any", 0),
     ("T0", "flag", 7, "avec", None, "exact", word("avec"), "any", 0),
 ]
+# Inline terms, then the table's: those of the FORM block and the pre-screen.
+MERGED = [t for t in INLINE if t[0] != "T0"] + [(*t[:2], t[2] + 1000, *t[3:]) for t in FIXTURE if t[0] != "FUNC"]
+FLAGS_ONLY = ("THEN 'bogus'", "THEN 'bogus' WHEN lang = 'fr' AND i % 41 <> 0 AND i % 11 <> 0 THEN 'flag'")
 UNIFORM = [t for t in FIXTURE if t[0] != "T0"] + [("VOID", "pos", 26, "qzqzqz", 1, "exact", word("qzqzqz"), "any", 24)]
 
 
@@ -343,7 +346,7 @@ words AS (
   FROM (SELECT *, regexp_extract_all(text, '[^ \n]+') AS w FROM documents)
 ), counted AS (SELECT *, doc_id + pos AS i FROM words),
 raw AS (
-  SELECT CAST(doc_id * 100000 + pos AS INTEGER) AS source_row,
+  SELECT CAST(doc_id * 100000 + pos AS BIGINT) AS source_row,
     trim(CASE WHEN i % 41 = 0 THEN '' WHEN i % 11 = 0 THEN 'GLOBAL' ELSE upper(lang) END) AS block,
     CASE WHEN i % 43 = 0 THEN 'bogus'
       ELSE ['pos', 'pos', 'pos', 'anti', 'flag', 'pos'][i % 6 + 1] END AS kind,
@@ -679,6 +682,55 @@ FROM documents WHERE doc_id % 50 = 7""",
         "term_hits_joined": q(
             hits(FIXTURE), "SELECT id, block, kind, term, level, section, match_type, source_row FROM hits"
         ),
+        "terms_no_positives": q(
+            RAW_TERMS.replace(*FLAGS_ONLY),
+            "SELECT 'warning' AS severity, 'no_positives' AS code, block AS message FROM clean "
+            "WHERE block <> 'GLOBAL' GROUP BY block HAVING count(*) FILTER (kind = 'pos') = 0",
+        ),
+        "terms_bad_regexes": """SELECT min(doc_id) AS source_row, 'warning' AS severity, 'regex' AS code,
+  'block ''A'', term ''' || any_value(source) || CASE doc_id % 4 WHEN 1 THEN '(' ELSE '[b-a]' END || '''' AS message
+FROM documents WHERE doc_id % 4 IN (1, 3) GROUP BY source, doc_id % 4""",
+        "config_checks": q(
+            RAW_TERMS.replace(*FLAGS_ONLY),
+            """SELECT CASE WHEN n IS NULL THEN 'error' ELSE 'warning' END AS severity,
+  CASE WHEN n IS NULL THEN 'Block ''' || wanted || ''' is asked for, but has no terms'
+    ELSE 'Block ''' || wanted || ''' can never approve: no positives' END AS message
+FROM (VALUES ('EN'), ('FR'), ('XX')) AS b(wanted)
+LEFT JOIN (SELECT block, count(*) FILTER (kind = 'pos') AS n FROM clean GROUP BY block) ON block = wanted
+WHERE n IS NULL OR n = 0
+UNION ALL SELECT 'error', '''any'' is no decision policy; there are special, strict, k_of_n'
+UNION ALL SELECT 'warning', 'LIMITES_APROVADO: level 1 has a threshold below zero (-1)'
+UNION ALL SELECT 'warning', 'LIMITES_SINALIZADO: level 3 has a threshold below zero (-2)'""",
+        ),
+        "csv_exchange": q(
+            decided(),
+            """SELECT dec.id AS ID, replace(printf('%.2f', round(a.final_score, 2)), '.', ',') AS FinalScore_FUNC,
+  coalesce(CAST(b.best_level AS VARCHAR), '') AS BestLevel_FORM, Final_Decision, Decision_Reason
+FROM dec JOIN mv a ON a.id = dec.id AND a.block = 'FUNC' JOIN mv b ON b.id = dec.id AND b.block = 'FORM'""",
+        ),
+        "csv_encodings": q(ARTICLES, "SELECT id, title, abstract, manual_tags FROM docs"),
+        "error_gate": """WITH c AS (
+  SELECT count(*) FILTER (doc_id % 50 = 7) / count(*) AS rate FROM documents
+)
+SELECT CAST(max_rate AS DOUBLE) AS max_rate, policy, policy = 'flag' AND max_rate >= 0 AND rate > max_rate AS stops
+FROM c, (VALUES (-1.0), (0.0), (0.01), (0.05)) AS l(max_rate), (VALUES ('flag'), ('fail')) AS p(policy)""",
+        "merged_terms": q(decided(terms=MERGED), decision),
+        "no_blocks": q(
+            evals(),
+            "SELECT id, 'REJECTED_FINAL' AS Final_Decision, CASE WHEN status = 'REJECTED' THEN 'T0: ' || reason "
+            "ELSE 'No domain blocks configured' END AS Decision_Reason FROM t0",
+        ),
+        "article_detail": q(
+            decided(fail_fast=False),
+            """SELECT CAST(v.position AS INTEGER) AS position, v.name,
+  CASE WHEN length(v.value) > 30 THEN left(v.value, 27) || '...' ELSE v.value END AS value
+FROM dec JOIN mv a ON a.id = dec.id AND a.block = 'FUNC' JOIN mv b ON b.id = dec.id AND b.block = 'FORM',
+LATERAL (VALUES (0, 'ID', dec.id), (1, 'Final_Decision', Final_Decision), (2, 'Decision_Reason', Decision_Reason),
+  (3, 'FinalScore_FUNC', CAST(round(a.final_score, 2) AS VARCHAR)), (4, 'Status_FUNC', a.status),
+  (5, 'FinalScore_FORM', CAST(round(b.final_score, 2) AS VARCHAR)), (6, 'Status_FORM', b.status)
+) AS v(position, name, value)
+WHERE dec.id = '7'""",
+        ),
         "stream_decisions": q(decided(), "SELECT Final_Decision, count(*) AS n FROM dec GROUP BY Final_Decision"),
         "normalized_hits": q(
             hits(NORMALIZED).replace(

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from winnow import fixture as X
 from winnow.functions import patterns as P
-from winnow.functions.text import NormRules, normalize
+from winnow.functions.text import NormRules, named, normalize
 from winnow.operators import analytics as A
 from winnow.operators import results as R
 from winnow.operators import terms as T
 from winnow.operators.decision import decide
-from winnow.params import SECTIONS, Params
+from winnow.params import SECTIONS, Params, check_config, wanted_blocks
 from winnow.plans import manifest as MF
 from winnow.plans.engine import TriageEngine
 from winnow.plans.run import results_with_errors
+from winnow.sources import sinks
 from winnow.sources import tables as S
 from winnow.sources.staging import scratch
 from winnow.streaming.stream import count_decisions, triage_stream
@@ -184,6 +185,25 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return S.input_profile(_exported(spark, sf), {"manual_tags": "manual_tags"})
 
 
+def csv_exchange(spark: SparkSession, sf: str) -> DataFrame:
+    """Results written as CSV with decimal commas and a byte order mark, and read again as text."""
+    rows = _results()(spark, sf).select("ID", "FinalScore_FUNC", "BestLevel_FORM", "Final_Decision", "Decision_Reason")
+    at = scratch(spark)
+    sinks.write_csv(rows, at)
+    return S.read_results(spark, at)
+
+
+def csv_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles from one folder of files in several encodings, with quoted line breaks."""
+    at, docs = scratch(spark), _exported(spark, sf)
+    cells = F.array(*map(named, docs.columns))
+    one_byte = F.forall(cells, lambda c: c.rlike(r"^[\x00-\x7F\xA0-\xFF]*$"))
+    latin = one_byte & (named("Article ID").cast("int") % 2 == 0)
+    sinks.write_csv(docs.filter(latin), at, {"encoding": "ISO-8859-1"}, "append")
+    sinks.write_csv(docs.filter(~latin), at, {"encoding": "utf-8"}, "append")
+    return S.as_articles(S.read_table(spark, at), {"manual_tags": "manual_tags"})
+
+
 # -- text and patterns --------------------------------------------------------------------
 
 
@@ -274,6 +294,40 @@ def terms_block_lint(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("severity", "code", "message")
 
 
+def terms_no_positives(spark: SparkSession, sf: str) -> DataFrame:
+    """A block that has exclusions and warnings only can never approve."""
+    found = T.block_findings(T.clean(_flags_only(spark, sf), TERM_PARAMS))
+    return found.select("severity", "code", "message")
+
+
+def _flags_only(spark: SparkSession, sf: str) -> DataFrame:
+    raw = document_terms(spark, sf)
+    return raw.withColumn("Kind", F.when(F.col(" Block") == "FR", "flag").otherwise(F.col("Kind")))
+
+
+def terms_bad_regexes(spark: SparkSession, sf: str) -> DataFrame:
+    """Regexes made of the documents' sources, some of which no dialect takes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tail = F.get(F.array(*map(F.lit, ("[0-9]", "(", "(?P<n>x)?", "[b-a]"))), (F.col("doc_id") % 4).cast("int"))
+    raw = docs.select(
+        F.col("doc_id").alias("source_row"), F.lit("A").alias("block"), F.lit("pos").alias("kind"),
+        F.concat("source", tail).alias("term"), F.lit("1").alias("level"), F.lit("yes").alias("is_regex"),
+    )
+    return T.regex_findings(T.clean(raw))
+
+
+def config_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A planned run over the documents' terms: blocks without terms or positives, policy, thresholds."""
+    terms = T.clean(_flags_only(spark, sf), TERM_PARAMS)
+    counts = {r["block"]: r["n_pos"] for r in T.block_counts(terms).collect()}
+    cfg = {
+        "global": {"DECISION_POLICY": "any", "LIMITES_APROVADO": {"1": -1, "2": 12}, "LIMITES_SINALIZADO": {"3": -2}},
+        "_domain_blocks": ["EN", "FR", "XX", "GLOBAL"],
+    }
+    found = check_config(cfg, {b: counts.get(b) for b in wanted_blocks(cfg)})
+    return spark.createDataFrame(found, "severity string, message string")
+
+
 def terms_browse(spark: SparkSession, sf: str) -> DataFrame:
     routed = T.route(T.clean(document_terms(spark, sf), TERM_PARAMS), TERM_PARAMS.block_order)
     return T.browse(routed)
@@ -471,6 +525,39 @@ def _with_errors(spark: SparkSession, sf: str) -> DataFrame:
     return results_with_errors(engine(spark), docs.drop("doc_id"), timestamp=False)
 
 
+def error_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Which limits on the share of failed records stop a run."""
+    n = A.totals(_with_errors(spark, sf)).first()
+
+    def stops(limit: float, policy: str) -> bool:
+        try:
+            R.check_error_rate(n["n_total"], n["n_error"], Params(max_error_rate=limit, error_policy=policy))
+        except RuntimeError:
+            return True
+        return False
+
+    cases = [(limit, policy) for limit in (-1.0, 0.0, 0.01, 0.05) for policy in ("flag", "fail")]
+    return spark.createDataFrame([(*c, stops(*c)) for c in cases], "max_rate double, policy string, stops boolean")
+
+
+def merged_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of a configuration before those of a table: one block has both, the table's pre-screen counts."""
+    table = X.raw_terms(spark, [t for t in X.TERMS if t[0] != "FUNC"])
+    e = TriageEngine.build(table, Params(block_order=X.BLOCKS), T.inline_terms(spark, INLINE))
+    return e.decide(articles(spark, sf)).select("id", "Final_Decision", "Decision_Reason")
+
+
+def no_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary that is a pre-screen only."""
+    e = TriageEngine.build(X.raw_terms(spark, [t for t in X.TERMS if t[0] == "GLOBAL"]), Params())
+    return e.decide(articles(spark, sf)).select("id", "Final_Decision", "Decision_Reason")
+
+
+def article_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """What there is to say of one article, long values cut."""
+    return R.detail(_results(fail_fast=False)(spark, sf), "ID", "7", columns=7, length=30)
+
+
 def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as a stream of files: decisions counted in state until all files are read."""
     docs = S.stream_parquet(spark, f"{sf}/documents.parquet")
@@ -599,6 +686,15 @@ def queries() -> dict[str, Query]:
         "terms_blocks": terms_blocks,
         "terms_block_lint": terms_block_lint,
         "terms_browse": terms_browse,
+        "terms_no_positives": terms_no_positives,
+        "terms_bad_regexes": terms_bad_regexes,
+        "config_checks": config_checks,
+        "csv_exchange": csv_exchange,
+        "csv_encodings": csv_encodings,
+        "error_gate": error_gate,
+        "merged_terms": merged_terms,
+        "no_blocks": no_blocks,
+        "article_detail": article_detail,
         "norm_rules": norm_rules,
         "norm_rule_conflicts": norm_rule_conflicts,
         "term_hits": _hits(
