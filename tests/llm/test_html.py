@@ -1,5 +1,6 @@
 """Marginals against summing over all labellings, texts against labelled and registered pages."""
 
+import time
 import html as entities
 import itertools
 import random
@@ -126,3 +127,26 @@ def test_pages_of_the_tables(spark, sf_dir):
         inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         plain = re.sub(r"</?b>", "", re.sub(r"<(/?p|/?h1|br)>", " ", inside))
         assert texts[r.page_id] == " ".join(entities.unescape(plain).split())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>" + "<div>" * 100_000 + "deep. words in here." + "</div>" * 100_000 + "</article>",
+        "<article><p>text. more text.</p></article>" + '<a "' * 250_000,
+        "<div>" * 60_000 + "</section>" * 60_000 + "</b>" * 60_000,
+        "<object>" * 50_000 + "</object>" * 50_000 + "<p>x</p>",
+        "<p><b>" * 120_000 + "words",
+    ],
+    ids=["nested", "unclosed", "unmatched", "hidden", "inline"],
+)
+def test_hostile_pages_of_a_megabyte(spark, page):
+    model = H.trained(spark)
+    begin = time.time()
+    assert len(H.main_texts([page], model)) == 1
+    assert time.time() - begin < 20
+
+
+def test_pages_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS page_id, 'u' AS url, cast(unhex('3C703E61FF623C2F703E') AS string) AS html")
+    assert H.report(df).count() == 1

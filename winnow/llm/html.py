@@ -15,7 +15,14 @@ other code and controls, comments and head elements are never text. A head also
 or text comes that cannot be in one, a control or drawing where a block around it ends.
 
 Defined results: null and empty pages, and pages without an article, have an empty text; unclosed
-and misnested tags follow what browsers do in the common cases; text outside of all elements is not part of an article.
+and misnested tags follow what browsers do in the common cases; text outside of all elements is not part
+of an article; bytes that are no UTF-8 are read as U+FFFD; repeated pages are read each on its own; an
+element with a probability of exactly a half is main text; an empty table gives no rows. Other
+columns stay as they are.
+
+Long and broken pages: open tags are counted, elements are grouped by depth with one sort, and what
+follows the last `>` is read as text at once, so deep nesting and rows of unclosed tags take time in
+proportion to the page.
 """
 
 from __future__ import annotations
@@ -35,8 +42,9 @@ from pyspark.sql import types as T
 from winnow.llm.common import chunks, col_name
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
+_COMMENT = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|()()()(?!)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|data-main)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -127,6 +135,8 @@ def tree(page: str) -> Tree:
     """Elements and text blocks of a page."""
     t = Tree([-1], [0], [0], [0], [0], [0], [])
     stack: list[tuple[str, int]] = [("html", 0)]  # tag, block element
+    opened: Counter[str] = Counter()  # tags on the stack, but for the first
+    last_end = page.rfind(">")  # no tag begins behind it
     links = 0
     hidden: list[str] = []
     below: Counter[str] = Counter()  # blocks open within what is hidden
@@ -148,7 +158,9 @@ def tree(page: str) -> Tree:
         nonlocal links
         if any(tag in BLOCKS for tag, _ in stack[k:]):
             flush()
-        links -= sum(tag == "a" for tag, _ in stack[k:])
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+            links -= tag == "a"
         del stack[k:]
 
     def stays_hidden(end: str, tag: str, attributes: str) -> bool:
@@ -156,9 +168,10 @@ def tree(page: str) -> Tree:
         if hidden == ["head"] and (tag in {"body", "html", "br"} if end else tag not in IN_HEAD):
             return False
         if end and tag in hidden:
-            del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+            while hidden.pop() != tag:
+                pass
         elif end and tag in BLOCKS:
-            if not below[tag] and any(x == tag for x, _ in stack[1:]):
+            if not below[tag] and opened[tag]:
                 return False
             below[tag] -= below[tag] > 0
         elif end or attributes.endswith("/"):
@@ -175,7 +188,7 @@ def tree(page: str) -> Tree:
 
     at = 0
     while True:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last_end else _COMMENT).search(page, at)
         said = page[at : m.start()] if m else page[at:]
         if hidden == ["head"] and said.strip():
             hidden.clear()
@@ -199,7 +212,7 @@ def tree(page: str) -> Tree:
                 continue
             hidden.clear()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -222,13 +235,14 @@ def tree(page: str) -> Tree:
         if tag not in BLOCKS:
             if not attributes.endswith("/"):
                 stack.append((tag, stack[-1][1]))
+                opened[tag] += 1
                 links += tag == "a"
             continue
-        if tag == "html" or (tag == "body" and any(x == "body" for x, _ in stack)):
+        if tag == "html" or (tag == "body" and opened["body"]):
             continue
         ended = ENDS.get(tag, {"p"})
         edge = _BOUNDARY.get(tag, _BOUNDARY["p"])
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ended) else ():
             if stack[k][0] in ended:
                 close(k)
                 break
@@ -245,6 +259,7 @@ def tree(page: str) -> Tree:
         for column in (t.text, t.linked, t.sentences):
             column.append(0)
         stack.append((tag, len(t.parent) - 1))
+        opened[tag] += 1
     flush()
     return t
 
@@ -263,17 +278,21 @@ class Forest(NamedTuple):
 TRAITS = (8, 5, 4)
 
 
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The elements of each depth, in order."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth, minlength=1))[:-1])
+
+
 def forest(trees: list[Tree]) -> Forest:
     first = np.cumsum([0, *(len(t.parent) for t in trees)])
     parent = np.concatenate([np.array(t.parent) + a * (np.array(t.parent) >= 0) for t, a in zip(trees, first, strict=False)])
-    depth = np.zeros(len(parent), dtype=np.int64)
-    up = parent.copy()
-    while (up >= 0).any():
-        depth += up >= 0
-        up = np.where(up >= 0, parent[up], -1)
+    depth = (parent >= 0).astype(np.int64)
+    up = parent
+    while (up >= 0).any():  # twice as far up each time
+        depth, up = depth + np.where(up >= 0, depth[up], 0), np.where(up >= 0, up[up], -1)
     text, linked, sentences = (np.concatenate([getattr(t, n) for t in trees]).astype(np.float64) for n in ("text", "linked", "sentences"))
-    for d in range(int(depth.max(initial=0)), 0, -1):  # with all that is below
-        own = np.flatnonzero(depth == d)
+    for own in reversed(levels(depth)[1:]):  # with all that is below
         for x in (text, linked, sentences):
             np.add.at(x, parent[own], x[own])
     share = np.where(text > 0, linked / np.maximum(text, 1), 0)
@@ -304,8 +323,7 @@ class Model(NamedTuple):
 def labels(f: Forest) -> np.ndarray:
     """Labels of all elements from the marks of labelled pages."""
     holds = f.label.copy()
-    for d in range(int(f.depth.max(initial=0)), 0, -1):
-        own = np.flatnonzero(f.depth == d)
+    for own in reversed(levels(f.depth)[1:]):
         np.maximum.at(holds, f.parent[own], holds[own])
     return np.where(f.label == 1, INSIDE, np.where(holds == 1, AROUND, OTHER))
 
@@ -356,12 +374,12 @@ def marginals(f: Forest, model: Model) -> np.ndarray:
     up[f.parent < 0] = model.root
     step = model.step[f.kind]
     to_parent = np.zeros_like(up)
-    levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=0)) + 1)]
-    for own in reversed(levels[1:]):
+    by_depth = levels(f.depth)
+    for own in reversed(by_depth[1:]):
         to_parent[own] = total(up[own, None, :] + step[own], 2)
         np.add.at(up, f.parent[own], to_parent[own])
     belief = up.copy()
-    for own in levels[1:]:
+    for own in by_depth[1:]:
         rest = belief[f.parent[own]] - to_parent[own]
         belief[own] = up[own] + total(rest[:, :, None] + step[own], 1)
     return np.exp(belief[:, INSIDE] - total(belief, 1))
@@ -377,7 +395,7 @@ def trained(spark: SparkSession, labelled: DataFrame | None = None, html: str =
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pages in chunks(batches, "html"):
-            rows = counted(forest([tree(p.decode()) for p in pages]))
+            rows = counted(forest([tree(p.decode("utf-8", "replace")) for p in pages]))
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=["what", "a", "b", "y", "n"])
@@ -409,7 +427,7 @@ def extracted(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, html):
-            blocks = pa.array(main_texts([t.decode() for t in texts], known.value), type=arrow.field(name).type)
+            blocks = pa.array(main_texts([t.decode("utf-8", "replace") for t in texts], known.value), type=arrow.field(name).type)
             kept = [batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in arrow if f.name != name]
             yield pa.RecordBatch.from_arrays([*kept, blocks], schema=arrow)
 
