@@ -2,10 +2,13 @@
 
 import itertools
 import random
+import re
+import time
 
 import pytest
 
 from winnow.llm import licenses as L
+from winnow.llm.words import words
 
 SCHEMA = "doc_id long, text string"
 
@@ -124,3 +127,21 @@ def test_documents_of_the_tables(spark, sf_dir):
         found.setdefault(r[0], []).append(r[1])
     for name in (n for n in L.TEMPLATES if n.endswith("notice")):
         assert {i for i, t in docs if L.TEMPLATES[name] in t} <= {i for i, x in found.items() if name in x}
+
+
+def test_ten_thousand_notices_in_one_text():
+    t = L.Templates(L.TEMPLATES)
+    name, text = min(L.TEMPLATES.items(), key=lambda x: len(x[1]))
+    w = words([(f"é {text} other words here " * 10_000).encode()])
+    begin = time.time()
+    found = t.notices(t.numbered(w.hash).tolist(), [t.names.index(name)])
+    assert len(found) == 10_000 and time.time() - begin < 30
+
+
+def test_positions_in_characters(spark):
+    name, text = min(L.TEMPLATES.items(), key=lambda x: len(x[1]))
+    body = f"ééé 日本 {text.strip()} é " * 3
+    df = spark.createDataFrame([(1, body, 5, "x"), (2, None, 0, "")], "doc_id long, text string, start int, license string")
+    rows = sorted(L.notices(df).collect(), key=lambda r: r.start)
+    first = [m.start() for m in re.finditer(re.escape(text.strip()), body)]
+    assert len(rows) == 3 and [r.start for r in rows] == first and {r.doc_id for r in rows} == {1}
