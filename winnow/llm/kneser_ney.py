@@ -115,7 +115,7 @@ def _counted(order: int, schema: pa.Schema) -> Callable:
         for batch, texts in chunks(batches, "text", 2_000_000):
             fold = batch.column(batch.schema.get_field_index("fold")).to_pylist()
             for lang, members in _by_language(batch, "lang").items():
-                own = [texts[i].decode() for i in members if texts[i]]
+                own = [texts[i].decode("utf-8", "replace") for i in members if texts[i]]
                 if not own:
                     continue
                 codes, windows, first = coded(own, order)
@@ -231,7 +231,7 @@ def _scored(lookup, text: str, lang: str, sums: str, size: str, order: int, sche
                 members = [i for i in members if texts[i]]
                 if not members:
                     continue
-                codes, windows, first = coded([texts[i].decode() for i in members], order)
+                codes, windows, first = coded([texts[i].decode("utf-8", "replace") for i in members], order)
                 logp = table.get(gram_hashes(codes, name, order)[windows])
                 total[members] += np.add.reduceat(logp, first)
                 n[members] = np.diff(np.r_[first, len(windows)])
