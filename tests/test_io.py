@@ -182,6 +182,12 @@ def test_good_rows_are_decided_without_a_join(spark, tmp_path):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_blanks_around_cells_stay(spark, tmp_path):
+    df = spark.createDataFrame([("1", "  a b "), ("2", "")], "ID string, t string")
+    sinks.write_csv(df, str(tmp_path / "x"))
+    assert sorted((r.ID, r.t) for r in tables.read_results(spark, str(tmp_path / "x")).collect()) == [("1", "  a b "), ("2", "")]
+
+
 def test_encodings_of_a_folder(spark, tmp_path):
     (tmp_path / "a b.csv").write_bytes("id,title,abstract\n1,café,x\n".encode())
     (tmp_path / "c.csv").write_bytes("id,title,abstract,more\n2,ação,y,z\n".encode("cp1252"))

@@ -483,8 +483,11 @@ def highlight_regex(spark: SparkSession, sf: str) -> DataFrame:
 
 def term_hits_joined(spark: SparkSession, sf: str) -> DataFrame:
     """The dictionary as a table, joined with the texts' words."""
-    params = Params(block_order=X.BLOCKS)
-    e = TriageEngine.build(X.raw_terms(spark, X.TERMS), params, matching="join", row_key="id")
+    key = (spark.sparkContext.applicationId, "joined")
+    if key not in _engines:
+        params = Params(block_order=X.BLOCKS)
+        _engines[key] = TriageEngine.build(X.raw_terms(spark, X.TERMS), params, matching="join", row_key="id")
+    e = _engines[key]
     return e.hits(e.store(articles(spark, sf)), "id").select(
         "id", "block", "kind", "term", "level", "section", "match_type", "source_row"
     )

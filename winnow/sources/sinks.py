@@ -46,8 +46,9 @@ def write_csv(df: DataFrame, path: str, cfg: dict[str, Any] | None = None, mode:
         # Each file begins with its header, so the mark goes before the first name.
         encoding, rows = "UTF-8", rows.toDF(_BOM + df.columns[0], *df.columns[1:])
     rows.write.mode(mode).csv(
-        path, sep=options["csv_sep"], header=True, quote='"', escape='"', encoding=encoding
-    )
+        path, sep=options["csv_sep"], header=True, quote='"', escape='"', encoding=encoding,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_results(
