@@ -1,10 +1,10 @@
 """Marginals against summing over all labellings, texts against labelled and registered pages."""
 
-import time
 import html as entities
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
