@@ -12,8 +12,8 @@ Documents with the same words are one text (`copies`); signatures of distinct te
 Jaccard similarity of the shingle sets is 0.8 or more; classes are what links connect.
 
 No bucket is ever paired out when it is large. Its most popular text, the one with the most
-bucket mates over all its bands, is compared with all others; near copies of one source meet
-that source. In buckets whose texts are not all in one class then, those of different classes that share
+bucket mates over all its bands, is compared with all others; near copies of one source meet that
+source. In buckets whose texts are not all in one class then, those of different classes that share
 one of their rarest shingles are compared with each other. This prune is exact, so no candidate link
 between classes is lost, and large classes cost one comparison per text and outsider.
 
@@ -40,8 +40,8 @@ BANDS, ROWS = 20, 4
 #: Links: 10 * shared shingles >= 8 * shingles of either.
 SIMILARITY = (8, 10)
 BUCKET_BYTES = 64_000_000
-#: Rounds in which another text of each mixed bucket meets all others, before pairs are sought.
-ROUNDS = 8
+#: Shingles of a text by which a pair's first common one is known.
+FIRST = 8
 #: Text bytes that a task signs at a time: a dozen arrays hold eight bytes for each shingle.
 CHUNK_BYTES = 1_000_000
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -166,7 +166,8 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     first n - ceil(0.8 n) + 1 (the prefix). Texts meet by band and such a shingle, and only where it
     is in several classes; there, those outside of the class with the most texts meet all. So the
     texts of one class never meet through each other, and at most twice the pairs of different
-    classes that share a key are looked at.
+    classes that share a key are looked at. Similar texts share many keys: a pair comes out of the
+    join at the first one.
     """
     least, of = SIMILARITY
     own = settle(rest.select("rid", "class").distinct())
@@ -178,19 +179,27 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     placed = rows.join(often, "shingle").withColumn("place", F.row_number().over(order) - 1)
     prefix = placed.filter(f"several AND place < size - ({least} * size + {of - 1}) div {of} + 1")
     prefix = settle(prefix.select("rid", "class", "size", "shingle", "place"))
-    met = settle(prefix.join(rest.select("band", "rid"), "rid"))
+    # What tells a pair's first key from its others: some first shingles, and all bands of a text.
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy("place"))
+    firsts = prefix.select("rid", "place", "shingle", rank.alias("k")).filter(F.col("k") <= FIRST)
+    firsts = firsts.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("place", "shingle")))["shingle"].alias("firsts"))
+    own = settle(firsts.join(rest.groupBy("rid").agg(F.collect_list("band").alias("bands")), "rid"))
+    met = settle(prefix.join(rest.select("band", "rid"), "rid").join(own, "rid"))
     key = ["band", "shingle"]
     held = met.groupBy(*key, "class").agg(F.count("*").alias("n"))
     held = held.groupBy(key).agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
     met = settle(met.join(settle(held.filter("classes > 1").select(*key, F.col("top.class").alias("most"))), key))
     few = met.filter("class <> most")
-    other = met.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("rid", "class", "size", "place")))
+    other = met.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("rid", "class", "size", "place", "firsts", "bands")))
     # What both have from their first shared shingle on must do.
     both = "least(size - place, size_b - place_b)"
     enough = F.expr(
         "class <> class_b AND (class_b = most OR rid < rid_b)"
         f" AND {of} * least(size, size_b) >= {least} * greatest(size, size_b)"
         f" AND {of} * ({both}) >= {least} * (size + size_b - ({both}))"
+        # Once for all bands that both are in; and if they share a first shingle, once for all shingles.
+        " AND band = array_min(array_intersect(bands, bands_b))"
+        " AND shingle = coalesce(get(array_intersect(firsts, firsts_b), 0), shingle)"
     )
     pairs = few.join(other, key).filter(enough)
     return settle(pairs.select(F.least("rid", "rid_b").alias("a"), F.greatest("rid", "rid_b").alias("b")).distinct())
@@ -211,42 +220,14 @@ def _classes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     links = _links(settle(pairs), texts)
     found = settle(components(links))
     # Buckets that hold texts of several classes: these have met the first text, but not each other.
-    members = settle(members.filter("mates > 2").join(popular, "rid").select("band", "rid", "popularity"))
-    met = first
-    rest = _mixed(members, found)
-    for _ in range(ROUNDS):
-        if rest.isEmpty():
-            return found
-        met, stars = _next_stars(rest, met)
-        pairs = rest.join(stars, "band").filter("class <> star_class")
-        more = _links(settle(pairs.select("a", F.col("rid").alias("b")).distinct()), texts)
-        if more.isEmpty():
-            break
-        links = settle(links.union(more))
-        found = settle(components(links))
-        rest = _mixed(rest.select("band", "rid", "popularity"), found)
-    more = _links(_across(rest.select("band", "rid", "class"), texts), texts)
-    return found if more.isEmpty() else settle(components(links.union(more)))
-
-
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Those members of bands (band, rid, popularity), with their class, whose band has several classes."""
-    named = members.join(found, members["rid"] == found["node"], "left")
-    named = settle(named.select("band", "rid", "popularity", F.coalesce("component", "rid").alias("class")))
+    named = members.filter("mates > 2").join(found, members["rid"] == found["node"], "left")
+    named = settle(named.select("band", "rid", F.coalesce("component", "rid").alias("class")))
     mixed = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"))
-    return settle(named.join(settle(mixed.filter("x <> y").select("band")), "band", "left_semi"))
-
-
-def _next_stars(rest: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The next text of each band that meets all others of the band: the most popular one that has
-    not, outside of the band's largest class. `met` and the first result: (band, a) so far."""
-    sizes = rest.groupBy("band", "class").agg(F.count("*").alias("n"))
-    largest = settle(sizes.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top")))
-    left = rest.join(met.select("band", F.col("a").alias("rid")), ["band", "rid"], "left_anti")
-    left = left.join(largest, "band").filter("class <> top.class")
-    best = left.groupBy("band").agg(F.max(F.struct("popularity", "rid", "class")).alias("best"))
-    stars = settle(best.select("band", F.col("best.rid").alias("a"), F.col("best.class").alias("star_class")))
-    return settle(met.select("band", "a").union(stars.select("band", "a"))), stars
+    rest = settle(named.join(settle(mixed.filter("x <> y").select("band")), "band", "left_semi"))
+    if rest.isEmpty():
+        return found
+    more = _links(_across(rest, texts), texts)
+    return found if more.isEmpty() else settle(components(links.union(more)))
 
 
 def _stored(own: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
