@@ -1,10 +1,56 @@
 """Steps that have to keep up with tables of any size."""
 
+import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from winnow import queries
 from winnow.functions import patterns as P
+from winnow.operators import terms as T
+
+JIT_LIMIT = 8_000  # bytes of a method; the JVM interprets longer ones
+
+
+def generated(df):
+    """Bytes of the longest generated method of a plan's final form, and the plan."""
+    execution = df._jdf.queryExecution()
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", execution.explainString(mode))
+    return max(map(int, sizes)), execution.executedPlan().toString()
+
+
+@pytest.fixture
+def plain_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize(
+    "name",
+    "duplicates conflicts broad no_positives dedup block_lint lint blocks".split(),
+)
+def test_term_queries_are_compiled(spark, sf_dir, plain_plans, name):
+    size, plan = generated(getattr(queries, f"terms_{name}")(spark, sf_dir))
+    assert size < JIT_LIMIT
+    # A step that is not generated evaluates its expressions row by row.
+    steps = [line.lstrip(" :+-") for line in plan.splitlines()]
+    if name == "lint":
+        assert not [s for s in steps if s.startswith("Generate")]
+    if name in ("duplicates", "dedup"):
+        assert all(s.split("[")[1].startswith("rule") for s in steps if "SortAggregate(key" in s)
+    assert sum(s.count("regexp_replace(") for s in steps) <= 2 * 8
+
+
+def test_strip_takes_all_white_space(spark):
+    spaces = ["", " ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　"]
+    texts = [a + body + b for a in spaces for b in spaces for body in ("", "x", "a b", "a\nb", "é", "~!", "​")]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r["t"]: r["s"] for r in df.select("t", T.strip(F.col("t")).alias("s")).collect()}
+    assert got.pop(None) == ""
+    assert got == {t: t.strip("".join(spaces)) for t in texts}
 
 
 def test_pairs_of_a_term_with_very_many_parts(spark):
