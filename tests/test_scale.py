@@ -61,3 +61,13 @@ def test_pairs_of_a_term_with_very_many_parts(spark):
     row = pairs.agg(F.count("*").alias("n"), F.max_by("p", "i").alias("last")).first()
     assert (row["n"], row["last"]) == (n - 1, [f"w{n - 2}", f"w{n - 1}"])
     assert time.monotonic() - begin < 20
+
+
+@pytest.mark.parametrize(("name", "key"), [("sample_preview", "id")])
+def test_rows_in_another_order_are_dealt_over_all_tasks(spark, sf_dir, plain_plans, name, key):
+    """As many tasks as the session has for a shuffle, by a key that tells rows apart."""
+    plan = getattr(queries, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"(?:hashpartitioning|RoundRobinPartitioning)\((.*?)\), REPARTITION", plan))
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert any(re.fullmatch(rf"{key}#\d+L?, {n}", d) for d in dealt)
+    assert not {d for d in dealt if d == "3" or d.startswith("source")}
