@@ -63,7 +63,7 @@ def test_pairs_of_a_term_with_very_many_parts(spark):
     assert time.monotonic() - begin < 20
 
 
-@pytest.mark.parametrize(("name", "key"), [("sample_preview", "id")])
+@pytest.mark.parametrize(("name", "key"), [("sample_preview", "id"), ("input_fingerprint", "doc_id")])
 def test_rows_in_another_order_are_dealt_over_all_tasks(spark, sf_dir, plain_plans, name, key):
     """As many tasks as the session has for a shuffle, by a key that tells rows apart."""
     plan = getattr(queries, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
