@@ -98,3 +98,22 @@ def test_empty_table(spark):
 def test_counts_beyond_64_bits_when_scaled(spark):
     p = spark.range(1).select(D._p("30000000000000", "90000000000001", "7").alias("p")).first().p
     assert p == 1 + (10**9 * (3 * 10**13 + 5)) // (9 * 10**13 + 1 + 35)
+
+
+def test_variants_of_a_word_are_one_chunk_and_need_no_second_look(spark):
+    docs = [("Ab ab, (AB) 12 x-Y: --", "en", "s"), ('"ab" X-y Été. 3.14', "en", "s")] * 2
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], SCHEMA)
+    sums, buckets = D.chunk_sums(df)
+    found = sorted(tuple(r) for r in sums.select("chunk", "occurrences", "documents").collect())
+    assert found == [("ab", 8, 4), ("x-y", 4, 4), ("Été", 2, 2)]
+    assert sorted(tuple(r) for r in D.chunk_terms(sums, buckets).collect()) == [
+        ("ab", "ab", 1), ("x-y", "x", 1), ("x-y", "y", 1), ("Été", "Été", 1)
+    ]
+    assert result(spark, docs, 2, 9) == plain(docs, 2, 9)
+
+
+def test_signs_between_and_around_letters(spark):
+    rng = random.Random(6)
+    ends = [chr(b) for b in range(1, 128)] + ["é", "ß", "日", "\u00a0", "\u2028"]
+    docs = [("".join(rng.choices(ends, k=80)), "en", rng.choice("ab")) for _ in range(150)]
+    assert result(spark, docs, 3, 50) == plain(docs, 3, 50)

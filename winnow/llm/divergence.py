@@ -1,7 +1,8 @@
 """How far the sources of a language differ in their words, from factorised chunk counts.
 
-A chunk is a stretch between ASCII white space; a term is a run of
-`[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]` after A-Z became a-z, so terms never cross chunks.
+A chunk is a stretch between ASCII white space, with a-z for A-Z and without the signs and digits at
+its ends; a term is a run of `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]` after A-Z became a-z, so terms never
+cross chunks and no term is lost. Chunks without any term are dropped at once.
 
 1. Tasks count each document's chunks and add up, per (lang, source, chunk), occurrences and
    documents. Spark adds these sums; a frequent chunk or a hot source is a few rows by then. They
@@ -29,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,9 @@ BUCKET_BYTES = 64_000_000
 BITS, PIECE = 1 << 25, 1 << 15
 
 _OCCURRENCES = (1 << 40) - 1
+#: ASCII that no term holds, taken off the ends of chunks.
+SIGNS = bytes(b for b in range(128) if not chr(b).isalpha())
+_bare = methodcaller("strip", SIGNS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -96,7 +101,9 @@ def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, source, text in zip(*columns, strict=True):
             counts = found.setdefault((lang, source), {})
             entries -= len(counts)
-            for chunk, k in Counter(text.split()).items():
+            chunks = Counter(map(_bare, text.lower().split()))
+            chunks.pop(b"", None)
+            for chunk, k in chunks.items():
                 counts[chunk] = counts.get(chunk, 0) + k + (1 << 40)
             entries += len(counts)
             size += len(text)
@@ -122,8 +129,7 @@ def chunk_sums(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def chunk_terms(sums: DataFrame, buckets: int) -> DataFrame:
     """chunk, term and how often it is in the chunk; every distinct chunk is cut once."""
-    lowered = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    terms = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
+    terms = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
     cut = sums.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
     cut = cut.groupBy("chunk", "term").agg(F.count("*").alias("times"))
     return settle_by(cut, "chunk", buckets, spread=False)
@@ -138,7 +144,7 @@ def _having(bits: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
             langs, rows, chunks = [], [], []
             texts = text_bytes(batch.column(2))
             for lang, row, text in zip(text_bytes(batch.column(0)), batch.column(3).to_pylist(), texts, strict=True):
-                some = [c for c in set(text.split()) if is_set[zlib.crc32(c) % BITS]]
+                some = {c for c in map(_bare, set(text.lower().split())) if is_set[zlib.crc32(c) % BITS]}
                 chunks += some
                 langs += [lang] * len(some)
                 rows += [row] * len(some)
