@@ -185,6 +185,14 @@ def test_highlight_merges_touching_spans(spark):
     assert e.highlight(df).first()["Title_Highlighted"] == "***C+++X*** y"
 
 
+def test_matches_of_one_pattern_that_touch_are_one_piece(spark):
+    df = spark.createDataFrame([("aththe z zz", "th(?:e*)|z*"), ("no", "z*"), ("", "z*"), ("thth", "th")], "t string, p string")
+    rows = df.select(H._pieces(F.col("t"), F.col("p")).alias("x")).collect()
+    assert [[tuple(p) for p in r.x] for r in rows] == [
+        [("a", "ththe"), (" ", "z"), (" ", "zz"), ("", None)], [("no", None)], [("", None)], [("", "thth"), ("", None)]
+    ]
+
+
 def test_highlights_in_long_texts(spark):
     """Spans at, before and over the edges of the chunks a long text is cut into."""
     rows = [("A", "pos", "oil and gas", "1", "any", "0"), ("A", "pos", "é*", "1", "any", "0")]

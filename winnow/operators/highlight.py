@@ -4,7 +4,7 @@ Every block's terms are marked, whether or not the block was evaluated. Spans of
 patterns are merged where they overlap or touch. Matches of length zero are not marked.
 
 Terms that a lookup key proves mark whole words, so one pass over a text's words serves
-all of them. Only texts that also match a longer pattern need spans.
+all of them. Only texts that several patterns match need spans: one alone is marked in place.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from winnow.params import SECTIONS
 
 MARK = "***"
 HIGHLIGHT_ENTRY = "struct<scope:string,pattern:string,how:string,text:string>"
-_SPANS = "array<struct<begin:int,stop:int>>"
 
 
 def highlight_entries(compiled: DataFrame) -> DataFrame:
@@ -130,9 +129,12 @@ def _spans(pieces: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: Column) -> Column:
-    """Matches of some length, each with the text before it, and a last gap with no piece."""
+    """Matches of some length, those that touch as one, each with the text before it, and a last gap
+    with no piece."""
     marked = F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$0{_CLOSE}"))
-    parts = F.split(F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit("")), f"[{_OPEN}{_CLOSE}]", -1)
+    for none in (_OPEN + _CLOSE, _CLOSE + _OPEN):
+        marked = F.replace(marked, F.lit(none), F.lit(""))
+    parts = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
 
     def pairs(p: Column) -> Column:
         return F.transform(
@@ -221,26 +223,38 @@ def _in_scope(section: str) -> Column:
     return F.filter(F.col(f"cand_{section}"), lambda e: e["scope"].isin("any", section))
 
 
+def _other_patterns(section: str) -> Column:
+    """The patterns that do more than mark whole words."""
+    found = F.col(f"cand_{section}")
+    return F.array_distinct(F.filter(found, lambda e: e["pattern"].isNotNull())["pattern"])
+
+
+def _only_pattern(section: str) -> Column:
+    """The pattern that is the only one of its text: its matches are marked in place."""
+    word, others = F.col(f"pattern_{section}"), F.col(f"patterns_{section}")
+    return F.coalesce(F.when(F.size(others) == 0, word), F.when(word.isNull() & (F.size(others) == 1), F.get(others, F.lit(0))))
+
+
 def _pattern_spans(section: str) -> Column:
-    """Spans of the patterns that do more than mark whole words."""
-    text, found = _text_of(section), F.col(f"cand_{section}")
-    patterns = F.array_distinct(F.filter(found, lambda e: e["pattern"].isNotNull())["pattern"])
-    return F.flatten(F.transform(patterns, lambda p: _spans(_found(_pieces(text, p)))))
+    """Spans of all patterns, where there are several."""
+    text, word = _text_of(section), F.col(f"pattern_{section}")
+    patterns = F.concat(F.col(f"patterns_{section}"), F.filter(F.array(word), lambda p: p.isNotNull()))
+    several = F.when(F.size(patterns) > 1, patterns).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(several, lambda p: _spans(_found(_pieces(text, p)))))
 
 
-def _word_pieces(section: str) -> Column:
-    pattern = F.col(f"pattern_{section}")
+def _only_pieces(section: str) -> Column:
+    pattern = _only_pattern(section)
     return F.when(pattern.isNotNull(), _pieces(_text_of(section), pattern))
 
 
 def _marked(section: str) -> Column:
-    text, pieces, spans = _text_of(section), F.col(f"words_{section}"), F.col(f"spans_{section}")
+    text, pieces, spans = _text_of(section), F.col(f"pieces_{section}"), F.col(f"spans_{section}")
     in_place = F.array_join(
         F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(_mark(p["piece"]), F.lit("")))), ""
     )
-    word_spans = F.when(pieces.isNull(), F.array().cast(_SPANS)).otherwise(_spans(_found(pieces)))
     return (
-        F.when(F.size(spans) > 0, _rebuilt_from_spans(text, _merged(F.concat(spans, word_spans))))
+        F.when(F.size(spans) > 0, _rebuilt_from_spans(text, _merged(spans)))
         .when(pieces.isNull(), text)
         .otherwise(in_place)
     )
@@ -252,9 +266,10 @@ def _marking_steps() -> list[dict[str, Column]]:
     names = ("Title_Highlighted", "Abstract_Highlighted", "Tags_Highlighted")
     return [
         {f"cand_{s}": _in_scope(s) for s in SECTIONS},
-        {f"pattern_{s}": _word_pattern(F.col(f"cand_{s}")) for s in SECTIONS},
+        {f"pattern_{s}": _word_pattern(F.col(f"cand_{s}")) for s in SECTIONS}
+        | {f"patterns_{s}": _other_patterns(s) for s in SECTIONS},
         {f"spans_{s}": _pattern_spans(s) for s in SECTIONS}
-        | {f"words_{s}": _word_pieces(s) for s in SECTIONS},
+        | {f"pieces_{s}": _only_pieces(s) for s in SECTIONS},
         {name: _marked(s) for name, s in zip(names, SECTIONS)},
     ]
 
