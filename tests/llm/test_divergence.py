@@ -2,9 +2,12 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from winnow.llm import divergence as D
@@ -117,3 +120,38 @@ def test_signs_between_and_around_letters(spark):
     ends = [chr(b) for b in range(1, 128)] + ["é", "ß", "日", "\u00a0", "\u2028"]
     docs = [("".join(rng.choices(ends, k=80)), "en", rng.choice("ab")) for _ in range(150)]
     assert result(spark, docs, 3, 50) == plain(docs, 3, 50)
+
+
+def batches(docs, rows):
+    for i in range(0, len(docs), rows):
+        columns = list(zip(*docs[i : i + rows], strict=True))
+        yield pa.record_batch([pa.array(c) for c in columns], names=["lang", "source", "text", "row"][: len(columns)])
+
+
+@pytest.mark.parametrize("portion", [1, 700, 10**6])
+def test_sums_of_portions(monkeypatch, portion):
+    monkeypatch.setattr(D, "PORTION_BYTES", portion)
+    docs = [(lang or "", source or "", text) for text, lang, source in made(300, 5)] + [("en", "a", "Ab " * 500), ("en", "a", "")]
+    wanted, found = defaultdict(Counter), defaultdict(Counter)
+    for lang, source, text in docs:
+        chunks = Counter(c for c in (x.lower().strip(D.SIGNS) for x in text.encode().split()) if c)
+        wanted[lang, source].update({(c.decode(), i): k for c, n in chunks.items() for i, k in enumerate((n, 1))})
+    sent = list(D._sums(batches(docs, 7)))
+    for row in pa.Table.from_batches(sent).to_pylist():
+        own = row["occurrences"], row["documents"]
+        found[row["lang"], row["source"]].update({(row["chunk"], i): k for i, k in enumerate(own)})
+    assert found == wanted
+    if portion == 10**6:  # small batches are summed together
+        assert sum(b.num_rows for b in sent) == sum(map(len, wanted.values())) // 2
+
+
+def test_second_look_takes_the_checksum_of_a_chunk_once(monkeypatch):
+    sums = []
+    monkeypatch.setattr(D, "zlib", SimpleNamespace(crc32=lambda c: sums.append(c) or zlib.crc32(c)))
+    whole = bytearray(D.BITS // 8)
+    at = zlib.crc32(b"ab") % D.BITS
+    whole[at // 8] |= 1 << at % 8
+    docs = [("en", "s", f"Ab, cd 1 (ab) e{'xy'[i % 2]}", i) for i in range(50)]
+    seen = [r for b in D._having(SimpleNamespace(value=bytes(whole)))(batches(docs, 7)) for r in b.to_pylist()]
+    assert sorted(r["row"] for r in seen) == list(range(50)) and {r["chunk"] for r in seen} == {"ab"}
+    assert sorted(sums) == [b"ab", b"cd", b"ex", b"ey"]

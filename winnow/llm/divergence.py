@@ -4,8 +4,8 @@ A chunk is a stretch between ASCII white space, with a-z for A-Z and without the
 its ends; a term is a run of `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]` after A-Z became a-z, so terms never
 cross chunks and no term is lost. Chunks without any term are dropped at once.
 
-1. Tasks count each document's chunks and add up, per (lang, source, chunk), occurrences and
-   documents. Spark adds these sums; a frequent chunk or a hot source is a few rows by then. They
+1. Tasks cut and number the chunks of some MB of text at a time, as Arrow columns, and add up, per
+   (lang, source, chunk), occurrences and documents. Spark adds these sums; a frequent chunk or a hot source is a few rows by then. They
    are stored in buckets of the chunk.
 2. Every globally distinct chunk is cut into terms once; the terms are joined back to the sums, all
    within the buckets.
@@ -28,12 +28,11 @@ pairs as well; an empty table gives no rows. Other columns, whatever their names
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,17 +46,15 @@ SCALE = 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Values of one matrix of terms by sources in a task: few, and many where there are many pairs.
 CELLS, MOST_CELLS = 1 << 16, 1 << 22
-#: Sums that a task holds before it sends them on, and bytes of text behind them.
-FLUSH_CHUNKS, FLUSH_BYTES = 400_000, 128_000_000
+#: Bytes of text that a task cuts at a time, what a row counts besides its text, and rows sent on at once.
+PORTION_BYTES, ROW_BYTES, SENT_ROWS = 16_000_000, 64, 100_000
 #: Bytes of text for each bucket of chunks, when the session's partitions are too few.
 BUCKET_BYTES = 64_000_000
 #: Bits of the bitmap, and of one piece of it.
 BITS, PIECE = 1 << 25, 1 << 15
 
-_OCCURRENCES = (1 << 40) - 1
 #: ASCII that no term holds, taken off the ends of chunks.
 SIGNS = bytes(b for b in range(128) if not chr(b).isalpha())
-_bare = methodcaller("strip", SIGNS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -66,51 +63,59 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(as_text("lang"), as_text("source"), as_text("text"))
 
 
-def _strings(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary()).view(pa.string())
-
-
-def _repeated(value: bytes, n: int) -> pa.Array:
-    return pa.repeat(pa.scalar(value, pa.binary()), n).view(pa.string())
+def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with about PORTION_BYTES of text in a batch; a longer text is held whole."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(lengths.astype(np.int64) + ROW_BYTES)
+        first = before = 0
+        while first < batch.num_rows:
+            last = min(int(np.searchsorted(upto, before + PORTION_BYTES - size)) + 1, batch.num_rows)
+            held.append(batch.slice(first, last - first))
+            size += int(upto[last - 1]) - before
+            first, before = last, int(upto[last - 1])
+            if size >= PORTION_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Place of the text and number of the chunk for every chunk of some texts; the chunks by number."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    place = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    found = pc.ascii_trim(parts.flatten(), SIGNS.decode())
+    bare = pc.not_equal(found, "")
+    found = found.filter(bare).dictionary_encode()
+    return place[bare.to_numpy(zero_copy_only=False)], found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
 def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents per (lang, source, chunk) of some text at a time."""
-    found: dict[tuple[bytes, bytes], dict[bytes, int]] = {}
-    entries = size = 0
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in found.items():
-            packed = list(counts.values())
-            n = len(packed)
-            numbers = np.array(packed, np.int64)
-            yield pa.record_batch(
-                [
-                    _repeated(lang, n),
-                    _repeated(source, n),
-                    _strings(list(counts)),
-                    pa.array(numbers & _OCCURRENCES),
-                    pa.array(numbers >> 40),
-                ],
-                names=["lang", "source", "chunk", "occurrences", "documents"],
-            )
-        found.clear()
-
-    for batch in batches:
-        columns = [text_bytes(batch.column(i)) for i in range(3)]
-        for lang, source, text in zip(*columns, strict=True):
-            counts = found.setdefault((lang, source), {})
-            entries -= len(counts)
-            chunks = Counter(map(_bare, text.lower().split()))
-            chunks.pop(b"", None)
-            for chunk, k in chunks.items():
-                counts[chunk] = counts.get(chunk, 0) + k + (1 << 40)
-            entries += len(counts)
-            size += len(text)
-            if entries > FLUSH_CHUNKS or size > FLUSH_BYTES:
-                yield from sent()
-                entries = size = 0
-    yield from sent()
+    for batch in _portions(batches):
+        place, number, chunks = _cut(batch.column(2))
+        n = max(len(chunks), 1)
+        in_text, times = np.unique(place * n + number, return_counts=True)
+        lang, source = (batch.column(i).dictionary_encode() for i in range(2))
+        n_sources = len(source.dictionary)
+        group = lang.indices.to_numpy().astype(np.int64) * n_sources + source.indices.to_numpy()
+        groups, group = np.unique(group, return_inverse=True)
+        key = group[in_text // n] * n + in_text % n
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        own = groups[key[first] // n]
+        sums = {
+            "lang": lang.dictionary.take(pa.array(own // n_sources)),
+            "source": source.dictionary.take(pa.array(own % n_sources)),
+            "chunk": chunks.take(pa.array(key[first] % n)),
+            "occurrences": pa.array(np.add.reduceat(times[order], first) if len(first) else first),
+            "documents": pa.array(np.diff(np.r_[first, len(key)])),
+        }
+        yield from pa.table(sums).to_batches(max_chunksize=SENT_ROWS)
 
 
 def chunk_sums(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -139,18 +144,20 @@ def _having(bits: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     """The distinct chunks of each row whose checksum's bit is set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_set = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool).tobytes()
-        for batch in batches:
-            langs, rows, chunks = [], [], []
-            texts = text_bytes(batch.column(2))
-            for lang, row, text in zip(text_bytes(batch.column(0)), batch.column(3).to_pylist(), texts, strict=True):
-                some = {c for c in map(_bare, set(text.lower().split())) if is_set[zlib.crc32(c) % BITS]}
-                chunks += some
-                langs += [lang] * len(some)
-                rows += [row] * len(some)
-            yield pa.record_batch(
-                [_strings(langs), pa.array(rows, pa.int64()), _strings(chunks)], names=["lang", "row", "chunk"]
-            )
+        is_set = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        for batch in _portions(batches):
+            place, number, chunks = _cut(batch.column(2))
+            n = max(len(chunks), 1)
+            some = is_set[np.fromiter(map(zlib.crc32, text_bytes(chunks)), np.int64, len(chunks)) % BITS]
+            live = np.flatnonzero(some[number])
+            in_text = np.unique(place[live] * n + number[live])
+            text = pa.array(in_text // n)
+            seen = {
+                "lang": batch.column(0).take(text),
+                "row": batch.column(3).take(text),
+                "chunk": chunks.take(pa.array(in_text % n)),
+            }
+            yield from pa.table(seen).to_batches(max_chunksize=SENT_ROWS)
 
     return run
 
