@@ -186,3 +186,21 @@ def test_components(spark):
     linked = {x for a, b in edges for x in (a, b) if a != b}
     assert {r.node: r.component for r in rows} == {x: find(x) for x in linked}
     assert len(rows) == len(linked)
+
+
+def test_texts_meet_hashed_so_that_rows_of_a_text_stay_together(spark, monkeypatch):
+    """Rows carry the lists of their text: sorted by band and shingle, they would be moved without shrinking."""
+    plans = []
+    settle = N.settle
+
+    def noted(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df)
+
+    monkeypatch.setattr(N, "settle", noted)
+    sets = {i: [*range(100), 200 + i] for i in range(8)}
+    rest = spark.createDataFrame([(band, i, i) for i in sets for band in range(6)], REST)
+    found = N._across(rest, spark.createDataFrame(list(sets.items()), TEXTS)).collect()
+    assert {tuple(r) for r in found} == set(itertools.combinations(range(8), 2))
+    (met,) = (plan for columns, plan in plans if "most" in columns and "firsts" in columns)
+    assert "ShuffledHashJoin" in met and "SortMergeJoin" not in met

@@ -176,9 +176,10 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     often = settle(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")))
     often = often.selectExpr("shingle", "n", "x <> y AS several")
     order = Window.partitionBy("rid").orderBy("n", "shingle")
-    placed = rows.join(often, "shingle").withColumn("place", F.row_number().over(order) - 1)
+    # A text's class would only be moved along with each of its shingles: it comes back after the ranks.
+    placed = rows.drop("class").join(often, "shingle").withColumn("place", F.row_number().over(order) - 1)
     prefix = placed.filter(f"several AND place < size - ({least} * size + {of - 1}) div {of} + 1")
-    prefix = settle(prefix.select("rid", "class", "size", "shingle", "place"))
+    prefix = settle(prefix.join(own, "rid").select("rid", "class", "size", "shingle", "place"))
     # What tells a pair's first key from its others: some first shingles, and all bands of a text.
     rank = F.row_number().over(Window.partitionBy("rid").orderBy("place"))
     firsts = prefix.select("rid", "place", "shingle", rank.alias("k")).filter(F.col("k") <= FIRST)
@@ -188,7 +189,9 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     key = ["band", "shingle"]
     held = met.groupBy(*key, "class").agg(F.count("*").alias("n"))
     held = held.groupBy(key).agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
-    met = settle(met.join(settle(held.filter("classes > 1").select(*key, F.col("top.class").alias("most"))), key))
+    held = settle(held.filter("classes > 1").select(*key, F.col("top.class").alias("most")))
+    # Hashed, not sorted: rows of a text stay together, so that their equal lists shrink in shuffles.
+    met = settle(met.join(held.hint("shuffle_hash"), key))
     few = met.filter("class <> most")
     other = met.select(*key, *(F.col(c).alias(f"{c}_b") for c in ("rid", "class", "size", "place", "firsts", "bands")))
     # What both have from their first shared shingle on must do.
