@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm.common import chunks, col_name, fresh
+from winnow.llm.common import chunks, col_name, fresh, giving_back
 from winnow.llm.fm_index import FMIndex
 from winnow.llm.words import words
 
@@ -107,6 +107,7 @@ def _marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _scan(phrases, text: str, spans: str, items: str, n_words: str, drop_text: bool, schema: pa.Schema):
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
         for batch, texts in chunks(batches, text):

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm.common import chunks, col_name, fresh, settle
+from winnow.llm.common import chunks, col_name, fresh, giving_back, settle
 from winnow.llm.words import U64, mix
 
 ORDER = 5
@@ -109,6 +109,7 @@ def _counted(order: int, schema: pa.Schema) -> Callable:
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts)], schema=schema)
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple]] = defaultdict(list)
         held = 0
@@ -222,6 +223,7 @@ class Lookup:
 
 
 def _scored(lookup, text: str, lang: str, sums: str, size: str, order: int, schema: pa.Schema) -> Callable:
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lookup.value
         for batch, texts in chunks(batches, text, 2_000_000):
@@ -248,6 +250,7 @@ def _scored(lookup, text: str, lang: str, sums: str, size: str, order: int, sche
 
 
 def _hashed(order: int, schema: pa.Schema) -> Callable:
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(batch.schema.get_field_index("gram")).to_pylist()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm.common import chunks, col_name, fresh, settle, settle_by
+from winnow.llm.common import chunks, col_name, fresh, giving_back, settle, settle_by
 from winnow.llm.graph import components
 from winnow.llm.words import U64, mix, words
 
@@ -96,6 +96,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
 
 
 def _signed(registers: int, schema: pa.Schema) -> Callable:
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             w = words(texts)

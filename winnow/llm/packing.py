@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm.common import chunks, col_name, settle
+from winnow.llm.common import chunks, col_name, giving_back, settle
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -122,6 +122,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def _pieces(path: str, capacity: int, schema: pa.Schema) -> Callable:
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -245,6 +246,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
 def _placed(slots: list[Slot], schema: pa.Schema) -> Callable:
     table = np.array(sorted(slots), dtype=np.int64).reshape(-1, len(Slot._fields))
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
