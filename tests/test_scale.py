@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from winnow import queries
 from winnow.functions import patterns as P
 from winnow.operators import terms as T
+from winnow.params import Params
+from winnow.sources.staging import stored
 
 JIT_LIMIT = 8_000  # bytes of a method; the JVM interprets longer ones
 
@@ -71,3 +73,58 @@ def test_rows_in_another_order_are_dealt_over_all_tasks(spark, sf_dir, plain_pla
     n = spark.conf.get("spark.sql.shuffle.partitions")
     assert any(re.fullmatch(rf"{key}#\d+L?, {n}", d) for d in dealt)
     assert not {d for d in dealt if d == "3" or d.startswith("source")}
+
+
+def test_browse_cleans_the_terms_once(spark, sf_dir):
+    """Their blocks and the listing are read from the cleaned table, not from all words again."""
+    files = queries.terms_browse(spark, sf_dir).inputFiles()
+    assert files and not [f for f in files if "documents" in f]
+
+
+def test_terms_are_reduced_where_they_are_read(spark, sf_dir, plain_plans):
+    """Rows are hashed before anything is moved; an aggregate that sorts them would write them to disk first."""
+    plan = queries.terms_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert " HashAggregate(" in first and "SortAggregate(" not in first and " Sort [" not in first
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, sf_dir):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    queries.terms_browse(spark, sf_dir)
+    assert spark.conf.get(name) == before
+    rows = stored(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), shuffles_go=True)
+    assert rows.count() == 7 and spark.conf.get(name) == before
+
+
+# What a rule is made of, with texts that look like the lengths and marks between its parts.
+ODD_RULES = [
+    (i, block, kind, term, level, scope, regex)
+    for i, (block, kind, term, level, scope, regex) in enumerate(
+        (block, kind, term, level, scope, regex)
+        for block in ("A", "1", "1 1", "é 2", "A1")
+        for kind in ("pos", " ANTI ", "flag", "other")
+        for term in ("1", "1 1", "Oil", "OIL", "oil", "İ", "ÉTÉ", "été", "🛢 Oil", "a\x00b", "")
+        for level, scope, regex in (("1", "any", "0"), ("1.0", "Title", "yes"), ("1 1", "body", "0"), ("", "abstract", "1"))
+    )
+]
+
+
+def test_rules_of_any_text(spark):
+    names = ("source_row", "block", "kind", "term", "level", "section_scope", "is_regex")
+    raw = spark.createDataFrame(ODD_RULES[::-1], "source_row long, " + ", ".join(f"{n} string" for n in names[1:]))
+    first, again = {}, []
+    for row, block, kind, term, level, scope, regex in ODD_RULES:
+        kind, scope = kind.strip().lower(), scope.lower() if scope.lower() != "body" else "any"
+        if kind == "other" or not term:
+            continue
+        number = {"1": 1, "1.0": 1}.get(level) if kind == "pos" else None
+        rule = (block, kind, term.lower(), scope, number if kind == "pos" else level, regex != "0")
+        kept = first.setdefault(rule, (row, block, kind, term, number, scope, regex != "0"))
+        if kept[0] != row:
+            again.append((row, kept[0], block, kind, term))
+    columns = ("source_row", "block", "kind", "term", "level", "scope", "is_regex")
+    cleaned = T.clean(raw, Params(configured_levels=(1, 2)))
+    assert sorted(map(tuple, cleaned.select(*columns).collect()), key=lambda r: r[0]) == sorted(first.values())
+    found = T.duplicates(raw, Params(configured_levels=(1, 2))).collect()
+    assert sorted((r.source_row, r.first_row, r.block, r.kind, r.term) for r in found) == sorted(again) and again
