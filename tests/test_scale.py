@@ -128,3 +128,18 @@ def test_rules_of_any_text(spark):
     assert sorted(map(tuple, cleaned.select(*columns).collect()), key=lambda r: r[0]) == sorted(first.values())
     found = T.duplicates(raw, Params(configured_levels=(1, 2))).collect()
     assert sorted((r.source_row, r.first_row, r.block, r.kind, r.term) for r in found) == sorted(again) and again
+
+
+def test_rows_of_duplicates_are_moved_once(spark, sf_dir, plain_plans):
+    """All words are read and moved once, equal rules beside each other; nothing is sorted where they arrive."""
+    plan = queries.terms_duplicates(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+    arrived, left = plan.split("Exchange hashpartitioning", 1)
+    assert "ShuffledHashJoin" in arrived and " Sort [" not in arrived + left.split("ReusedExchange")[-1]
+    assert left.count(" Sort [") == 1
+
+
+def test_duplicates_without_row_numbers(spark):
+    rows = [(None, "A", "pos", "oil"), (4, "A", "pos", "OIL"), (2, "A", "pos", "Oil"), (None, "B", "pos", "gas")]
+    raw = spark.createDataFrame(rows, "source_row long, block string, kind string, term string")
+    assert [tuple(r) for r in T.duplicates(raw).collect()] == [(4, 2, "A", "pos", "OIL")]
